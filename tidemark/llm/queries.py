@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import quality, secrets, warc
 
 QUERIES = {
+    "op2_credential_linking": secrets.op2,
     "op8_quality_rules": quality.op8,
+    "op10_warc_archive": warc.op10,
 }
 ORACLE_SQL = {
     "op8_quality_rules": quality.SQL,
+    "op10_warc_archive": warc.SQL,
 }
