@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import quality, secrets, warc
+from . import quality, secrets, simhash, warc
 
 QUERIES = {
     "op2_credential_linking": secrets.op2,
+    "op5_simhash": simhash.op5,
     "op8_quality_rules": quality.op8,
     "op10_warc_archive": warc.op10,
 }
