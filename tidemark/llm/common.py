@@ -76,3 +76,36 @@ def arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     from pyspark.sql.types import StructType
 
     return to_arrow_schema(StructType.fromDDL(ddl))
+
+
+def add_columns(df: DataFrame, added: str, f: Callable[[list], list[tuple]], inputs: list[str]) -> DataFrame:
+    """Like per_row, with one row out for each row in; the columns of ``df``
+    go along untouched, and those named in ``added`` replace or follow them."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    new = StructType.fromDDL(added)
+    names = {x.name for x in new}
+    others = [x for x in df.schema.fields if x.name not in names]
+    carried = [f"_c{i}" for i in range(len(others))]
+    # positional names: inputs may be replaced, and names may need quoting
+    own = df.select(
+        *(df[f"`{x.name}`"].alias(c) for x, c in zip(others, carried, strict=True)),
+        *(df[f"`{x}`"].alias(f"_i{i}") for i, x in enumerate(inputs)),
+    )
+    out = StructType([*(own.schema[c] for c in carried), *new.fields])
+    target, k = to_arrow_schema(new), len(carried)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = batch.columns
+            rows = f(list(zip(*(c.to_pylist() for c in columns[k:]), strict=True)))
+            made = [pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), target, strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns[:k], *made], names=[*carried, *target.names])
+
+    made = own.mapInArrow(run, out)
+    back = {x.name: F.col(c).alias(x.name) for x, c in zip(others, carried, strict=True)}
+    order = [*df.columns, *(x.name for x in new if x.name not in df.columns)]
+    return made.select(*(back.get(n, F.col(n)) for n in order))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import quality, secrets, simhash, warc
+from . import quality, secrets, simhash, warc, winnowing
 
 QUERIES = {
     "op2_credential_linking": secrets.op2,
     "op5_simhash": simhash.op5,
+    "op6_winnowing": winnowing.op6,
     "op8_quality_rules": quality.op8,
     "op10_warc_archive": warc.op10,
 }
