@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import quality, secrets, simhash, warc, winnowing
+from . import bpe, pii, quality, secrets, simhash, warc, winnowing
 
 QUERIES = {
     "op2_credential_linking": secrets.op2,
+    "op3_bpe": bpe.op3,
     "op5_simhash": simhash.op5,
     "op6_winnowing": winnowing.op6,
     "op8_quality_rules": quality.op8,
+    "op9_surrogates": pii.op9,
     "op10_warc_archive": warc.op10,
 }
 ORACLE_SQL = {
