@@ -35,7 +35,7 @@ NAME = "word_bpe_49k.json"
 #: Code points of text whose new words are encoded together, and words held from one batch to the next.
 PIECE, HELD = 8 << 20, 400_000
 
-_SPACE = r"\t-\r\x20\x85\xa0  -     　"
+_SPACE = r"\t-\r\x20\x85\xa0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def byte_symbols() -> list[str]:
