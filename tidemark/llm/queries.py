@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, pii, quality, secrets, simhash, warc, winnowing
+from . import bpe, mincut, pii, quality, secrets, simhash, warc, winnowing
 
 QUERIES = {
     "op2_credential_linking": secrets.op2,
     "op3_bpe": bpe.op3,
+    "op4_minimum_cut": mincut.op4,
     "op5_simhash": simhash.op5,
     "op6_winnowing": winnowing.op6,
     "op8_quality_rules": quality.op8,
