@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, mincut, pii, quality, secrets, simhash, warc, winnowing
+from . import bpe, mincut, pii, quality, secrets, simhash, suffixes, warc, winnowing
 
 QUERIES = {
     "op2_credential_linking": secrets.op2,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_minimum_cut": mincut.op4,
     "op5_simhash": simhash.op5,
     "op6_winnowing": winnowing.op6,
+    "op7_suffix_family": suffixes.op7,
     "op8_quality_rules": quality.op8,
     "op9_surrogates": pii.op9,
     "op10_warc_archive": warc.op10,
