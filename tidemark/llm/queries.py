@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, mincut, pii, quality, secrets, simhash, suffixes, warc, winnowing
+from . import bpe, mincut, pii, quality, rangecoder, secrets, simhash, suffixes, warc, winnowing
 
 QUERIES = {
+    "op1_range_coder": rangecoder.op1,
     "op2_credential_linking": secrets.op2,
     "op3_bpe": bpe.op3,
     "op4_minimum_cut": mincut.op4,
