@@ -33,7 +33,7 @@ from .common import add_columns, per_row, table
 
 NAME = "word_bpe_49k.json"
 #: Code points of text whose new words are encoded together, and words held from one batch to the next.
-PIECE, HELD = 8 << 20, 400_000
+PIECE, HELD = 8 << 20, 300_000
 
 _SPACE = r"\t-\r\x20\x85\xa0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
@@ -171,25 +171,29 @@ def merged(vocabulary: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.n
 
 
 class Codec:
-    """Encodes and decodes texts; keeps the words that it has seen."""
+    """Encodes and decodes texts; keeps the words of the latest batches, as rows of
+    one array of ids."""
 
-    def __init__(self, path: str):
-        self.vocabulary = Vocabulary(path)
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+        self._forget()
+
+    def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
-        self.shown: list[str] = []
-
-    def _learn(self, words: list[str]) -> None:
-        fresh = [w for w in dict.fromkeys(words) if w not in self.known]
-        if not fresh:
-            return
-        ids, start = merged(self.vocabulary, [w.encode("utf-8", "surrogatepass") for w in fresh])
-        tokens = [self.vocabulary.tokens[i] for i in ids.tolist()]
-        start = start.tolist()
-        for k, w in enumerate(fresh):
-            self.known[w] = len(self.ids)
-            self.ids.append(ids[start[k] : start[k + 1]].astype("<u4"))
-            self.shown.append(" ".join(tokens[start[k] : start[k + 1]]))
+        self.ids = np.zeros(0, np.uint16)
+        self.start = np.zeros(1, np.int64)
+        for s, i in self.vocabulary.specials.items():
+            self._enter(["\0" + s], np.array([i]), np.array([0, 1]))
+
+    def _enter(self, words: list[str], ids: np.ndarray, start: np.ndarray) -> None:
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
+        self.ids = np.concatenate([self.ids, ids.astype(np.uint32 if len(self.vocabulary.tokens) > 1 << 16 else np.uint16)])
+        self.start = np.concatenate([self.start, start[1:] + self.start[-1]])
+
+    def _learn(self, groups: list[list[str]]) -> None:
+        fresh = list(set().union(*groups).difference(self.known))
+        if fresh:
+            self._enter(fresh, *merged(self.vocabulary, [w.encode("utf-8", "surrogatepass") for w in fresh]))
 
     def split(self, text: str) -> list[str]:
         """A text's words and special tokens; these begin with NUL, as no other word with letters does."""
@@ -202,9 +206,7 @@ class Codec:
         return out + self.vocabulary.words(text[at:])
 
     def batch(self, texts: list[str]):
-        """For each text an array of ids, and the decoded text."""
-        if len(self.known) > HELD:
-            self.known, self.ids, self.shown = {}, [], []
+        """An array of ids for each text."""
         group, size = [], 0
         for t in texts:
             group.append(self.split(t))
@@ -215,28 +217,27 @@ class Codec:
         yield from self._encoded(group)
 
     def _encoded(self, group: list[list[str]]):
-        for s, i in self.vocabulary.specials.items():
-            if "\0" + s not in self.known:
-                self.known["\0" + s] = len(self.ids)
-                self.ids.append(np.array([i], "<u4"))
-                self.shown.append(s)
-        self._learn([w for g in group for w in g])
+        if len(self.known) > HELD:
+            self._forget()
+        self._learn(group)
         for g in group:
-            at = [self.known[w] for w in g]
-            ids = np.concatenate([self.ids[i] for i in at]) if at else np.zeros(0, "<u4")
-            yield ids, " ".join([self.shown[i] for i in at])
+            word = np.fromiter(map(self.known.__getitem__, g), np.int64, len(g))
+            start, n = self.start[word], self.start[word + 1] - self.start[word]
+            rank = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            yield self.ids[np.repeat(start, n) + rank].astype("<u4")
 
     def decode(self, ids: list[int]) -> str:
-        return " ".join([self.vocabulary.tokens[i] for i in ids])
+        return " ".join(map(self.vocabulary.tokens.__getitem__, ids))
 
 
-_codecs: dict[str, Codec] = {}
+#: Vocabularies, of which a worker sees one or two; words are kept for a task only.
+_vocabularies: dict[str, Vocabulary] = {}
 
 
 def codec(path: str) -> Codec:
-    if path not in _codecs:
-        _codecs[path] = Codec(path)
-    return _codecs[path]
+    if path not in _vocabularies:
+        _vocabularies[path] = Vocabulary(path)
+    return Codec(_vocabularies[path])
 
 
 def default_path() -> str:
@@ -248,12 +249,13 @@ def default_path() -> str:
 def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """Per row: doc_id, the number of ids, and digests of ids and decoded text."""
 
-    def rows(batch):
-        own = codec(path or default_path())
-        texts = own.batch([t or "" for _, t in batch])
+    def rows(batch, own=[]):  # noqa: B006
+        if not own:
+            own.append(codec(path or default_path()))
+        ids = own[0].batch([t or "" for _, t in batch])
         return [
-            (i, len(ids), sha256(ids.tobytes()).hexdigest(), sha256(shown.encode("utf-8", "surrogatepass")).hexdigest())
-            for (i, _), (ids, shown) in zip(batch, texts, strict=True)
+            (i, len(x), sha256(x.tobytes()).hexdigest(), sha256(own[0].decode(x.tolist()).encode("utf-8", "surrogatepass")).hexdigest())
+            for (i, _), x in zip(batch, ids, strict=True)
         ]
 
     return per_row(docs, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", rows, [doc_id, text])
@@ -262,9 +264,10 @@ def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: s
 def encode(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
     """``docs`` with ``ids`` (array<int>) and ``n_tokens``."""
 
-    def rows(batch):
-        own = codec(path or default_path())
-        return [(ids.astype(np.int32), len(ids)) for ids, _ in own.batch([t or "" for (t,) in batch])]
+    def rows(batch, own=[]):  # noqa: B006
+        if not own:
+            own.append(codec(path or default_path()))
+        return [(ids.astype(np.int32), len(ids)) for ids in own[0].batch([t or "" for (t,) in batch])]
 
     return add_columns(docs, "ids array<int>, n_tokens long", rows, [text])
 

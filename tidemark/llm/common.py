@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -35,7 +37,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     there, so that a lost executor costs no recomputation, and the size of
     the table is known to later joins."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -67,10 +69,18 @@ def per_row(
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t.type) for c, t in zip(columns, target, strict=True)], schema=target
             )
+        returned()
 
     return df.select(*inputs).mapInArrow(run, schema)
 
 
+def returned() -> None:
+    """Give free memory back at a task's end: workers stay for later tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -104,6 +114,7 @@ def add_columns(df: DataFrame, added: str, f: Callable[[list], list[tuple]], inp
             rows = f(list(zip(*(c.to_pylist() for c in columns[k:]), strict=True)))
             made = [pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), target, strict=True)]
             yield pa.RecordBatch.from_arrays([*columns[:k], *made], names=[*carried, *target.names])
+        returned()
 
     made = own.mapInArrow(run, out)
     back = {x.name: F.col(c).alias(x.name) for x, c in zip(others, carried, strict=True)}
