@@ -164,7 +164,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return judge(docs).where("kept").select(*docs.columns)
+    """Documents that are not kept go."""
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), "text", "source")
+    return judge(packed, keep=["_doc"]).where("kept").select("_doc.*")
 
 
 SQL = r"""

@@ -70,8 +70,15 @@ def signed(x: int) -> int:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
-    return per_row(docs, "doc_id long, fp long", lambda rows: [(i, signed(fingerprint(t))) for i, t in rows], [doc_id, text])
+    """(doc_id, rk, fp): rk tells rows apart that differ in doc_id or text; fp is the
+    fingerprint as a signed long."""
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("rk", row_key("doc_id", "text"))
+    rows = lambda batch: [(i, k, signed(fingerprint(t))) for i, k, t in batch]
+    return per_row(own, "doc_id long, rk long, fp long", rows, ["doc_id", "rk", "text"])
+
+
+def row_key(doc_id: str, text: str):
+    return F.xxhash64(F.col(doc_id).cast("long"), text)
 
 
 def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -197,7 +204,8 @@ def near_pairs(prints: DataFrame) -> DataFrame:
 
 
 def classes(prints: DataFrame) -> DataFrame:
-    """(fp, component_id) from (doc_id, fp): the least doc_id that is reachable."""
+    """(fp, root, component_id) from (doc_id, fp): root names the class, and
+    component_id is the least doc_id in it."""
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fps")
     pairs = near_pairs(distinct.select("fp"))
     roots = components(pairs)
@@ -205,7 +213,7 @@ def classes(prints: DataFrame) -> DataFrame:
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
     named = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    return labelled.join(named, "root").select("fp", "component_id")
+    return labelled.join(named, "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -221,24 +229,25 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays: the one with the smallest doc_id. Of rows
-    with that doc_id one stays; rows with a null doc_id stay, as none names them."""
-    found = near_duplicates(docs)
-    dropped = found.where("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
-    return _one_per_id(left)
-
+    """One document of each class stays: the one with the smallest doc_id; one
+    without an id stays only if its class has no other. Of equal rows one stays."""
+    prints = written(fingerprints(docs), "simhash")
+    rows = written(prints.join(classes(prints), "fp").select("doc_id", "rk", "root"), "classes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk"))
+    keepers = rows.groupBy("root").agg(first.alias("first")).select("root", F.col("first.rk").alias("_kept"))
+    dropped = rows.join(keepers, "root").where("rk <> _kept").select(F.col("rk").alias("_rk")).distinct()
+    left = docs.withColumn("_rk", row_key("doc_id", "text")).join(dropped, "_rk", "left_anti")
+    repeated = written(rows.groupBy(F.col("rk").alias("_rk")).count().where("count > 1").select("_rk"), "repeated")
+    return _one_each(left, repeated, docs.columns)
+
+
+def _one_each(left: DataFrame, repeated: DataFrame, columns: list[str]) -> DataFrame:
+    """Of rows with a repeated key one; other rows need no look."""
+    names = [F.col(f"`{c}`") for c in columns]
+    if repeated.isEmpty():
+        return left.select(*names)
+    # partial sums collapse the copies before they are dealt
+    again = left.join(repeated, "_rk", "left_semi").groupBy("_rk").agg(F.any_value(F.struct(*names)).alias("_doc"))
+    return left.join(repeated, "_rk", "left_anti").select(*names).unionByName(again.select("_doc.*"))
 
-def _one_per_id(docs: DataFrame) -> DataFrame:
-    """Of rows with equal doc_id one; only ids that repeat are looked into."""
-    from pyspark.sql import Window
 
-    repeated = written(docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "repeated")
-    if repeated.isEmpty():
-        return docs
-    again = docs.join(repeated, "doc_id", "left_semi").withColumn(
-        "_rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns)))
-    )
-    return docs.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(
-        again.where("_rank = 1").select(*docs.columns)
-    )

@@ -330,6 +330,6 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go."""
-    own = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("text").alias("_text"))
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), F.col("text").alias("_text"))
     judged = decontaminate(own, table(spark, sf_dir, "benchmark"), "_text")
     return judged.where("NOT contaminated").select("_doc.*")
