@@ -125,7 +125,7 @@ def json_paths(spark: SparkSession, d: str) -> DataFrame:
     overall = F.struct(F.struct(score.alias("score"), S.label(score).alias("label")).alias("overall"))
     text = F.when(F.col("event_id") % 3 > 0, F.to_json(F.struct(overall.alias("peace_scores"))))
     stored = D.table(spark, d, "events").select("event_id", "props", text.alias("results"))
-    read = stored.withColumn("r", F.from_json("results", f"struct<{RESULTS_JSON.replace('peace_scores struct', 'peace_scores:struct')}>"))
+    read = stored.withColumn("r", F.from_json("results", RESULTS_JSON))
     return read.select("event_id", F.col("r.peace_scores.overall.score").alias("score"), F.get_json_object("props", "$.k").cast("int").alias("k"))
 
 

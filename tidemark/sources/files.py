@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from ..functions import scalars as S
-from ..schemas import JOB_EVENT, METADATA_JSON, RESULTS_JSON
+from ..schemas import JOB_EVENT, JOB_EVENT_COLUMNS, METADATA_JSON, RESULTS_JSON
 
 # Suffixes of image files.
 IMAGES = ["jpg", "jpeg", "png", "bmp"]
@@ -41,7 +40,7 @@ def byte_range(files: DataFrame, start: int, length: int) -> DataFrame:
 
 def append_events(events: DataFrame, path: str) -> None:
     """Job events are only ever added."""
-    events.select(*JOB_EVENT.names).write.mode("append").parquet(path)
+    events.select(*JOB_EVENT_COLUMNS).write.mode("append").parquet(path)
 
 
 def job_events(spark: SparkSession, path: str) -> DataFrame:
@@ -50,11 +49,7 @@ def job_events(spark: SparkSession, path: str) -> DataFrame:
 
 def parsed(jobs: DataFrame) -> DataFrame:
     """The JSON texts of a job as nested columns; broken ones are null."""
-    results = StructType.fromDDL(RESULTS_JSON.replace("peace_scores struct", "peace_scores struct", 1))
-    return jobs.withColumns({
-        "results": F.from_json("results", results),
-        "metadata": F.from_json("metadata", StructType.fromDDL(METADATA_JSON)),
-    })
+    return jobs.withColumns({"results": F.from_json("results", RESULTS_JSON), "metadata": F.from_json("metadata", METADATA_JSON)})
 
 
 def as_json(rows: DataFrame, column: str) -> DataFrame:

@@ -75,7 +75,8 @@ def smoothed(frames: DataFrame, alpha: float = 0.3, idle: str = "30 minutes") ->
         for index, probs in zip(rows["frame_index"], rows["probs"], strict=True):
             if index <= last:
                 continue
-            s = [float(p) for p in probs] if s is None else [alpha * p + (1 - alpha) * q for p, q in zip(probs, s, strict=True)]
+            probs = [float(p) for p in probs]
+            s = probs if s is None else [alpha * p + (1 - alpha) * q for p, q in zip(probs, s, strict=True)]
             top = max(range(len(s)), key=s.__getitem__)
             out.append((key[0], index, n, top, s[top], n == 0))
             n, last = n + 1, int(index)
