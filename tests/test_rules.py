@@ -166,3 +166,17 @@ def test_plugins(spark):
     assert [r.m.score for r in df.select(plugins.plugin("classifier", "own")(F.col("x")).alias("m")).collect()] == [0, 1]
     with pytest.raises(KeyError):
         plugins.plugin("motion", "none")
+
+
+def test_analysis_of_pixels(spark):
+    from tidemark import api
+
+    rows = [(1, k, k * 1_000_000, 4_000_000, [float(40 * k + j % 7) for j in range(8)]) for k in range(5)]
+    df = spark.createDataFrame(rows, "analysis_id int, frame_index bigint, t_us bigint, dur_us bigint, pixels array<double>")
+    scored = api.score_frames(frames.pixel_statistics(df)).withColumn("conf_pct", F.lit(80))
+    videos = spark.createDataFrame([(1,), (2,)], "analysis_id int")
+    parts = api.analyze_videos(scored, videos)
+    assert {r.analysis_id: (r.score, r.label, r.confidence) for r in parts["overall"].collect()} == {1: (0, "Poor", 80), 2: (0, "Poor", 0)}
+    assert [r.direction for r in parts["segments"].orderBy("segment").collect()] == ["stationary", "withdrawal", "insertion", "withdrawal", "insertion"]
+    assert {r.region for r in parts["regions"].collect()} == {"esophagus", "stomach", "duodenum"}
+    assert parts["timeline"].count() == 5

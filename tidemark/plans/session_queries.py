@@ -388,3 +388,56 @@ def session_close(spark: SparkSession, d: str) -> DataFrame:
         .agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.count(F.lit(1)).alias("frames"), F.max("value").alias("max_value"))
         .select("user_id", F.unix_micros("a").alias("start_us"), F.unix_micros("b").alias("last_us"), "frames", "max_value")
     )
+
+
+@query(
+    "active_on_page",
+    f"""WITH {D.SESSIONS}, p AS (SELECT * FROM sessions WHERE user_id < 50 ORDER BY created_at DESC NULLS FIRST, id LIMIT 60)
+SELECT id, analysis_id FROM p WHERE status IN ('processing', 'queued')""",
+)
+def active_on_page(spark: SparkSession, d: str) -> DataFrame:
+    page = O.page(O.ordered(D.sessions(spark, d).where("user_id < 50")), size=60)
+    return page.where(F.col("status").isin(O.STATUSES["processing"])).select("id", "analysis_id")
+
+
+@query(
+    "date_rules",
+    """SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.000Z') AS iso, strftime(o_orderdate, '%b %-d, %Y') AS shown,
+  epoch_us(date_trunc('day', o_orderdate + INTERVAL 90 MINUTES)) AS midnight_us FROM orders""",
+)
+def date_rules(spark: SparkSession, d: str) -> DataFrame:
+    at = F.col("o_orderdate").cast("timestamp")
+    return D.table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("id"),
+        F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("iso"),
+        F.date_format(at, "MMM d, yyyy").alias("shown"),
+        F.unix_micros(F.date_trunc("day", at + F.expr("INTERVAL 90 MINUTES"))).alias("midnight_us"),
+    )
+
+
+@query(
+    "upload_admission",
+    f"""WITH {D.USERS}, u AS (
+  SELECT o_orderkey AS id, o_custkey AS user_id, upload_limit, o_orderdate AS created_at,
+    CASE WHEN o_orderkey % 13 = 0 THEN 'type' WHEN o_orderkey % 11 = 0 THEN 'size' WHEN o_orderkey % 7 = 0 THEN 'content' END AS reason
+  FROM orders JOIN users ON users.id = o_custkey
+), q AS (
+  SELECT *, row_number() OVER (PARTITION BY user_id, reason IS NULL ORDER BY created_at, id) AS n FROM u
+)
+SELECT id, coalesce(reason, CASE WHEN upload_limit <> -1 AND n > upload_limit THEN 'quota' END) AS reason FROM q""",
+)
+def upload_admission(spark: SparkSession, d: str) -> DataFrame:
+    from .. import api
+
+    k = F.col("o_orderkey")
+    limits = D.users(spark, d).select(F.col("id").alias("user_id"), "upload_limit")
+    uploads = D.table(spark, d, "orders").select(
+        k.alias("id"),
+        F.col("o_custkey").alias("user_id"),
+        F.col("o_orderdate").alias("created_at"),
+        F.when(k % 13 == 0, "a.txt").otherwise("a.mp4").alias("name"),
+        F.lit(None).cast("string").alias("media_type"),
+        F.when(k % 11 == 0, 600_000_000).otherwise(5).alias("size"),
+        F.when(k % 7 == 0, F.unhex(F.lit("00"))).otherwise(F.unhex(F.lit("52494646"))).alias("head"),
+    )
+    return api.admit_uploads(uploads.join(limits, "user_id")).select("id", "reason")
