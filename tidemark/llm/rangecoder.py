@@ -7,11 +7,11 @@ same two ids or the same one, with a confidence that follows its hits; order 0
 spreads over all ids by adaptive counts. Weights follow how likely each made the
 ids so far. The mixture cuts the coder's range: a share for order 2's id, one for
 order 1's, and the rest, in which order 0 codes the id. The coder is a carryless
-range coder with 64 bits, which puts out words of 32.
+range coder with 64 bits, which puts out words of 16.
 
 Blocks of a batch are coded side by side: one step codes the next id of every
 block, on arrays over the blocks. All arithmetic is integer, or IEEE sums,
-products and quotients of doubles in a fixed order, so readers repeat it exactly.
+products and quotients of floats in a fixed order, so readers repeat it exactly.
 
 A block file is a Parquet table with a row for each block: (part, block, first,
 n_ids, payload). The payload holds all that is needed to read it: magic, length,
@@ -19,12 +19,15 @@ checksums, the table of documents' pieces, and the code words. Parts ascend in
 doc_id, blocks in part, pieces in block. A document longer than a block is cut.
 
 Cases: a null or empty text has the end id only; a null doc_id comes first; rows
-that repeat are stored each; very long texts are cut into blocks; an empty table
+with one doc_id are stored each, in the order of their texts; very long texts are cut into blocks; an empty table
 gives an empty file; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import itertools
+import os
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -32,10 +35,11 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, shared_dir, table
+from .common import arrow_schema, returned, shared_dir, table
 
 NAME, END = "byte_bpe_50k.json", 0
 #: Ids in a block, and blocks coded side by side, at most.
@@ -45,205 +49,223 @@ HEADER = struct.Struct("<4sIIII")  # magic, ids, pieces, crc32 of the ids, crc32
 PIECES = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("last", "u1"), ("piece", "<u4"), ("n", "<u4")])
 
 # The model's fixed values: a change makes another format.
-BITS1, BITS2 = 11, 12
-BUCKETS, SPREAD = 2048, 5  # order 0 counts runs of 32 ids
-STEP, REFRESH = 24, 256  # added for an id; ids until its shares are worked out anew
-TOTAL = 1 << 16
-STATES, RATE, RARE, KEEP = 8, 1 / 24, 1 / 4096, 0.98
-_1, _16, _32 = np.uint64(1), np.uint64(16), np.uint64(32)
-_TOP, _LOW = np.uint64(1 << 32), np.uint64((1 << 32) - 1)
+BITS = (11, 12)  # slots of order 1 and order 2, as powers of two
+BUCKETS, SPREAD = 512, 7  # order 0 counts runs of 128 ids
+STEP, REFRESH = 24, 512  # added for an id; ids until its shares are worked out anew
+TOTAL, WHOLE = 1 << 16, 16 + SPREAD  # shares of the mixture; order 0's shares, as a power of two
+STATES, RATE, RARE, KEEP = 8, np.float32(1 / 24), np.float32(1 / 4096), np.float32(0.98)
+_16, _48 = np.uint64(16), np.uint64(48)
+_FULL, _REST = np.uint64(1 << 48), np.uint64((1 << 48) - 1)
+
+
+def slots(before: np.ndarray, earlier: np.ndarray) -> np.ndarray:
+    """Slots of order 1, then of order 2, within the blocks' tables, from the last
+    two ids; over the last axis."""
+    a, b = before.astype(np.int32), earlier.astype(np.int32)
+    one = (a * 40503 & 0xFFFF) >> (16 - BITS[0])
+    two = ((a * 40503 + b * 30011) & 0xFFFF) >> (16 - BITS[1])
+    return np.concatenate([one, two], axis=-1)
 
 
 class Model:
-    """The predictions for the next id of each of n blocks."""
+    """The predictions for the next id of each of n blocks. Arrays of 2 n values
+    have order 1's in the first half, order 2's in the second."""
 
     def __init__(self, n: int):
-        self.row = np.arange(n)
-        self.base1, self.base2 = self.row << BITS1, self.row << BITS2
-        self.table1 = np.zeros(n << BITS1, np.int64)  # id << 3 | state
-        self.table2 = np.zeros(n << BITS2, np.int64)
-        self.sure1 = np.tile(np.linspace(0.05, 0.75, STATES), n)
-        self.sure2 = np.tile(np.linspace(0.05, 0.85, STATES), n)
-        self.base_state = self.row * STATES
-        self.weight = np.full((3, n), 1 / 3)
-        self.before = np.zeros((2, n), np.int64)
-        prior = 1 + 8192 // (np.arange(BUCKETS) + 8)
-        self.counts = np.tile(prior, (n, 1)).astype(np.int64)
-        self.shares = np.zeros((n, BUCKETS + 1), np.int64)
-        # in one ascending array, so that all blocks are searched at once
-        self.offset = self.row << 40
+        self.n = n
+        self.table = np.zeros(n * ((1 << BITS[0]) + (1 << BITS[1])), np.int32)  # id << 3 | state
+        row = np.arange(n, dtype=np.int32)
+        self.base = np.concatenate([row << BITS[0], (n << BITS[0]) + (row << BITS[1])])
+        self.sure = np.concatenate([np.tile(np.linspace(0.05, top, STATES), n) for top in (0.75, 0.85)]).astype(np.float32)
+        self.base_state = np.arange(2 * n, dtype=np.int32) * STATES
+        self.weight = np.full(3 * n, 1 / 3, np.float32)
+        self.counts = np.tile(1 + 8192 // (np.arange(BUCKETS) + 4), (n, 1)).astype(np.int32)
+        self.flat_counts = self.counts.reshape(-1)
+        self.base_count = row * BUCKETS
+        # all blocks' shares in one ascending array, so that all are searched at once
+        self.offset = row << 17
+        self.base_share = row * (BUCKETS + 1)
+        self.shares = np.zeros((n, BUCKETS + 1), np.int32)
+        self.flat = self.shares.reshape(-1)
         self.steps = 0
 
-    def predict(self) -> None:
-        if self.steps % REFRESH == 0:
-            np.cumsum(self.counts, axis=1, out=self.shares[:, 1:])
-            self.total = self.shares[:, -1] << SPREAD
-            self.flat = (self.shares + self.offset[:, None]).ravel()
+    def _refresh(self) -> None:
+        """Shares of 2^16 in all, one at least for each bucket."""
+        sums = np.cumsum(self.counts, axis=1, dtype=np.int32)
+        scale = np.float64(TOTAL - BUCKETS) / sums[:, -1:]
+        np.multiply(sums, scale, out=self.shares[:, 1:], casting="unsafe")
+        self.shares[:, 1:] += np.arange(1, BUCKETS + 1, dtype=np.int32)
+        self.shares[:, -1] = TOTAL
+        self.shares[:, 0] = 0
+        self.shares += self.offset[:, None]
+
+    def predict(self, slot: np.ndarray) -> None:
+        """slot: of the ids before, in each block's tables."""
+        if self.steps % REFRESH == 0 or self.steps in (64, 128, 256):
+            self._refresh()
         self.steps += 1
-        a, b = self.before
-        self.slot1 = self.base1 + ((a * 40503 & 0xFFFF) >> (16 - BITS1))
-        self.slot2 = self.base2 + (((a * 40503 + b * 30011) & 0xFFFF) >> (16 - BITS2))
-        e1, e2 = self.table1[self.slot1], self.table2[self.slot2]
-        self.id1, self.id2 = e1 >> 3, e2 >> 3
-        self.state1, self.state2 = e1 & 7, e2 & 7
-        self.at1, self.at2 = self.base_state + self.state1, self.base_state + self.state2
-        self.c1, self.c2 = self.sure1[self.at1], self.sure2[self.at2]
-        m1, m2 = self.weight[1] * self.c1, self.weight[2] * self.c2
-        same = self.id1 == self.id2
-        m2 = np.where(same, m1 + m2, m2)
-        m1 = np.where(same, 0.0, m1)
-        self.share2 = (m2 * (TOTAL - 512)).astype(np.int64) + 1
-        self.share1 = (m1 * (TOTAL - 512)).astype(np.int64) + 1
-
-    def update(self, x: np.ndarray, rest: np.ndarray) -> None:
-        """x: the ids that came; rest: which of them order 0 coded."""
-        hit1, hit2 = x == self.id1, x == self.id2
-        self.sure1[self.at1] = self.c1 + (hit1 - self.c1) * RATE
-        self.sure2[self.at2] = self.c2 + (hit2 - self.c2) * RATE
-        w = self.weight
-        w[0] *= RARE
-        w[1] *= np.where(hit1, self.c1, (1 - self.c1) * RARE)
-        w[2] *= np.where(hit2, self.c2, (1 - self.c2) * RARE)
-        w *= KEEP / (w[0] + w[1] + w[2])
-        w += (1 - KEEP) / 3
-        self.table1[self.slot1] = self._next(x, self.id1, self.state1, hit1)
-        self.table2[self.slot2] = self._next(x, self.id2, self.state2, hit2)
-        lane = np.flatnonzero(rest)
-        self.counts[lane, x[lane] >> SPREAD] += STEP
-        self.before[1] = self.before[0]
-        self.before[0] = x
-
-    @staticmethod
-    def _next(x, known, state, hit):
-        """Hits strengthen an entry, a miss weakens it, or replaces it if it is weak."""
-        return np.where(hit, known << 3 | np.minimum(state + 1, STATES - 1), np.where(state > 1, known << 3 | state >> 1, x << 3))
-
-
-def _settled(low: np.ndarray, span: np.ndarray) -> np.ndarray:
-    """Blocks whose range is too small; where its top word is open, the range is
-    cut so that the word is settled."""
-    small = np.flatnonzero(span < _TOP)
-    if len(small):
-        l, s = low[small], span[small]
-        split = ((l ^ (l + s - _1)) >> _32) != 0
-        span[small] = np.where(split, _TOP - (l & _LOW), s)
-    return small
+        n = self.n
+        self.slot = self.base + slot
+        self.entry = self.table.take(self.slot)
+        self.ids = self.entry >> 3
+        self.state = self.entry & 7
+        self.at = self.base_state + self.state
+        self.c = self.sure.take(self.at)
+        m = self.weight[n:] * self.c
+        same = self.ids[:n] == self.ids[n:]
+        m[n:] += m[:n] * same
+        m[:n] *= ~same
+        m *= np.float32(TOTAL - 512)
+        share = m.astype(np.int32)
+        share += 1
+        self.one, self.two = share[:n], share[n:]
+
+    def update(self, x: np.ndarray, hit: np.ndarray, rest: np.ndarray) -> None:
+        """x: the ids that came; hit: which entries named them; rest: which of them
+        order 0 coded."""
+        n, w, c = self.n, self.weight, self.c
+        w[:n] *= RARE
+        w[n:] *= np.where(hit, c, (1 - c) * RARE)
+        scale = KEEP / (w[:n] + w[n : 2 * n] + w[2 * n :])
+        w.reshape(3, n)[...] *= scale
+        w += np.float32(0.02 / 3)
+        c += (hit - c) * RATE
+        self.sure[self.at] = c
+        # hits strengthen an entry, a miss weakens it, or replaces it if it is weak
+        e, s = self.entry, self.state
+        weaker = np.where(s > 1, e - s + (s >> 1), np.concatenate([x, x]) << 3)
+        self.table[self.slot] = np.where(hit, e + (s < STATES - 1), weaker)
+        self.flat_counts[self.base_count + (x >> SPREAD)] += rest * np.int32(STEP)
+
+    def parts(self, second: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and share of order 2's part, order 1's, or the rest."""
+        both = self.one + self.two
+        start = np.where(second, 0, np.where(first, self.two, both))
+        share = np.where(second, self.two, np.where(first, self.one, TOTAL - both))
+        return start.astype(np.uint64), share.astype(np.uint64)
+
+
+def _narrowed(span: np.ndarray, low: np.ndarray, start: np.ndarray, share: np.ndarray, bits: int) -> np.ndarray:
+    """The range's part from start on, of 2^bits; low moves along."""
+    unit = span >> np.uint64(bits)
+    low += start * unit
+    return share * unit
+
+
+def _settled(low: np.ndarray, span: np.ndarray, small: np.ndarray) -> None:
+    """Where the top word of a range that is too small is open, cut the range so
+    that it is settled."""
+    l, s = low[small], span[small]
+    split = ((l ^ (l + (s - np.uint64(1)))) >> _48) != 0
+    if split.any():
+        span[small] = np.where(split, _FULL - (l & _REST), s)
 
 
 def encode(blocks: list[np.ndarray]) -> list[np.ndarray]:
     """The code words of each block of ids (below 65,536)."""
-    sizes = np.array([len(b) for b in blocks])
-    order = np.argsort(-sizes, kind="stable")
-    longest = int(sizes.max(initial=0))
-    ids = np.zeros((longest, len(blocks)), np.int64)
+    lengths = np.array([len(b) for b in blocks])
+    order = np.argsort(-lengths, kind="stable")
+    longest, n = int(lengths.max(initial=0)), len(blocks)
+    ids = np.zeros((longest, n), np.uint16)
     for lane, k in enumerate(order):
-        ids[: sizes[k], lane] = blocks[k]
-    active = (sizes[order][None, :] > np.arange(longest)[:, None]).sum(axis=1)
-    n = len(blocks)
+        ids[: lengths[k], lane] = blocks[k]
+    active = n - np.searchsorted(np.sort(lengths), np.arange(longest), "right")
     low, span = np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64)
-    words = np.zeros((n, 2 * longest + 4), np.uint32)
+    words = np.zeros((n, longest + 64), np.uint16)
     used = np.zeros(n, np.int64)
     model = Model(n)
 
-    def put(start, share, total, live):
-        nonlocal low, span
-        unit = span // total
-        low += start * unit
-        span = share * unit
-        small = _settled(low, span)
-        if len(small):
-            lanes = small[live[small]]
-            words[lanes, used[lanes]] = (low[lanes] >> _32).astype(np.uint32)
-            used[lanes] += 1
-            low[small] = low[small] << _32
-            span[small] = span[small] << _32
-
     def finish(lanes):
-        for shift in (_32, np.uint64(0)):
-            words[lanes, used[lanes]] = ((low[lanes] >> shift) & _LOW).astype(np.uint32)
+        for shift in (48, 32, 16, 0):
+            words[lanes, used[lanes]] = ((low[lanes] >> np.uint64(shift)) & np.uint64(0xFFFF)).astype(np.uint16)
             used[lanes] += 1
 
+    low_bits = np.int32((1 << SPREAD) - 1)
     for t in range(longest):
-        x = ids[t]
-        live = model.row < active[t]
+        if t % 64 == 0:  # slots of the ids ahead
+            window = np.zeros((66, n), np.uint16)
+            window[2 - min(t, 2) : 2 + len(ids[t : t + 64])] = ids[max(0, t - 2) : t + 64]
+            ahead = slots(window[1:-1], window[:-2])
+            if used.max(initial=0) + 260 > words.shape[1]:
+                words = np.concatenate([words, np.zeros_like(words)], axis=1)
         if t and active[t] < active[t - 1]:  # these have ended
-            finish(model.row[active[t] : active[t - 1]])
-        model.predict()
-        second, first = x == model.id2, x == model.id1
+            finish(np.arange(active[t], active[t - 1]))
+        x = ids[t].astype(np.int32)
+        model.predict(ahead[t % 64])
+        hit = model.ids == np.concatenate([x, x])
+        first, second = hit[:n], hit[n:]
         rest = ~(second | first)
-        start = np.where(second, 0, np.where(first, model.share2, model.share2 + model.share1))
-        share = np.where(second, model.share2, np.where(first, model.share1, TOTAL - model.share1 - model.share2))
-        put(start.astype(np.uint64), share.astype(np.uint64), np.uint64(TOTAL), live)
-        # ids that were predicted take all of order 0's range: nothing is put out
-        at = model.row * (BUCKETS + 1) + (x >> SPREAD)
-        flat = model.shares.ravel()
-        a = flat[at]
-        f = flat[at + 1] - a
-        start = np.where(rest, (a << SPREAD) + (x & (1 << SPREAD) - 1) * f, 0)
-        share = np.where(rest, f, model.total)
-        put(start.astype(np.uint64), share.astype(np.uint64), model.total.astype(np.uint64), live)
-        model.update(x, rest)
+        span = _narrowed(span, low, *model.parts(second, first), 16)
+        # ids that were predicted take all of order 0's range
+        at = model.base_share + (x >> SPREAD)
+        a = model.flat.take(at)
+        f = model.flat.take(at + 1) - a
+        start = (((a - model.offset) << SPREAD) + (x & low_bits) * f) * rest
+        share = np.where(rest, f, 1 << WHOLE)
+        span = _narrowed(span, low, start.astype(np.uint64), share.astype(np.uint64), WHOLE)
+        small = np.flatnonzero(span < _FULL)
+        while len(small):
+            _settled(low, span, small)
+            lanes = small[: np.searchsorted(small, active[t])]
+            words[lanes, used[lanes]] = (low[lanes] >> _48).astype(np.uint16)
+            used[lanes] += 1
+            low[small] <<= _16
+            span[small] <<= _16
+            small = small[span[small] < _FULL]
+        model.update(x, hit, rest)
     if longest:
-        finish(model.row[: active[-1]])
+        finish(np.arange(active[-1]))
     out = [None] * n
     for lane, k in enumerate(order):
-        out[k] = words[lane, : used[lane]].copy() if sizes[k] else np.zeros(0, np.uint32)
+        out[k] = words[lane, : used[lane]].copy()
     return out
 
 
-def decode(codes: list[np.ndarray], sizes: list[int]) -> list[np.ndarray]:
+def decode(codes: list[np.ndarray], lengths: list[int]) -> list[np.ndarray]:
     """The ids of each block, from its code words and length."""
-    n = len(codes)
-    longest = max(sizes, default=0)
-    width = max((len(c) for c in codes), default=0) + 2
-    words = np.zeros((n, width), np.uint64)
+    n, longest = len(codes), max(lengths, default=0)
+    width = max((len(c) for c in codes), default=0) + 4
+    words = np.zeros((n, width), np.uint16)
     for k, c in enumerate(codes):
         words[k, : len(c)] = c
-    flat_words, base = words.ravel(), np.arange(n) * width
-    code = words[:, 0] << _32 | words[:, 1]
-    used = np.full(n, 2)
+    flat_words, base = words.reshape(-1), np.arange(n) * width
+    code = np.zeros(n, np.uint64)
+    for k in range(4):
+        code = code << _16 | words[:, k]
+    used = np.full(n, 4)
     low, span = np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64)
-    ids = np.zeros((longest, n), np.int64)
+    ids = np.zeros((longest + 2, n), np.uint16)  # two zeros before the first
     model = Model(n)
-
-    def take(start, share, unit):
-        nonlocal low, span
-        low += start * unit
-        span = share * unit
-        small = _settled(low, span)
-        if len(small):
-            low[small] = low[small] << _32
-            span[small] = span[small] << _32
-            at = np.minimum(used[small], width - 1)  # blocks that have ended read on
-            code[small] = code[small] << _32 | flat_words[base[small] + at]
-            used[small] += 1
-
     for t in range(longest):
-        model.predict()
-        unit = span >> _16
-        v = np.minimum((code - low) // unit, np.uint64(TOTAL - 1)).astype(np.int64)
-        second = v < model.share2
-        first = ~second & (v < model.share2 + model.share1)
+        model.predict(slots(ids[t + 1], ids[t]))
+        v = np.minimum((code - low) // (span >> _16), np.uint64(TOTAL - 1)).astype(np.int32)
+        second = v < model.two
+        first = ~second & (v < model.one + model.two)
         rest = ~(second | first)
-        start = np.where(second, 0, np.where(first, model.share2, model.share2 + model.share1))
-        share = np.where(second, model.share2, np.where(first, model.share1, TOTAL - model.share1 - model.share2))
-        take(start.astype(np.uint64), share.astype(np.uint64), unit)
-        total = model.total.astype(np.uint64)
-        unit = span // total
-        v = np.minimum((code - low) // unit, total - _1).astype(np.int64)
+        span = _narrowed(span, low, *model.parts(second, first), 16)
+        v = np.minimum((code - low) // (span >> np.uint64(WHOLE)), np.uint64((1 << WHOLE) - 1)).astype(np.int32)
         at = np.searchsorted(model.flat, (v >> SPREAD) + model.offset, "right") - 1
-        flat = model.shares.ravel()
-        a = flat[at]
-        f = flat[at + 1] - a
-        lo = (v - (a << SPREAD)) // f
-        x = ((at - model.row * (BUCKETS + 1)) << SPREAD) + lo
-        start = np.where(rest, (a << SPREAD) + lo * f, 0)
-        share = np.where(rest, f, model.total)
-        take(start.astype(np.uint64), share.astype(np.uint64), unit)
-        x = np.where(second, model.id2, np.where(first, model.id1, x)) & 0xFFFF  # of blocks that have ended, anything
-        ids[t] = x
-        model.update(x, rest)
-    return [ids[: sizes[k], k] for k in range(n)]
+        a = model.flat.take(at)
+        f = model.flat.take(at + 1) - a
+        a = (a - model.offset) << SPREAD
+        lo = (v - a) // f
+        start = (a + lo * f) * rest
+        share = np.where(rest, f, 1 << WHOLE)
+        span = _narrowed(span, low, start.astype(np.uint64), share.astype(np.uint64), WHOLE)
+        small = np.flatnonzero(span < _FULL)
+        while len(small):
+            _settled(low, span, small)
+            low[small] <<= _16
+            span[small] <<= _16
+            at_word = np.minimum(used[small], width - 1)  # blocks that have ended read on
+            code[small] = code[small] << _16 | flat_words[base[small] + at_word]
+            used[small] += 1
+            small = small[span[small] < _FULL]
+        x = ((at - model.base_share) << SPREAD).astype(np.int32) + lo
+        x = np.where(second, model.ids[n:], np.where(first, model.ids[:n], x)) & 0xFFFF  # of blocks that have ended, anything
+        ids[t + 2] = x
+        model.update(x, model.ids == np.concatenate([x, x]), rest)
+    return [ids[2 : 2 + m, k].copy() for k, m in enumerate(lengths)]
 
 
 class Blocks:
@@ -274,7 +296,7 @@ class Blocks:
 
 
 def payload(ids: np.ndarray, pieces: list[tuple], words: np.ndarray) -> bytes:
-    body = np.array(pieces, PIECES).tobytes() + words.astype("<u4").tobytes()
+    body = np.array(pieces, PIECES).tobytes() + words.astype("<u2").tobytes()
     return HEADER.pack(MAGIC, len(ids), len(pieces), crc32(ids.astype("<u4").tobytes()), crc32(body)) + body
 
 
@@ -285,17 +307,17 @@ def opened(data: bytes) -> tuple[int, int, np.ndarray, np.ndarray]:
     if magic != MAGIC or crc32(body) != crc:
         raise ValueError("damaged block")
     cut = k * PIECES.itemsize
-    return n, ids_crc, np.frombuffer(body[:cut], PIECES), np.frombuffer(body[cut:], "<u4")
+    return n, ids_crc, np.frombuffer(body[:cut], PIECES), np.frombuffer(body[cut:], "<u2")
 
 
-def read_blocks(payloads: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, pieces) of each block, LANES blocks at a time."""
-    for lo in range(0, len(payloads), LANES):
-        heads = [opened(p) for p in payloads[lo : lo + LANES]]
-        for (_, crc, pieces, _), ids in zip(heads, decode([h[3] for h in heads], [h[0] for h in heads]), strict=True):
-            if crc32(ids.astype("<u4").tobytes()) != crc:
-                raise ValueError("ids don't match their checksum")
-            yield ids, pieces
+def read_blocks(payloads: list[bytes]) -> Iterator[tuple[bytes, np.ndarray]]:
+    """(ids as bytes, pieces) of each block; all blocks are decoded side by side."""
+    heads = [opened(p) for p in payloads]
+    for (_, crc, pieces, _), ids in zip(heads, decode([h[3] for h in heads], [h[0] for h in heads]), strict=True):
+        raw = ids.astype("<u4").tobytes()
+        if crc32(raw) != crc:
+            raise ValueError("ids don't match their checksum")
+        yield raw, pieces
 
 
 def default_path() -> str:
@@ -305,25 +327,84 @@ def default_path() -> str:
 
 
 def tokenizer(path: str | None):
+    """The library's tokenizer; a task has one core, so it gets one thread."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path or default_path())
 
 
+#: The rule by which byte-level vocabularies split a text before any merge, and the
+#: same for texts of Latin-1 without the numerals that \w has beside 0-9.
+SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_GAP = r"\t-\r\x20\x85\xa0"
+SPLIT_LATIN = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\w{_GAP}]|_)+|[{_GAP}]+(?![^{_GAP}])|[{_GAP}]+")
+ODD_LATIN = re.compile("[\x1c-\x1f²³¹¼½¾]")
+
+
+class Encoder:
+    """Ids as the library's; a merge never crosses a split, so the ids of split words
+    are kept, and the library sees each but once."""
+
+    def __init__(self, path: str | None, held: int = 500_000):
+        self.known, self.held = tokenizer(path), held
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.known.get_added_tokens_decoder().values()) or r"(?!)")
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words: dict[str, int] = {}
+        self.ids, self.start = np.zeros(0, np.uint16), np.zeros(1, np.int64)
+
+    def _library(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.known.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, fresh: list[str]) -> None:
+        for lo in range(0, len(fresh), 4096):
+            ids = self._library(fresh[lo : lo + 4096])
+            n = len(self.words)
+            self.words.update(zip(fresh[lo : lo + 4096], range(n, n + len(ids)), strict=True))
+            self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(ids), np.uint16)])
+            self.start = np.concatenate([self.start, self.start[-1] + np.cumsum([len(x) for x in ids])])
+
+    def split(self, text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return SPLIT.findall(text)
+        return SPLIT.findall(text) if ODD_LATIN.search(text) else SPLIT_LATIN.findall(text)
+
+    def batch(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text; texts with a special token's name go to the library whole."""
+        if len(self.words) > self.held:
+            self._forget()
+        whole = {k for k, t in enumerate(texts) if self.special.search(t)}
+        split = [[] if k in whole else self.split(t) for k, t in enumerate(texts)]
+        self._learn(list(set().union(*split).difference(self.words)))
+        out = []
+        for k, words in enumerate(split):
+            if k in whole:
+                out.append(np.array(self._library([texts[k]])[0], np.uint16))
+                continue
+            at = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+            start, n = self.start[at], self.start[at + 1] - self.start[at]
+            out.append(self.ids[np.arange(n.sum()) + np.repeat(start - np.cumsum(n) + n, n)])
+        return out
+
+
 def write(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> None:
     """Write a block file of all documents, in ascending doc_id."""
     spark = docs.sparkSession
     ordered = (
         docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
         .repartitionByRange("doc_id")
-        .sortWithinPartitions("doc_id")
+        .sortWithinPartitions("doc_id", "text")
         .select("doc_id", "text", F.spark_partition_id().alias("part"))
     )
     ddl = "part int, block long, first long, n_ids int, payload binary"
     target = arrow_schema(spark, ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, blocks, block, first, part = tokenizer(vocabulary), Blocks(), 0, 0, 0
+        known, blocks, block, first, part = Encoder(vocabulary), Blocks(), 0, 0, 0
 
         def rows(ready):
             nonlocal block, first
@@ -337,17 +418,17 @@ def write(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text"
             if not batch.num_rows:
                 continue
             part = batch.column(2)[0].as_py()
-            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo in range(0, len(texts), 256):
-                encoded = known.encode_batch_fast(texts[lo : lo + 256], add_special_tokens=False)
-                for i, e in zip(names[lo : lo + 256], encoded, strict=True):
-                    blocks.add(i, np.array([*e.ids, END], np.int64))
+            for lo in range(0, batch.num_rows, 256):
+                names, texts = (batch.column(k)[lo : lo + 256].to_pylist() for k in range(2))
+                for i, ids in zip(names, known.batch(texts), strict=True):
+                    blocks.add(i, np.append(ids, np.uint16(END)))
                 while len(blocks.full) >= LANES:
                     yield rows(blocks.full[:LANES])
                     del blocks.full[:LANES]
         blocks.close()
         if blocks.full:
             yield rows(blocks.full)
+        returned()
 
     ordered.mapInArrow(run, ddl).write.parquet(path)
 
@@ -362,14 +443,16 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            part, first, payloads = (batch.column(k).to_pylist() for k in range(3))
-            out = []
-            for p, f, (ids, pieces) in zip(part, first, read_blocks(payloads), strict=True):
-                raw, at = ids.astype("<u4").tobytes(), 0
-                for doc_id, null, last, piece, n in pieces.tolist():
-                    out.append((p, f + at, None if null else doc_id, piece, bool(last), raw[4 * at : 4 * (at + n)]))
-                    at += n
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), target, strict=True)], schema=target)
+            for lo in range(0, batch.num_rows, LANES):
+                part, first, payloads = (batch.column(k)[lo : lo + LANES].to_pylist() for k in range(3))
+                out = []
+                for p, f, (raw, pieces) in zip(part, first, read_blocks(payloads), strict=True):
+                    at = 0
+                    for doc_id, null, last, piece, n in pieces.tolist():
+                        out.append((p, f + at, None if null else doc_id, piece, bool(last), raw[4 * at : 4 * (at + n)]))
+                        at += n
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), target, strict=True)], schema=target)
+        returned()
 
     return spark.read.parquet(path).select("part", "first", "payload").mapInArrow(run, ddl)
 
