@@ -17,6 +17,8 @@ QUERIES = {
     "op10_warc_archive": warc.op10,
 }
 ORACLE_SQL = {
+    "op6_winnowing": winnowing.SQL,
+    "op7_suffix_family": suffixes.SQL,
     "op8_quality_rules": quality.SQL,
     "op10_warc_archive": warc.SQL,
 }

@@ -428,3 +428,30 @@ def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"))
+
+
+SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), w AS (
+  SELECT r, doc_id, i, substr(h, 2 * i + 1, 100) AS g FROM (SELECT *, unnest(range(0, n - 49)) AS i FROM d)
+), f AS (
+  SELECT g, min(doc_id) AS least FROM w GROUP BY g HAVING count(*) > 1
+), hit AS (
+  SELECT r, i FROM w JOIN f USING (g) WHERE doc_id > least
+), b AS (
+  SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 50 THEN 0 ELSE 1 END AS new FROM hit
+), runs AS (
+  SELECT r, min(i) AS lo, max(i) + 50 AS hi FROM (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS k FROM b) GROUP BY r, k
+), gaps AS (
+  SELECT r, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY lo), 0) AS a, lo AS z FROM runs
+  UNION ALL SELECT r, max(hi), max(n) FROM runs JOIN d USING (r) GROUP BY r
+), kept AS (
+  SELECT r, string_agg(substr(h, 2 * a + 1, 2 * (z - a)), '' ORDER BY a) AS k FROM gaps JOIN d USING (r) GROUP BY r
+), s AS (
+  SELECT r, sum(hi - lo) AS n_removed, count(*) AS n_spans FROM runs GROUP BY r
+)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM d LEFT JOIN s USING (r) LEFT JOIN kept USING (r)
+"""
