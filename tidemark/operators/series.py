@@ -96,10 +96,12 @@ def nearest(entries: DataFrame, cursors: DataFrame, at: str = "t_us") -> DataFra
         cursors.select(BY, at, F.lit(None).cast("bigint").alias("_entry"), F.col("cursor").cast("bigint"))
     )
     found = F.when(F.col("_entry").isNotNull(), F.struct(F.col(at).alias("at"), F.col("_entry").alias("i")))
-    # range frames: entries at the cursor's own time count, wherever they stand
-    w = Window.partitionBy(BY).orderBy(at)
-    before = F.last(found, ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))
-    after = F.first(found, ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing))
+    # range frames: entries at the cursor's own time count, wherever they stand; both
+    # grow from their start, as frames that shrink are worked out anew for each row
+    latest = F.last(found, ignorenulls=True)
+    w = Window.partitionBy(BY)
+    before = latest.over(w.orderBy(F.col(at).asc()).rangeBetween(Window.unboundedPreceding, 0))
+    after = latest.over(w.orderBy(F.col(at).desc()).rangeBetween(Window.unboundedPreceding, 0))
     t = F.col(at)
     laid = both.withColumns({"_before": before, "_after": after}).where("cursor IS NOT NULL")
     nearer = F.when(
