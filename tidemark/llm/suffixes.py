@@ -52,7 +52,7 @@ ROW = 88
 PIECE, POSITION = 1 << 18, 20
 _LOW = np.uint64((1 << POSITION) - 1)
 #: Bytes of text for each part; of these, for each bucket of anchors and each shard.
-PART_BYTES, BUCKET_BYTES, SHARD_BYTES = 4 << 20, 32 << 20, 12 << 20
+PART_BYTES, BUCKET_BYTES, SHARD_BYTES = 4 << 20, 24 << 20, 8 << 20
 #: Documents of an anchor from which its windows are dealt singly.
 HOT = 4096
 #: Suffixes in a batch at least.
@@ -206,7 +206,7 @@ def part_segments(rows: pa.Table, blobs: list[bytes], shards: int) -> list[tuple
     short = anchor >> np.uint64(16)
     keep = _member(shared, short)
     doc, start, count, short = doc[keep], start[keep], count[keep], short[keep]
-    is_hot = _member(hot, short)
+    is_hot = _member(hot, short) | (short == 0)  # zero marks windows dealt singly
     if is_hot.any():  # single windows
         n = count[is_hot]
         rank = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -229,9 +229,9 @@ def part_segments(rows: pa.Table, blobs: list[bytes], shards: int) -> list[tuple
             for w in words.view("<u8").T:
                 h = _mixed((h ^ w) * _A)
             where[own] = (h % np.uint64(shards)).astype(np.int64)
-    for k, d, s, c in _dealt(where, shards, doc, start, count):
-        text, which = np.unique(_rows(data, s, c).view(f"S{ROW}").ravel(), return_inverse=True)
-        out.append((k, packed(text, which.ravel().astype(np.uint32), ids[d], d.astype(np.uint32), s - bounds[d])))
+    for k, d, s, c, a in _dealt(where, shards, doc, start, count, short):
+        text, one, which = np.unique(_rows(data, s, c).view(f"S{ROW}").ravel(), return_index=True, return_inverse=True)
+        out.append((k, packed(text, which.ravel().astype(np.uint32), ids[d], d.astype(np.uint32), s - bounds[d], a[one])))
     return out
 
 
@@ -301,7 +301,7 @@ class Family:
 def shard_matches(parts: list[int], blobs: list[bytes]) -> list[tuple[int, bytes]]:
     """Step 3: (part, document in it, start and end of matches)."""
     found = [unpacked(b) for b in blobs]
-    text, which = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
+    text, one, which = np.unique(np.concatenate([f[0] for f in found]), return_index=True, return_inverse=True)
     offsets = np.concatenate([[0], np.cumsum([len(f[0]) for f in found])])
     segment = np.concatenate([which.ravel()[offsets[k] + f[1].astype(np.int64)] for k, f in enumerate(found)])
     ids, doc, start = (np.concatenate([f[k] for f in found]) for k in (2, 3, 4))
@@ -311,11 +311,16 @@ def shard_matches(parts: list[int], blobs: list[bytes]) -> list[tuple[int, bytes
     raw = text.view(np.uint8).reshape(-1, ROW)
     count = raw[:, WIDTH].astype(np.int64)
 
-    # the suffixes of the distinct segments, by ascending least document
-    begin = np.zeros(len(text), np.int64)
-    hits: list[np.ndarray] = []
+    # the suffixes of the distinct segments, by ascending least document; a segment that
+    # is alone with its anchor, or is a window dealt singly, can't share one with another
+    anchor = np.concatenate([f[5] for f in found])[one]
+    _, kind, size = np.unique(anchor, return_inverse=True, return_counts=True)
+    shares = (size[kind.ravel()] > 1) & (anchor > 0)
+    begin = np.full(len(text), -1)
+    hits: list[np.ndarray] = [np.zeros(0, bool)]
     family, at = Family(), 0
-    order = np.argsort(least, kind="stable")
+    order = np.flatnonzero(shares)
+    order = order[np.argsort(least[order], kind="stable")]
     total = np.cumsum(count[order])
     lo = 0
     while lo < len(order):
@@ -335,7 +340,7 @@ def shard_matches(parts: list[int], blobs: list[bytes]) -> list[tuple[int, bytes
     # a segment whose least document is smaller matches whole; else its own suffixes do
     whole = ids > least[segment]
     spans = [(source[whole], doc[whole], start[whole], start[whole] + count[segment[whole]] + SPAN - 1)]
-    some = np.flatnonzero(~whole)
+    some = np.flatnonzero(~whole & shares[segment])
     n = count[segment[some]]
     rank = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     owner = np.repeat(some, n)
