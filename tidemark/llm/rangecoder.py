@@ -43,7 +43,7 @@ from .common import arrow_schema, returned, shared_dir, table
 
 NAME, END = "byte_bpe_50k.json", 0
 #: Ids in a block, and blocks coded side by side, at most.
-BLOCK, LANES = 4096, 1024
+BLOCK, LANES = 4096, 2048
 MAGIC = b"TMR1"
 HEADER = struct.Struct("<4sIIII")  # magic, ids, pieces, crc32 of the ids, crc32 of all that follows
 PIECES = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("last", "u1"), ("piece", "<u4"), ("n", "<u4")])
@@ -443,8 +443,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            for lo in range(0, batch.num_rows, LANES):
-                part, first, payloads = (batch.column(k)[lo : lo + LANES].to_pylist() for k in range(3))
+            step = -(-batch.num_rows // -(-batch.num_rows // LANES))  # groups of equal size
+            for lo in range(0, batch.num_rows, step):
+                part, first, payloads = (batch.column(k)[lo : lo + step].to_pylist() for k in range(3))
                 out = []
                 for p, f, (raw, pieces) in zip(part, first, read_blocks(payloads), strict=True):
                     at = 0
