@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,26 +14,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of a table up to which it may be broadcast.
-BROADCAST_BYTES = 64 << 20
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: what the cluster names in
     ``spark.checkpoint.dir``; where that is unset (tests), an own one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = tempfile.mkdtemp(prefix="tidemark-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
-def with_checkpoints(spark: SparkSession) -> None:
-    """Make ``DataFrame.checkpoint`` usable."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends
     there, so that a lost executor costs no recomputation, and the size of

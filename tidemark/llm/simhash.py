@@ -246,8 +246,9 @@ def _one_each(left: DataFrame, repeated: DataFrame, columns: list[str]) -> DataF
     names = [F.col(f"`{c}`") for c in columns]
     if repeated.isEmpty():
         return left.select(*names)
-    # partial sums collapse the copies before they are dealt
-    again = left.join(repeated, "_rk", "left_semi").groupBy("_rk").agg(F.any_value(F.struct(*names)).alias("_doc"))
+    # partial sums collapse the copies before they are dealt; a hash picks one, so that
+    # a task that is run again picks the same
+    again = left.join(repeated, "_rk", "left_semi").groupBy("_rk").agg(F.min_by(F.struct(*names), F.xxhash64(*names)).alias("_doc"))
     return left.join(repeated, "_rk", "left_anti").select(*names).unionByName(again.select("_doc.*"))
 
 
