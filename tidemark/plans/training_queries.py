@@ -36,7 +36,7 @@ def group_split(spark: SparkSession, d: str) -> DataFrame:
 )
 def split_difference(spark: SparkSession, d: str) -> DataFrame:
     s = O.group_split(D.samples(spark, d), "video").select("doc_id", "split")
-    return T.difference(s, s.where("split = 'test'"), s.where("split = 'val'"), key="doc_id").select("doc_id")
+    return T.difference(s, s.where("split <> 'train'"), key="doc_id").select("doc_id")
 
 
 @query("kfold_assign", f"WITH {D.SAMPLES}, {D.SPLIT} SELECT doc_id, video, (r % 5)::INT AS fold FROM samples JOIN ranks USING (video)")
