@@ -108,21 +108,14 @@ def host_verdicts(judged: DataFrame, host: str = "source") -> DataFrame:
         F.count_if(F.col("base_failed") | F.col("soft_failed")).alias("n_failed"),
     )
     rate = F.col("n_failed") / F.col("n_docs")
-    prior = hosts.agg(F.avg(rate).alias("_m"), F.var_samp(rate).alias("_v")).select(
-        "_m",
-        F.when(
-            F.col("_v") > 0,
-            F.greatest(
-                F.lit(PRIOR_LOW), F.least(F.lit(PRIOR_HIGH), F.col("_m") * (1 - F.col("_m")) / F.col("_v") - 1)
-            ),
-        )
-        .otherwise(F.lit(PRIOR_HIGH))
-        .alias("_strength"),
-    )
-    # the prior is one row, whatever the input
-    shrunk = (F.col("n_failed") + F.col("_m") * F.col("_strength")) / (F.col("n_docs") + F.col("_strength"))
+    moments = hosts.agg(F.avg(rate).alias("m"), F.var_samp(rate).alias("v"))
+    fitted = F.col("m") * (1 - F.col("m")) / F.col("v") - 1
+    strength = F.when(F.col("v") > 0, F.greatest(F.lit(PRIOR_LOW), F.least(F.lit(PRIOR_HIGH), fitted))).otherwise(F.lit(PRIOR_HIGH))
+    # a scalar subquery: one value, whatever the input
+    prior = moments.select(F.struct("m", strength.alias("strength"))).scalar()
+    shrunk = (F.col("n_failed") + F.col("_prior.m") * F.col("_prior.strength")) / (F.col("n_docs") + F.col("_prior.strength"))
     return (
-        hosts.crossJoin(F.broadcast(prior))
+        hosts.withColumn("_prior", prior)
         .withColumn("host_rate", shrunk)
         .select("_host", "n_docs", "n_failed", "host_rate", (F.col("host_rate") > HOST_LIMIT).alias("host_rejected"))
     )
