@@ -61,11 +61,23 @@ _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.ui
 
 
 def packed(*arrays: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(1).compress(pickle.dumps(arrays, 5))
+    """Integers go by planes of their bytes: those that are all but constant shrink to nothing."""
+    flat = [(a.dtype.str, a.tobytes() if a.dtype.kind == "S" else a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()) for a in map(np.ascontiguousarray, arrays)]
+    return zstandard.ZstdCompressor(1).compress(pickle.dumps(flat, 5))
 
 
 def unpacked(data: bytes) -> tuple[np.ndarray, ...]:
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(data))
+    out = []
+    for kind, raw in pickle.loads(zstandard.ZstdDecompressor().decompress(data)):
+        dtype = np.dtype(kind)
+        if dtype.kind != "S":
+            raw = np.frombuffer(raw, np.uint8).reshape(dtype.itemsize, -1).T.tobytes()
+        out.append(np.frombuffer(raw, dtype))
+    return tuple(out)
+
+
+def _steps(ascending: np.ndarray) -> np.ndarray:
+    return np.diff(ascending, prepend=ascending.dtype.type(0))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -149,28 +161,22 @@ def _dealt(where: np.ndarray, n: int, *arrays: np.ndarray):
 
 
 def part_anchors(rows: pa.Table, buckets: int) -> list[tuple[int, bytes]]:
-    """Step 1, by part: (bucket, anchors with their documents)."""
+    """Step 1, by part: (bucket, anchors in order, once for each document that has them)."""
     _, _, doc, _, _, anchor = Part(rows).segments()
     short = anchor >> np.uint64(16)
     order = np.lexsort((doc, short))
     short, doc = short[order], doc[order]
     fresh = np.ones(len(short), bool)
     fresh[1:] = (short[1:] != short[:-1]) | (doc[1:] != doc[:-1])
-    short, doc = short[fresh], doc[fresh].astype(np.uint32)
+    short = short[fresh]
     where = (short % np.uint64(buckets)).astype(np.int64)
-    return [(k, packed(s.view(np.uint8).reshape(-1, 8)[:, :6].copy(), d)) for k, s, d in _dealt(where, buckets, short, doc)]
-
-
-def _six(x: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(x), 8), np.uint8)
-    out[:, :6] = x
-    return out.view("<u8").ravel().astype(np.uint64)
+    return [(k, packed(_steps(s))) for k, s in _dealt(where, buckets, short)]
 
 
 def shared_anchors(parts: list[int], blobs: list[bytes]) -> list[tuple[int, bytes]]:
     """Step 1, by bucket: for each part its anchors that two documents have, and
     of these the hot ones."""
-    found = [_six(unpacked(b)[0]) for b in blobs]
+    found = [np.cumsum(unpacked(b)[0], dtype=np.uint64) for b in blobs]
     anchor = np.concatenate(found)
     source = np.repeat(np.arange(len(parts)), [len(x) for x in found])
     order = np.argsort(anchor, kind="stable")
@@ -183,7 +189,7 @@ def shared_anchors(parts: list[int], blobs: list[bytes]) -> list[tuple[int, byte
     out = []
     for k, a, n in _dealt(source, len(parts), anchor, often):
         fresh = np.concatenate([[True], a[1:] != a[:-1]])
-        out.append((parts[k], packed(a[fresh], a[fresh & (n > HOT)])))
+        out.append((parts[k], packed(_steps(a[fresh]), _steps(a[fresh & (n > HOT)]))))
     return out
 
 
@@ -199,7 +205,7 @@ def part_segments(rows: pa.Table, blobs: list[bytes], shards: int) -> list[tuple
     that have them)."""
     part = Part(rows)
     data, bounds, doc, start, count, anchor = part.segments()
-    found = [unpacked(b) for b in blobs]
+    found = [[np.cumsum(x, dtype=np.uint64) for x in unpacked(b)] for b in blobs]
     if not found or not len(doc):
         return []
     shared, hot = (np.sort(np.concatenate(x)) for x in zip(*found, strict=True))
@@ -231,10 +237,15 @@ def part_segments(rows: pa.Table, blobs: list[bytes], shards: int) -> list[tuple
             where[own] = (h % np.uint64(shards)).astype(np.int64)
     for k, d, s, c, a in _dealt(where, shards, doc, start, count, short):
         text, one, which = np.unique(_rows(data, s, c).view(f"S{ROW}").ravel(), return_index=True, return_inverse=True)
-        out.append((k, packed(text, which.ravel().astype(np.uint32), ids[d], d.astype(np.uint32), s - bounds[d], a[one])))
+        out.append((k, packed(text, which.ravel().astype(np.uint32), ids[d], d.astype(np.uint32), s - bounds[d], _code(a[one]))))
     return out
 
 
+def _code(anchor: np.ndarray) -> np.ndarray:
+    """Enough of an anchor to tell most apart; zero only for zero."""
+    return np.where(anchor > 0, anchor & np.uint64(0xFFFFFF) | np.uint64(1 << 24), 0).astype(np.uint32)
+
+
 def _rows(data: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
     """Segments as rows of ROW bytes: text, zeros, and the count at WIDTH, which is
     never zero; so rows compare as strings of one length."""
