@@ -29,9 +29,9 @@ def frames(spark, tmp_path_factory):
     return path
 
 
-def both(spark, frames, tmp_path, operator, mode):
+def both(spark, frames, tmp_path, operator):
     stream = operator(live.source(spark, frames, files=1))
-    live.replayed(stream, str(tmp_path / "out"), str(tmp_path / "state"), mode)
+    live.replayed(stream, str(tmp_path / "out"), str(tmp_path / "state"))
     return spark.read.parquet(str(tmp_path / "out")), operator(spark.read.schema(LIVE_FRAME).parquet(frames))
 
 
@@ -50,18 +50,18 @@ def test_smoothed_stream(spark, frames, tmp_path):
 
 
 def test_buckets(spark, frames, tmp_path):
-    stream, batch = both(spark, frames, tmp_path, live.first_per_bucket, "append")
+    stream, batch = both(spark, frames, tmp_path, live.first_per_bucket)
     assert stream.count() == batch.count() == 3 * 32
 
 
-def test_running_stats(spark, frames, tmp_path):
-    stream, batch = both(spark, frames, tmp_path, live.running_stats, "complete")
-    last = stream.where("batch = 3").drop("batch")
-    assert sorted(map(tuple, last.collect())) == sorted(map(tuple, batch.collect()))
+def test_running_stats(spark, frames):
+    live.collected(live.running_stats(live.source(spark, frames, files=1)), "running")
+    batch = live.running_stats(spark.read.schema(LIVE_FRAME).parquet(frames))
+    assert sorted(map(tuple, spark.table("running").collect())) == sorted(map(tuple, batch.collect()))
 
 
 def test_sessions_close(spark, frames, tmp_path):
-    stream, batch = both(spark, frames, tmp_path, live.closed_sessions, "append")
+    stream, batch = both(spark, frames, tmp_path, live.closed_sessions)
     final = {r.session_id: r.frames_analyzed for r in batch.collect()}
     assert final == {"a": 40, "b": 40, "c": 40}
     assert {r.session_id for r in stream.collect()} <= set(final)

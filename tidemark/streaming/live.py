@@ -63,7 +63,7 @@ STATE = "n bigint, last bigint, s array<double>"
 
 def smoothed(frames: DataFrame, alpha: float = 0.3, idle: str = "30 minutes") -> DataFrame:
     """Exponential averages of ``probs`` with state for each session: a count, the
-    last index and the averages. Sessions that are idle are forgotten."""
+    last index and the averages. Sessions that are idle in event time are forgotten."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -81,10 +81,12 @@ def smoothed(frames: DataFrame, alpha: float = 0.3, idle: str = "30 minutes") ->
             out.append((key[0], index, n, top, s[top], n == 0))
             n, last = n + 1, int(index)
         state.update((n, last, list(s) if s is not None else None))
-        state.setTimeoutDuration(_milliseconds(idle))
+        newest = int(rows["event_time"].max().timestamp() * 1000)
+        state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + _milliseconds(idle))
         yield pd.DataFrame(out, columns=["session_id", "frame_index", "n", "class", "confidence", "is_first"])
 
-    return frames.groupBy("session_id").applyInPandasWithState(step, SMOOTHED, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    own = frames.withWatermark("event_time", LATE)
+    return own.groupBy("session_id").applyInPandasWithState(step, SMOOTHED, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def _milliseconds(text: str) -> int:
@@ -92,12 +94,14 @@ def _milliseconds(text: str) -> int:
     return int(n) * {"second": 1000, "minute": 60_000, "hour": 3_600_000}[unit.rstrip("s")]
 
 
-def replayed(frames: DataFrame, out: str, checkpoint: str, mode: str = "append") -> None:
-    """Run a stream over all that is there, into Parquet, each batch written once:
-    a batch that is repeated after a failure replaces its own folder."""
+def replayed(frames: DataFrame, out: str, checkpoint: str) -> None:
+    """Run a stream in append mode over all that is there, into Parquet; the sink's log
+    keeps each batch's files once, also when a batch is repeated after a failure."""
+    query = frames.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+    query.trigger(availableNow=True).start().awaitTermination()
 
-    def sink(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    query = frames.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint)
+def collected(frames: DataFrame, name: str, mode: str = "complete") -> None:
+    """Run a stream over all that is there, into a table in memory: for small results."""
+    query = frames.writeStream.outputMode(mode).format("memory").queryName(name)
     query.trigger(availableNow=True).start().awaitTermination()
