@@ -114,6 +114,14 @@ def test_weak_candidates_need_their_complement(spark):
     assert collected(secrets.scan(frame(spark, []))) == []
 
 
+def test_linking_needs_no_digit():
+    kinds = lambda t: [secrets.KINDS[k] for _, k, _ in secrets.find(t)[1]]
+    text = "username: alice\npassword: correcthorse\nhttps://vault.corp.internal/login"
+    assert kinds(text) == ["login", "assign", "endpoint"]
+    assert kinds(text) == kinds(f"{text}\n\n7")
+    assert kinds("username: alice at https://vault.corp.internal/login") == []
+
+
 # --- 3
 
 

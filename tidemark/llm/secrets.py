@@ -88,9 +88,11 @@ def linked_spans(text: str, lower: str, base: list[tuple[int, int, int]]) -> lis
         [(m.start(), 3, m.end()) for m in LOGIN.finditer(text)] if any(w in lower for w in LOGINS) else []
     )
     taken = [(s, e) for s, _, e in base]
-    weak_secrets = [
-        (m.start(), 4, m.end()) for m in OPAQUE.finditer(text) if not _overlaps(taken, m.start(), m.end())
-    ]
+    weak_secrets = (
+        [(m.start(), 4, m.end()) for m in OPAQUE.finditer(text) if not _overlaps(taken, m.start(), m.end())]
+        if DIGIT.search(text)
+        else []
+    )
     ids = [x for x in base if x[1] == 1] + weak_ids
     secrets = [x for x in base if x[1] != 1] + weak_secrets
     if not ids or not secrets:
@@ -118,8 +120,6 @@ def find(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
     text = text or ""
     lower = text.lower()
     base = base_spans(text, lower)
-    if not DIGIT.search(text):
-        return base, base
     return base, sorted([*base, *linked_spans(text, lower, base)])
 
 
