@@ -122,6 +122,18 @@ def test_linking_needs_no_digit():
     assert kinds("username: alice at https://vault.corp.internal/login") == []
 
 
+def test_long_tokens_and_endpoints_that_hold_their_parts():
+    kinds = lambda t: [secrets.KINDS[k] for _, k, _ in secrets.find(t)[1]]
+    for n in (16, 128, 129, 5000):
+        token = ("Zx9Qw8Er7Ty6Ui5Op4As" * n)[:n]
+        assert secrets.find(f"user=bob1 and {token}.")[1] == [(0, 3, 9), (14, 4, 14 + n)]
+    assert kinds("user=bob1 and Zx9Qw8Er7Ty6Ui5") == []
+    assert kinds("https://host/?user=bob1&token=abc123def") == ["endpoint", "login", "assign"]
+    assert kinds("https://host/?token=abc123def then user=bob1") == ["endpoint", "assign", "login"]
+    assert kinds("https://host/?user=bob1 only") == kinds("https://host/?user=bob1 \n\n Zx9Qw8Er7Ty6Ui5Op4As") == []
+    assert kinds("secret=vault.corp.internal") == ["assign"]
+
+
 # --- 3
 
 

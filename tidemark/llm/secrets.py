@@ -4,7 +4,8 @@ Base detectors report what is a secret by its form alone. Weak candidates
 (user names, opaque tokens, endpoints) say little alone; they are kept only if
 their complementary parts lie in the same scope: an interval join, by bisection
 over the sorted starts and ends of a document's candidates, links an identifier
-with a secret, and an endpoint with both. A scope is a run of ``SCOPE`` code
+with a secret, and an endpoint with both; parts that begin inside an endpoint's own
+span co-occur with it. A scope is a run of ``SCOPE`` code
 points between two spans with no empty line inside.
 
 Cases: a null or empty text has no spans; a very long text is scanned whole and
@@ -36,7 +37,7 @@ KINDS = ["assign", "access", "hex", "login", "opaque", "endpoint"]
 LOGIN = re.compile(
     r"(?ai:user(?:name)?|login|client_?id|access_?key(?:_?id)?|account)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9._@+-]{3,}"
 )
-OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[a-z0-9+/_=-]*[A-Z])(?=[A-Z0-9+/_=-]*[a-z])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{16,128}(?![A-Za-z0-9+/_=-])")
+OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[a-z0-9+/_=-]*[A-Z])(?=[A-Z0-9+/_=-]*[a-z])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_=-])")
 ENDPOINT = re.compile(
     r"[a-z][a-z0-9+.-]{1,15}://[^\s\"'<>]+|(?<![\w.@-])(?:[a-z0-9-]+\.)+(?:com|net|org|io|dev|internal|local)(?::[0-9]{1,5})?(?![\w-])"
     r"|(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{1,5})?(?![\w.])"
@@ -77,6 +78,10 @@ class _Near:
         i = bisect_right(self.ends, (start, start)) - 1
         return i >= 0 and start - self.ends[i][0] <= SCOPE and not self._cut(self.ends[i][0], start)
 
+    def within(self, start: int, end: int) -> bool:
+        """Does a span begin inside start to end?"""
+        return bisect_left(self.starts, start) < bisect_left(self.starts, end)
+
     def _cut(self, a: int, b: int) -> bool:
         i = bisect_left(self.breaks, a)
         return i < len(self.breaks) and self.breaks[i] < b
@@ -104,7 +109,7 @@ def linked_spans(text: str, lower: str, base: list[tuple[int, int, int]]) -> lis
     out += [
         (m.start(), 5, m.end())
         for m in ENDPOINT.finditer(text)
-        if near_ids.has(m.start(), m.end()) and near_secrets.has(m.start(), m.end())
+        if all(near.within(*m.span()) or near.has(*m.span()) for near in (near_ids, near_secrets))
     ]
     return out
 
