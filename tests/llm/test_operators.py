@@ -220,6 +220,18 @@ def test_main_text():
     assert mincut.main_text(deep) == long.strip()
 
 
+def test_unmarked_boilerplate_inside_content():
+    long = " ".join(("A sentence of the article, long enough to be one, it says. " * 3).split())
+    links = "<ul><li><a href=a>Home page</a><li><a href=b>All topics</a><li><a href=c>About us</a></ul>"
+    advert = "<div><a href=x>Buy cheap watches now, half the price!</a></div>"
+    cards = "<div><h3><a href=d>Other</a></h3><a href=d>Read more about it</a></div>"
+    for box in ("main", "article", "div class=content"):
+        page = f"<{box}><h1><a href=/>Title</a></h1><p>{long}</p>{links}<p>Short.</p><h2><a href=#s>Part two</a></h2><p>{long}</p>{advert}<p>{long}</p>{cards}</{box.split()[0]}>"
+        assert mincut.main_text(page) == f"Title {long} Short. Part two {long} {long}"
+    # a mark gives way where the block's form and all its neighbours speak for text
+    assert mincut.main_text(f"<article><div>{long}<p class=notice>{long}</p>{long}<p>{long}</p></div></article>") == " ".join([long] * 4)
+
+
 def test_extract_pages(spark):
     rows = [(1, "u", "<article>a</article>", 1), (1, "u", "<article>a</article>", 1), (2, None, None, 2), (None, "v", "", None)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text int")

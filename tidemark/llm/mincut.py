@@ -48,8 +48,9 @@ PART = re.compile(
 )
 ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?![\w-])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
 
-#: Weights of the classifier, in units of capacity.
-STRUCTURE, LENGTH, LINKS, HEADING, PLAIN = 600, 120, 400, 60, -60
+#: Weights of the classifier, in units of capacity. Marks around a block add to its
+#: features and stay within reach of its edges (240 at most): they don't settle it alone.
+STRUCTURE, LENGTH, LINKS, HEADING, PLAIN = {1: 200, 0: 0, -1: -300}, 120, 400, 60, -60
 #: Capacity of an edge between neighbours, and its share at each step in the tree.
 SMOOTH, DECAY = 80, 2
 STOP = re.compile(r"[.!?:;,]")
@@ -183,9 +184,9 @@ def side(node: Node | None, total: int, known: dict) -> int:
 def score(block: Block, around: int) -> int:
     """The classifier: over zero for content."""
     density = block.links / block.chars
-    out = STRUCTURE * around
-    if around == 1:
-        return out
+    out = STRUCTURE[around]
+    if around == 1 and block.node.tag in ("h1", "h2"):  # an article's headings may link to it
+        density /= 2
     sentence = len(STOP.findall(block.text)) > 0
     out += int(LENGTH * min(1.0, block.chars / 80) * (1 if sentence else -1)) - int(LINKS * density)
     if block.node.tag in ("h1", "h2", "h3"):
