@@ -487,6 +487,26 @@ def test_surrogates_are_distinct():
     assert len({made.one("person", a + b + "n") for a in ("Ma", "Ko", "Li") for b in ("ri", "to", "sa")}) == 9
 
 
+def test_more_forms_and_digits_of_other_scripts():
+    made = pii.Surrogates()
+    kinds = lambda t: [k for _, _, k in pii.entities(t)]
+    for t in ("3782 822463 10005", "3782-822463-10005", "2223 0031 2200 3222"):
+        assert kinds(f"card {t}.") == ["card"] and made.one("card", t)[:2 if t[0] == "2" else 1] == t[:2 if t[0] == "2" else 1]
+    assert made.one("card", "3782 822463 10005").replace(" ", "") == made.one("card", "378282246310005")
+    for t in ("415 555 2671", "020 7946 0958", "01 23 45 67 89"):
+        assert kinds(f"call {t}, please") == ["phone"] and made.one("phone", t) != t
+    assert made.one("phone", "020 7946 0958")[0] == "0" and kinds("on 01 02 2024 or 12:30:45") == []
+    for t in ("2001:db8::8a2e:370:7334", "2001:0db8:0:0:0:8a2e:0370:7334", "fe80::1"):
+        assert kinds(f"from {t}.") == ["ip"] and made.one("ip", t)[:5] == t[:5] and made.one("ip", t) != t
+    assert made.one("ip", "2001:db8::8a2e:370:7334") == made.one("ip", "2001:0db8:0:0:0:8a2e:0370:7334")
+    assert kinds("std::vector, add::bad1, 00:1b:44:11:3a:b7, 1:2:3:4:5:6:7:8:9 in 7") == []
+    arabic = "".join(chr(0x660 + int(c)) if c.isdigit() else c for c in "123-45-6789")
+    for text in (arabic, f"{arabic} 1 @"):
+        new, spans = made.replaced(text)
+        assert [k for *_, k in spans] == ["ssn"] and new[:11] != arabic and all(c == "-" or 0x660 <= ord(c) < 0x66A for c in new[:11])
+    assert made.replaced(arabic)[0].translate({0x660 + k: str(k) for k in range(10)}) == made.replaced("123-45-6789")[0]
+
+
 def test_anonymise(spark):
     rows = [(1, "mail bob.7@x.example.com now", "a", "x"), (1, "mail bob.7@x.example.com now", "a", "x"), (2, None, None, None), (3, "", "a", "x"), (4, "nothing 4.0. here 1.2.3", "a", "x")]
     got = {r["doc_id"]: r for r in pii.anonymise(frame(spark, rows)).collect()}

@@ -1,15 +1,16 @@
 """Operator 9: personal data becomes type-consistent surrogates.
 
 Each entity is mapped by a keyed permutation of the values of its own form: the
-digits of a phone number or card, the octets of an address, the letters and
+digits of a phone number or card, the octets or groups of an address, the letters and
 digits of a mailbox, the vowels and consonants of a name. A permutation keeps
 distinct values distinct everywhere, and equal ones equal in every document, with
 no table of entities to join. It is built as f^-1(f(x) + 1) from a keyed Feistel
 network f, a single cycle: no value is its own surrogate. Values that a type
 excludes are stepped over along the cycle, which keeps it a permutation.
 
-Kept as they are: separators, letter case, country codes, a card's first digit and
-whether its check digit holds, private and public address ranges, mail domains
+Kept as they are: separators, letter case, country codes and trunk zeros, the script of
+digits, a card's first digit (two of cards that start with 2), an IPv6 address's first
+group (its surrogate is written in the short form), and whether a card's check digit holds, private and public address ranges, mail domains
 reserved for examples, top-level domains, the script of a name, its title and its
 last letter, which together carry gender. Mentions that differ only in case or
 separators get the same surrogate; a surname found after a title is replaced
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import re
 from hashlib import blake2b, sha256
+from ipaddress import IPv6Address
 from math import isqrt
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,14 +45,24 @@ RESERVED = re.compile(r"(?:^|\.)(?:example\.(?:com|org|net)|[a-z0-9.-]+\.(?:exam
 
 _CLASS_OF = {c: group for group in CLASSES for c in group}
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])"
-PHONE = r"(?<![\w+])(?:(?:\+1[ .-]?)?\([2-9]\d{2}\)[ .-]?\d{3}[ .-]\d{4}|(?:\+1[ .-])?[2-9]\d{2}[.-]\d{3}[.-]\d{4}|\+\d{1,3}(?:[ .-]\d{2,4}){2,5}|\+\d{8,15})(?!\d)"
-CARD = r"(?<![\w.+-])[3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\w]|[.-]\d)"
-IP = r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)"
-SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
-ENTITY = re.compile(f"(?P<email>{EMAIL})|(?P<ip>{IP})|(?P<ssn>{SSN})|(?P<phone>{PHONE})|(?P<card>{CARD})")
+PHONE = (
+    r"(?<![\w+])(?:(?:\+1[ .-]?)?\([2-9][0-9]{2}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|(?:\+1[ .-])?[2-9][0-9]{2}[ .-][0-9]{3}[ .-][0-9]{4}"
+    r"|\+[0-9]{1,3}(?:[ .-][0-9]{2,4}){2,5}|\+[0-9]{8,15}|(?=(?:[0-9]\x20?){9,11}(?![ ]?[0-9]))0[1-9][0-9]{0,3}(?:\x20[0-9]{2,4}){2,4})(?![0-9])"
+)
+CARD = (
+    r"(?<![\w.+-])(?:(?:[3-6][0-9]{3}|2[2-7][0-9]{2})(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}"
+    r"|3[0-9]{3}[ -][0-9]{6}[ -][0-9]{4,5})(?![\w]|[.-][0-9])"
+)
+IP = r"(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![\w]|\.[0-9])"
+_HEX = r"[0-9A-Fa-f]{1,4}"
+IP6 = rf"(?<![\w:.])(?=[0-9A-Fa-f]{{1,4}}:)(?:(?:{_HEX}:){{7}}{_HEX}|{_HEX}(?::{_HEX}){{0,6}}::(?:{_HEX}(?::{_HEX}){{0,5}})?)(?!\w|:[\w:]|\.[0-9])"
+SSN = r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"
+ENTITY = re.compile(f"(?P<email>{EMAIL})|(?P<ip>{IP}|{IP6})|(?P<ssn>{SSN})|(?P<phone>{PHONE})|(?P<card>{CARD})")
 _NAME = r"[^\W\d_][^\W\d_]+(?:[-'’][^\W\d_]+)?"
 PERSON = re.compile(rf"\b(?:{'|'.join(sorted(TITLES, key=len, reverse=True))})\.?\x20({_NAME}(?:\x20{_NAME}){{0,2}})")
 DIGIT = re.compile("[0-9]")
+#: Decimal digits of other scripts; they are read as ASCII ones and written back in their script.
+OTHER_DIGIT = re.compile(r"(?![0-9])\d")
 
 
 class Cycle:
@@ -155,6 +167,8 @@ def _phone(key: bytes, text: str, steps: int) -> str:
         code = re.match(r"\+1(?=\d{10}$|\D)|\+\d{1,3}(?=\D)|\+\d{2}", text)
         at = [i for i in at if i >= code.end()]
     low = [2 if k == 0 and text[i] >= "2" else 0 for k, i in enumerate(at)]
+    if text[0] == "0":  # the trunk prefix stays, and no other zero follows it
+        at, low = at[1:], [1] + [0] * (len(at) - 2)
     return _digits(key, "phone", text, at, low, steps)
 
 
@@ -171,12 +185,23 @@ def _card(key: bytes, text: str, steps: int) -> str:
     at = [m.start() for m in DIGIT.finditer(text)]
     plain = "".join(text[i] for i in at)
     offset = (int(plain[-1]) - luhn(plain[:-1])) % 10
-    out = _digits(key, "card", text, at[1:-1], [0] * (len(at) - 2), steps)
+    inner = at[2 if plain[0] == "2" else 1 : -1]
+    out = _digits(key, "card", text, inner, [0] * len(inner), steps)
     check = (luhn("".join(out[i] for i in at[:-1])) + offset) % 10
     return out[: at[-1]] + str(check) + out[at[-1] + 1 :]
 
 
+def _ip6(key: bytes, text: str, steps: int) -> str:
+    """The first group, which tells the range, stays; so does letter case."""
+    g = [int(x, 16) for x in IPv6Address(text).exploded.split(":")]
+    new = g[:1] + _stepped(key, f"ip6{g[0]}", g[1:], [1 << 16] * 7, steps)
+    out = IPv6Address(b"".join(x.to_bytes(2, "big") for x in new)).compressed
+    return out.upper() if text != text.lower() else out
+
+
 def _ip(key: bytes, text: str, steps: int) -> str:
+    if ":" in text:
+        return _ip6(key, text, steps)
     o = [int(x) for x in text.split(".")]
     private = lambda a, b: a in (10, 127, 0) or a >= 224 or (a, b) in ((192, 168), (169, 254)) or a == 172 and 16 <= b < 32
     if private(o[0], o[1]):
@@ -197,11 +222,20 @@ def _person(key: bytes, text: str, steps: int) -> str:
 MAKERS = {"email": _email, "phone": _phone, "card": _card, "ip": _ip, "ssn": _ssn, "person": _person}
 
 
+def is_ip6(text: str) -> bool:
+    """Told from names in code (``a::b``): a valid address with a digit and a first group of four."""
+    try:
+        IPv6Address(text)
+    except ValueError:
+        return False
+    return text.index(":") == 4 and DIGIT.search(text) is not None
+
+
 def entities(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) in order, without overlaps."""
     found = []
     if "@" in text or DIGIT.search(text):
-        found = [(m.start(), m.end(), m.lastgroup) for m in ENTITY.finditer(text)]
+        found = [(m.start(), m.end(), m.lastgroup) for m in ENTITY.finditer(text) if m.lastgroup != "ip" or ":" not in m[0] or is_ip6(m[0])]
     names = set()
     if any(t in text for t in TITLES):
         for m in PERSON.finditer(text):
@@ -222,6 +256,8 @@ def entities(text: str) -> list[tuple[int, int, str]]:
 
 def canonical(kind: str, text: str) -> str:
     """Mentions of one entity have one canonical form."""
+    if kind == "ip" and ":" in text:
+        return IPv6Address(text).exploded
     return text.lower() if kind in ("email", "person") else re.sub(r"[^\d.]", "", text) if kind == "ip" else re.sub(r"\D", "", text)
 
 
@@ -241,24 +277,37 @@ class Surrogates:
 
     def replaced(self, text: str | None) -> tuple[str | None, list[tuple[int, int, str]]]:
         """The text with surrogates, and the spans in the original."""
-        if not text or not (spans := entities(text)):
+        if not text:
             return text, []
+        plain = text if text.isascii() else OTHER_DIGIT.sub(lambda m: str(int(m[0])), text)
+        if not (spans := entities(plain)):
+            return text, []
+        steps = self._steps(plain, spans)
+        out, at = [], 0
+        for s, e, kind in spans:
+            new = self.one(kind, plain[s:e], steps[kind, canonical(kind, plain[s:e])])
+            if text[s:e] != plain[s:e]:
+                zero = next(ord(c) - int(c) for c in text[s:e] if OTHER_DIGIT.match(c))
+                new = DIGIT.sub(lambda m, zero=zero: chr(zero + int(m[0])), new)
+            out += [text[at:s], new]
+            at = e
+        return "".join(out) + text[at:], spans
+
+    def _steps(self, text: str, spans: list[tuple[int, int, str]]) -> dict[tuple[str, str], int]:
+        """The collision check."""
         originals = {(kind, canonical(kind, text[s:e])) for s, e, kind in spans}
         steps: dict[tuple[str, str], int] = {}
         given: dict[tuple[str, str], tuple[str, str]] = {}
-        out, at = [], 0
         for s, e, kind in spans:
             entity = (kind, canonical(kind, text[s:e]))
-            if entity not in steps:  # the collision check
+            if entity not in steps:
                 for n in range(1, 50):
                     new = (kind, canonical(kind, self.one(kind, text[s:e], n)))
                     if new not in originals and given.get(new, entity) == entity:
                         break
                 steps[entity] = n
                 given[new] = entity
-            out += [text[at:s], self.one(kind, text[s:e], steps[entity])]
-            at = e
-        return "".join(out) + text[at:], spans
+        return steps
 
 
 def counted(spans: list[tuple[int, int, str]]) -> list[int]:
