@@ -507,6 +507,16 @@ def test_more_forms_and_digits_of_other_scripts():
     assert made.replaced(arabic)[0].translate({0x660 + k: str(k) for k in range(10)}) == made.replaced("123-45-6789")[0]
 
 
+def test_surrogates_stay_distinct_in_full_forms():
+    for part in (50, 90, 105):  # of the 105 names of this shape with this last letter
+        names = [c.upper() + v + "n" for c in pii.CLASSES[1] for v in pii.CLASSES[0]][:part]
+        new, spans = pii.Surrogates().replaced(". ".join(f"Mr {n}" for n in names))
+        got = [w for w in new.replace(".", "").split(" ") if w != "Mr"]
+        assert len(spans) == part and len(set(got)) == part
+        assert not any(a == b for a, b in zip(got, names, strict=True))
+        assert part > 52 or not set(got) & set(names)
+
+
 def test_anonymise(spark):
     rows = [(1, "mail bob.7@x.example.com now", "a", "x"), (1, "mail bob.7@x.example.com now", "a", "x"), (2, None, None, None), (3, "", "a", "x"), (4, "nothing 4.0. here 1.2.3", "a", "x")]
     got = {r["doc_id"]: r for r in pii.anonymise(frame(spark, rows)).collect()}

@@ -3,8 +3,8 @@
 Each entity is mapped by a keyed permutation of the values of its own form: the
 digits of a phone number or card, the octets or groups of an address, the letters and
 digits of a mailbox, the vowels and consonants of a name. A permutation keeps
-distinct values distinct everywhere, and equal ones equal in every document, with
-no table of entities to join. It is built as f^-1(f(x) + 1) from a keyed Feistel
+distinct values distinct everywhere, and equal ones equal in every document but for
+the collision check, with no table of entities to join. It is built as f^-1(f(x) + 1) from a keyed Feistel
 network f, a single cycle: no value is its own surrogate. Values that a type
 excludes are stepped over along the cycle, which keeps it a permutation.
 
@@ -15,7 +15,10 @@ reserved for examples, top-level domains, the script of a name, its title and it
 last letter, which together carry gender. Mentions that differ only in case or
 separators get the same surrogate; a surname found after a title is replaced
 wherever the document repeats it. A surrogate that is another original of the same
-document, or was given to one, is stepped over once more (the collision check).
+document, or was given to one, is stepped over until one is free (the collision check):
+such an entity gets another surrogate there than elsewhere. Where a document takes up all
+values of a form, its entities of the kind go one step each: they stay distinct, and some
+surrogates are other originals.
 
 Cases: null texts stay null; empty texts stay empty; long texts are scanned whole,
 in time linear in their length; repeated rows get equal texts; an empty table
@@ -294,20 +297,30 @@ class Surrogates:
         return "".join(out) + text[at:], spans
 
     def _steps(self, text: str, spans: list[tuple[int, int, str]]) -> dict[tuple[str, str], int]:
-        """The collision check."""
-        originals = {(kind, canonical(kind, text[s:e])) for s, e, kind in spans}
-        steps: dict[tuple[str, str], int] = {}
-        given: dict[tuple[str, str], tuple[str, str]] = {}
+        """The collision check: how far along the cycle each entity goes, past the document's
+        originals and what was given before. Where all values of a form are taken, entities
+        of the kind go one step each: distinct ones stay distinct."""
+        first = {}
         for s, e, kind in spans:
-            entity = (kind, canonical(kind, text[s:e]))
-            if entity not in steps:
-                for n in range(1, 50):
-                    new = (kind, canonical(kind, self.one(kind, text[s:e], n)))
-                    if new not in originals and given.get(new, entity) == entity:
+            first.setdefault((kind, canonical(kind, text[s:e])), text[s:e])
+        steps: dict[tuple[str, str], int] = {}
+        given: set[tuple[str, str]] = set()
+        full = set()
+        for entity, mention in first.items():
+            kind, n = entity[0], 1
+            while kind not in full:
+                new = (kind, canonical(kind, self.one(kind, mention, n)))
+                if new == entity:  # once round; a form of one value has no other
+                    if n == 1:
                         break
-                steps[entity] = n
-                given[new] = entity
-        return steps
+                    full.add(kind)
+                elif new not in first and new not in given:
+                    given.add(new)
+                    break
+                else:
+                    n += 1
+            steps[entity] = n
+        return {entity: 1 if entity[0] in full else n for entity, n in steps.items()}
 
 
 def counted(spans: list[tuple[int, int, str]]) -> list[int]:
