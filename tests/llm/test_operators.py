@@ -525,6 +525,101 @@ def test_anonymise(spark):
     assert pii.anonymise(frame(spark, [])).count() == 0
 
 
+ENTITIES = {
+    "email": ["bob@corp.com", "al.7@corp.com", "x" * 80 + "@mail.corp.net", "ann@example.com", "Zoe_1@a.example.org"],
+    "phone": ["212-555-1234", "(405) 157-9680", "769 460 6420", "+44 20 7946 0958", "+33 1 23 45 67 89", "+33 6 23 45 67 89", "020 7946 0958", "+1 (017) 555-7713"],
+    "card": ["4111 1111 1111 1111", "378282246310005", "2223003122003222", "0810992847249404"],
+    "iban": ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"],
+    "ip": ["8.8.8.8", "192.168.1.20", "2001:db8::8a2e:370:7334"],
+    "ssn": ["078-05-1120", "219-09-9999"],
+    "person": ["Mr Smith", "Ms. O’Neil", "Frau Müller", "Dr Öztürk", "Господин Петров", "Mr SMITH", "Dr Zhou"],
+}
+
+
+def test_surrogates_agree_over_documents(spark):
+    """Documents made of known entities: what each became is read off the new texts, and
+    has to be one to one over the whole table."""
+    r = random.Random(12)
+    mentions = [(kind, x) for kind, values in ENTITIES.items() for x in values]
+    for _ in range(40):  # more of the same forms, so that surrogates meet other originals
+        mentions.append(("phone", f"{r.randint(2, 9)}{r.randint(10, 99)}-555-{r.randint(0, 9999):04d}"))
+        mentions.append(("person", "Mr " + "".join(r.choice(c) for c in ("BKT", "aeo", "n"))))
+    chosen = [[r.choice(mentions) for _ in range(r.randint(0, 9))] for _ in range(60)] + [[m] for m in mentions]
+    # a separator that no pattern reaches over, and that no surrogate has
+    rows = [(k, " ¶ ".join(["no data"] + [x for _, x in own]), "s", "x") for k, own in enumerate(chosen)]
+    became, origin = {}, {}
+    got = {row["doc_id"]: row for row in pii.anonymise(frame(spark, rows)).collect()}
+    for k, own in enumerate(chosen):
+        parts = got[k]["text"].split(" ¶ ")
+        assert parts[0] == "no data" and len(parts) == len(own) + 1
+        assert [got[k][f"n_{kind}"] for kind in pii.KINDS] == [sum(x == kind for x, _ in own) for kind in pii.KINDS]
+        for (kind, old), new in zip(own, parts[1:], strict=True):
+            plain = lambda x, kind=kind: pii.canonical(kind, x.split(" ")[-1] if kind == "person" else x)
+            a, b = (kind, plain(old)), (kind, plain(new))
+            assert a != b and became.setdefault(a, b) == b and origin.setdefault(b, a) == a
+            # type and form: same separators, or for names same script, case and last letter
+            if kind == "person":
+                assert new.split(" ")[0] == old.split(" ")[0] and new.isupper() == old.isupper() and new[-2:].isascii() == old[-2:].isascii()
+            elif kind != "ip":
+                assert re.sub(r"\w", "", old) == re.sub(r"\w", "", new) and len(old) == len(new)
+            assert [k for _, _, k in pii.entities(new)][:1] == [kind] or kind == "phone"
+    assert len(became) == len({x for own in chosen for x in ((k, pii.canonical(k, m.split(" ")[-1] if k == "person" else m)) for k, m in own)})
+
+
+def test_spelled_names_are_one_to_one():
+    import itertools
+
+    for letters in ("abc", "абв", "éab"):
+        words = {"".join(w) for n in (2, 3, 4, 5) for w in itertools.product(letters, repeat=n)}
+        new = {pii.spelled_name(b"k", w) for w in words}
+        assert len(new) == len(words) and not new & words
+    # no name of the stock is a word of syllables, so the ways never meet
+    shape = lambda w: "".join("c" if c in "".join(pii.CLASSES[k] for k in (1, 6, 8)) else "v" if c in "".join(pii.CLASSES[k] for k in (0, 3, 5, 7)) else "?" for c in w)
+    assert not any(len(w) > 6 and len(w) % 2 and shape(w[:-1]) == "cv" * (len(w) // 2) for w in pii._STOCK)
+    stock = [n for names in pii.NAMES.values() for n in names.split()]
+    assert len({pii.Surrogates(b"k").one("person", n) for n in stock}) == len(stock) == len(pii._STOCK)
+    for kind in ("men", "women"):
+        assert {pii.Surrogates(b"k").one("person", n) for n in pii.NAMES[kind].split()} == set(pii.NAMES[kind].split())
+
+
+def test_names_without_title_and_their_ends():
+    names = lambda t: [t[s:e] for s, e, k in pii.entities(t) if k == "person"]
+    assert names("Then Ann Lee came. Lee left.") == ["Ann", "Lee", "Lee"]
+    assert names("Mr JOHN SMITH and Ms. O’Neil") == ["JOHN", "SMITH", "O’Neil"]
+    assert names("Dr Fell And then and now") == ["Fell"]
+    assert names("Mr Juan Carlos de Borbon") == ["Juan", "Carlos"]
+    assert names("The May And June") == names("A Smith") == []
+    assert names("Иван Попугаев тут") == ["Иван", "Попугаев"]
+
+
+def test_long_texts_take_linear_time():
+    import time
+
+    def seconds(n):
+        text = "Mr Alpha " + " ".join(f"Mr {''.join(pii.CLASSES[1][int(c)] + 'a' for c in f'{k:05d}').title()} {k}.{k}@b.com," for k in range(n))
+        start = time.process_time()
+        assert len(pii.entities(text)) == 2 * n + 1
+        return time.process_time() - start
+
+    seconds(500)
+    assert seconds(16000) < 12 * max(seconds(2000), 0.02)
+
+
+def test_the_key_is_configured(spark):
+    row = [(1, "call 212-555-1234", "a", "x")]
+    text = lambda: pii.anonymise(frame(spark, row)).first()["text"]
+    own = text()
+    spark.conf.set(pii.KEY_SETTING, "one")
+    try:
+        one = text()
+        assert one == text() == pii.stage(spark, frame(spark, row), "").first()["text"] != own
+        spark.conf.set(pii.KEY_SETTING, "two")
+        assert text() != one
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+    assert text() == own  # the process's own key again
+
+
 # --- 10
 
 
