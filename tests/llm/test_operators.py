@@ -575,11 +575,13 @@ def test_spelled_names_are_one_to_one():
         assert len(new) == len(words) and not new & words
     # no name of the stock is a word of syllables, so the ways never meet
     shape = lambda w: "".join("c" if c in "".join(pii.CLASSES[k] for k in (1, 6, 8)) else "v" if c in "".join(pii.CLASSES[k] for k in (0, 3, 5, 7)) else "?" for c in w)
-    assert not any(len(w) > 6 and len(w) % 2 and shape(w[:-1]) == "cv" * (len(w) // 2) for w in pii._STOCK)
-    stock = [n for names in pii.NAMES.values() for n in names.split()]
-    assert len({pii.Surrogates(b"k").one("person", n) for n in stock}) == len(stock) == len(pii._STOCK)
-    for kind in ("men", "women"):
-        assert {pii.Surrogates(b"k").one("person", n) for n in pii.NAMES[kind].split()} == set(pii.NAMES[kind].split())
+    stock, others = ([n for names in table.values() for n in names.split()] for table in (pii.NAMES, pii.STAND_INS))
+    assert not any(len(w) > 6 and len(w) % 2 and shape(w[:-1].lower()) == "cv" * (len(w) // 2) for w in others)
+    made = pii.Surrogates(b"k")
+    assert len(set(stock) | set(others)) == len(stock) + len(others) and {made.one("person", n) for n in stock} == set(others)
+    for kind, names in pii.NAMES.items():
+        assert {made.one("person", n) for n in names.split()} == set(pii.STAND_INS[kind].split())
+    assert not {made.one("person", n) for n in others} & {*stock, *others}
 
 
 def test_names_without_title_and_their_ends():

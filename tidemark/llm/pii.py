@@ -10,12 +10,12 @@ to join and nothing that depends on a document's other entities:
   form. A permutation is f^-1(f(x) + 1) for a keyed Feistel network f: a single cycle,
   so no value is its own surrogate. Values that a type excludes are stepped over along
   the cycle, which leaves a permutation of the others: the collision check.
-* A name of the stock (``NAMES``: given names by script and gender, surnames) becomes
-  another of its list. Any other name is numbered among all names up to its length,
-  the number permuted within the length and spelled as syllables of its script before
-  its own last letter, which carries gender. No name of the stock is such a word, and
-  names with letters beyond the script's are permuted letter by letter: images of the
-  three ways never meet.
+* A common name (``NAMES``: given names by script and gender, surnames) becomes one of
+  the rarer names of its kind (``STAND_INS``). Any other name is numbered among all names
+  up to its length, the number permuted within the length and spelled as syllables of its
+  script before its own last letter, which carries gender. No stand-in is such a word,
+  and names with letters beyond the script's are permuted letter by letter: images of
+  the three ways never meet.
 
 Kept as they are: separators, letter case, country codes and trunk zeros, the script of
 digits, a card's first digit (two of cards that start with 2) and whether its check
@@ -60,15 +60,26 @@ KINDS = ["email", "phone", "card", "iban", "ip", "ssn", "person"]
 TITLES = ["Mr", "Mrs", "Ms", "Miss", "Dr", "Prof", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Mlle", "Señor", "Señora", "Sr", "Sra", "Signor", "Signora", "Господин", "Госпожа", "Κύριος", "Κυρία"]
 CLASSES = ["aeiou", "bcdfghjklmnpqrstvwxyz", "0123456789", "àâäáãåæèéêëìíîïòóôöõøœùúûü", "çñßýÿ", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ"]
 NAMES = {
-    "men": "James John Robert Michael William David Richard Joseph Thomas Charles Daniel Matthew Anthony Peter Paul George Henry Edward Hans Klaus Jürgen Wolfgang Pierre Jean Luc Carlos Juan José Luis Marco Luca Giovanni Ahmed Omar Wei Hiroshi Raj Ivan",
-    "women": "Mary Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Anna Emma Alice Laura Julia Helen Ann Ruth Ursula Monika Claire Camille Sophie Carmen Lucía Isabel Elena Giulia Chiara Fatima Aisha Mei Yuki Priya Olga",
-    "surnames": "Smith Johnson Williams Brown Jones Miller Davis Garcia Wilson Anderson Taylor Moore Jackson Martin Lee Thompson White Harris Clark Lewis Robinson Walker Young Allen King Wright Scott Green Baker Adams Nelson Müller Schmidt Schneider Fischer Weber Meyer Wagner Becker Dubois Durand Moreau Laurent García Rodríguez Martínez López Sánchez Rossi Russo Bianchi Ferrari Zhang Wang Chen Kim Tanaka Suzuki Kumar Singh",
-    "men, Cyrillic": "Иван Пётр Алексей Дмитрий Сергей Андрей Михаил Николай",
-    "women, Cyrillic": "Анна Мария Елена Ольга Наталья Татьяна Ирина Светлана",
-    "surnames of men, Cyrillic": "Иванов Петров Смирнов Кузнецов Попов Соколов",
-    "surnames of women, Cyrillic": "Иванова Петрова Смирнова Кузнецова Попова Соколова",
-    "men, Greek": "Γιώργος Νίκος Κώστας Γιάννης",
-    "women, Greek": "Μαρία Ελένη Κατερίνα Σοφία",
+    "men": "James John Robert Michael William David Richard Joseph Thomas Charles Daniel Matthew Peter Paul Hans Jürgen Pierre Juan José Luca Ahmed Wei Raj Ivan",
+    "women": "Mary Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Anna Emma Alice Laura Julia Ann Ursula Monika Claire Sophie Carmen Giulia Fatima Mei Priya",
+    "surnames": "Smith Johnson Williams Brown Jones Miller Davis Garcia Wilson Anderson Taylor Martin Lee Thompson Müller Schmidt Dubois García Rossi Zhang Wang Kim Tanaka Singh",
+    "men, Cyrillic": "Иван Пётр Алексей Дмитрий",
+    "women, Cyrillic": "Анна Мария Елена Ольга",
+    "surnames of men, Cyrillic": "Иванов Петров Смирнов Кузнецов",
+    "surnames of women, Cyrillic": "Иванова Петрова Смирнова Кузнецова",
+    "men, Greek": "Γιώργος Νίκος",
+    "women, Greek": "Μαρία Ελένη",
+}
+STAND_INS = {
+    "men": "Adrian Basil Cedric Desmond Edgar Felix Gilbert Harvey Irving Jasper Lionel Malcolm Neville Oswald Percy Quentin Rupert Silas Tobias Ulrich Vernon Wilbur Xavier Yorick",
+    "women": "Agatha Beatrix Cordelia Delphine Edith Flora Gwendolyn Hester Imogen Josephine Leonora Mabel Nerissa Ottilie Penelope Rosalind Sybil Thelma Unity Viola Winifred Yvette Zelda Astrid",
+    "surnames": "Abernathy Blackwood Carrington Dunmore Ellsworth Fairfax Galloway Hawthorne Ingram Jessop Kingsley Lockhart Merriweather Northcott Osgood Pemberton Quimby Ravenscroft Silverton Thackeray Underhill Vandermeer Whitlock Yardley",
+    "men, Cyrillic": "Аркадий Всеволод Григорий Тимофей",
+    "women, Cyrillic": "Августа Варвара Клавдия Прасковья",
+    "surnames of men, Cyrillic": "Быстров Звонарёв Лаптев Шустов",
+    "surnames of women, Cyrillic": "Быстрова Звонарёва Лаптева Шустова",
+    "men, Greek": "Λεωνίδας Φώτης",
+    "women, Greek": "Ισμήνη Φρόσω",
 }
 RESERVED = re.compile(r"(?:^|\.)(?:example\.(?:com|org|net)|[a-z0-9.-]+\.(?:example|test|invalid))$")
 
@@ -272,7 +283,7 @@ def _ssn(key: bytes, text: str) -> str:
 
 
 _STOCK = {name.lower(): (kind, i) for kind, names in NAMES.items() for i, name in enumerate(names.split())}
-_GIVEN = {name for kind, names in NAMES.items() if "surnames" not in kind for name in names.split()}
+_GIVEN = {name for stock in (NAMES, STAND_INS) for kind, names in stock.items() if "surnames" not in kind for name in names.split()}
 #: By script: all its letters, then the consonants and vowels of syllables. The first vowel
 #: of a word in extended Latin has an accent, so that plain words are never its images.
 SCRIPTS = {
@@ -309,7 +320,7 @@ def _person(key: bytes, text: str) -> str:
         lower = part.lower()
         if lower in _STOCK:
             kind, i = _STOCK[lower]
-            names = NAMES[kind].split()
+            names = STAND_INS[kind].split()
             new = names[Cycle(key, f"stock {kind}", len(names)).next(i)]
         elif len(part) < 2:
             new = part
