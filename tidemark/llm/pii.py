@@ -74,7 +74,7 @@ STAND_INS = {
     "men": "Adrian Basil Cedric Desmond Edgar Felix Gilbert Harvey Irving Jasper Lionel Malcolm Neville Oswald Percy Quentin Rupert Silas Tobias Ulrich Vernon Wilbur Xavier Yorick",
     "women": "Agatha Beatrix Cordelia Delphine Edith Flora Gwendolyn Hester Imogen Josephine Leonora Mabel Nerissa Ottilie Penelope Rosalind Sybil Thelma Unity Viola Winifred Yvette Zelda Astrid",
     "surnames": "Abernathy Blackwood Carrington Dunmore Ellsworth Fairfax Galloway Hawthorne Ingram Jessop Kingsley Lockhart Merriweather Northcott Osgood Pemberton Quimby Ravenscroft Silverton Thackeray Underhill Vandermeer Whitlock Yardley",
-    "men, Cyrillic": "Аркадий Всеволод Григорий Тимофей",
+    "men, Cyrillic": "Аркадий Всеволод Григорий Ярослав",
     "women, Cyrillic": "Августа Варвара Клавдия Прасковья",
     "surnames of men, Cyrillic": "Быстров Звонарёв Лаптев Шустов",
     "surnames of women, Cyrillic": "Быстрова Звонарёва Лаптева Шустова",
@@ -283,6 +283,7 @@ def _ssn(key: bytes, text: str) -> str:
 
 
 _STOCK = {name.lower(): (kind, i) for kind, names in NAMES.items() for i, name in enumerate(names.split())}
+_TITLES = frozenset(TITLES)
 _GIVEN = {name for stock in (NAMES, STAND_INS) for kind, names in stock.items() if "surnames" not in kind for name in names.split()}
 #: By script: all its letters, then the consonants and vowels of syllables. The first vowel
 #: of a word in extended Latin has an accent, so that plain words are never its images.
@@ -358,13 +359,18 @@ def names_in(text: str) -> set[str]:
         return set()
     names, common = set(), None
     for run in runs:
-        for k, word in enumerate(WORD.findall(run)):
-            if k and word.lower() not in _STOCK:
+        first = True
+        for word in WORD.findall(run):
+            if word in _TITLES:
+                first = True
+                continue
+            if not first and word.lower() not in _STOCK:
                 if common is None:
                     common = set(regex.findall(r"\b\p{Ll}+\b", text))
                 if word.lower() in common:
                     break
             names.add(word)
+            first = False
     return names
 
 
