@@ -239,6 +239,94 @@ def test_extract_pages(spark):
     assert Counter(got) == Counter([(1, "u", "a", 1), (1, "u", "a", 1), (2, None, "", 0), (None, "v", "", 0)])
 
 
+def least_labels(unary, pairs):
+    """Of all labellings the costs, tried one by one; the least of them, if it is the only one."""
+    n = len(unary)
+    labels = (np.arange(1 << n)[:, None] >> np.arange(n)) & 1
+    cost = np.where(labels == 1, np.maximum(0, -np.array(unary)), np.maximum(0, np.array(unary))).sum(axis=1)
+    for (i, j), c in pairs.items():
+        cost += c * (labels[:, i] != labels[:, j])
+    best = np.flatnonzero(cost == cost.min())
+    return [bool(x) for x in labels[best[0]]] if len(best) == 1 else None
+
+
+def labelled(html):
+    """Shown blocks, their costs and edges."""
+    found = mincut.blocks(html)
+    total, known = mincut.shares(found), {}
+    around = [mincut.side(b.node, total, known) for b in found]
+    shown = [(b, s) for b, s in zip(found, around, strict=True) if s != -2]
+    return [b for b, _ in shown], [mincut.score(b, s) for b, s in shown], mincut.edges([b for b, _ in shown])
+
+
+def random_page(r):
+    words = ["one", "two,", "three.", "four", "<a href=x>five six</a>", "seven"]
+    text = lambda: " ".join(r.choice(words) for _ in range(r.randint(1, 25)))
+    out = []
+    for _ in range(r.randint(1, 4)):
+        box = r.choice(["article", "main", "div", "div class=content", "div class=promo", "nav", "section id=comments", "form", "footer", "aside", "header", "ul"])
+        out.append(f"<{box}>")
+        for _ in range(r.randint(0, 3)):
+            tag = r.choice(["p", "li", "h2", "div", "p class=notice", "td"])
+            out.append(f"<{tag}>{text()}</{tag.split()[0]}>")
+        out += [text()] * (r.random() < 0.2) + [f"</{box.split()[0]}>"] * (r.random() < 0.9)
+    return "".join(out)
+
+
+def test_main_text_equals_the_least_of_all_labellings():
+    r = random.Random(8)
+    alike = turned = 0
+    for _ in range(600):
+        html = random_page(r)
+        found, unary, pairs = labelled(html)
+        best = least_labels(unary, pairs) if len(found) <= 14 else None
+        if best is None:
+            continue
+        alike += 1
+        turned += sum(x != (u > 0) for x, u in zip(best, unary, strict=True))
+        assert mincut.main_text(html) == " ".join(b.text for b, x in zip(found, best, strict=True) if x)
+    assert alike > 400 and turned > 40  # the edges turn blocks that the costs alone would leave
+
+
+def plain_article(html):
+    """What is known of the pages of the test table: the article, and an advert that may stand in it."""
+    from html import unescape
+
+    inside = re.search(r"<article.*?>(.*?)(?:</article>|\Z)", html or "", re.S)
+    own = re.sub(r'<!--.*?-->|<(script|style)\b.*?</\1>|<div class="ad">.*?</div>', "", inside[1] if inside else "", flags=re.S)
+    return " ".join(unescape(re.sub(r"<[^>]*>", " ", re.sub(r"</?b>", "", own))).split())
+
+
+def test_pages_equal_their_articles_and_the_cut_turns_blocks(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    want = Counter((r["page_id"], r["url"], plain_article(r["html"])) for r in pages.collect())
+    got = mincut.op4(spark, "/root/testdata/sf0.1").collect()
+    assert Counter((r["page_id"], r["url"], r["text"]) for r in got) == want and all(r["n_chars"] == len(r["text"]) for r in got)
+    turned = 0
+    for page in pages.collect():
+        found, unary, pairs = labelled(page["html"])
+        for b, u, x in zip(found, unary, mincut.minimum_cut(unary, pairs), strict=True):
+            if x != (u > 0):
+                turned += 1
+                assert x and b.text in plain_article(page["html"])  # costs alone would lose it
+    assert turned == 34
+
+
+def test_wrappers_and_open_elements_leave_the_article():
+    long = "A sentence of the article, long enough to be one, it says."
+    assert mincut.main_text(f"<body><form action=x><div class=content><p>{long}</p><p>{long}</p></div></form>") == f"{long} {long}"
+    assert mincut.main_text(f"<nav><ul><li><a href=a>Menu</a><article><h1>Head</h1><p>{long}</p></article>") == f"Head {long}"
+    assert mincut.main_text(f"<article><p>{long}</p><section id=comments><article><p>{long}</p></article></section></article>") == long
+    assert mincut.main_text(f"<main><p>{long}</p><p>{long}</p><form><p>Write here, please.</p></form></main>") == f"{long} {long}"
+    assert mincut.main_text(f"<article><p>{'我们看见了，这是一个很长的句子。' * 9}</p></article>").startswith("我们")
+
+
+def test_very_long_and_deep_pages():
+    p = "<p>A sentence of the article, long enough to be one, it says.</p>"
+    assert len(mincut.main_text(f"<article>{p * 30000}</article>")) == 30000 * (len(p) - 6) - 1
+    assert mincut.main_text("<article>" + "<div>" * 20000 + p) == p[3:-4]
+
+
 # --- 5
 
 

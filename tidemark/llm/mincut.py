@@ -48,12 +48,16 @@ PART = re.compile(
 )
 ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?![\w-])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
 
+#: Elements that hold no article: one that opens inside them shows that their end is missing.
+SOFT = frozenset("nav header form menu footer".split())
 #: Weights of the classifier, in units of capacity. Marks around a block add to its
 #: features and stay within reach of its edges (240 at most): they don't settle it alone.
-STRUCTURE, LENGTH, LINKS, HEADING, PLAIN = {1: 200, 0: 0, -1: -300}, 120, 400, 60, -60
+#: A mark of content is worth less than the form of a line of text: what has none of
+#: that form is content for its neighbours' sake only.
+STRUCTURE, LENGTH, LINKS, HEADING, PLAIN = {1: 110, 0: 0, -1: -300, -3: -300}, 120, 400, 60, -60
 #: Capacity of an edge between neighbours, and its share at each step in the tree.
 SMOOTH, DECAY = 80, 2
-STOP = re.compile(r"[.!?:;,]")
+STOP = re.compile(r"[.!?:;,。！？：；，、،؛؟।]")
 
 
 class Node:
@@ -159,9 +163,10 @@ def shares(found: list[Block]) -> int:
 
 
 def side(node: Node | None, total: int, known: dict) -> int:
-    """What the elements around a block say: -2 not shown, -1 boilerplate, 1
-    content, 0 nothing. Marks of boilerplate prevail over marks of content, but
-    a mere name says nothing of an element that holds most of the page's text."""
+    """What the elements around a block say: -2 not shown, -1 boilerplate, -3 boilerplate
+    that an article ends, 1 content, 0 nothing. Marks of boilerplate prevail over marks of
+    content, but a mere name, a header or a form says nothing where it holds most of the
+    page's text."""
     path = []
     while node is not None and node not in known:
         path.append(node)
@@ -171,11 +176,15 @@ def side(node: Node | None, total: int, known: dict) -> int:
         most = 2 * n.chars > total
         if state == -2 or n.tag in HIDDEN or n.attrs_say == "hidden":
             state = -2
-        elif state == -1 or n.tag in BOILER or n.attrs_say in ("boiler", "comment") or n.attrs_say == "hint" and not most:
+        elif state == -1 or n.attrs_say in ("boiler", "comment") or n.attrs_say == "hint" and not most:
             state = -1
-        elif n.tag == "header" and state == 0 and not most:
+        elif n.tag in BOILER and n.tag not in SOFT:
             state = -1
-        elif n.tag in ("article", "main") or n.attrs_say == "content":
+        elif n.tag in ("article", "main"):
+            state = 1
+        elif state == -3 or n.tag in SOFT and not (n.tag == "form" and most or n.tag == "header" and (most or state == 1)):
+            state = -3
+        elif n.attrs_say == "content":
             state = 1
         known[n] = state
     return state
@@ -213,7 +222,7 @@ def edges(found: list[Block]) -> dict[tuple[int, int], int]:
     last: dict[Node, int] = {}
     for j, b in enumerate(found):
         if j:
-            c = SMOOTH // DECAY ** min(8, distance(found[j - 1].node, b.node) // 2)
+            c = SMOOTH // DECAY ** min(8, max(0, distance(found[j - 1].node, b.node) - 1))
             out[j - 1, j] = out.get((j - 1, j), 0) + c
         parent = b.node.parent or b.node
         if parent in last:
@@ -326,7 +335,7 @@ def main_text(html: str | None) -> str:
     total = shares(found)
     known: dict[Node, int] = {}
     around = [side(b.node, total, known) for b in found]
-    shown = [k for k, s in enumerate(around) if s > -2]
+    shown = [k for k, s in enumerate(around) if s != -2]
     found = [found[k] for k in shown]
     labels = minimum_cut([score(b, around[k]) for b, k in zip(found, shown, strict=True)], edges(found))
     return " ".join(b.text for b, content in zip(found, labels, strict=True) if content)
