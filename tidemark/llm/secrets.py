@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from hashlib import sha256
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -92,9 +93,9 @@ def linked_spans(text: str, lower: str, base: list[tuple[int, int, int]]) -> lis
     weak_ids = (
         [(m.start(), 3, m.end()) for m in LOGIN.finditer(text)] if any(w in lower for w in LOGINS) else []
     )
-    taken = [(s, e) for s, _, e in base]
+    starts, reach = [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))
     weak_secrets = (
-        [(m.start(), 4, m.end()) for m in OPAQUE.finditer(text) if not _overlaps(taken, m.start(), m.end())]
+        [(m.start(), 4, m.end()) for m in OPAQUE.finditer(text) if not _overlaps(starts, reach, m.start(), m.end())]
         if DIGIT.search(text)
         else []
     )
@@ -114,10 +115,10 @@ def linked_spans(text: str, lower: str, base: list[tuple[int, int, int]]) -> lis
     return out
 
 
-def _overlaps(taken: list[tuple[int, int]], start: int, end: int) -> bool:
-    """taken: sorted, from detectors that may overlap each other a little."""
-    i = bisect_left(taken, (end, 0))
-    return any(e > start for _, e in taken[max(0, i - 3) : i])
+def _overlaps(starts: list[int], reach: list[int], start: int, end: int) -> bool:
+    """starts: of the spans in order; reach: the furthest end up to each of them."""
+    i = bisect_left(starts, end)
+    return i > 0 and reach[i - 1] > start
 
 
 def find(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
