@@ -1,26 +1,36 @@
 """Operator 10: a content-addressed WARC archive.
 
-Payload bytes are stored once under their SHA-256 (``payloads``); the exact
-header of each record is stored beside (``records``), naming the digest. Records
-are rebuilt by joining the two. Of records with equal payloads of at least
-``min_payload`` bytes, the one with the smallest page_id is a ``response``, the
-others are ``revisit`` records that refer to it. On reading, each stored payload
-is verified against the digest it is filed under.
+Payload bytes are stored once under their SHA-256 (``payloads``), each compressed on
+its own; the exact header of each record is stored beside (``records``), naming the
+digest. Records are rebuilt by joining the two. Of records with equal payloads of at
+least ``min_payload`` bytes, the one with the smallest page_id is a ``response``, the
+others are ``revisit`` records that refer to it and hold no payload. On reading, each
+stored payload is verified against the digest it is filed under, and what a record
+says of its payload against the payload itself.
+
+Payloads move twice, compressed: to be collapsed when written, and to their headers
+when read. Revisits need no payload, so a large group of copies joins nothing.
 
 Cases: null html is an empty payload; a null url gives an empty target; rows that
-repeat the response's page_id are responses, too; rows with a null page_id revisit
-the smallest id there is, or are responses where there is none; an empty table
-gives an empty archive; other columns are ignored.
+repeat the response's page_id are responses, too, and share its record id; rows with a
+null page_id revisit the smallest id there is, or are responses where there is none;
+very long pages take memory for themselves; an empty table gives an empty archive;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
+import uuid
+from base64 import b32encode
 from dataclasses import dataclass
+from hashlib import sha1, sha256
 
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import per_row, shared_dir, table
 
 CRLF = "\r\n"
 HTTP_HEAD = f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}{CRLF}"
@@ -37,6 +47,41 @@ def base32(hexed: Column) -> Column:
     )
 
 
+def packed(payloads: DataFrame) -> DataFrame:
+    """(digest, page_id, packed) of (digest, page_id, payload)."""
+
+    def rows(batch):
+        pack = zstandard.ZstdCompressor(3)
+        return [(digest, i, pack.compress(bytes(data))) for digest, i, data in batch]
+
+    return per_row(payloads, "digest string, page_id long, packed binary", rows, ["digest", "page_id", "payload"])
+
+
+def unpacked(digest: str, data: bytes) -> bytes:
+    """A stored payload; one that doesn't match its digest is an error."""
+    payload = zstandard.ZstdDecompressor().decompress(data)
+    if sha256(payload).hexdigest() != digest:
+        raise ValueError(f"payload does not match {digest}")
+    return payload
+
+
+def parsed(record: bytes) -> tuple:
+    """(payload_bytes, payload_digest, record_type, refers_to) of a record's bytes."""
+    head, _, block = record.partition(b"\r\n\r\n")
+    fields = dict(line.split(": ", 1) for line in head.decode().split(CRLF)[1:])
+    length = int(fields["Content-Length"])
+    if block[length:] != b"\r\n\r\n":
+        raise ValueError(f"record {fields['WARC-Record-ID']} does not end where it says")
+    n, digest = int(fields["WARC-Payload-Length"]), fields["WARC-Payload-Digest"].removeprefix("sha1:")
+    if fields["WARC-Type"] == "response":
+        payload = block[len(HTTP_HEAD) : length]
+        own = len(payload), b32encode(sha1(payload).digest()).decode()
+        if own != (n, digest):
+            raise ValueError(f"record {fields['WARC-Record-ID']} does not hold what it says")
+    refers = re.fullmatch(r"<urn:page:(-?\d+)>", fields.get("WARC-Refers-To", ""))
+    return n, digest, fields["WARC-Type"], int(refers[1]) if refers else None
+
+
 @dataclass
 class Archive:
     """Paths of an archive's two tables."""
@@ -46,48 +91,37 @@ class Archive:
 
     @property
     def payloads(self) -> DataFrame:
+        """(digest, owner, packed)"""
         return self.spark.read.parquet(f"{self.path}/payloads")
 
     @property
     def records(self) -> DataFrame:
+        """(page_id, digest, record_type, header)"""
         return self.spark.read.parquet(f"{self.path}/records")
 
-    def verified(self) -> DataFrame:
-        """The stored payloads; a row that doesn't match its digest is an error."""
-        return self.payloads.withColumn(
-            "payload",
-            F.when(F.sha2("payload", 256) == F.col("digest"), F.col("payload")).otherwise(
-                F.raise_error(F.concat(F.lit("payload does not match "), F.col("digest"))).cast("binary")
-            ),
-        )
-
     def rebuilt(self) -> DataFrame:
         """Each record's bytes (``record``) beside page_id: header, HTTP head,
         payload unless it is a revisit, and the two line ends."""
-        end = F.encode(F.lit(CRLF * 2), "UTF-8")
-        whole = self.records.join(self.verified().select("digest", "payload"), "digest")
-        body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
-        return whole.select("page_id", F.concat(F.encode("header", "UTF-8"), body, end).alias("record"))
+        end = (CRLF * 2).encode()
 
-    def index(self) -> DataFrame:
-        """Per record what its header says, with length and digest taken from
-        the stored payload it leads to."""
-        stored = self.verified().select(
-            "digest",
-            F.octet_length("payload").cast("long").alias("payload_bytes"),
-            base32(F.sha1("payload")).alias("payload_digest"),
-        )
-        refers = F.regexp_extract("header", r"\r\nWARC-Refers-To: <urn:page:(-?\d+)>\r\n", 1)
-        return (
-            self.records.select(
-                "page_id",
-                "digest",
-                F.regexp_extract("header", r"\r\nWARC-Type: (\w+)\r\n", 1).alias("record_type"),
-                F.nullif(refers, F.lit("")).try_cast("bigint").alias("refers_to"),
-            )
-            .join(stored, "digest")
-            .select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+        def rows(batch):
+            return [(i, header.encode() + unpacked(digest, data) + end) for i, header, digest, data in batch]
+
+        whole = self.records.where("record_type = 'response'").join(self.payloads.select("digest", "packed"), "digest")
+        responses = per_row(whole, "page_id long, record binary", rows, ["page_id", "header", "digest", "packed"])
+        revisits = self.records.where("record_type = 'revisit'").select(
+            "page_id", F.encode(F.concat("header", F.lit(CRLF * 2)), "UTF-8").alias("record")
         )
+        return responses.unionByName(revisits)
+
+    def index(self) -> DataFrame:
+        """Per record what its bytes say."""
+
+        def rows(batch):
+            return [(i, *parsed(bytes(record))) for i, record in batch]
+
+        ddl = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+        return per_row(self.rebuilt(), ddl, rows, ["page_id", "record"])
 
 
 def write(
@@ -108,9 +142,9 @@ def write(
         F.sha2(payload, 256).alias("digest"),
     )
     # groups of copies collapse before the shuffle
-    keyed.groupBy("digest").agg(F.min("page_id").alias("owner"), F.first("payload").alias("payload")).write.parquet(
-        f"{path}/payloads"
-    )
+    packed(keyed).groupBy("digest").agg(F.min("page_id").alias("owner"), F.first("packed").alias("packed")).write.option(
+        "compression", "none"
+    ).parquet(f"{path}/payloads")
     archive = Archive(pages.sparkSession, path)
     owners = archive.payloads.select("digest", "owner")
     n = F.octet_length("payload")
@@ -126,6 +160,7 @@ def write(
         line("WARC-Date", F.lit(date)),
         line("WARC-Target-URI", F.col("url")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
+        line("WARC-Payload-Length", F.col("n").cast("string")),
         F.when(
             F.col("record_type") == "revisit",
             F.concat(
@@ -150,8 +185,6 @@ def write(
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     return write(table(spark, sf_dir, "pages"), path).index()
 
