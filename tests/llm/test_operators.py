@@ -76,6 +76,30 @@ def test_damage_is_noticed():
         list(rangecoder.read_blocks([bytes(data)]))
 
 
+def test_checksums_of_pieces_make_the_whole():
+    r = random.Random(2)
+    for _ in range(50):
+        data = r.randbytes(r.randint(0, 300))
+        cuts = sorted([0, len(data), *(r.randint(0, len(data)) for _ in range(r.randint(0, 4)))])
+        total = 0
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            total ^= rangecoder.shifted(zlib.crc32(data[a:b]), -b)
+        assert rangecoder.shifted(total, len(data)) == zlib.crc32(data)
+    assert rangecoder.shifted(rangecoder.shifted(12345, 10**12), -(10**12)) == 12345
+
+
+def test_encoder_equals_the_library():
+    from tokenizers import Tokenizer
+
+    known, own = Tokenizer.from_file(rangecoder.default_path()), rangecoder.Encoder(None, held=400)
+    r = random.Random(9)
+    pool = ["a", "é", "ß", "ª", "²", "漢", "字", "ж", "ǅ", " ", " ", "  ", "\n", "\t", "1", "٣", "'s", "'ll", "_", ".", "-", "\u0301", "\u1c89", "\u200b", "<|endoftext|>", "word", " Words"]
+    texts = ["".join(r.choice(pool) for _ in range(r.randint(0, 30))) for _ in range(3000)]
+    for lo in range(0, len(texts), 300):
+        for text, ids in zip(texts[lo : lo + 300], own.batch(texts[lo : lo + 300]), strict=True):
+            assert ids.tolist() == known.encode(text, add_special_tokens=False).ids
+
+
 # --- 2
 
 

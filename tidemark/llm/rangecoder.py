@@ -35,15 +35,18 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, returned, shared_dir, table
+from .common import arrow_schema, per_row, returned, shared_dir, table, written
 
 NAME, END = "byte_bpe_50k.json", 0
 #: Ids in a block, and blocks coded side by side, at most.
 BLOCK, LANES = 4096, 2048
+#: Bytes of text whose new words go to the library together.
+TEXT = 4 << 20
 MAGIC = b"TMR1"
 HEADER = struct.Struct("<4sIIII")  # magic, ids, pieces, crc32 of the ids, crc32 of all that follows
 PIECES = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("last", "u1"), ("piece", "<u4"), ("n", "<u4")])
@@ -358,13 +361,31 @@ class Encoder:
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.known.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """The ids of words in turn and their numbers, by one text for all; each word is a
+        space and letters, so the text is split where they meet. None if it was not."""
+        got = self.known.encode("".join(words), add_special_tokens=False)
+        ids, sizes = np.array(got.ids, np.uint16), np.bincount(np.array(got.word_ids, np.int64), minlength=len(words))
+        return (ids, sizes) if len(sizes) == len(words) and sizes.all() else None
+
     def _learn(self, fresh: list[str]) -> None:
-        for lo in range(0, len(fresh), 4096):
-            ids = self._library(fresh[lo : lo + 4096])
-            n = len(self.words)
-            self.words.update(zip(fresh[lo : lo + 4096], range(n, n + len(ids)), strict=True))
-            self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(ids), np.uint16)])
-            self.start = np.concatenate([self.start, self.start[-1] + np.cumsum([len(x) for x in ids])])
+        plain = [w for w in fresh if w[0] == " " and w[1:].isalpha()]
+        known = set(plain)
+        others = [w for w in fresh if w not in known]
+        ids, sizes = [self.ids], []
+        for words, joined in ((plain, True), (others, False)):
+            for lo in range(0, len(words), 4096):
+                part = words[lo : lo + 4096]
+                got = self._joined(part) if joined else None
+                if got is None:
+                    each = self._library(part)
+                    got = np.fromiter(itertools.chain.from_iterable(each), np.uint16), np.array([len(x) for x in each])
+                self.words.update(zip(part, range(len(self.words), len(self.words) + len(part)), strict=True))
+                ids.append(got[0])
+                sizes.append(got[1])
+        if fresh:
+            self.ids = np.concatenate(ids)
+            self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(np.concatenate(sizes))])
 
     def split(self, text: str) -> list[str]:
         try:
@@ -391,6 +412,14 @@ class Encoder:
         return out
 
 
+def grouped(batch: pa.RecordBatch) -> Iterator[tuple[list, list]]:
+    """A batch's first two columns in groups of about TEXT bytes of text."""
+    at = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)) // TEXT
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1, [batch.num_rows]]).tolist()
+    for lo, hi in itertools.pairwise(cuts):
+        yield tuple(batch.column(k)[lo:hi].to_pylist() for k in range(2))
+
+
 def write(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> None:
     """Write a block file of all documents, in ascending doc_id."""
     spark = docs.sparkSession
@@ -418,8 +447,7 @@ def write(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text"
             if not batch.num_rows:
                 continue
             part = batch.column(2)[0].as_py()
-            for lo in range(0, batch.num_rows, 256):
-                names, texts = (batch.column(k)[lo : lo + 256].to_pylist() for k in range(2))
+            for names, texts in grouped(batch):
                 for i, ids in zip(names, known.batch(texts), strict=True):
                     blocks.add(i, np.append(ids, np.uint16(END)))
                 while len(blocks.full) >= LANES:
@@ -433,10 +461,9 @@ def write(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text"
     ordered.mapInArrow(run, ddl).write.parquet(path)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """(part, first, doc_id, piece, last, ids): the pieces of a block file; first
-    counts the part's ids before the piece, ids is binary, little-endian in 32 bits."""
-    ddl = "part int, first long, doc_id long, piece long, last boolean, ids binary"
+def _decoded(spark: SparkSession, path: str, ddl: str, row) -> DataFrame:
+    """Rows ``row(part, first, doc_id, piece, last, ids as bytes)`` of each piece in a block
+    file; first counts the part's ids before the piece."""
     target = arrow_schema(spark, ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -450,7 +477,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 for p, f, (raw, pieces) in zip(part, first, read_blocks(payloads), strict=True):
                     at = 0
                     for doc_id, null, last, piece, n in pieces.tolist():
-                        out.append((p, f + at, None if null else doc_id, piece, bool(last), raw[4 * at : 4 * (at + n)]))
+                        out.append(row(p, f + at, None if null else doc_id, piece, bool(last), raw[4 * at : 4 * (at + n)]))
                         at += n
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), target, strict=True)], schema=target)
         returned()
@@ -458,22 +485,58 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("part", "first", "payload").mapInArrow(run, ddl)
 
 
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """(part, first, doc_id, piece, last, ids): the pieces of a block file; first
+    counts the part's ids before the piece, ids is binary, little-endian in 32 bits."""
+    return _decoded(spark, path, "part int, first long, doc_id long, piece long, last boolean, ids binary", lambda *x: x)
+
+
+# Checksums of whole documents from those of their pieces: a checksum is a polynomial over
+# GF(2) modulo CRC-32's, which a text that follows shifts by its bits.
+_CRC, _ORDER = 0xEDB88320, (1 << 32) - 1
+
+
+def _times(a: int, b: int) -> int:
+    """The product; bit 31 is the constant term."""
+    out = 0
+    for k in range(31, -1, -1):
+        if a >> k & 1:
+            out ^= b
+        b = b >> 1 ^ (_CRC if b & 1 else 0)
+    return out
+
+
+def shifted(crc: int, n: int) -> int:
+    """A checksum's part once n bytes follow; -n takes that back."""
+    power, square, n = 1 << 31, 1 << 30, 8 * n % _ORDER
+    while n:
+        if n & 1:
+            power = _times(power, square)
+        square, n = _times(square, square), n >> 1
+    return _times(crc, power)
+
+
 def documents(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of each document in a block file."""
-    pieces = read(spark, path)
-    n = (F.octet_length("ids") / 4).cast("long")
-    whole = pieces.where("last AND piece = 0").select("part", "first", "doc_id", n.alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
-    # a document's pieces are numbered from 0; its start in the part names it
-    joined = F.aggregate(
-        F.array_sort(F.collect_list(F.struct("piece", "ids"))), F.lit(b""), lambda a, x: F.concat(a, x["ids"])
-    )
-    cut = (
-        pieces.where("NOT last OR piece > 0")
-        .withColumn("start_first", F.col("first") - F.col("piece") * BLOCK)
-        .groupBy("part", F.col("start_first").alias("first"), "doc_id")
-        .agg(joined.alias("ids"))
-        .select("part", "first", "doc_id", n.alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
-    )
+    """(doc_id, start, n_tokens, ids_crc32) of each document in a block file. The file is
+    decoded once, to a row for each piece, and a cut document's checksum is put together
+    from its pieces' by sums, so that no document is gathered."""
+
+    def row(part, first, doc_id, piece, last, raw):
+        crc, n = crc32(raw), len(raw) // 4
+        if piece or not last:  # as it would be at the document's start
+            crc = shifted(crc, -4 * (piece * BLOCK + n))
+        return part, first - piece * BLOCK, doc_id, last and not piece, piece * BLOCK + n, crc
+
+    names = ["part", "first", "doc_id"]
+    pieces = written(_decoded(spark, path, "part int, first long, doc_id long, whole boolean, n_tokens long, crc long", row), "pieces")
+    # a document's start in its part names it
+    cut = pieces.where("NOT whole").groupBy(*names).agg(F.max("n_tokens").alias("n_tokens"), F.bit_xor("crc").alias("crc"))
+
+    def summed(batch):
+        return [(*x, n, shifted(crc, 4 * n)) for *x, n, crc in batch]
+
+    ddl = "part int, first long, doc_id long, n_tokens long, crc long"
+    joined = per_row(cut, ddl, summed, [*names, "n_tokens", "crc"])
     # a row for each part, of which there are as many as tasks wrote
     sizes = spark.read.parquet(path).groupBy("part").agg(F.sum("n_ids").alias("n")).collect()
     before, rows = 0, []
@@ -482,9 +545,9 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
         before += r["n"]
     starts = spark.createDataFrame(rows, "part int, before long")
     return (
-        whole.unionByName(cut)
+        pieces.where("whole").drop("whole").unionByName(joined)
         .join(F.broadcast(starts), "part")
-        .select("doc_id", (F.col("before") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
+        .select("doc_id", (F.col("before") + F.col("first")).alias("start"), "n_tokens", F.col("crc").alias("ids_crc32"))
     )
 
 
