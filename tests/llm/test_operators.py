@@ -442,6 +442,76 @@ def test_one_of_each_class_stays(spark):
     assert ids == Counter({0: 1, 2: 1, 3: 1, 6: 1, 7: 1, 8: 1, 9: 1, 10: 1, 11: 2, 12: 1}) or ids == Counter({0: 1, 3: 1, 6: 1, 7: 1, 8: 1, 9: 1, 10: 1, 11: 2, 12: 1})
 
 
+def plain_shingles(text):
+    words = [w for w in re.split(rb"[\x20\x09-\x0D]+", (text or "").encode().lower()) if w]
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or ({tuple(words)} if words else set())
+
+
+def plain_similar_classes(texts):
+    """Classes of texts linked by five-word shingle sets that share four fifths or more of
+    their union, or are equal; every pair is compared."""
+    sets, parent = [plain_shingles(t) for t in texts], list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                parent[find(i)] = find(j)
+    return [find(i) for i in range(len(texts))]
+
+
+def looser_copies():
+    """Copies with more and more words changed, on both sides of the similarity, and a chain."""
+    r = random.Random(14)
+    rows = documents()
+    for k in range(4):
+        base = prose(300 + k, 150).split()
+        for m in range(14):
+            own = list(base)
+            for at in r.sample(range(len(own)), m // 2):
+                own[at] = f"new{m}{at}"
+            rows.append((1000 + 20 * k + m, " ".join(own), "n", "x"))
+    chain = prose(320, 200).split()
+    rows += [(1200 + k, " ".join(chain[8 * k : 8 * k + 120]), "n", "x") for k in range(10)]
+    return rows
+
+
+@pytest.mark.parametrize("chunk", [2048, 6])
+def test_looser_copies_equal_plain_ones(spark, monkeypatch, chunk):
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
+    monkeypatch.setattr(simhash, "LEADERS", 2)
+    rows = looser_copies()
+    classes = defaultdict(list)
+    for row, root in zip(rows, plain_similar_classes([t for _, t, *_ in rows]), strict=True):
+        classes[root].append(row)
+    want = Counter(min((r[0] is None, r[0] or 0) for r in own) for own in classes.values())
+    left = collected(simhash.stage(spark, frame(spark, rows), ""))
+    assert Counter((r[0] is None, r[0] or 0) for r in left) == want
+    assert 8 < len(want) < len(rows) - 30
+
+
+def test_very_large_lists_are_linked_in_chunks(spark, monkeypatch):
+    """Near copies that all share their keys: chunks, leaders and representatives connect them."""
+    monkeypatch.setattr(simhash, "CHUNK", 20)
+    monkeypatch.setattr(simhash, "LEADERS", 3)
+    base = prose(330, 120).split()
+    rows = [(k, " ".join([*base[: k % 110], f"new{k}", *base[k % 110 + 1 :]]), "n", "x") for k in range(300)]
+    assert len(set(plain_similar_classes([t for _, t, *_ in rows]))) == 1
+    assert [r[0] for r in collected(simhash.stage(spark, frame(spark, rows), ""))] == [0]
+
+
+def test_near_duplicate_stage_carries_clashing_columns(spark):
+    names = ["rk", "sig", "root", "id", "hashes", "_rk", "key", "first"]
+    rows = [(i, t, *range(8)) for i, t, *_ in documents()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    left = simhash.stage(spark, docs, "")
+    assert left.columns == docs.columns and all(tuple(r)[2:] == tuple(range(8)) for r in left.collect())
+
+
 def test_long_lists_are_linked_alike():
     r = np.random.default_rng(2)
     for free in (simhash.FREE[0], simhash.FREE[30]):

@@ -8,7 +8,7 @@ import corpus_pipeline
 from tidemark.llm import bpe, pii, quality
 
 from .data import documents, prose
-from .test_operators import plain_classes, plain_fingerprint, plain_verdict
+from .test_operators import plain_similar_classes, plain_verdict
 
 
 def corpus():
@@ -35,7 +35,7 @@ def test_pipeline_equals_plain_stages(spark, tmp_path):
     left = [r for r, (kept,) in zip(rows, judged, strict=True) if kept]
 
     groups = {}
-    for row, root in zip(left, plain_classes([plain_fingerprint(t) for _, t, _ in left]), strict=True):
+    for row, root in zip(left, plain_similar_classes([t for _, t, _ in left]), strict=True):
         groups.setdefault(root, []).append(row)
     left = [min(g, key=lambda r: (r[0] is None, r[0] or 0)) for g in groups.values()]
     left = [r for r in left if not plain_verdict(r[1], items)[-1]]

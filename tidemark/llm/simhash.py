@@ -14,6 +14,13 @@ long ones are linked by a flood fill over the 2,325 patterns of up to three of
 the 24 bits, which gives a spanning forest in time linear in the list.
 Equal fingerprints are collapsed beforehand.
 
+The pipeline's stage looks for looser copies: five words and a similarity of 0.8. There a
+vote of all shingles moves a sixth of the bits, and no number of shared bytes is
+guaranteed. Its fingerprint has 144 bytes, each the vote of one shingle, and its keys
+are 24 runs of six; pairs that meet under a key are tallied, dropped below the shared
+bytes that a pair at 0.8 has, less three standard deviations, and verified by their sets
+of shingles; above three deviations more they are linked without.
+
 Cases: null, empty and blank texts have fingerprint zero and are linked like any
 other; fewer words than a shingle make one shingle; long texts are hashed in
 pieces; repeated rows get the same component; a null doc_id is no component's
@@ -23,6 +30,8 @@ columns are ignored by the operator and carried by the stage.
 
 from __future__ import annotations
 
+import itertools
+import uuid
 from collections.abc import Iterator
 from itertools import combinations, repeat
 
@@ -32,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, per_row, table, written
+from .common import arrow_schema, per_row, returned, table, written
 from .components import components
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 3
@@ -228,27 +237,197 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+# --- looser copies: the pipeline's stage
+
+#: Words in a shingle, and the similarity of two documents' sets of shingles to be found.
+LOOSE_SHINGLE, LOOSE_SIMILARITY = 5, 0.8
+#: Bytes of a fingerprint, keys and bytes in each. Of pairs at the similarity, one in
+#: 1,400 meets under no key; closer ones, less.
+KEYS, KEY_BYTES = 24, 6
+LOOSE_POSITIONS = KEYS * KEY_BYTES
+#: Shared bytes of a pair at the similarity, less and plus three standard deviations: pairs
+#: with fewer are dropped unseen, and pairs with more are linked unseen.
+_MEAN, _DEVIATION = LOOSE_POSITIONS * LOOSE_SIMILARITY, (LOOSE_POSITIONS * LOOSE_SIMILARITY * (1 - LOOSE_SIMILARITY)) ** 0.5
+LOOSE_SHARED, SURE_SHARED = int(_MEAN - 3 * _DEVIATION), int(_MEAN + 3 * _DEVIATION) + 1
+#: Members of a list linked in one task; longer lists are dealt to chunks, each with
+#: about LEADERS members that all chunks have.
+CHUNK, LEADERS = 2048, 32
+_ORDERS = np.random.default_rng(SEED).integers(0, 1 << 64, LOOSE_POSITIONS, np.uint64, endpoint=False) | np.uint64(1)
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def shingle_hashes(text: str | None) -> np.ndarray:
+    """The distinct hashes of a text's shingles, in order."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    n = len(words) - LOOSE_SHINGLE + 1
+    shingles = map(b" ".join, zip(*(words[k : n + k] for k in range(LOOSE_SHINGLE)), strict=True)) if n > 1 else [b" ".join(words)][: len(words)]
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64))
+
+
+def loose_fingerprint(hashes: np.ndarray) -> bytes:
+    """A byte for each position: the shingles are put in the position's own order, and the
+    first alone votes. So a byte is shared with a probability equal to the similarity (and
+    by chance in 256), where a vote of all shingles would keep 27 of 100 bytes at 0.8."""
+    if not len(hashes):
+        return bytes(LOOSE_POSITIONS)
+    least = np.full(LOOSE_POSITIONS, np.iinfo(np.uint64).max, np.uint64)
+    for start in range(0, len(hashes), 1024):
+        np.minimum(least, np.multiply.outer(_ORDERS, hashes[start : start + 1024]).min(axis=1), out=least)
+    return ((least * _SPREAD) >> np.uint64(56)).astype(np.uint8).tobytes()
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Have two ordered sets the similarity?"""
+    both = np.concatenate([a, b])
+    both.sort()
+    shared = int((both[1:] == both[:-1]).sum())
+    return shared >= LOOSE_SIMILARITY * (len(both) - shared)
+
+
+def key_rows(prints: DataFrame) -> DataFrame:
+    """(key, id) for each key of each fingerprint; a key names its positions, too."""
+    target = arrow_schema(prints.sparkSession, "key long, id long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, KEYS, KEY_BYTES)
+            key = np.zeros(raw.shape[:2], np.int64)
+            for k in range(KEY_BYTES):
+                key = key << 8 | raw[:, :, k]
+            key |= np.arange(KEYS, dtype=np.int64) << 8 * KEY_BYTES
+            ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), KEYS)
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(ids)], schema=target)
+
+    return prints.select("id", "sig").mapInArrow(run, "key long, id long")
+
+
+def loose_edges(members: DataFrame, prints: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+    """(a, b) of ids that are linked: for each list or chunk, edges that connect what all its
+    links connect. Without sets (id, hashes), links are pairs that share SURE_SHARED bytes;
+    with them, pairs that share LOOSE_SHARED bytes and are verified. members: (key, id, n)
+    of lists of n members, two or more; with sets also root, what an id is known to be linked to."""
+    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
+    everywhere = (F.col("n") > CHUNK) & (F.pmod(F.xxhash64("id", "key"), F.col("n")) < LEADERS)
+    chunk = F.when(everywhere, F.sequence(F.lit(0), chunks - 1)).otherwise(F.array(F.pmod(F.xxhash64("key", "id"), chunks).cast("int")))
+    dealt = members.withColumn("chunk", F.explode(chunk)).join(prints.select("id", "sig"), "id")
+    dealt = dealt.withColumn("root", F.col("id")).withColumn("hashes", F.lit(b"")) if sets is None else dealt.join(sets, "id")
+    dealt = dealt.select("key", "chunk", "id", "root", "sig", "hashes").repartition("key", "chunk").sortWithinPartitions("key", "chunk", "id")
+    target, verified = arrow_schema(members.sparkSession, "a long, b long"), sets is not None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros((0, 4), np.int64), np.zeros((0, LOOSE_POSITIONS), np.uint8), []
+        own, sig, hashes = none
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                if not batch.num_rows:
+                    continue
+                own = np.concatenate([own, np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4)], axis=1)])
+                sig = np.concatenate([sig, np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, LOOSE_POSITIONS)])
+                hashes = [*hashes, *batch.column(5).to_pylist()]
+            cuts = (np.flatnonzero((own[1:, :2] != own[:-1, :2]).any(axis=1)) + 1).tolist()
+            done = len(own) if batch is None else cuts[-1] if cuts else 0  # the last list may go on
+            edges = [np.zeros((0, 2), np.int64)]
+            for lo, hi in itertools.pairwise([0, *(c for c in cuts if c < done), done]):
+                if hi - lo > 1:
+                    found = verified_forest(own[lo:hi, 3], sig[lo:hi], hashes[lo:hi]) if verified else _flood(sig[lo:hi], _sure(sig[lo:hi]))
+                    edges.append(own[lo:hi, 2][np.array(found, np.int64).reshape(-1, 2)])
+            own, sig, hashes = own[done:], sig[done:], hashes[done:]
+            edges = np.unique(np.concatenate(edges), axis=0)
+            if len(edges):
+                yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], schema=target)
+        returned()
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def _sure(sig: np.ndarray):
+    return lambda i, rest: (sig[rest] == sig[i]).sum(axis=1) >= SURE_SHARED
+
+
+def verified_forest(root: np.ndarray, sig: np.ndarray, hashes: list[bytes]) -> list[tuple[int, int]]:
+    """Edges that connect what the verified pairs connect, beyond those of equal root. Pairs
+    of rows that are connected by then are not looked at."""
+    _, label = np.unique(root, return_inverse=True)
+    sets = [np.frombuffer(h, np.uint64) for h in hashes]
+    edges = []
+    for i in range(len(sig) - 1):
+        rest = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+        for j in rest[(sig[rest] == sig[i]).sum(axis=1) >= LOOSE_SHARED].tolist():
+            if label[i] != label[j] and similar(sets[i], sets[j]):
+                edges.append((i, j))
+                label[label == label[j]] = label[i]
+    return edges
+
+
+def loose_roots(prints: DataFrame, hashes: DataFrame) -> DataFrame:
+    """(node, root) of the fingerprints (id, sig, rk) that have a partner; hashes: (rk,
+    hashes) of the rows. Sure links come first, without the sets; those follow for lists
+    that still have two classes. Lists of over CHUNK members are linked within chunks and
+    to the leaders; what stands for its class after that is linked once more, dealt anew."""
+    keyed = key_rows(prints)
+
+    def lists(members, *more):
+        return members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *more).where("n > 1")
+
+    def connected(edges):
+        return written(components(edges), "roots")
+
+    def rooted(members, roots):
+        named = roots.select(F.col("node").alias("id"), "root")
+        return members.join(named, "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+    members = written(keyed.join(lists(keyed), "key"), "lists")
+    edges = written(loose_edges(members, prints), "sure")
+    members = written(rooted(members, connected(edges)), "rooted")
+    for _ in range(2):
+        open_lists = lists(members, (F.min("root") < F.max("root")).alias("open")).where("open").select("key", "n")
+        left = written(members.drop("n").join(open_lists, "key"), "open")
+        involved = left.select("id").distinct().join(prints.select("id", "rk"), "id")
+        sets = written(involved.join(hashes, "rk").groupBy("id").agg(F.first("hashes").alias("hashes")), "sets")
+        edges = edges.unionByName(written(loose_edges(left, prints, sets), "verified"))
+        roots = connected(edges)
+        long = left.where(F.col("n") > CHUNK)
+        if long.isEmpty():
+            break
+        # of each class in a long list one stands for it, and may meet others in another chunk
+        members = written(rooted(long.select("key", "id"), roots).groupBy("key", "root").agg(F.min("id").alias("id"), F.lit(0).alias("n")), "again")
+    return roots
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays: the one with the smallest doc_id; one
-    without an id stays only if its class has no other. Of equal rows one stays."""
-    prints = written(fingerprints(docs), "simhash")
-    rows = written(prints.join(classes(prints), "fp").select("doc_id", "rk", "root"), "classes")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk"))
-    keepers = rows.groupBy("root").agg(first.alias("first")).select("root", F.col("first.rk").alias("_kept"))
-    dropped = rows.join(keepers, "root").where("rk <> _kept").select(F.col("rk").alias("_rk")).distinct()
-    left = docs.withColumn("_rk", row_key("doc_id", "text")).join(dropped, "_rk", "left_anti")
-    repeated = written(rows.groupBy(F.col("rk").alias("_rk")).count().where("count > 1").select("_rk"), "repeated")
-    return _one_each(left, repeated, docs.columns)
-
-
-def _one_each(left: DataFrame, repeated: DataFrame, columns: list[str]) -> DataFrame:
+    """One document of each class of looser copies stays: the one with the smallest doc_id;
+    one without an id stays only if its class has no other. Of equal rows one stays. A
+    class's first row is found by sums, and no join has the class as its key."""
+    names = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("rk", row_key("doc_id", "text"))
+
+    def rows(batch):
+        return [(i, k, loose_fingerprint(h), h.tobytes()) for i, k, h in ((i, k, shingle_hashes(t)) for i, k, t in batch)]
+
+    prints = written(per_row(names, "doc_id long, rk long, sig binary, hashes binary", rows, ["doc_id", "rk", "text"]), "simhash")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk")).alias("first")
+    distinct = written(prints.groupBy("sig").agg(first).withColumns({"id": F.xxhash64("sig"), "rk": F.col("first.rk")}), "sigs")
+    roots = loose_roots(distinct, prints.select("rk", "hashes"))
+    kept = (
+        distinct.join(roots, distinct["id"] == roots["node"], "left")
+        .groupBy(F.coalesce("root", "id").alias("root"))
+        .agg(F.min("first").alias("first"))
+        .select(F.col("first.rk").alias(own := f"_rk{uuid.uuid4().hex}"))
+    )
+    left = docs.withColumn(own, row_key("doc_id", "text")).join(kept, own, "left_semi")
+    repeated = written(prints.groupBy(F.col("rk").alias(own)).count().where("count > 1").select(own), "repeated")
+    return _one_each(left, repeated, docs.columns, own)
+
+
+def _one_each(left: DataFrame, repeated: DataFrame, columns: list[str], key: str) -> DataFrame:
     """Of rows with a repeated key one; other rows need no look."""
     names = [F.col(f"`{c}`") for c in columns]
     if repeated.isEmpty():
         return left.select(*names)
     # partial sums collapse the copies before they are dealt; a hash picks one, so that
     # a task that is run again picks the same
-    again = left.join(repeated, "_rk", "left_semi").groupBy("_rk").agg(F.min_by(F.struct(*names), F.xxhash64(*names)).alias("_doc"))
-    return left.join(repeated, "_rk", "left_anti").select(*names).unionByName(again.select("_doc.*"))
+    again = left.join(repeated, key, "left_semi").groupBy(key).agg(F.min_by(F.struct(*names), F.xxhash64(*names)).alias("_doc"))
+    return left.join(repeated, key, "left_anti").select(*names).unionByName(again.select("_doc.*"))
 
 
