@@ -6,12 +6,15 @@ smaller doc_id. Four steps, each of which deals out its data evenly:
 1. Every SPAN-byte window is named after its *anchor*, the GRAM-byte string in it
    with the least hash. Windows in a row with one anchor form a *segment*; equal
    windows have equal anchors, so they meet wherever anchors meet. Documents are
-   dealt to parts; anchors, without their text, are dealt by hash, and those that
+   dealt to parts; anchors, without their text, are dealt by hash with the number of
+   a part's documents that have them, and those that
    occur in one document only are dropped: no window there can repeat.
 2. Segments of the other anchors are dealt to shards by anchor; where an anchor
    occurs in over HOT documents, single windows are dealt by their own bytes, so
    that no anchor's documents need to fit one shard. Equal segments of a part
-   travel once.
+   travel once, with their places in the least of its documents; the other places
+   are matches already. So an anchor or window that a third of all documents have
+   is as many entries as there are parts.
 3. A shard takes its segments in ascending doc_id. A batch of them gets a suffix
    array: all starts of windows, sorted by their bytes. It is merge-scanned
    against each level of the family, itself a suffix array of documents with
@@ -161,36 +164,34 @@ def _dealt(where: np.ndarray, n: int, *arrays: np.ndarray):
 
 
 def part_anchors(rows: pa.Table, buckets: int) -> list[tuple[int, bytes]]:
-    """Step 1, by part: (bucket, anchors in order, once for each document that has them)."""
+    """Step 1, by part: (bucket, anchors in order, and how many documents have each)."""
     _, _, doc, _, _, anchor = Part(rows).segments()
     short = anchor >> np.uint64(16)
     order = np.lexsort((doc, short))
     short, doc = short[order], doc[order]
     fresh = np.ones(len(short), bool)
     fresh[1:] = (short[1:] != short[:-1]) | (doc[1:] != doc[:-1])
-    short = short[fresh]
+    short, n = np.unique(short[fresh], return_counts=True)
     where = (short % np.uint64(buckets)).astype(np.int64)
-    return [(k, packed(_steps(s))) for k, s in _dealt(where, buckets, short)]
+    return [(k, packed(_steps(s), c)) for k, s, c in _dealt(where, buckets, short, n.astype(np.uint32))]
 
 
 def shared_anchors(parts: list[int], blobs: list[bytes]) -> list[tuple[int, bytes]]:
     """Step 1, by bucket: for each part its anchors that two documents have, and
     of these the hot ones."""
-    found = [np.cumsum(unpacked(b)[0], dtype=np.uint64) for b in blobs]
-    anchor = np.concatenate(found)
-    source = np.repeat(np.arange(len(parts)), [len(x) for x in found])
+    found = [unpacked(b) for b in blobs]
+    anchor = np.concatenate([np.cumsum(x, dtype=np.uint64) for x, _ in found])
+    docs = np.concatenate([n for _, n in found]).astype(np.int64)
+    source = np.repeat(np.arange(len(parts)), [len(x) for x, _ in found])
     order = np.argsort(anchor, kind="stable")
-    anchor, source = anchor[order], source[order]
+    anchor, source, docs = anchor[order], source[order], docs[order]
     start = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
-    size = np.diff(np.append(start, len(anchor)))
-    often = np.repeat(size, size)
+    often = np.repeat(np.add.reduceat(docs, start), np.diff(np.append(start, len(anchor))))
     keep = often > 1
-    anchor, source, often = anchor[keep], source[keep], often[keep]
-    out = []
-    for k, a, n in _dealt(source, len(parts), anchor, often):
-        fresh = np.concatenate([[True], a[1:] != a[:-1]])
-        out.append((parts[k], packed(_steps(a[fresh]), _steps(a[fresh & (n > HOT)]))))
-    return out
+    return [
+        (parts[k], packed(_steps(a), _steps(a[n > HOT])))
+        for k, a, n in _dealt(source[keep], len(parts), anchor[keep], often[keep])
+    ]
 
 
 def _member(sorted_set: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -200,9 +201,10 @@ def _member(sorted_set: np.ndarray, x: np.ndarray) -> np.ndarray:
     return sorted_set[at] == x
 
 
-def part_segments(rows: pa.Table, blobs: list[bytes], shards: int) -> list[tuple[int, bytes]]:
-    """Step 2: (shard, segments of shared anchors with the documents and places
-    that have them)."""
+def part_segments(rows: pa.Table, blobs: list[bytes], shards: int, number: int) -> list[tuple[int, bytes]]:
+    """Step 2: (shard, segments of shared anchors with the documents and places that have
+    them); of a segment's places in the part, only those in the least document travel.
+    The others are matches, which go by a number of the part's own beyond the shards."""
     part = Part(rows)
     data, bounds, doc, start, count, anchor = part.segments()
     found = [[np.cumsum(x, dtype=np.uint64) for x in unpacked(b)] for b in blobs]
@@ -235,9 +237,20 @@ def part_segments(rows: pa.Table, blobs: list[bytes], shards: int) -> list[tuple
             for w in words.view("<u8").T:
                 h = _mixed((h ^ w) * _A)
             where[own] = (h % np.uint64(shards)).astype(np.int64)
+    settled = []
     for k, d, s, c, a in _dealt(where, shards, doc, start, count, short):
         text, one, which = np.unique(_rows(data, s, c).view(f"S{ROW}").ravel(), return_index=True, return_inverse=True)
-        out.append((k, packed(text, which.ravel().astype(np.uint32), ids[d], d.astype(np.uint32), s - bounds[d], _code(a[one]))))
+        which = which.ravel()
+        least = np.full(len(text), np.iinfo(np.int64).max)
+        np.minimum.at(least, which, ids[d])
+        # where the part has the segment in a smaller document, it matches whole and stays here
+        here = ids[d] > least[which]
+        settled.append((d[here], (s - bounds[d])[here], (s - bounds[d] + c)[here] + SPAN - 1))
+        d, s, which = d[~here], s[~here], which[~here]
+        out.append((k, packed(text, which.astype(np.uint32), ids[d], d.astype(np.uint32), s - bounds[d], _code(a[one]))))
+    doc, lo, hi = (np.concatenate(x) for x in zip(*settled, strict=True)) if settled else ([], [], [])
+    if len(doc):
+        out.append((shards + number, packed(doc, lo, hi)))
     return out
 
 
@@ -415,10 +428,13 @@ def repeats(docs: DataFrame, result, ddl: str, doc_id: str = "doc_id", text: str
         return _grouped(share_rows, shared_anchors(rows["part"].to_pylist(), rows["blob"].to_pylist()))
 
     def segmented(key, rows, blobs):
-        return _grouped(anchor_rows, [(k, key[0].as_py(), b) for k, b in part_segments(rows, blobs["blob"].to_pylist(), shards)])
+        number = key[0].as_py()
+        return _grouped(anchor_rows, [(k, number, b) for k, b in part_segments(rows, blobs["blob"].to_pylist(), shards, number)])
 
     def matches(rows):
-        return _grouped(share_rows, shard_matches(rows["part"].to_pylist(), rows["blob"].to_pylist()))
+        found = rows["part"].to_pylist(), rows["blob"].to_pylist()
+        settled = rows["bucket"][0].as_py() >= shards  # a part's own matches pass
+        return _grouped(share_rows, list(zip(*found, strict=True)) if settled else shard_matches(*found))
 
     def removed(rows, blobs):
         return _grouped(out_rows, [result(*x) for x in cut(rows, blobs["blob"].to_pylist())])
