@@ -257,7 +257,7 @@ _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingle_hashes(text: str | None) -> np.ndarray:
-    """The distinct hashes of a text's shingles, in order."""
+    """The distinct hashes of a text's shingles, in order, as 64-bit numbers."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     n = len(words) - LOOSE_SHINGLE + 1
     shingles = map(b" ".join, zip(*(words[k : n + k] for k in range(LOOSE_SHINGLE)), strict=True)) if n > 1 else [b" ".join(words)][: len(words)]
@@ -361,10 +361,10 @@ def verified_forest(root: np.ndarray, sig: np.ndarray, hashes: list[bytes]) -> l
     return edges
 
 
-def loose_roots(prints: DataFrame, hashes: DataFrame) -> DataFrame:
-    """(node, root) of the fingerprints (id, sig, rk) that have a partner; hashes: (rk,
-    hashes) of the rows. Sure links come first, without the sets; those follow for lists
-    that still have two classes. Lists of over CHUNK members are linked within chunks and
+def loose_roots(prints: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, root) of the fingerprints (id, sig, rk) that have a partner; texts: (rk, text).
+    Sure links come first, without the sets; those follow for lists that still have two
+    classes, and are made for their members only. Lists of over CHUNK members are linked within chunks and
     to the leaders; what stands for its class after that is linked once more, dealt anew."""
     keyed = key_rows(prints)
 
@@ -384,8 +384,11 @@ def loose_roots(prints: DataFrame, hashes: DataFrame) -> DataFrame:
     for _ in range(2):
         open_lists = lists(members, (F.min("root") < F.max("root")).alias("open")).where("open").select("key", "n")
         left = written(members.drop("n").join(open_lists, "key"), "open")
-        involved = left.select("id").distinct().join(prints.select("id", "rk"), "id")
-        sets = written(involved.join(hashes, "rk").groupBy("id").agg(F.first("hashes").alias("hashes")), "sets")
+        # a table of known size: small ones are sent to the texts, not the texts to them
+        involved = written(left.select("id").distinct().join(prints.select("id", "rk"), "id"), "involved")
+        own = texts.join(involved, "rk").select("id", "text")
+        rows = lambda batch: [(i, shingle_hashes(t).tobytes()) for i, t in batch]
+        sets = written(per_row(own, "id long, hashes binary", rows, ["id", "text"]).groupBy("id").agg(F.min("hashes").alias("hashes")), "sets")
         edges = edges.unionByName(written(loose_edges(left, prints, sets), "verified"))
         roots = connected(edges)
         long = left.where(F.col("n") > CHUNK)
@@ -401,14 +404,11 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     one without an id stays only if its class has no other. Of equal rows one stays. A
     class's first row is found by sums, and no join has the class as its key."""
     names = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("rk", row_key("doc_id", "text"))
-
-    def rows(batch):
-        return [(i, k, loose_fingerprint(h), h.tobytes()) for i, k, h in ((i, k, shingle_hashes(t)) for i, k, t in batch)]
-
-    prints = written(per_row(names, "doc_id long, rk long, sig binary, hashes binary", rows, ["doc_id", "rk", "text"]), "simhash")
+    rows = lambda batch: [(i, k, loose_fingerprint(shingle_hashes(t))) for i, k, t in batch]
+    prints = written(per_row(names, "doc_id long, rk long, sig binary", rows, ["doc_id", "rk", "text"]), "simhash")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk")).alias("first")
     distinct = written(prints.groupBy("sig").agg(first).withColumns({"id": F.xxhash64("sig"), "rk": F.col("first.rk")}), "sigs")
-    roots = loose_roots(distinct, prints.select("rk", "hashes"))
+    roots = loose_roots(distinct, names.select("rk", "text"))
     kept = (
         distinct.join(roots, distinct["id"] == roots["node"], "left")
         .groupBy(F.coalesce("root", "id").alias("root"))
