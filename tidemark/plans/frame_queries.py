@@ -180,11 +180,11 @@ def nearest_entry(spark: SparkSession, d: str) -> DataFrame:
   SELECT *, row_number() OVER (PARTITION BY analysis_id ORDER BY frame_index) AS r FROM s
   WHERE frame_index % greatest(1, floor(fps / 2.0))::BIGINT = 0
 )
-SELECT analysis_id, frame_index, {round_sql("frame_index / fps", 2)} AS timestamp FROM k WHERE r <= 20""",
+SELECT analysis_id, frame_index, {round_sql("frame_index / fps", 2)} AS timestamp FROM k WHERE r <= 500""",
 )
 def frame_sampling(spark: SparkSession, d: str) -> DataFrame:
     fps = (5 + F.pmod("analysis_id", F.lit(26))).cast("double")
-    return O.sampled(D.frames(spark, d), fps, most=20).select("analysis_id", "frame_index", "timestamp")
+    return O.sampled(D.frames(spark, d), fps).select("analysis_id", "frame_index", "timestamp")
 
 
 @query(
