@@ -16,25 +16,65 @@ def values(spark, expr, data, ddl="x double"):
 
 
 def test_display(spark):
+    """At the edges of the rules: a minute, an hour, a unit of size, half a percent."""
     x = F.col("x")
-    assert values(spark, S.duration_text(x), [0.0, 45.0, 125.0, 90.7]) == ["0:00", "0:45", "2:05", "1:30"]
-    assert values(spark, S.percent_text(x), [1.0, 0.85, 0.876]) == ["100%", "85%", "88%"]
-    assert values(spark, S.timestamp_text(x), [0.0, 65.3, 59.96]) == ["0:00.0", "1:05.3", "0:60.0"]
-    sizes = [500, 2048, 5 * 2**20, int(2.5 * 2**30)]
-    assert values(spark, S.size_text(x), sizes, "x bigint") == ["500 B", "2.0 KB", "5.0 MB", "2.5 GB"]
-    assert values(spark, S.label(x), [0, 1, 2, 3, 4], "x int") == ["Poor", "Inadequate", "Adequate", "Excellent", None]
+    assert values(spark, S.duration_text(x), [59.999, 60.0, 3599.0, 3600.0]) == ["0:59", "1:00", "59:59", "60:00"]
+    assert values(spark, S.percent_text(x), [0.0, 0.004, 0.005, 0.333]) == ["0%", "0%", "1%", "33%"]
+    assert values(spark, S.timestamp_text(x), [9.04, 60.0, 119.5]) == ["0:09.0", "1:00.0", "1:59.5"]
+    sizes = [0, 1023, 1024, 1024**2 - 1, 1024**2, 3 * 1024**3]
+    assert values(spark, S.size_text(x), sizes, "x bigint") == ["0 B", "1023 B", "1.0 KB", "1024.0 KB", "1.0 MB", "3.0 GB"]
+    assert values(spark, S.label(x), [-1, *S.LABELS, 7], "x int") == [None, *S.LABELS.values(), None]
 
 
 def test_regions_and_sampling(spark):
-    df = spark.createDataFrame([(0.0, 0.0), (1.0, 60.0), (25.0, 60.0), (50.0, 60.0)], "t double, d double")
+    ratios = [0.0, 0.1999, 0.2, 0.6999, 0.7, 1.0, 1.5]
+    df = spark.createDataFrame([(200.0 * r, 200.0) for r in ratios] + [(7.0, None), (7.0, -1.0)], "t double, d double")
     got = [r[0] for r in df.select(S.region_by_progress(F.col("t"), F.col("d"))).collect()]
-    assert got == ["stomach", "esophagus", "stomach", "duodenum"]
-    assert values(spark, S.sampling_interval(F.col("x")), [30.0, 3.0, 0.0]) == [15, 1, 1]
+    want = [S.REGIONS[0 if r < 0.2 else 1 if r < 0.7 else 2] for r in ratios]
+    assert got == [*want, "stomach", "stomach"]
+    assert values(spark, S.sampling_interval(F.col("x")), [60.0, 25.0, 4.1, 3.9, 1.0]) == [30, 12, 2, 1, 1]
 
 
 def test_video_heads(spark):
-    heads = ["0000001c6674797069736f6d", "5249464600000000", "1a45dfa300000000", "89504e470d0a1a0a", "ffd8ffe000000000", "", "6674"]
-    assert values(spark, validation.is_video_file(F.unhex("x")), heads, "x string") == [True] * 3 + [False] * 4
+    """A signature counts where it stands at its own place, whatever follows."""
+    r = random.Random(4)
+    pad = lambda n: r.randbytes(n).hex()
+    good = [pad(4) + validation.FTYP + pad(k) for k in (0, 9)] + [m + pad(k) for m in (validation.RIFF, validation.EBML) for k in (0, 4)]
+    bad = [validation.FTYP + "00" * 8, "00" * 3 + validation.FTYP, "00" + validation.RIFF, validation.EBML[:6], "00" * 4 + validation.FTYP[:6], "ab" * 12]
+    assert values(spark, validation.is_video_file(F.unhex("x")), good + bad, "x string") == [True] * len(good) + [False] * len(bad)
+
+
+def test_paths_are_resolved(spark):
+    import posixpath
+
+    r = random.Random(5)
+    paths = ["/" + "/".join(r.choice(["data", "uploads", "..", ".", "", "x", "..x"]) for _ in range(r.randint(0, 8))) for _ in range(300)]
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    for p, own, inside in df.select("p", validation.resolved(F.col("p")), validation.confined(F.col("p"), "/data/uploads")).collect():
+        want = "/" + posixpath.normpath(p).lstrip("/")
+        assert own == want and inside == want.startswith("/data/uploads/")
+
+
+def test_job_transitions(spark, tmp_path):
+    from tidemark.sources import files
+
+    path = str(tmp_path / "log")
+    log = lambda: files.job_events(spark, path)
+    add = lambda events: files.append_events(events, path)
+    state = lambda: {r.job_id: (r.status, r.retry_count, r.progress, r.error) for r in jobs.current(log()).collect()}
+    uploads = spark.createDataFrame([("b", 2), ("a", 1)], "id string, k int").withColumn("at", F.timestamp_seconds(F.col("k")))
+    add(jobs.enqueued(uploads, "id", "at"))
+    assert state() == dict.fromkeys("ab", ("queued", 0, 0.0, None))
+    add(jobs.claimed(log()))
+    add(jobs.advanced(log(), spark.createDataFrame([("a", 0.25), ("a", 7.0)], "job_id string, progress double")))
+    assert state()["a"] == ("processing", 0, 0.25, None)
+    lost = spark.createDataFrame([("a", "disk"), ("b", "not running")], "job_id string, error string")
+    add(jobs.failed(log(), lost))
+    assert state()["a"] == ("queued", 1, 0.25, "disk") and state()["b"][0] == "queued"
+    add(jobs.claimed(log(), slots=2))
+    add(jobs.completed(log(), spark.createDataFrame([("b", "{}", "{}")], "job_id string, results string, metadata string")))
+    assert state() == {"a": ("processing", 1, 0.25, "disk"), "b": ("completed", 0, 1.0, None)}
+    assert jobs.claimed(log()).isEmpty() and jobs.failed(log().limit(0), lost).isEmpty()
 
 
 def test_flow_motion(spark):

@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import jobs
 from tidemark.schemas import JOB_EVENT, LIVE_FRAME
@@ -52,6 +53,54 @@ def test_smoothed_stream(spark, frames, tmp_path):
 def test_buckets(spark, frames, tmp_path):
     stream, batch = both(spark, frames, tmp_path, live.first_per_bucket)
     assert stream.count() == batch.count() == 3 * 32
+    assert stream.columns == batch.columns
+    least = {}
+    for r in spark.read.schema(LIVE_FRAME).parquet(frames).collect():
+        at = (r.session_id, int(r.video_time / 0.5))
+        least[at] = min(least.get(at, 99), r.frame_index)
+    for df in (stream, batch):
+        assert {(r.session_id, r.bucket): r.frame_index for r in df.collect()} == least
+
+
+def test_live_analysis(spark, tmp_path):
+    """Each frame against the one before it, also where a batch begins; late ones are left out."""
+    r = random.Random(8)
+    ddl = "session_id string, frame_index bigint, event_time timestamp, pixels array<double>"
+    known = {}
+    for part, numbers in enumerate([range(0, 4), range(4, 7), [2, 3, 7]]):
+        rows = []
+        for s in "ab":
+            for k in numbers:
+                pixels = [float(r.randint(0, 255)) for _ in range(8)] if k != 5 else known[s, 4]
+                known.setdefault((s, k), pixels)
+                rows.append((s, k, START + dt.timedelta(seconds=k), pixels))
+        spark.createDataFrame(rows, ddl).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    live.replayed(live.analysed(source), str(tmp_path / "out"), str(tmp_path / "state"))
+    got = {(x.session_id, x.frame_index): x for x in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert len(got) == 16
+    from tidemark.operators import frames as batch
+
+    table = spark.createDataFrame([(s, k, p) for (s, k), p in known.items()], "analysis_id string, frame_index bigint, pixels array<double>")
+    for want in batch.with_motion(batch.pixel_statistics(table)).collect():
+        x = got[want.analysis_id, want.frame_index]
+        assert (x.motion.direction, x.motion.confidence, x.motion.optical_flow_magnitude) == (want.direction, want.motion_confidence, want.magnitude)
+        assert x.region == "stomach" and x.type == "frame_result" and x.peace_score.score in range(4)
+    assert got["a", 0].motion.direction == got["a", 5].motion.direction == "stationary"
+
+
+def test_polling(spark, frames, tmp_path):
+    import time
+
+    query = live.polled(live.source(spark, frames), str(tmp_path / "out"), str(tmp_path / "state"), "200 milliseconds")
+    try:
+        deadline = time.time() + 60
+        while time.time() < deadline and not (query.lastProgress and query.lastProgress["batchId"] >= 1 and not query.status["isTriggerActive"]):
+            time.sleep(0.2)
+        assert query.isActive
+    finally:
+        query.stop()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 120
 
 
 def test_running_stats(spark, frames):
@@ -61,10 +110,18 @@ def test_running_stats(spark, frames):
 
 
 def test_sessions_close(spark, frames, tmp_path):
-    stream, batch = both(spark, frames, tmp_path, live.closed_sessions)
+    """Sessions a and b end ten minutes before c does, so a last frame beyond the watermark closes both."""
+    late = (START + dt.timedelta(hours=1)).replace(tzinfo=dt.UTC)
+    more = str(tmp_path / "in")
+    spark.read.schema(LIVE_FRAME).parquet(frames).write.parquet(more)
+    stream = live.closed_sessions(live.source(spark, more, files=9))
+    live.replayed(stream, str(tmp_path / "out"), str(tmp_path / "state"))
+    spark.createDataFrame([("d", 0, 0.0, late, 1, 0.5, "insertion", 0.7, None, [0.5, 0.5])], LIVE_FRAME).write.mode("append").parquet(more)
+    live.replayed(live.closed_sessions(live.source(spark, more, files=9)), str(tmp_path / "out"), str(tmp_path / "state"))
+    batch = live.closed_sessions(spark.read.schema(LIVE_FRAME).parquet(more)).where("session_id <> 'd'")
     final = {r.session_id: r.frames_analyzed for r in batch.collect()}
     assert final == {"a": 40, "b": 40, "c": 40}
-    assert {r.session_id for r in stream.collect()} <= set(final)
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(tuple, batch.collect()))
 
 
 def test_job_log(spark, tmp_path):
@@ -103,6 +160,47 @@ def test_images(spark, tmp_path):
     assert bytes(got["a.png"]) == b"\3\2\1" and got["b.png"] is None
 
 
+def png(path, pixels):
+    """pixels: rows of (red, green, blue)."""
+    import struct
+    import zlib
+
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    body = b"".join(b"\0" + bytes(c for pixel in row for c in pixel) for row in pixels)
+    head = struct.pack(">IIBBBBB", len(pixels[0]), len(pixels), 8, 2, 0, 0, 0)
+    path.write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(body)) + chunk(b"IEND", b""))
+
+
+def test_frames_are_loaded_in_one_size(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    png(tmp_path / "in" / "one.png", [[(10, 20, 30)] * 3] * 2)
+    png(tmp_path / "in" / "two.png", [[(0, 0, 0), (200, 100, 50)]])
+    got = {r.path.rpartition("/")[2]: r.pixels for r in files.loaded_frames(files.images(spark, str(tmp_path / "in")), 4).collect()}
+    assert got["one.png"] == [10, 20, 30] * 16
+    assert got["two.png"] == [0, 0, 0, 50, 25, 13, 150, 75, 38, 200, 100, 50] * 4
+    assert len(files.loaded_frames(files.images(spark, str(tmp_path / "in"))).first().pixels) == 224 * 224 * 3
+    (tmp_path / "in" / "bad.png").write_bytes(b"no image")
+    with pytest.raises(Exception, match="not an image"):
+        files.loaded_frames(files.images(spark, str(tmp_path / "in"))).collect()
+
+
+def test_uploads_are_stored_by_user(spark, tmp_path):
+    rows = [(1, "a", "x.mp4", b"123"), (2, "b", "y.mov", b""), (1, "c", "z.mp4", None)]
+    uploads = spark.createDataFrame(rows, "user_id int, id string, name string, content binary").withColumn("extra", F.lit(0))
+    files.store_uploads(uploads, str(tmp_path / "up"))
+    got = spark.read.parquet(str(tmp_path / "up")).where("user_id = 1").select("id", "size").collect()
+    assert sorted(map(tuple, got), key=str) == [("a", 3), ("c", None)]
+
+
+def test_a_missing_library_costs_its_own_queries_only():
+    import subprocess
+    import sys
+
+    code = "import sys; sys.modules['xxhash'] = None\nimport __spark_entry__ as e\nfrom tidemark.plans import catalog\nassert set(catalog.QUERIES) <= set(e.queries()) and set(e.oracle_sql()) >= set(catalog.ORACLE_SQL)"
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=False, timeout=120)
+    assert done.returncode == 0, done.stderr
+
+
 def test_frames_need_their_library(spark):
     video.register(spark)
     df = spark.read.format("frames").option("paths", "none.mp4").load()

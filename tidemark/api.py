@@ -12,7 +12,8 @@ from .streaming import live
 
 list_sessions = sessions.list_sessions
 list_users = sessions.search_users
-live_pipeline = live.smoothed
+live_pipeline = live.analysed
+smoothed_classes = live.smoothed
 finalize_live = validation.live_save
 
 

@@ -238,7 +238,17 @@ def cross_entropy(probabilities: Column, target: Column, weight: Column, smoothi
     return weight * ((1 - smoothing) * picked + smoothing * spread)
 
 
-# --- frame rules
+def two_head_loss(region: Column, score: Column, weights: tuple[float, float] = (1.0, 1.0)) -> Column:
+    """The weighted sum of a model's two losses."""
+    return weights[0] * region + weights[1] * score
+
+
+def elapsed_ms(start: Column, end: Column) -> Column:
+    """Milliseconds between two times, to one decimal."""
+    return rounded((F.unix_micros(end) - F.unix_micros(start)) / 1000, 1)
+
+
+# --- frame rules; their thresholds are fixed values
 
 
 def heuristic_score(brightness: Column, contrast: Column, limits=((50, 20), (100, 40)), bright=170) -> Column:

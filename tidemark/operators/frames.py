@@ -59,19 +59,20 @@ def pixel_statistics(frames: DataFrame, pixels: str = "pixels") -> DataFrame:
     """Mean, deviation, and against the frame before: mean absolute change and the
     mean shift of either half; the pixels themselves go no further."""
     order = Window.partitionBy("analysis_id").orderBy("frame_index")
-    x, before = F.col(pixels), F.col("_before")
+    return statistics_against(frames.withColumn("_before", F.lag(pixels).over(order)), pixels, "_before")
+
+
+def statistics_against(frames: DataFrame, pixels: str, previous: str) -> DataFrame:
+    """The same with the frame before at hand, null for a first one."""
+    x, before = F.col(pixels), F.col(previous)
     shift = lambda lower: S.mean(S.half(x, lower)) - S.mean(S.half(before, lower))
-    return (
-        frames.withColumn("_before", F.lag(pixels).over(order))
-        .withColumns({
-            "brightness": S.mean(x),
-            "contrast": S.deviation(x),
-            "change": F.when(before.isNotNull(), S.mean_change(x, before)),
-            "top_shift": F.when(before.isNotNull(), shift(False)),
-            "lower_shift": F.when(before.isNotNull(), shift(True)),
-        })
-        .drop("_before", pixels)
-    )
+    return frames.withColumns({
+        "brightness": S.mean(x),
+        "contrast": S.deviation(x),
+        "change": F.when(before.isNotNull(), S.mean_change(x, before)),
+        "top_shift": F.when(before.isNotNull(), shift(False)),
+        "lower_shift": F.when(before.isNotNull(), shift(True)),
+    }).drop(previous, pixels)
 
 
 def with_motion(stats: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_RETRIES = 3
@@ -50,6 +50,46 @@ def head(jobs: DataFrame, order: str, slots: int = 1) -> DataFrame:
     return jobs.where("status = 'queued'").orderBy(order, "job_id").limit(slots)
 
 
+def enqueued(uploads: DataFrame, job_id: str, at: str) -> DataFrame:
+    """The events that create jobs; all else about a new job follows from the fold."""
+    return uploads.select(
+        F.col(job_id).alias("job_id"), F.lit(0).cast("bigint").alias("seq"), F.col(at).alias("at"), F.lit("created").alias("kind"),
+        F.lit(None).cast("double").alias("progress"), *(F.lit(None).cast("string").alias(c) for c in ("error", "results", "metadata")),
+    )
+
+
+def _next(events: DataFrame, chosen: DataFrame, kind: str, **columns: Column) -> DataFrame:
+    """One event more for each chosen job, after all of its own; other columns are null."""
+    after = events.groupBy("job_id").agg((F.max("seq") + 1).alias("seq"))
+    given = {"kind": F.lit(kind), **columns}
+    names = [x for x in events.schema.fields if x.name not in ("job_id", "seq")]
+    own = [given.get(x.name, F.lit(None)).cast(x.dataType).alias(x.name) for x in names]
+    return chosen.select("job_id", *columns.keys() & set(chosen.columns)).join(after, "job_id").select("job_id", "seq", *own).select(*events.columns)
+
+
+def claimed(events: DataFrame, order: str = "created_seq", slots: int = 1) -> DataFrame:
+    """The events by which a worker takes the oldest queued jobs. The log has one
+    claiming worker; what it appends is seen by its next claim."""
+    return _next(events, head(current(events), order, slots), "claimed")
+
+
+def failed(events: DataFrame, attempts: DataFrame) -> DataFrame:
+    """The events of failed attempts (job_id, error) of running jobs; others are left out."""
+    running = current(events).where("status = 'processing'").select("job_id")
+    return _next(events, attempts.join(running, "job_id", "left_semi"), "failed", error=F.col("error"))
+
+
+def advanced(events: DataFrame, marks: DataFrame) -> DataFrame:
+    """The events of progress (job_id, progress between 0 and 1)."""
+    return _next(events, marks.where(F.col("progress").between(0, 1)), "progress", progress=F.col("progress"))
+
+
+def completed(events: DataFrame, results: DataFrame) -> DataFrame:
+    """The events that complete running jobs (job_id, results, metadata as JSON texts)."""
+    running = current(events).where("status = 'processing'").select("job_id")
+    return _next(events, results.join(running, "job_id", "left_semi"), "completed", results=F.col("results"), metadata=F.col("metadata"))
+
+
 def free_slots(items: DataFrame, order: str, most: int = 3) -> DataFrame:
     """The first pending items for the slots that active ones leave."""
     from pyspark.sql import Window

@@ -53,7 +53,8 @@ def class_weights(samples: DataFrame, label: str, classes: int) -> DataFrame:
     """N / (K n_c) for each class; null for a class without samples."""
     spark = samples.sparkSession
     dim = spark.range(classes).select(F.col("id").cast("int").alias(label))
-    counts = samples.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    # a row for each class, whatever labels there are
+    counts = samples.where(F.col(label).between(0, classes - 1)).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     total = Window.partitionBy()
     joined = dim.join(F.broadcast(counts), label, "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return joined.withColumn("weight", F.try_divide(F.sum("n").over(total).cast("double"), F.col("n") * classes))

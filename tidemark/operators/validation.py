@@ -52,8 +52,21 @@ def credential_errors(email: Column, password: Column, role: Column) -> Column:
     )
 
 
+def resolved(path: Column) -> Column:
+    """An absolute path without empty, ``.`` and ``..`` segments; ``..`` at the top stays there."""
+    kept = F.aggregate(
+        F.split(path, "/"),
+        F.array().cast("array<string>"),
+        lambda out, part: F.when(part.isin("", "."), out)
+        .when(part == "..", F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0))))
+        .otherwise(F.array_append(out, part)),
+    )
+    return F.concat(F.lit("/"), F.array_join(kept, "/"))
+
+
 def confined(path: Column, root: str) -> Column:
-    return path.startswith(root.rstrip("/") + "/") & ~path.contains("/../")
+    """Does an absolute path, once resolved, lie in the folder?"""
+    return F.startswith(resolved(path), F.lit(root.rstrip("/") + "/"))
 
 
 def route_decision(path: Column, signed_in: Column, role: Column) -> Column:

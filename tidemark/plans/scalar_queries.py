@@ -230,6 +230,23 @@ def form_checks(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+# Fixed paths by customer: each with what resolving it against /data/uploads gives.
+_PATHS = [
+    ("/data/uploads/a", True), ("/data/uploads/../x", False), ("/data/uploads/..", False), ("/data/uploads/a/../b", True), ("/data/./uploads//c", True),
+    ("/data/uploads/a/../../uploads/d", True), ("/data/uploads2/a", False), ("/../data/uploads/e", True), ("/etc/passwd", False), ("/data/uploads/..a", True), ("/data/uploads/", False),
+]
+
+
+@query(
+    "path_confinement",
+    "SELECT c_custkey AS id, CASE c_custkey % 11 " + " ".join(f"WHEN {k} THEN {str(x).lower()}" for k, (_, x) in enumerate(_PATHS)) + " END AS inside FROM customer",
+)
+def path_confinement(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    path = F.get(F.array(*(F.lit(p) for p, _ in _PATHS)), (k % 11).cast("int"))
+    return D.table(spark, d, "customer").select(k.alias("id"), V.confined(path, "/data/uploads").alias("inside"))
+
+
 @query(
     "live_saves",
     """SELECT filename, frames_analyzed, CASE WHEN k % 3 = 0 THEN NULL ELSE k % 4 END::DOUBLE AS overall_score FROM (

@@ -249,6 +249,54 @@ def job_recovery(spark: SparkSession, d: str) -> DataFrame:
     return J.recovered(J.current(D.job_events(spark, d)), most=12).select("job_id", "status", "retry_count")
 
 
+def _numbered(spark: SparkSession, d: str) -> DataFrame:
+    """The log with whole numbers for its order."""
+    return D.job_events(spark, d).withColumn("seq", F.col("seq.us"))
+
+
+@query(
+    "job_claim",
+    f"""WITH {D.JOB_EVENTS}, h AS (SELECT job_id FROM job_now WHERE status = 'queued' ORDER BY retry_count, job_id LIMIT 3)
+SELECT job_id, CASE WHEN job_id IN (SELECT job_id FROM h) THEN 'processing' ELSE status END AS status, retry_count FROM job_now""",
+)
+def job_claim(spark: SparkSession, d: str) -> DataFrame:
+    log = _numbered(spark, d)
+    return J.current(log.unionByName(J.claimed(log, "retry_count", slots=3))).select("job_id", "status", "retry_count")
+
+
+@query(
+    "job_failure",
+    f"""WITH {D.JOB_EVENTS}
+SELECT job_id, CASE WHEN status <> 'processing' THEN status WHEN retry_count + 1 >= 3 THEN 'failed' ELSE 'queued' END AS status,
+  retry_count + (status = 'processing')::INT AS retry_count, CASE WHEN status = 'processing' THEN 'lost ' || job_id ELSE error END AS error FROM job_now""",
+)
+def job_failure(spark: SparkSession, d: str) -> DataFrame:
+    log = _numbered(spark, d)
+    attempts = log.select("job_id", F.concat(F.lit("lost "), F.col("job_id").cast("string")).alias("error")).distinct()
+    return J.current(log.unionByName(J.failed(log, attempts))).select("job_id", "status", "retry_count", "error")
+
+
+@query(
+    "job_completion",
+    f"""WITH {D.JOB_EVENTS}
+SELECT job_id, CASE WHEN status = 'processing' THEN 'completed' ELSE status END AS status,
+  CASE WHEN status = 'processing' THEN 1.0 ELSE progress END::DOUBLE AS progress FROM job_now""",
+)
+def job_completion(spark: SparkSession, d: str) -> DataFrame:
+    log = _numbered(spark, d)
+    results = log.select("job_id", F.lit("{}").alias("results"), F.lit("{}").alias("metadata")).distinct()
+    return J.current(log.unionByName(J.completed(log, results))).select("job_id", "status", "progress")
+
+
+@query(
+    "job_enqueue",
+    """SELECT 'job-' || o_orderkey AS job_id, 'queued' AS status, 0::BIGINT AS retry_count, 0.0::DOUBLE AS progress FROM orders""",
+)
+def job_enqueue(spark: SparkSession, d: str) -> DataFrame:
+    uploads = D.table(spark, d, "orders").select(F.concat(F.lit("job-"), F.col("o_orderkey").cast("string")).alias("job_id"), F.col("o_orderdate").alias("at"))
+    return J.current(J.enqueued(uploads, "job_id", "at")).select("job_id", "status", "retry_count", "progress")
+
+
 @query(
     "claim_head",
     f"""WITH {D.JOB_EVENTS} SELECT job_id, retry_count FROM job_now WHERE status = 'queued' ORDER BY retry_count, job_id LIMIT 1""",
@@ -326,6 +374,15 @@ def user_patch(spark: SparkSession, d: str) -> DataFrame:
     return O.patched(D.users(spark, d), patches, actor=50)
 
 
+@query(
+    "user_deletion",
+    f"""WITH {D.USERS} SELECT id, role FROM users WHERE id = 50 OR id NOT IN (SELECT s_suppkey FROM supplier)""",
+)
+def user_deletion(spark: SparkSession, d: str) -> DataFrame:
+    ids = D.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"))
+    return O.without_users(D.users(spark, d), ids, actor=50).select("id", "role")
+
+
 @query(
     "seed_users",
     """SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey < 50
@@ -392,11 +449,11 @@ def session_close(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "active_on_page",
-    f"""WITH {D.SESSIONS}, p AS (SELECT * FROM sessions WHERE user_id < 50 ORDER BY created_at DESC NULLS FIRST, id LIMIT 60)
+    f"""WITH {D.SESSIONS}, p AS (SELECT * FROM sessions ORDER BY created_at DESC NULLS FIRST, id LIMIT 60)
 SELECT id, analysis_id FROM p WHERE status IN ('processing', 'queued')""",
 )
 def active_on_page(spark: SparkSession, d: str) -> DataFrame:
-    page = O.page(O.ordered(D.sessions(spark, d).where("user_id < 50")), size=60)
+    page = O.page(O.ordered(D.sessions(spark, d)), size=60)
     return page.where(F.col("status").isin(O.STATUSES["processing"])).select("id", "analysis_id")
 
 

@@ -68,10 +68,7 @@ def class_weights(spark: SparkSession, d: str) -> DataFrame:
     f"WITH {D.SAMPLES} SELECT video, count(*) AS n, min(doc_id) AS first, max(doc_id) AS last FROM samples GROUP BY video",
 )
 def group_samples(spark: SparkSession, d: str) -> DataFrame:
-    grouped = D.samples(spark, d).groupBy("video").agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
-    return grouped.select(
-        "video", F.size("ids").cast("bigint").alias("n"), F.get("ids", F.lit(0)).alias("first"), F.get("ids", F.size("ids") - 1).alias("last")
-    )
+    return D.samples(spark, d).groupBy("video").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
 
 
 @query(
@@ -105,6 +102,31 @@ def kfold_macro(spark: SparkSession, d: str) -> DataFrame:
     return O.macro(folds, "accuracy").select("folds", F.floor(F.col("accuracy") * 1e9 + 0.5).alias("accuracy_ppb"))
 
 
+@query(
+    "kfold_each",
+    f"""WITH {D.SAMPLES}, {D.SPLIT} SELECT (r % 5)::INT AS fold, count(*) AS n, sum((quality = toxic)::INT)::BIGINT AS correct, avg((quality = toxic)::INT) AS accuracy
+FROM samples JOIN ranks USING (video) GROUP BY 1""",
+)
+def kfold_each(spark: SparkSession, d: str) -> DataFrame:
+    return O.accuracy(O.kfold(D.samples(spark, d), "video"), "quality", "toxic", ["fold"])
+
+
+@query(
+    "two_head_loss",
+    """WITH p AS (SELECT vec_id, label % 4 AS t, label % 3 AS u, list_transform(embedding[4:7], lambda x: exp(x::DOUBLE)) AS e, list_transform(embedding[1:3], lambda x: exp(x::DOUBLE)) AS f FROM embeddings),
+q AS (SELECT vec_id, t, u, list_transform(e, lambda x: x / list_sum(e)) AS p, list_transform(f, lambda x: x / list_sum(f)) AS q FROM p),
+l AS (SELECT vec_id, 0.9 * -ln(p[t + 1]) + 0.1 * list_sum(list_transform(p, lambda x: -ln(x))) / 4 AS score,
+  0.9 * -ln(q[u + 1]) + 0.1 * list_sum(list_transform(q, lambda x: -ln(x))) / 3 AS region FROM q)
+SELECT vec_id, floor((0.5 * region + 2.0 * score) * 1e6 + 0.5)::BIGINT AS loss_ppm FROM l""",
+)
+def two_head_loss(spark: SparkSession, d: str) -> DataFrame:
+    head = lambda first, n: S.softmax(F.slice("embedding", first, n).cast("array<double>"))
+    target = lambda n: F.pmod("label", F.lit(n))
+    rows = D.table(spark, d, "embeddings").select("vec_id", head(4, 4).alias("p"), target(4).alias("t"), head(1, 3).alias("q"), target(3).alias("u"))
+    score, region = S.cross_entropy(F.col("p"), F.col("t"), F.lit(1.0)), S.cross_entropy(F.col("q"), F.col("u"), F.lit(1.0))
+    return rows.select("vec_id", F.floor(S.two_head_loss(region, score, (0.5, 2.0)) * 1e6 + 0.5).alias("loss_ppm"))
+
+
 @query(
     "tta_mean",
     """WITH v AS (SELECT vec_id // 3 AS sample, vec_id % 3 AS view, embedding[1:3] AS l FROM embeddings),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +24,28 @@ def images(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def loaded_frames(read: DataFrame, size: int = 224) -> DataFrame:
+    """``images`` as (path, pixels): size x size in red-green-blue order, by bilinear
+    interpolation between pixel centres; a file that can't be read is an error."""
+
+    @F.pandas_udf("array<int>")
+    def resized(heights: pd.Series, widths: pd.Series, data: pd.Series) -> pd.Series:
+        out = []
+        for h, w, raw in zip(heights, widths, data, strict=True):
+            x = np.frombuffer(raw, np.uint8).reshape(h, w, -1)
+            x = np.repeat(x, 3, axis=2) if x.shape[2] == 1 else x[:, :, 2::-1]
+            for axis, n in ((0, h), (1, w)):
+                at = np.clip((np.arange(size) + 0.5) * n / size - 0.5, 0, n - 1)
+                low = np.floor(at).astype(int)
+                part = (at - low).reshape([-1 if k == axis else 1 for k in range(3)])
+                x = np.take(x, low, axis) * (1 - part) + np.take(x, np.minimum(low + 1, n - 1), axis) * part
+            out.append(np.floor(x + 0.5).astype(np.int32).ravel())
+        return pd.Series(out)
+
+    known = F.when(F.col("pixels").isNotNull(), F.col("pixels")).otherwise(F.raise_error(F.concat(F.lit("not an image: "), F.col("path"))).cast("binary"))
+    return read.select("path", resized("height", "width", known).alias("pixels"))
+
+
 def labelled_files(spark: SparkSession, root: str) -> DataFrame:
     """(path, name, region, score, video, frame) of the image files in folders named
     region_score; other folders and files are left out. Contents aren't read."""
@@ -38,6 +62,12 @@ def byte_range(files: DataFrame, start: int, length: int) -> DataFrame:
     return files.select("path", F.substring("content", start + 1, length).alias("part"))
 
 
+def store_uploads(uploads: DataFrame, path: str) -> None:
+    """Admitted uploads (user_id, id, name, content) into a folder for each user, as rows
+    of Parquet with their content; a repeated write of a batch replaces nothing."""
+    uploads.select("user_id", "id", "name", "content", F.octet_length("content").alias("size")).write.mode("append").partitionBy("user_id").parquet(path)
+
+
 def append_events(events: DataFrame, path: str) -> None:
     """Job events are only ever added."""
     events.select(*JOB_EVENT_COLUMNS).write.mode("append").parquet(path)
