@@ -19,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     ``spark.checkpoint.dir``; where that is unset (tests), an own one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="tidemark-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
@@ -42,21 +44,29 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+#: Rows that a function gets at once: what it makes of them is held beside them.
+ROWS = 1024
+
+
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def per_row(
     df: DataFrame,
     schema: str,
     f: Callable[[list], list[tuple]],
     inputs: list[str],
 ) -> DataFrame:
-    """Apply ``f`` to lists of input tuples, an Arrow batch at a time. Each
-    returned tuple is a row of ``schema``; rows are made where they are read,
-    with no shuffle, and memory is bounded by a batch."""
+    """Apply ``f`` to lists of ROWS input tuples. Each returned tuple is a row of
+    ``schema``; rows are made where they are read, with no shuffle, and memory is
+    bounded by an Arrow batch."""
     target = arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in sliced(batches):
             rows = f(list(zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True)))
             columns = list(zip(*rows, strict=True)) or [()] * len(target)
             yield pa.RecordBatch.from_arrays(
@@ -100,9 +110,7 @@ def add_columns(df: DataFrame, added: str, f: Callable[[list], list[tuple]], inp
     target, k = to_arrow_schema(new), len(carried)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in sliced(batches):
             columns = batch.columns
             rows = f(list(zip(*(c.to_pylist() for c in columns[k:]), strict=True)))
             made = [pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), target, strict=True)]

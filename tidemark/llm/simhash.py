@@ -299,6 +299,7 @@ def key_rows(prints: DataFrame) -> DataFrame:
             key |= np.arange(KEYS, dtype=np.int64) << 8 * KEY_BYTES
             ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), KEYS)
             yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(ids)], schema=target)
+        returned()
 
     return prints.select("id", "sig").mapInArrow(run, "key long, id long")
 
@@ -415,7 +416,9 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         .agg(F.min("first").alias("first"))
         .select(F.col("first.rk").alias(own := f"_rk{uuid.uuid4().hex}"))
     )
-    left = docs.withColumn(own, row_key("doc_id", "text")).join(kept, own, "left_semi")
+    # what goes is less than what stays, and of known size: a small table is sent to the documents
+    gone = written(prints.select(F.col("rk").alias(own)).distinct().join(kept, own, "left_anti"), "gone")
+    left = docs.withColumn(own, row_key("doc_id", "text")).join(gone, own, "left_anti")
     repeated = written(prints.groupBy(F.col("rk").alias(own)).count().where("count > 1").select(own), "repeated")
     return _one_each(left, repeated, docs.columns, own)
 
