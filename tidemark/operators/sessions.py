@@ -162,7 +162,7 @@ def patched(users: DataFrame, patches: DataFrame, actor=None) -> DataFrame:
     )
 
 
-def without_users(users: DataFrame, ids: DataFrame, actor) -> DataFrame:
+def deleted_users(users: DataFrame, ids: DataFrame, actor) -> DataFrame:
     """Users that are left after an administrator deleted those in ``ids``; nobody deletes
     the own account."""
     return users.join(ids.where(F.col("id") != actor).select("id"), "id", "left_anti")

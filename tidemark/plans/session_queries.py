@@ -380,7 +380,7 @@ def user_patch(spark: SparkSession, d: str) -> DataFrame:
 )
 def user_deletion(spark: SparkSession, d: str) -> DataFrame:
     ids = D.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"))
-    return O.without_users(D.users(spark, d), ids, actor=50).select("id", "role")
+    return O.deleted_users(D.users(spark, d), ids, actor=50).select("id", "role")
 
 
 @query(
