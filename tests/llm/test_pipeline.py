@@ -1,5 +1,7 @@
 """The whole pipeline against plain versions of its stages; the entry with and without it."""
 
+import hashlib
+
 import duckdb
 import pandas as pd
 
@@ -45,10 +47,11 @@ def test_pipeline_equals_plain_stages(spark, tmp_path):
     for i, text, source in left:
         new = made.replaced(text)[0]
         ids = known.encode(new, add_special_tokens=False).ids
-        want.append((i, new, "en", source, len(new), ids, len(ids)))
+        decoded = hashlib.sha256(known.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+        want.append((i, new, "en", source, len(new), ids, len(ids), decoded))
 
     got = corpus_pipeline.run(spark, str(tmp_path))
-    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "ids", "n_tokens"]
+    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "ids", "n_tokens", "decoded_sha256"]
     assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want))
     assert not any("ann.3" in r["text"] for r in got.collect()) and 821 not in {r["doc_id"] for r in got.collect()}
 

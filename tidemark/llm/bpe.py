@@ -246,6 +246,10 @@ def default_path() -> str:
     return public_tokenizers.path(NAME)
 
 
+def decoded_digest(own: Codec, ids: np.ndarray) -> str:
+    return sha256(own.decode(ids.tolist()).encode("utf-8", "surrogatepass")).hexdigest()
+
+
 def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """Per row: doc_id, the number of ids, and digests of ids and decoded text."""
 
@@ -254,22 +258,24 @@ def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: s
             own.append(codec(path or default_path()))
         ids = own[0].batch([t or "" for _, t in batch])
         return [
-            (i, len(x), sha256(x.tobytes()).hexdigest(), sha256(own[0].decode(x.tolist()).encode("utf-8", "surrogatepass")).hexdigest())
+            (i, len(x), sha256(x.tobytes()).hexdigest(), decoded_digest(own[0], x))
             for (i, _), x in zip(batch, ids, strict=True)
         ]
 
     return per_row(docs, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", rows, [doc_id, text])
 
 
-def encode(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
-    """``docs`` with ``ids`` (array<int>) and ``n_tokens``."""
+def encode(docs: DataFrame, text: str = "text", path: str | None = None, decoded: bool = False) -> DataFrame:
+    """``docs`` with ``ids`` (array<int>) and ``n_tokens``; if asked for, with ``decoded_sha256``, the
+    digest of the text that the ids are decoded to."""
 
     def rows(batch, own=[]):  # noqa: B006
         if not own:
             own.append(codec(path or default_path()))
-        return [(ids.astype(np.int32), len(ids)) for ids in own[0].batch([t or "" for (t,) in batch])]
+        made = ((x.astype(np.int32), len(x)) for x in own[0].batch([t or "" for (t,) in batch]))
+        return [(*r, decoded_digest(own[0], r[0])) for r in made] if decoded else list(made)
 
-    return add_columns(docs, "ids array<int>, n_tokens long", rows, [text])
+    return add_columns(docs, "ids array<int>, n_tokens long" + ", decoded_sha256 string" * decoded, rows, [text])
 
 
 def decode(docs: DataFrame, ids: str = "ids", path: str | None = None) -> DataFrame:
@@ -287,4 +293,5 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return encode(docs)
+    """Encodes, and decodes what it encoded: ``decoded_sha256`` tells a reader of the ids what they stand for."""
+    return encode(docs, decoded=True)
