@@ -252,6 +252,8 @@ LOOSE_SHARED, SURE_SHARED = int(_MEAN - 3 * _DEVIATION), int(_MEAN + 3 * _DEVIAT
 #: Members of a list linked in one task; longer lists are dealt to chunks, each with
 #: about LEADERS members that all chunks have.
 CHUNK, LEADERS = 2048, 32
+#: Rows of two longs that are broadcast at most: 32 MB.
+SENT = 2 << 20
 _ORDERS = np.random.default_rng(SEED).integers(0, 1 << 64, LOOSE_POSITIONS, np.uint64, endpoint=False) | np.uint64(1)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -385,9 +387,10 @@ def loose_roots(prints: DataFrame, texts: DataFrame) -> DataFrame:
     for _ in range(2):
         open_lists = lists(members, (F.min("root") < F.max("root")).alias("open")).where("open").select("key", "n")
         left = written(members.drop("n").join(open_lists, "key"), "open")
-        # a table of known size: small ones are sent to the texts, not the texts to them
+        # of known size: up to SENT rows are sent to the texts, where more have the texts dealt to them
         involved = written(left.select("id").distinct().join(prints.select("id", "rk"), "id"), "involved")
-        own = texts.join(involved, "rk").select("id", "text")
+        small = involved.count() <= SENT
+        own = texts.join(F.broadcast(involved) if small else involved, "rk").select("id", "text")
         rows = lambda batch: [(i, shingle_hashes(t).tobytes()) for i, t in batch]
         sets = written(per_row(own, "id long, hashes binary", rows, ["id", "text"]).groupBy("id").agg(F.min("hashes").alias("hashes")), "sets")
         edges = edges.unionByName(written(loose_edges(left, prints, sets), "verified"))
