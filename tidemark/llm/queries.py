@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, mincut, pii, quality, rangecoder, secrets, simhash, suffixes, warc, winnowing
+from . import bpe, interaction, mincut, pii, quality, rangecoder, secrets, simhash, suffixes, warc, winnowing
 
 QUERIES = {
     "op1_range_coder": rangecoder.op1,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_quality_rules": quality.op8,
     "op9_surrogates": pii.op9,
     "op10_warc_archive": warc.op10,
+    "op11_interaction": interaction.op11,
 }
 ORACLE_SQL = {
     "op6_winnowing": winnowing.SQL,
     "op7_suffix_family": suffixes.SQL,
     "op8_quality_rules": quality.SQL,
     "op10_warc_archive": warc.SQL,
+    "op11_interaction": interaction.SQL,
 }
