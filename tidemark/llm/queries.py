@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, interaction, mincut, pii, quality, rangecoder, secrets, simhash, suffixes, toxicity, warc, winnowing
+from . import bpe, interaction, mincut, pii, quality, rangecoder, repair, secrets, simhash, suffixes, toxicity, warc, winnowing
 
 QUERIES = {
     "op1_range_coder": rangecoder.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_surrogates": pii.op9,
     "op10_warc_archive": warc.op10,
     "op11_interaction": interaction.op11,
+    "op12_earley_repair": repair.op12,
     "op13_toxic_segments": toxicity.op13,
 }
 ORACLE_SQL = {
