@@ -19,7 +19,8 @@ _plugins: dict[tuple[str, str], Callable[..., Column]] = {}
 
 
 def register(kind: str, name: str, plugin: Callable[..., Column]) -> None:
-    """kind: classifier, motion or region."""
+    """kind: classifier (brightness, contrast), motion (change, shifts, coin), region (time, duration),
+    model (pixels: probabilities of regions and scores) or pairwise (pixels, the frame before, frame number)."""
     _plugins[kind, name] = plugin
 
 
@@ -42,6 +43,25 @@ def batch_model(load: Callable[[], Callable[[pd.Series], pd.DataFrame]], returns
     return predict
 
 
+def _pairwise(pixels: Column, previous: Column, number: Column) -> Column:
+    change = S.mean_change(pixels, previous)
+    shift = lambda lower: S.mean(S.half(pixels, lower)) - S.mean(S.half(previous, lower))
+    return F.struct(
+        S.heuristic_motion(change, shift(False), shift(True), F.pmod(number, F.lit(2)) == 0).alias("direction"),
+        S.rounded(S.heuristic_confidence(change), 2).alias("confidence"),
+        S.rounded(change, 1).alias("optical_flow_magnitude"),
+    )
+
+
+def _bands(pixels: Column) -> Column:
+    """A stand-in for a trained model: how bright the bands of a frame are."""
+    return F.struct(
+        S.softmax(S.band_means(pixels, 3, 0.01)).alias("region_probs"), S.softmax(S.band_means(pixels, 4, 0.01)).alias("score_probs")
+    )
+
+
+register("model", "bands", _bands)
+register("pairwise", "heuristic", _pairwise)
 register("classifier", "heuristic", lambda brightness, contrast: S.heuristic_score(brightness, contrast))
 register("motion", "heuristic", S.heuristic_motion)
 register("motion", "flow", S.flow_motion)

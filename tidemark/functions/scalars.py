@@ -201,6 +201,12 @@ def mean(values: Column) -> Column:
     return total(values) / F.size(values)
 
 
+def band_means(values: Column, bands: int, scale: float = 1.0) -> Column:
+    """The means of equal bands, what is over left out, times ``scale``."""
+    n = (F.size(values) / bands).cast("int")
+    return F.array(*(mean(F.slice(values, n * k + 1, n)) * scale for k in range(bands)))
+
+
 def deviation(values: Column) -> Column:
     """Population standard deviation."""
     return F.transform(

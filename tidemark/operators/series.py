@@ -73,13 +73,13 @@ def consensus(frames: DataFrame, size: int = 3, least: int = 60) -> DataFrame:
     return frames.withColumn("consensus", F.when(agree, F.col("direction")).otherwise("stationary"))
 
 
-def smoothed(frames: DataFrame, values: str, alpha: float = 0.3, to: str = "smoothed") -> DataFrame:
+def smoothed(frames: DataFrame, values: str, alpha: float = 0.3, to: str = "smoothed", by: str = BY) -> DataFrame:
     """Exponential averages of array values: s = alpha x + (1 - alpha) s, from the
     first x. What lies further back than ``reach`` frames weighs less than a
     double's last bit, so a bounded window gives the same numbers, and no video
     is gathered whole."""
     reach = ceil(log(1e-18) / log(1 - alpha))
-    w = _order().rowsBetween(-reach, 0)
+    w = _order(by).rowsBetween(-reach, 0)
     step = lambda s, x: F.zip_with(s, x, lambda a, b: alpha * b + (1 - alpha) * a)
     seen = F.collect_list(values).over(w)
     return frames.withColumn("_seen", seen).withColumn(

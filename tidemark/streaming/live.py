@@ -14,11 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import scalars as S
-from ..operators import frames as frame_rules
 from ..schemas import LIVE_FRAME
+from .connection import answered as analysed  # noqa: F401
 
 LATE = "10 minutes"
 
@@ -55,47 +54,6 @@ def first_per_bucket(frames: DataFrame, width: float = 0.5, idle: str = "30 minu
     return own.groupBy("session_id").applyInPandasWithState(step, marked.schema, "last bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def with_previous(frames: DataFrame, pixels: str = "pixels", idle: str = "30 minutes") -> DataFrame:
-    """Each frame with the pixels of the one before it in its session, and whether it is
-    the first; late frames are left out. The state holds one frame for each session."""
-    out = StructType([*frames.schema.fields, StructField("previous", frames.schema[pixels].dataType), StructField("n", LongType())])
-    names = out.names
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        n, last, before = state.get if state.exists else (0, -1, None)
-        rows = pd.concat(list(batches)).sort_values("frame_index", kind="stable").drop_duplicates("frame_index")
-        rows = rows[rows["frame_index"] > last]
-        if not len(rows):
-            return
-        rows = rows.assign(previous=[before, *rows[pixels].tolist()[:-1]], n=range(n, n + len(rows)))
-        state.update((n + len(rows), int(rows["frame_index"].iloc[-1]), [float(x) for x in rows[pixels].iloc[-1]]))
-        state.setTimeoutTimestamp(max(int(rows["event_time"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + _milliseconds(idle))
-        yield rows[names]
-
-    own = frames.withWatermark("event_time", LATE)
-    return own.groupBy("session_id").applyInPandasWithState(step, out, "n bigint, last bigint, before array<double>", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def analysed(frames: DataFrame, pixels: str = "pixels") -> DataFrame:
-    """What a live connection answers for each frame: its number, score, motion against the
-    frame before, and region. A live session has no duration, so its region is that of an
-    unknown one. frames: session_id, frame_index, event_time, pixels."""
-    stats = frame_rules.with_motion(frame_rules.statistics_against(with_previous(frames, pixels), pixels, "previous"))
-    score = S.heuristic_score(F.col("brightness"), F.col("contrast"))
-    return stats.select(
-        "session_id",
-        F.lit("frame_result").alias("type"),
-        F.col("n").alias("frame_index"),
-        F.col("event_time").alias("timestamp"),
-        F.struct(score.alias("score"), S.label(score).alias("label")).alias("peace_score"),
-        F.struct("direction", F.col("motion_confidence").alias("confidence"), F.col("magnitude").alias("optical_flow_magnitude")).alias("motion"),
-        S.region_by_progress(F.lit(0.0), F.lit(0.0)).alias("region"),
-    )
-
-
 def running_stats(frames: DataFrame) -> DataFrame:
     """Least, greatest and mean score so far, and by region, for update mode."""
     return frames.groupBy("session_id", F.coalesce("region", F.lit("stomach")).alias("region")).agg(
