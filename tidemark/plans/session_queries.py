@@ -246,7 +246,8 @@ SELECT job_id, CASE WHEN status = 'processing' AND retry_count < 12 THEN 'queued
 FROM job_now""",
 )
 def job_recovery(spark: SparkSession, d: str) -> DataFrame:
-    return J.recovered(J.current(D.job_events(spark, d)), most=12).select("job_id", "status", "retry_count")
+    log = _numbered(spark, d)
+    return J.current(log.unionByName(J.recoveries(log, most=12)), most=3).select("job_id", "status", "retry_count")
 
 
 def _numbered(spark: SparkSession, d: str) -> DataFrame:
@@ -264,6 +265,30 @@ def job_claim(spark: SparkSession, d: str) -> DataFrame:
     return J.current(log.unionByName(J.claimed(log, "retry_count", slots=3))).select("job_id", "status", "retry_count")
 
 
+@query(
+    "job_claims_settled",
+    f"""WITH {D.JOB_EVENTS}, h AS (SELECT job_id, row_number() OVER (ORDER BY retry_count, job_id) AS r FROM job_now WHERE status = 'queued')
+SELECT job_id, CASE WHEN r <= 7 THEN 'processing' ELSE job_now.status END AS status, CASE WHEN r <= 3 THEN 'w1' WHEN r <= 7 THEN 'w0' END AS owner
+FROM job_now LEFT JOIN h USING (job_id)""",
+)
+def job_claims_settled(spark: SparkSession, d: str) -> DataFrame:
+    """Two workers claim from the same log, 3 and 7 jobs; the first one's commit has the lower version."""
+    log = _numbered(spark, d).withColumns({"token": F.lit(None).cast("string"), "version": F.lit(0)})
+    claims = [J.claimed(log, "retry_count", n, f"w{2 - v}").withColumn("version", F.lit(v)) for v, n in ((1, 3), (2, 7))]
+    return J.current(log.unionByName(claims[0]).unionByName(claims[1])).select("job_id", "status", "owner")
+
+
+@query(
+    "job_snapshot_fold",
+    f"""WITH {D.JOB_EVENTS} SELECT job_id, retry_count, status, progress, error FROM job_now""",
+)
+def job_snapshot_fold(spark: SparkSession, d: str) -> DataFrame:
+    """A snapshot of the earlier part of the log, folded on with the rest."""
+    log = D.job_events(spark, d)
+    early = F.col("seq.event_id") % 3 > 0  # any part will do: places tell the order
+    return J.current(log.where(~early), snapshot=J.folded(log.where(early))).select("job_id", "retry_count", "status", "progress", "error")
+
+
 @query(
     "job_failure",
     f"""WITH {D.JOB_EVENTS}

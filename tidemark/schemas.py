@@ -31,6 +31,8 @@ USER = (
 JOB_EVENT = (
     "job_id string, seq bigint, at timestamp, kind string, progress double, error string, results string, metadata string"
 )
+#: Events of a log with several workers, and the version that each came in with.
+LOG_EVENT = f"{JOB_EVENT}, token string"
 LIVE_FRAME = (
     "session_id string, frame_index bigint, video_time double, event_time timestamp, score int, "
     "confidence double, direction string, direction_confidence double, region string, probs array<double>"
