@@ -14,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import scalars as S
+from .optical_flow import flow_pairwise
 
 _plugins: dict[tuple[str, str], Callable[..., Column]] = {}
 
@@ -62,6 +63,7 @@ def _bands(pixels: Column) -> Column:
 
 register("model", "bands", _bands)
 register("pairwise", "heuristic", _pairwise)
+register("pairwise", "flow", flow_pairwise)
 register("classifier", "heuristic", lambda brightness, contrast: S.heuristic_score(brightness, contrast))
 register("motion", "heuristic", S.heuristic_motion)
 register("motion", "flow", S.flow_motion)

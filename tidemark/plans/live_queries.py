@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
+from ..functions.optical_flow import flow_statistics
 from ..operators import answers
 from . import domain as D
 from .frame_queries import _STATS, round_sql
@@ -56,3 +58,29 @@ def live_results(spark: SparkSession, d: str) -> DataFrame:
         "session_id", "frame_index", "peace_score.score", "peace_score.confidence", "peace_score.label", "region",
         "motion.direction", F.col("motion.confidence").alias("motion_confidence"),
     )
+
+
+def _texture(key, right, down, side: int = 40):
+    """A square frame of three waves that depend on ``key``, moved right and down by parts of a pixel."""
+    x, y = lambda i: i % side - right, lambda i: F.floor(i / side) - down
+    wave = lambda i, a, b: 30 * F.sin(a * x(i) + b * y(i) + key)
+    return F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda i: 128 + wave(i, 0.35, 0.1) + wave(i, -0.12, 0.4) + wave(i, 0.25, -0.3))
+
+
+@query(
+    "flow_shifts",
+    """WITH m AS (SELECT s_suppkey, (s_suppkey % 9 - 4) / 2 AS dx, (s_nationkey % 9 - 4) / 2 AS dy FROM supplier), n AS (SELECT *, sqrt(dx * dx + dy * dy) AS m FROM m)
+SELECT s_suppkey, dx::DOUBLE AS dx, dy::DOUBLE AS dy, CASE WHEN m < 1.5 OR abs(dy / (m + 1e-6)) < 0.4 THEN 'stationary' WHEN dy > 0 THEN 'insertion' ELSE 'withdrawal' END AS direction FROM n""",
+)
+def flow_shifts(spark: SparkSession, d: str) -> DataFrame:
+    """Each supplier's frame and the same moved by halves of a pixel: the flow finds how far."""
+    key = F.col("s_suppkey")
+    frames = D.table(spark, d, "supplier").select(
+        "s_suppkey",
+        _texture(key, F.lit(0), F.lit(0)).alias("before"),
+        _texture(key, (key % 9 - 4) / 2, (F.col("s_nationkey") % 9 - 4) / 2).alias("after"),
+    )
+    half = lambda c: (F.floor(F.col(f"flow.{c}") * 2 + 0.5) / 2 + 0.0).cast("double")
+    found = frames.select("s_suppkey", flow_statistics("before", "after", F.lit(8)).alias("flow"))
+    moved = found.select("s_suppkey", half("horizontal").alias("dx"), half("vertical").alias("dy"))
+    return moved.withColumn("direction", S.flow_motion(F.hypot("dx", "dy"), F.col("dy"))["direction"])
