@@ -9,13 +9,15 @@ to join and nothing that depends on a document's other entities:
   of an address, and the letters and digits of a mailbox are permuted within their
   form. A permutation is f^-1(f(x) + 1) for a keyed Feistel network f: a single cycle,
   so no value is its own surrogate. Values that a type excludes are stepped over along
-  the cycle, which leaves a permutation of the others: the collision check.
+  the cycle, which leaves a permutation of the others: the collision check. Forms of more
+  than 256 bits are permuted as rows of symbols, in time linear in their length.
 * A common name (``NAMES``: given names by script and gender, surnames) becomes one of
   the rarer names of its kind (``STAND_INS``). Any other name is numbered among all names
   up to its length, the number permuted within the length and spelled as syllables of its
   script before its own last letter, which carries gender. No stand-in is such a word,
-  and names with letters beyond the script's are permuted letter by letter: images of
-  the three ways never meet.
+  names with letters beyond the script's are permuted letter by letter, and so are those of
+  more than 256 bits, which get a doubled consonant before their last letter: images of
+  the four ways never meet.
 
 Kept as they are: separators, letter case, country codes and trunk zeros, the script of
 digits, a card's first digit (two of cards that start with 2) and whether its check
@@ -25,8 +27,9 @@ mail domains reserved for examples, top-level domains, a name's script and title
 Mentions that differ only in case or separators get the same surrogate.
 
 Persons are found after a title, by a given name of the stock before a capitalised
-word, and wherever the document repeats a word so found. Of the words after the first,
-those that the document also has in lower case end the name. Names in scripts without
+word, and wherever the document repeats a word so found; a given name that is a stand-in counts
+only in a document where a person is found otherwise. Of the words after the first,
+those that the document also has in lower case end the name; a name in capitals ends after two words. Names in scripts without
 letter case stay.
 
 The key comes from ``spark.tidemark.surrogates.key``; where that is unset, it is drawn
@@ -41,9 +44,9 @@ from __future__ import annotations
 
 import re
 import secrets
-from hashlib import blake2b, sha256
+from hashlib import blake2b, sha256, shake_256
 from ipaddress import IPv6Address
-from math import isqrt
+from math import isqrt, log2
 
 import numpy as np
 import regex
@@ -57,7 +60,7 @@ ROUNDS = 6
 KINDS = ["email", "phone", "card", "iban", "ip", "ssn", "person"]
 
 # What starts a person's name, the letters of the scripts, and common names.
-TITLES = ["Mr", "Mrs", "Ms", "Miss", "Dr", "Prof", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Mlle", "Señor", "Señora", "Sr", "Sra", "Signor", "Signora", "Господин", "Госпожа", "Κύριος", "Κυρία"]
+TITLES = ["Mr", "Mrs", "Ms", "Miss", "Dr", "Prof", "Professor", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Mlle", "Señor", "Señora", "Sr", "Sra", "Signor", "Signora", "Господин", "Госпожа", "Κύριος", "Κυρία"]
 CLASSES = ["aeiou", "bcdfghjklmnpqrstvwxyz", "0123456789", "àâäáãåæèéêëìíîïòóôöõøœùúûü", "çñßýÿ", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ"]
 NAMES = {
     "men": "James John Robert Michael William David Richard Joseph Thomas Charles Daniel Matthew Peter Paul Hans Jürgen Pierre Juan José Luca Ahmed Wei Raj Ivan",
@@ -81,12 +84,16 @@ STAND_INS = {
     "men, Greek": "Λεωνίδας Φώτης",
     "women, Greek": "Ισμήνη Φρόσω",
 }
-RESERVED = re.compile(r"(?:^|\.)(?:example\.(?:com|org|net)|[a-z0-9.-]+\.(?:example|test|invalid))$")
+#: Words between a title and a name.
+PARTICLES = ["van", "von", "der", "den", "de", "la", "le", "di", "da", "del", "dos", "ter", "ten", "bin", "al"]
+RESERVED, RESERVED_TOPS = ("example.com", "example.org", "example.net"), ("example", "test", "invalid")
+#: Bits up to which a form's values are numbered.
+NUMBERED = 256
 
 _CLASS_OF = {c: group for group in CLASSES for c in group}
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?![A-Za-z0-9-])"
 PHONE = (
-    r"(?<![\w+])(?:(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|(?:\+1[ .-])?[2-9][0-9]{2}[ .-][0-9]{3}[ .-][0-9]{4}"
+    r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?\(0\)[ .-]?[0-9]{1,5}(?:[ .-][0-9]{2,4}){1,4}|(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|(?:\+1[ .-])?[2-9][0-9]{2}[ .-][0-9]{3}[ .-][0-9]{4}"
     r"|\+(?=(?:[0-9][ .-]?){7,15}(?![0-9]))[0-9]{1,3}[ .-][0-9]{1,4}(?:[ .-][0-9]{2,4}){1,5}|\+[0-9]{8,15}|(?=(?:[0-9]\x20?){9,11}(?![ ]?[0-9]))0[1-9][0-9]{0,3}(?:\x20[0-9]{2,4}){2,4})(?![0-9])"
 )
 CARD = (
@@ -100,9 +107,10 @@ IP6 = rf"(?<![\w:.])(?=[0-9A-Fa-f]{{1,4}}:)(?:(?:{_HEX}:){{7}}{_HEX}|{_HEX}(?::{
 SSN = r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"
 ENTITY = re.compile(f"(?P<email>{EMAIL})|(?P<ip>{IP}|{IP6})|(?P<ssn>{SSN})|(?P<phone>{PHONE})|(?P<iban>{IBAN})|(?P<card>{CARD})")
 _NAME = r"\p{Lu}[\p{L}\p{M}]*+(?:['’-]\p{L}[\p{L}\p{M}]*+)*+"
-TITLED = regex.compile(rf"\b(?:{'|'.join(sorted(TITLES, key=len, reverse=True))})\.?\x20+({_NAME}(?:\x20+{_NAME})*+)")
+TITLED = regex.compile(rf"\b(?:{'|'.join(sorted(TITLES, key=len, reverse=True))})\.?\x20+(?:(?:{'|'.join(PARTICLES)})\x20+){{0,3}}+({_NAME}(?:\x20+{_NAME})*+)")
 #: Two capitalised words, or more, of the scripts that the stock has.
 GIVEN = re.compile(r"(?<!\w)([A-ZÀ-ÖØ-ÞΑ-ΩА-ЯЁ][a-zß-öø-ÿά-ώа-яё]+)(?=\x20[A-ZÀ-ÖØ-ÞΆ-ΏΑ-ΩА-ЯЁ]\w)")
+CAPITALS = re.compile(r"(?<!\w)([A-ZÀ-ÖØ-ÞΑ-ΩА-ЯЁ]{2,})(?=\x20([A-ZÀ-ÖØ-ÞΆ-ΏΑ-ΩА-ЯЁ]{2,})(?!\w))")
 NAME_RUN = regex.compile(rf"{_NAME}(?:\x20+{_NAME})*+")
 WORD = regex.compile(_NAME)
 DIGIT = re.compile("[0-9]")
@@ -148,6 +156,42 @@ class Cycle:
         return self._back((self._there(x) + 1) % self.n)
 
 
+class RowCycle:
+    """The same over rows of symbols, each below its own size: the halves are changed by turns,
+    with a stream made from the other half, and the single cycle is counting in these digits."""
+
+    def __init__(self, key: bytes, tweak: str, sizes: list[int]):
+        self.head = shake_256(key + f"{tweak}|{sizes}".encode()).digest(32)
+        self.sizes, self.half = np.array(sizes, np.int64), len(sizes) // 2
+
+    def _turned(self, x: np.ndarray, rounds: range, sign: int) -> np.ndarray:
+        x = x.copy()
+        parts = slice(0, self.half), slice(self.half, None)
+        for r in rounds:
+            own, other = parts[r % 2], parts[1 - r % 2]
+            stream = shake_256(self.head + bytes([r]) + x[other].astype("<u4").tobytes()).digest(8 * len(x[own]))
+            x[own] = (x[own] + sign * (np.frombuffer(stream, "<u8") % self.sizes[own].astype(np.uint64)).astype(np.int64)) % self.sizes[own]
+        return x
+
+    def next(self, x: np.ndarray) -> np.ndarray:
+        x = self._turned(x, range(ROUNDS), 1)
+        for i in reversed(range(len(x))):
+            x[i] = (x[i] + 1) % self.sizes[i]
+            if x[i]:
+                break
+        return self._turned(x, range(ROUNDS)[::-1], -1)
+
+
+def _wide(sizes: list[int]) -> bool:
+    return len(sizes) > NUMBERED or sum(map(log2, sizes)) > NUMBERED
+
+
+def reserved(domain: str) -> bool:
+    """Is it a domain that is kept for examples?"""
+    before, _, top = domain.lower().rpartition(".")
+    return bool(before) and (top in RESERVED_TOPS or domain.lower() in RESERVED or domain.lower().endswith(tuple(f".{x}" for x in RESERVED)))
+
+
 def _rank(values: list[int], sizes: list[int]) -> int:
     x = 0
     for v, s in zip(values, sizes, strict=True):
@@ -165,6 +209,11 @@ def _unranked(x: int, sizes: list[int]) -> list[int]:
 
 def _permuted(key: bytes, tweak: str, values: list[int], sizes: list[int], valid=lambda v: True) -> list[int]:
     """The next valid value along the form's cycle; ``values`` are valid themselves."""
+    if _wide(sizes):
+        rows, row = RowCycle(key, tweak, sizes), np.array(values, np.int64)
+        while not valid(new := (row := rows.next(row)).tolist()):
+            pass
+        return new
     n = 1
     for s in sizes:
         n *= s
@@ -196,9 +245,9 @@ def _letters(key: bytes, tweak: str, text: str, fixed: set[int] = frozenset(), v
 
 def _email(key: bytes, text: str) -> str:
     box, _, domain = text.rpartition("@")
-    if not RESERVED.search(domain.lower()):
+    if not reserved(domain):
         name, _, top = domain.rpartition(".")
-        domain = f"{_letters(key, 'domain', name, valid=lambda n: not RESERVED.search(f'{n}.{top}'.lower()))}.{top}"
+        domain = f"{_letters(key, 'domain', name, valid=lambda n: not reserved(f'{n}.{top}'))}.{top}"
     return f"{_letters(key, 'mailbox', box)}@{domain}"
 
 
@@ -216,7 +265,7 @@ def _phone(key: bytes, text: str) -> str:
     at = [m.start() for m in DIGIT.finditer(text)]
     if text[0] == "+":
         code = re.match(r"\+1(?=\d{10}$|\D)|\+\d{1,3}(?=\D)|\+\d{2}", text)
-        at = [i for i in at if i >= code.end()]
+        at = [i for i in at if i >= code.end() and text[i - 1 : i + 2] != "(0)"]
     low, high = [0] * len(at), [10] * len(at)
     if text[0] == "0":  # the trunk prefix stays, and no other zero follows it
         at, low, high = at[1:], [1, *low[2:]], high[1:]
@@ -284,7 +333,7 @@ def _ssn(key: bytes, text: str) -> str:
 
 _STOCK = {name.lower(): (kind, i) for kind, names in NAMES.items() for i, name in enumerate(names.split())}
 _TITLES = frozenset(TITLES)
-_GIVEN = {name for stock in (NAMES, STAND_INS) for kind, names in stock.items() if "surnames" not in kind for name in names.split()}
+_GIVEN, _GIVEN_STAND_INS = ({name for kind, names in stock.items() if "surnames" not in kind for name in names.split()} for stock in (NAMES, STAND_INS))
 #: By script: all its letters, then the consonants and vowels of syllables. The first vowel
 #: of a word in extended Latin has an accent, so that plain words are never its images.
 SCRIPTS = {
@@ -304,6 +353,8 @@ def spelled_name(key: bytes, word: str) -> str:
         return _letters(key, "person", word, {len(word) - 1} if len(word) > 2 else frozenset())
     letters, consonants, vowels, first = SCRIPTS[script]
     base, m = len(letters), len(word) - 1
+    if m * log2(base) > NUMBERED:
+        return _letters(key, f"person {script}", word, {m})[:-1] + 2 * consonants[0] + word[-1]
     shorter = sum(base**j for j in range(1, m))
     new = shorter + Cycle(key, f"person {script} {m}", base**m).next(_rank([letters.index(c) for c in word[:-1]], [base] * m))
     syllables, room = 1, len(consonants) * len(first)
@@ -352,25 +403,45 @@ def _holds(kind: str, text: str) -> bool:
 
 
 def names_in(text: str) -> set[str]:
-    """The words of persons' names, as found by title or given name."""
-    runs = [m[1] for m in TITLED.finditer(text)] if any(t in text for t in TITLES) else []
-    runs += [NAME_RUN.match(text, m.start())[0] for m in GIVEN.finditer(text) if m[1] in _GIVEN]
-    if not runs:
+    """The words of persons' names, as found by title or given name. Each run of capitalised
+    words is gone through once."""
+    titled = [m.span(1) for m in TITLED.finditer(text)] if any(t in text for t in TITLES) else []
+    given = {m.start(): m[1] for m in GIVEN.finditer(text) if m[1] in _GIVEN or m[1] in _GIVEN_STAND_INS}
+    pairs = [(m[1], m[2]) for m in CAPITALS.finditer(text) if m[1].title() in _GIVEN]
+    if not titled and not pairs and _GIVEN.isdisjoint(given.values()):
         return set()
-    names, common = set(), None
-    for run in runs:
-        first = True
-        for word in WORD.findall(run):
+    names, common = {w for pair in pairs for w in pair}, None
+
+    def within(words, begins) -> None:
+        """begins(word): a name begins here, whatever was before."""
+        nonlocal common
+        named = first = False
+        for m in words:
+            word = m[0]
             if word in _TITLES:
-                first = True
-                continue
-            if not first and word.lower() not in _STOCK:
-                if common is None:
-                    common = set(regex.findall(r"\b\p{Ll}+\b", text))
-                if word.lower() in common:
-                    break
-            names.add(word)
-            first = False
+                first = named
+            elif begins(m):
+                names.add(word)
+                named, first = True, False
+            elif named:
+                if not first and word.lower() not in _STOCK:
+                    if common is None:
+                        common = set(regex.findall(r"\b\p{Ll}+\b", text))
+                    if word.lower() in common:
+                        named = False
+                        continue
+                names.add(word)
+                first = False
+
+    for start, end in titled:
+        words = list(WORD.finditer(text, start, end))
+        begin = next((m.start() for m in words if m[0] not in _TITLES), -1)
+        within(words, lambda m, begin=begin: m.start() == begin)
+    end = 0
+    for start in given:
+        if start >= end:
+            end = NAME_RUN.match(text, start).end()
+            within(WORD.finditer(text, start, end), lambda m: m.start() in given)
     return names
 
 
