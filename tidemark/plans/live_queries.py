@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions.optical_flow import flow_statistics
 from ..operators import answers
+from ..streaming import pairing
 from . import domain as D
 from .frame_queries import _STATS, round_sql
 
@@ -84,3 +85,38 @@ def flow_shifts(spark: SparkSession, d: str) -> DataFrame:
     found = frames.select("s_suppkey", flow_statistics("before", "after", F.lit(8)).alias("flow"))
     moved = found.select("s_suppkey", half("horizontal").alias("dx"), half("vertical").alias("dy"))
     return moved.withColumn("direction", S.flow_motion(F.hypot("dx", "dy"), F.col("dy"))["direction"])
+
+
+@query(
+    "paired_results",
+    f"""WITH {D.FRAMES}, r AS (SELECT * FROM frames WHERE t_us % 7 <> 2), c AS (SELECT *, t_us / 1e6 AS capture_time FROM frames WHERE t_us % 5 <> 3)
+SELECT analysis_id::VARCHAR AS session_id, frame_index::BIGINT AS frame_index, coalesce(capture_time, frame_index * 0.5)::DOUBLE AS timestamp, r.score,
+  CASE WHEN c.score IS NULL THEN 'result' WHEN r.score IS NULL THEN 'capture' ELSE 'both' END AS half
+FROM r FULL JOIN c USING (analysis_id, frame_index)""",
+)
+def paired_results(spark: SparkSession, d: str) -> DataFrame:
+    """Frames as results and as captures, either half missing for some."""
+    frames = D.frames(spark, d).withColumns({"session_id": F.col("analysis_id").cast("string"), "event_time": F.timestamp_micros("t_us")})
+    results = frames.where("t_us % 7 <> 2").select("session_id", "frame_index", "event_time", "score")
+    captures = frames.where("t_us % 5 <> 3").select("session_id", "frame_index", "event_time", (F.col("t_us") / 1e6).alias("capture_time"))
+    return pairing.paired(results, captures).select("session_id", "frame_index", "timestamp", "half", "score")
+
+
+@query(
+    "malformed_messages",
+    """WITH m AS (SELECT event_id, CASE event_id % 7 WHEN 0 THEN props[:4] WHEN 1 THEN '{"session_id": "' || user_id || '"}'
+  WHEN 2 THEN '{"frame_index": ' || event_id || '}' ELSE '{"session_id": "' || user_id || '", "frame_index": ' || event_id || '}' END AS message, user_id FROM events)
+SELECT event_id % 7 IN (0, 1, 2) AS malformed, count(*) AS n, min(event_id) AS first, max(message) AS last FROM m GROUP BY 1""",
+)
+def malformed_messages(spark: SparkSession, d: str) -> DataFrame:
+    """Messages of which some are cut off or lack a field: what is read, and what goes aside."""
+    kind, user, number = F.col("event_id") % 7, F.col("user_id").cast("string"), F.col("event_id").cast("string")
+    session, frame = F.concat(F.lit('"session_id": "'), user, F.lit('"')), F.concat(F.lit('"frame_index": '), number)
+    text = (
+        F.when(kind == 0, F.substring("props", 1, 4)).when(kind == 1, F.concat(F.lit("{"), session, F.lit("}")))
+        .when(kind == 2, F.concat(F.lit("{"), frame, F.lit("}"))).otherwise(F.concat(F.lit("{"), session, F.lit(", "), frame, F.lit("}")))
+    )
+    messages = D.table(spark, d, "events").select("event_id", text.alias("message"), text.alias("kept"))
+    good, bad = pairing.read_messages(messages)
+    both = good.select("event_id", F.lit(False).alias("malformed"), "kept").unionByName(bad.select("event_id", F.lit(True).alias("malformed"), "kept"))
+    return both.groupBy("malformed").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first"), F.max("kept").alias("last"))
