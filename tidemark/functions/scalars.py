@@ -7,8 +7,14 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Labels, regions in anatomical order, and media types.
+# Labels, descriptions, regions in anatomical order, and media types.
 LABELS = {0: "Poor", 1: "Inadequate", 2: "Adequate", 3: "Excellent"}
+DESCRIPTIONS = {
+    0: "Substantial fluid/content completely obscuring evaluation",
+    1: "Substantial opaque fluid/content, some parts not evaluable",
+    2: "Small amount of hazy fluid/foam, most mucosa visible",
+    3: "Clean mucosa or minor transparent fluid, no impediment",
+}
 REGIONS = ["esophagus", "stomach", "duodenum"]
 MEDIA_TYPES = {".mp4": "video/mp4", ".mov": "video/quicktime", ".avi": "video/x-msvideo", ".mkv": "video/x-matroska"}
 MAX_UPLOAD_BYTES = 500 * 1024 * 1024
@@ -28,6 +34,10 @@ def label(score: Column) -> Column:
     return F.get(F.array(*(F.lit(x) for x in LABELS.values())), score.cast("int"))
 
 
+def described(score: Column) -> Column:
+    return F.get(F.array(*(F.lit(x) for x in DESCRIPTIONS.values())), score.cast("int"))
+
+
 # --- names and paths
 
 

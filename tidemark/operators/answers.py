@@ -16,8 +16,6 @@ from ..functions import scalars as S
 from . import series
 
 ALPHA = 0.3
-#: Regions by the index of their probability; fixed values.
-REGIONS = ["esophagus", "stomach", "duodenum"]
 
 
 def with_probabilities(frames: DataFrame, model: str | None, pixels: str = "pixels") -> DataFrame:
@@ -49,7 +47,7 @@ def answers(states: DataFrame, pixels: str = "pixels", classifier: str = "heuris
     region without a model is that of an unknown one."""
     x = F.col(pixels)
     score = F.coalesce(likeliest(F.col("score_smoothed")), plugins.plugin("classifier", classifier)(S.mean(x), S.deviation(x)))
-    regions = F.array(*map(F.lit, REGIONS))
+    regions = F.array(*map(F.lit, S.REGIONS))
     motion = F.when(F.col("previous").isNotNull(), plugins.plugin("pairwise", pairwise)(x, F.col("previous"), F.col("frame_index")))
     still = F.struct(F.lit("stationary").alias("direction"), F.lit(0.5).alias("confidence"), F.lit(0.0).alias("optical_flow_magnitude"))
     return states.select(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -27,10 +27,13 @@ def overall_and_regions(frames: DataFrame) -> DataFrame:
     )
 
 
-def region_frames(frames: DataFrame) -> DataFrame:
-    """Each region's frames in order, nested; for display, where videos are short."""
+def region_frames(frames: DataFrame, most: int = 10_000) -> DataFrame:
+    """Each region's frames in order, nested in chunks of ``most``: no array grows with the video.
+    ``chunk`` counts from 0."""
     item = F.struct("frame_index", "timestamp", "score", "confidence")
-    return frames.groupBy("analysis_id", "region").agg(F.array_sort(F.collect_list(item)).alias("frame_scores"))
+    place = F.row_number().over(Window.partitionBy("analysis_id", "region").orderBy("frame_index")) - 1
+    chunked = frames.withColumn("chunk", F.floor(place / most).cast("int"))
+    return chunked.groupBy("analysis_id", "region", "chunk").agg(F.array_sort(F.collect_list(item)).alias("frame_scores"))
 
 
 def with_empty_videos(videos: DataFrame, overall: DataFrame) -> DataFrame:

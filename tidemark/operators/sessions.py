@@ -171,3 +171,40 @@ def deleted_users(users: DataFrame, ids: DataFrame, actor) -> DataFrame:
 def seeded(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """Insert what is not there yet."""
     return table.unionByName(rows.join(table.select(key), key, "left_anti").select(*table.columns))
+
+
+def failed_attempts(uploads: DataFrame, at: str) -> DataFrame:
+    """Refused uploads (those with a ``reason``) as session records: failed at once, with an id of
+    their own that no analysis has. The id follows from the time and the upload, so that it is
+    the same when the batch is run again."""
+    attempt = F.concat_ws("_", F.lit("fail"), F.unix_millis(at).cast("string"), F.col("id").cast("string"))
+    return uploads.where("reason IS NOT NULL").withColumns({"analysis_id": attempt, "status": F.lit("failed"), "completed_at": F.col(at)})
+
+
+TIMELINE_JSON = "array<struct<frame_index:bigint,timestamp:double,motion:string,region:string,peace_score:int,confidence:double>>"
+
+
+def live_detail(sessions: DataFrame) -> DataFrame:
+    """Stored live sessions in the shape of an analysis: progress is 100, the confidence 1, regions
+    and segments are empty, and there are results only where there is a score."""
+    score = F.col("overall_score")
+    overall = F.struct(score.alias("score"), S.label(score).alias("label"), F.lit(1.0).alias("confidence"))
+    results = F.struct(
+        F.struct(overall.alias("overall"), F.create_map().cast("map<string,string>").alias("by_region")).alias("peace_scores"),
+        F.array().cast("array<struct<start_time:double,end_time:double,direction:string,confidence:double>>").alias("segments"),
+        F.coalesce(F.from_json("timeline_data", TIMELINE_JSON), F.array().cast(TIMELINE_JSON)).alias("timeline"),
+    )
+    n = F.coalesce(F.col("frames_analyzed").cast("bigint"), F.lit(0))
+    metadata = F.struct(
+        F.coalesce("duration", F.lit(0.0)).alias("duration_seconds"), F.lit(0.0).alias("fps"), F.struct(F.lit(0).alias("width"), F.lit(0).alias("height")).alias("resolution"),
+        n.alias("total_frames"), n.alias("analyzed_frames"),
+    )
+    return sessions.select(
+        "id", "analysis_id", "status", F.lit(100).alias("progress"), F.when(score.isNotNull(), results).alias("results"), metadata.alias("video_metadata"), "created_at", "completed_at"
+    )
+
+
+def counters(**tables: DataFrame) -> DataFrame:
+    """One row: the rows of each table, by its name."""
+    counts = [df.agg(F.count(F.lit(1)).alias("n")).select("n").scalar().alias(name) for name, df in tables.items()]
+    return next(iter(tables.values())).sparkSession.range(1).select(*counts)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .ranks import numbered
 
 
 def shuffle_key(number: Column, seed: int) -> Column:
@@ -13,24 +14,16 @@ def shuffle_key(number: Column, seed: int) -> Column:
     return F.pmod(number.cast("bigint") * 2654435761 + seed, F.lit(4294967296))
 
 
-def _ranked_groups(samples: DataFrame, group: str, seed: int) -> DataFrame:
-    """(group, rank, n): the groups in shuffled order. There are far fewer groups
-    than samples; their ranks need one order over all of them."""
-    ordinal = F.row_number().over(Window.orderBy(group)) - 1
-    groups = samples.select(group).distinct().withColumn("_ordinal", ordinal)
-    shuffled = groups.withColumn("_key", shuffle_key(F.col("_ordinal"), seed))
-    return shuffled.select(
-        group,
-        (F.row_number().over(Window.orderBy("_key", group)) - 1).alias("_rank"),
-        F.count(F.lit(1)).over(Window.partitionBy()).alias("_n"),
-    )
+def _ranked_groups(samples: DataFrame, group: str, seed: int) -> tuple[DataFrame, int]:
+    """(group, rank) in shuffled order, and the number of groups."""
+    groups, _ = numbered(samples.select(group).distinct(), group, to="_ordinal")
+    return numbered(groups.select(group, shuffle_key(F.col("_ordinal"), seed).alias("_key")), "_key", group)
 
 
 def group_split(samples: DataFrame, group: str, test: float = 0.2, val: float = 0.2, seed: int = 42) -> DataFrame:
     """Adds ``split``: whole groups go to test, then to val, the rest to train."""
-    ranked = _ranked_groups(samples, group, seed)
-    n_test = F.greatest(F.lit(1), F.floor(F.col("_n") * test))
-    n_val = F.greatest(F.lit(1), F.floor(F.col("_n") * val))
+    ranked, n = _ranked_groups(samples, group, seed)
+    n_test, n_val = (max(1, int(n * share)) for share in (test, val))
     split = (
         F.when(F.col("_rank") < n_test, "test").when(F.col("_rank") < n_test + n_val, "val").otherwise("train")
     )
@@ -39,7 +32,7 @@ def group_split(samples: DataFrame, group: str, test: float = 0.2, val: float =
 
 def kfold(samples: DataFrame, group: str, k: int = 5, seed: int = 42) -> DataFrame:
     """Adds ``fold``: a group's position modulo k."""
-    ranked = _ranked_groups(samples, group, seed)
+    ranked, _ = _ranked_groups(samples, group, seed)
     return samples.join(ranked.select(group, (F.col("_rank") % k).cast("int").alias("fold")), group)
 
 

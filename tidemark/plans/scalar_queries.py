@@ -270,3 +270,13 @@ def live_saves(spark: SparkSession, d: str) -> DataFrame:
 def score_labels(spark: SparkSession, d: str) -> DataFrame:
     label = S.label(F.col("event_id") % 5)
     return D.table(spark, d, "events").select("event_id", label.alias("label"), label.isNull().alias("unknown"))
+
+
+@query(
+    "score_descriptions",
+    """SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'Substantial fluid/content completely obscuring evaluation'
+  WHEN 1 THEN 'Substantial opaque fluid/content, some parts not evaluable' WHEN 2 THEN 'Small amount of hazy fluid/foam, most mucosa visible'
+  WHEN 3 THEN 'Clean mucosa or minor transparent fluid, no impediment' END AS description FROM events""",
+)
+def score_descriptions(spark: SparkSession, d: str) -> DataFrame:
+    return D.table(spark, d, "events").select("event_id", S.described(F.col("event_id") % 5).alias("description"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import jobs as J
+from ..operators import series, upload_slots
 from ..operators import rollups as R
 from ..operators import sessions as O
 from ..operators import sets as T
@@ -340,6 +341,47 @@ def free_slots(spark: SparkSession, d: str) -> DataFrame:
     return J.free_slots(D.sessions(spark, d).select("id", state.alias("status")), "id", most=5)
 
 
+_QUEUE = """
+u AS (
+  SELECT user_id AS client, event_id AS seq, CASE event_type WHEN 'view' THEN 'add' WHEN 'click' THEN 'finish' WHEN 'purchase' THEN 'finish' WHEN 'signup' THEN 'remove'
+    ELSE CASE WHEN event_id % 11 = 0 THEN 'reset' ELSE 'add' END END AS kind FROM events
+), a AS (
+  SELECT *, count(*) FILTER (kind = 'add') OVER (PARTITION BY client ORDER BY seq) AS n, row_number() OVER (PARTITION BY client ORDER BY seq) AS i FROM u
+), q AS MATERIALIZED (
+  SELECT a.client, a.i, a.seq, a.kind, CASE WHEN a.kind = 'add' THEN a.seq ELSE b.seq END AS item
+  FROM a LEFT JOIN a b ON b.client = a.client AND b.kind = 'add' AND b.n = (a.n + 1) // 2
+), r AS (
+  SELECT client, 0::BIGINT AS i, 0::BIGINT AS seq, []::BIGINT[] AS active, []::BIGINT[] AS pending, []::BIGINT[] AS started FROM (SELECT DISTINCT client FROM q)
+  UNION ALL
+  SELECT client, i, seq, a || p[1:3 - len(a)], p[4 - len(a):], p[1:3 - len(a)] FROM (
+    SELECT r.client, q.i, q.seq,
+      CASE q.kind WHEN 'reset' THEN [] WHEN 'add' THEN active ELSE list_filter(active, lambda x: x IS DISTINCT FROM q.item) END AS a,
+      CASE q.kind WHEN 'reset' THEN [] WHEN 'add' THEN list_append(pending, q.item) WHEN 'remove' THEN list_filter(pending, lambda x: x IS DISTINCT FROM q.item) ELSE pending END AS p
+    FROM r JOIN q ON q.client = r.client AND q.i = r.i + 1)
+)"""
+
+
+@query(
+    "upload_queue",
+    f"""WITH RECURSIVE {_QUEUE}, s AS (SELECT client, seq, unnest(started) AS item FROM r)
+SELECT q.client, q.item, s.seq AS started_seq FROM q LEFT JOIN s ON s.client = q.client AND s.item = q.item WHERE kind = 'add'""",
+)
+def upload_queue(spark: SparkSession, d: str) -> DataFrame:
+    """Each user's uploads: when one gets one of three slots, if ever."""
+    kind = (
+        F.when(F.col("event_type") == "view", "add").when(F.col("event_type").isin("click", "purchase"), "finish").when(F.col("event_type") == "signup", "remove")
+        .otherwise(F.when(F.col("event_id") % 11 == 0, "reset").otherwise("add"))
+    )
+    events = D.table(spark, d, "events").select(F.col("user_id").alias("client"), F.col("event_id").alias("seq"), kind.alias("kind"))
+    # what isn't an addition names the addition half-way back
+    w = Window.partitionBy("client").orderBy("seq")
+    numbered = events.withColumn("n", F.count_if(F.col("kind") == "add").over(w))
+    added = numbered.where("kind = 'add'").select("client", F.col("n").alias("_n"), F.col("seq").alias("_item"))
+    named = numbered.join(added.withColumnRenamed("client", "_c"), (F.col("client") == F.col("_c")) & (F.expr("(n + 1) DIV 2") == F.col("_n")), "left")
+    log = named.select("client", "seq", "kind", F.when(F.col("kind") == "add", F.col("seq")).otherwise(F.col("_item")).alias("item"))
+    return upload_slots.scheduled(log).select("client", "item", "started_seq")
+
+
 @query(
     "latest_progress",
     f"""WITH {D.JOB_EVENTS}
@@ -410,13 +452,56 @@ def user_deletion(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "seed_users",
-    """SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey < 50
-UNION ALL SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey >= 50 OR s_suppkey NOT IN (SELECT c_custkey FROM customer)""",
+    """SELECT c_custkey AS id, c_name AS name FROM customer
+UNION ALL SELECT 2 * s_suppkey, s_name FROM supplier WHERE 2 * s_suppkey NOT IN (SELECT c_custkey FROM customer)
+UNION ALL SELECT DISTINCT -o_custkey, 'c' || o_custkey FROM orders WHERE -o_custkey NOT IN (SELECT c_custkey FROM customer)""",
 )
 def seed_users(spark: SparkSession, d: str) -> DataFrame:
-    there = D.table(spark, d, "customer").where("c_custkey < 50").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-    rows = D.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
-    return O.seeded(there, rows, "id")
+    there = D.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    some = D.table(spark, d, "supplier").select((2 * F.col("s_suppkey")).alias("id"), F.col("s_name").alias("name"))
+    others = D.table(spark, d, "orders").select((-F.col("o_custkey")).alias("id"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("name")).distinct()
+    return O.seeded(there, some.unionByName(others), "id")
+
+
+@query(
+    "failed_attempts",
+    f"""WITH {D.SESSIONS} SELECT id, user_id, 'fail_' || epoch_ms(created_at) || '_' || id AS analysis_id, filename, 'failed' AS status, created_at AS completed_at
+FROM sessions WHERE id % 3 = 0""",
+)
+def failed_attempts(spark: SparkSession, d: str) -> DataFrame:
+    """Uploads refused for their size, as the records that are kept of them."""
+    uploads = D.sessions(spark, d).withColumn("reason", F.when(F.col("id") % 3 == 0, "size"))
+    return O.failed_attempts(uploads, "created_at").select("id", "user_id", "analysis_id", "filename", "status", "completed_at")
+
+
+@query(
+    "live_details",
+    f"""WITH {D.SESSIONS} SELECT id, status, 100 AS progress, overall_score AS score,
+  {D.LABEL.format("overall_score")} AS label, CASE WHEN overall_score IS NOT NULL THEN 1.0 END::DOUBLE AS confidence, overall_score IS NOT NULL AS has_results,
+  coalesce(frames_analyzed, 0) AS analyzed_frames, 0.0::DOUBLE AS duration_seconds FROM sessions""",
+)
+def live_details(spark: SparkSession, d: str) -> DataFrame:
+    """What a stored live session answers: a fixed progress and confidence, results only with a score."""
+    rows = D.sessions(spark, d).withColumns({"timeline_data": F.lit("[]"), "duration": F.lit(None).cast("double"), "completed_at": F.lit(None).cast("timestamp")})
+    shaped = O.live_detail(rows)
+    overall = "results.peace_scores.overall"
+    return shaped.select(
+        "id", "status", "progress", f"{overall}.score", f"{overall}.label", f"{overall}.confidence", F.col("results").isNotNull().alias("has_results"),
+        "video_metadata.analyzed_frames", "video_metadata.duration_seconds",
+    )
+
+
+@query(
+    "counters",
+    f"""WITH {D.FRAMES}, {D.SESSIONS}, {D.USERS}, g AS (
+  SELECT analysis_id, direction, coalesce(lag(direction) OVER (PARTITION BY analysis_id ORDER BY frame_index) <> direction, true) AS starts FROM frames
+)
+SELECT (SELECT count(*) FROM frames) AS frames, (SELECT count(*) FROM g WHERE starts) AS segments, (SELECT count(*) FROM users) AS users, (SELECT count(*) FROM sessions) AS sessions""",
+)
+def counters(spark: SparkSession, d: str) -> DataFrame:
+    """Frames, motion segments, users and sessions in all."""
+    frames = D.frames(spark, d)
+    return O.counters(frames=frames, segments=series.motion_segments(frames, at="t_us"), users=D.users(spark, d), sessions=D.sessions(spark, d))
 
 
 @query(
