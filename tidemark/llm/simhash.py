@@ -53,6 +53,8 @@ PIECE = 1 << 18
 #: Lists up to this long are compared pair by pair in one pass for all lists; up
 #: to BLOCKS, by blocks; longer ones by the flood fill over bit patterns.
 SHORT, BLOCKS = 6, 2048
+#: Copies of a class's name, each for a part of its members.
+SALTS = 16
 
 
 def fingerprint(text: str | None) -> int:
@@ -214,15 +216,17 @@ def near_pairs(prints: DataFrame) -> DataFrame:
 
 def classes(prints: DataFrame) -> DataFrame:
     """(fp, root, component_id) from (doc_id, fp): root names the class, and
-    component_id is the least doc_id in it."""
+    component_id is the least doc_id in it. Fingerprints without a partner are their own class;
+    for the others a class's least doc_id is found by partial sums and goes back to them in
+    SALTS copies, so that no class is one key."""
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fps")
-    pairs = near_pairs(distinct.select("fp"))
-    roots = components(pairs)
-    labelled = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
-    named = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    return labelled.join(named, "root").select("fp", "root", "component_id")
+    roots = components(near_pairs(distinct.select("fp")))
+    labelled = written(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", "root"), "labelled")
+    named = labelled.where("root IS NOT NULL").groupBy("root").agg(F.min("least").alias("component_id"))
+    copies = named.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = labelled.where("root IS NOT NULL").withColumn("_salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(copies, ["root", "_salt"])
+    alone = labelled.where("root IS NULL").select("fp", F.col("fp").alias("root"), F.col("least").alias("component_id"))
+    return alone.unionByName(met.select("fp", "root", "component_id"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -250,7 +254,7 @@ LOOSE_POSITIONS = KEYS * KEY_BYTES
 _MEAN, _DEVIATION = LOOSE_POSITIONS * LOOSE_SIMILARITY, (LOOSE_POSITIONS * LOOSE_SIMILARITY * (1 - LOOSE_SIMILARITY)) ** 0.5
 LOOSE_SHARED, SURE_SHARED = int(_MEAN - 3 * _DEVIATION), int(_MEAN + 3 * _DEVIATION) + 1
 #: Members of a list linked in one task; longer lists are dealt to chunks, each with
-#: about LEADERS members that all chunks have.
+#: about LEADERS members that all chunks have, and then to pairs of blocks.
 CHUNK, LEADERS = 2048, 32
 #: Rows of two longs that are broadcast at most: 32 MB.
 SENT = 2 << 20
@@ -306,15 +310,39 @@ def key_rows(prints: DataFrame) -> DataFrame:
     return prints.select("id", "sig").mapInArrow(run, "key long, id long")
 
 
-def loose_edges(members: DataFrame, prints: DataFrame, sets: DataFrame | None = None) -> DataFrame:
-    """(a, b) of ids that are linked: for each list or chunk, edges that connect what all its
-    links connect. Without sets (id, hashes), links are pairs that share SURE_SHARED bytes;
-    with them, pairs that share LOOSE_SHARED bytes and are verified. members: (key, id, n)
-    of lists of n members, two or more; with sets also root, what an id is known to be linked to."""
+def in_chunks(members: DataFrame) -> DataFrame:
+    """Lists by chunks: members of up to CHUNK are one; longer lists are dealt to several, with
+    about LEADERS members in all of them. Connects most of a long list, not all."""
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
     everywhere = (F.col("n") > CHUNK) & (F.pmod(F.xxhash64("id", "key"), F.col("n")) < LEADERS)
     chunk = F.when(everywhere, F.sequence(F.lit(0), chunks - 1)).otherwise(F.array(F.pmod(F.xxhash64("key", "id"), chunks).cast("int")))
-    dealt = members.withColumn("chunk", F.explode(chunk)).join(prints.select("id", "sig"), "id")
+    return members.withColumn("chunk", F.explode(chunk))
+
+
+def in_block_pairs(members: DataFrame) -> DataFrame:
+    """Lists (key, id, root) so that any two members of unequal root share a chunk: blocks of up to
+    about CHUNK, and a chunk for each pair of them. Blocks of the list's largest class meet the others'
+    blocks only; so a list that is all but one class is dealt in proportion to its length."""
+    sizes = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    top = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"))
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / (CHUNK // 2))).cast("int")
+    dealt = members.drop("n").join(top, "key").withColumns({"_t": blocks(F.col("top.n")), "_o": blocks(F.col("n") - F.col("top.n"))})
+    own = lambda n: F.pmod(F.xxhash64("key", "id"), n).cast("int")
+    largest = F.transform(F.sequence(F.lit(0), F.col("_o") - 1), lambda c: own(F.col("_t")) * F.col("_o") + c)
+    others = F.concat(
+        F.transform(F.sequence(F.lit(0), F.col("_t") - 1), lambda b: b * F.col("_o") + own(F.col("_o"))),
+        F.transform(F.sequence(F.lit(0), F.col("_o") - 1), lambda c: F.col("_t") * F.col("_o") + F.least(c, own(F.col("_o"))) * F.col("_o") + F.greatest(c, own(F.col("_o")))),
+    )
+    return dealt.withColumn("chunk", F.explode(F.when(F.col("root") == F.col("top.root"), largest).otherwise(others))).select("key", "chunk", "id", "root")
+
+
+def loose_edges(chunked: DataFrame, prints: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+    """(a, b) of ids that are linked: for each chunk (key, chunk, id), edges that connect what all its
+    links connect. Without sets (id, hashes), links are pairs that share SURE_SHARED bytes;
+    with them, pairs that share LOOSE_SHARED bytes and are verified; then chunks also have the
+    root of an id, what it is known to be linked to."""
+    members = chunked
+    dealt = chunked.join(prints.select("id", "sig"), "id")
     dealt = dealt.withColumn("root", F.col("id")).withColumn("hashes", F.lit(b"")) if sets is None else dealt.join(sets, "id")
     dealt = dealt.select("key", "chunk", "id", "root", "sig", "hashes").repartition("key", "chunk").sortWithinPartitions("key", "chunk", "id")
     target, verified = arrow_schema(members.sparkSession, "a long, b long"), sets is not None
@@ -368,7 +396,7 @@ def loose_roots(prints: DataFrame, texts: DataFrame) -> DataFrame:
     """(node, root) of the fingerprints (id, sig, rk) that have a partner; texts: (rk, text).
     Sure links come first, without the sets; those follow for lists that still have two
     classes, and are made for their members only. Lists of over CHUNK members are linked within chunks and
-    to the leaders; what stands for its class after that is linked once more, dealt anew."""
+    to the leaders first; those that have two classes after that are gone through whole, by pairs of blocks."""
     keyed = key_rows(prints)
 
     def lists(members, *more):
@@ -382,9 +410,9 @@ def loose_roots(prints: DataFrame, texts: DataFrame) -> DataFrame:
         return members.join(named, "id", "left").withColumn("root", F.coalesce("root", "id"))
 
     members = written(keyed.join(lists(keyed), "key"), "lists")
-    edges = written(loose_edges(members, prints), "sure")
+    edges = written(loose_edges(in_chunks(members), prints), "sure")
     members = written(rooted(members, connected(edges)), "rooted")
-    for _ in range(2):
+    for deal in (in_chunks, in_block_pairs):
         open_lists = lists(members, (F.min("root") < F.max("root")).alias("open")).where("open").select("key", "n")
         left = written(members.drop("n").join(open_lists, "key"), "open")
         # of known size: up to SENT rows are sent to the texts, where more have the texts dealt to them
@@ -393,13 +421,13 @@ def loose_roots(prints: DataFrame, texts: DataFrame) -> DataFrame:
         own = texts.join(F.broadcast(involved) if small else involved, "rk").select("id", "text")
         rows = lambda batch: [(i, shingle_hashes(t).tobytes()) for i, t in batch]
         sets = written(per_row(own, "id long, hashes binary", rows, ["id", "text"]).groupBy("id").agg(F.min("hashes").alias("hashes")), "sets")
-        edges = edges.unionByName(written(loose_edges(left, prints, sets), "verified"))
+        edges = edges.unionByName(written(loose_edges(deal(left), prints, sets), "verified"))
         roots = connected(edges)
         long = left.where(F.col("n") > CHUNK)
         if long.isEmpty():
             break
-        # of each class in a long list one stands for it, and may meet others in another chunk
-        members = written(rooted(long.select("key", "id"), roots).groupBy("key", "root").agg(F.min("id").alias("id"), F.lit(0).alias("n")), "again")
+        # lists that fit a chunk are done; longer ones are dealt so that all of them meets
+        members = written(rooted(long.select("key", "id"), roots), "again")
     return roots
 
 
