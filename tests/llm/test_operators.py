@@ -14,6 +14,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, components, mincut, pii, quality, rangecoder, secrets, simhash, suffixes, warc, winnowing
 
@@ -480,10 +481,10 @@ def looser_copies():
     return rows
 
 
-@pytest.mark.parametrize("chunk", [2048, 6])
-def test_looser_copies_equal_plain_ones(spark, monkeypatch, chunk):
+@pytest.mark.parametrize("chunk,leaders", [(2048, 2), (6, 2), (4, 0)])
+def test_looser_copies_equal_plain_ones(spark, monkeypatch, chunk, leaders):
     monkeypatch.setattr(simhash, "CHUNK", chunk)
-    monkeypatch.setattr(simhash, "LEADERS", 2)
+    monkeypatch.setattr(simhash, "LEADERS", leaders)  # without leaders, chunks alone miss most links
     rows = looser_copies()
     classes = defaultdict(list)
     for row, root in zip(rows, plain_similar_classes([t for _, t, *_ in rows]), strict=True):
@@ -504,6 +505,22 @@ def test_very_large_lists_are_linked_in_chunks(spark, monkeypatch):
     assert [r[0] for r in collected(simhash.stage(spark, frame(spark, rows), ""))] == [0]
 
 
+def test_pairs_of_blocks_bring_all_classes_together(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CHUNK", 8)
+    rows = [(1, i, 0 if i < 70 else i) for i in range(100)] + [(2, i, i % 2) for i in range(30)] + [(3, i, i) for i in range(25)]
+    members = spark.createDataFrame(rows, "key long, id long, root long").withColumn("n", F.lit(0)).repartition(3)
+    chunks, size = defaultdict(set), defaultdict(int)
+    for x in simhash.in_block_pairs(members).collect():
+        chunks[x["key"], x["id"]].add(x["chunk"])
+        size[x["key"], x["chunk"]] += 1
+    for key, i, a in rows:
+        for other, j, b in rows:
+            if key == other and a != b:
+                assert chunks[key, i] & chunks[other, j]
+    assert max(size.values()) < 24
+    assert sum(len(c) for (k, _), c in chunks.items() if k == 1) < 100 * 30
+
+
 def test_near_duplicate_stage_carries_clashing_columns(spark):
     names = ["rk", "sig", "root", "id", "hashes", "_rk", "key", "first"]
     rows = [(i, t, *range(8)) for i, t, *_ in documents()]
@@ -677,6 +694,15 @@ def test_quality_equals_sql(spark):
     assert not kept[700] and kept[701]  # the host's verdict
 
 
+def test_hosts_that_stand_out_are_rejected(spark):
+    """Thirty hosts at a tenth, and one at three tenths: well below a half, and far from the others."""
+    rows = [(1000 * h + k, 4 if h == 30 and k < 60 or k % 10 == 0 else 40, f"h{h}") for h in range(31) for k in range(200)]
+    judged = spark.createDataFrame(rows, "doc_id long, n long, source string").selectExpr("source", "n < 20 AS base_failed", "false AS soft_failed")
+    found = {r["_host"]: r for r in quality.host_verdicts(judged).collect()}
+    assert {h for h, r in found.items() if r["host_rejected"]} == {"h30"}
+    assert 0.2 < found["h30"]["host_rate"] < quality.HOST_LIMIT
+
+
 def test_quality_stage_keeps_columns(spark):
     left = quality.stage(spark, frame(spark), "")
     assert left.columns == ["doc_id", "text", "source", "kept"]

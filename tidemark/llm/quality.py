@@ -4,7 +4,8 @@ Documents get word, symbol, line and repetition counts. The *base* rule and
 some softer rules are applied to each; failures are aggregated by host, each
 host's failure rate is shrunk towards the corpus by a beta prior fitted to all
 hosts (method of moments), and the verdicts are joined back: on a host whose
-shrunk rate passes ``HOST_LIMIT``, a document has to pass the soft rules, too.
+shrunk rate is over the prior's mean by ``HOST_DEVIATIONS`` of its standard deviations, or over
+``HOST_LIMIT``, a document has to pass the soft rules, too.
 
 Cases: a null text counts as empty (no words, base rule fails); null hosts form
 one host; rows that repeat are judged each; an empty table gives no rows; other
@@ -23,7 +24,9 @@ WHITE = r"[\x20\x09-\x0D]+"
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
 #: Soft rules: symbols in a hundred words, and the repeated lines in a hundred lines.
 SYMBOL_PERCENT, DUP_LINE_PERCENT = 10, 30
-#: A host's shrunk failure rate from which its documents must pass the soft rules.
+#: Standard deviations of the prior over its mean, from which a host's documents must pass the soft rules.
+HOST_DEVIATIONS = 3
+#: A rate that is too much for any host.
 HOST_LIMIT = 0.5
 #: Limits for the strength of the prior, in documents.
 PRIOR_LOW, PRIOR_HIGH = 1.0, 1000.0
@@ -114,10 +117,12 @@ def host_verdicts(judged: DataFrame, host: str = "source") -> DataFrame:
     # a scalar subquery: one value, whatever the input
     prior = moments.select(F.struct("m", strength.alias("strength"))).scalar()
     shrunk = (F.col("n_failed") + F.col("_prior.m") * F.col("_prior.strength")) / (F.col("n_docs") + F.col("_prior.strength"))
+    m, strength = F.col("_prior.m"), F.col("_prior.strength")
+    limit = F.least(F.lit(HOST_LIMIT), m + HOST_DEVIATIONS * F.sqrt(m * (1 - m) / (strength + 1)))
     return (
         hosts.withColumn("_prior", prior)
         .withColumn("host_rate", shrunk)
-        .select("_host", "n_docs", "n_failed", "host_rate", (F.col("host_rate") > HOST_LIMIT).alias("host_rejected"))
+        .select("_host", "n_docs", "n_failed", "host_rate", (F.col("host_rate") > limit).alias("host_rejected"))
     )
 
 
@@ -193,7 +198,7 @@ WITH d AS (
 ), s AS (
   SELECT mean, CASE WHEN var > 0 THEN greatest(1.0, least(1000.0, mean * (1 - mean) / var - 1)) ELSE 1000.0 END AS str FROM p
 ), v AS (
-  SELECT host, (k + mean * str) / (n + str) > 0.5 AS bad FROM h, s
+  SELECT host, (k + mean * str) / (n + str) > least(0.5, mean + 3 * sqrt(mean * (1 - mean) / (str + 1))) AS bad FROM h, s
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT (bad AND soft_failed) AS kept
