@@ -2,12 +2,14 @@
 
 A page is cut into text blocks. A linear classifier gives each block the cost of
 calling it content or boilerplate: these are the capacities of its edges to the
-two terminals. Neighbours in page order, and successive blocks under one parent,
+two terminals. Its features are what the elements around the block say, its length and
+punctuation, its links, and *cues*: words of adverts, notices, and remarks around readers'
+comments, by their share of the block. Neighbours in page order, and successive blocks under one parent,
 are joined by smoothness edges whose capacity falls with their distance in the
 tree. The minimum cut, found by maximum flow, is the labelling of least cost.
 
 Cases: null and empty pages have empty text; unclosed, misnested and truncated
-markup is read as far as it goes; very long pages take memory for themselves and
+markup is read as far as it goes; very long and very deep pages take memory for themselves and
 time in proportion, but for blocks that their neighbours leave undecided; repeated
 rows get equal texts; an empty table gives no rows; other columns are ignored.
 """
@@ -55,16 +57,32 @@ SOFT = frozenset("nav header form menu footer".split())
 #: A mark of content is worth less than the form of a line of text: what has none of
 #: that form is content for its neighbours' sake only.
 STRUCTURE, LENGTH, LINKS, HEADING, PLAIN = {1: 110, 0: 0, -1: -300, -3: -300}, 120, 400, 60, -60
+#: The most that cues count, and the shares of a block's words from which they do, and do in full.
+CUES, CUE_FROM, CUE_FULL = 700, 0.12, 0.36
+#: Links of an article that name a source (a year, or this many words) are text.
+SOURCE_WORDS = 4
+YEAR = re.compile(r"(?<![0-9])(?:1[5-9]|20)[0-9]{2}(?![0-9])")
+#: Words without punctuation that make a line of text where no mark says anything.
+RUNNING = 12
+#: What adverts, notices, and the lines around comments say.
+CUE = re.compile(
+    r"(?<!\w)(?:advert(?:isement)?s?|sponsored|promoted|buy now|order now|shop now|on sale|sale|[0-9]+\s?% off|discounts?|free (?:trial|shipping)|limited (?:time )?offer"
+    r"|special offer|best (?:price|deal)s?|coupons?|click here|sign up|subscribe(?: now| today)?|newsletter|download (?:now|our app)"
+    r"|(?:we |this site |our site )?uses? cookies|cookies?|accept(?: all)?|decline|consent|privacy policy|terms of (?:use|service)"
+    r"|[0-9]+ comments?|comments?(?: \([0-9]+\))?|leave a (?:reply|comment)|repl(?:y|ies)|says|wrote|posted (?:by|on|at)|[0-9]+ (?:minutes?|hours?|days?|weeks?) ago|log ?in to|report abuse|upvote|likes?"
+    r"|anzeige|werbung|jetzt (?:kaufen|bestellen)|kommentare?|antworten|publicité|commentaires?|répondre|achetez|publicidad|comentarios?|responder|compra ahora)(?!\w)",
+    re.IGNORECASE,
+)
 #: Capacity of an edge between neighbours, and its share at each step in the tree.
 SMOOTH, DECAY = 80, 2
 STOP = re.compile(r"[.!?:;,。！？：；，、،؛؟।]")
 
 
 class Node:
-    __slots__ = ("attrs_say", "chars", "depth", "parent", "tag")
+    __slots__ = ("attrs_say", "chars", "depth", "parent", "summed", "tag")
 
     def __init__(self, tag: str, parent: Node | None, attrs_say: str):
-        self.tag, self.parent, self.attrs_say = tag, parent, attrs_say
+        self.tag, self.parent, self.attrs_say, self.summed = tag, parent, attrs_say, False
         self.depth = parent.depth + 1 if parent else 0
         self.chars = 0
 
@@ -106,6 +124,12 @@ def blocks(html: str) -> list[Block]:
     out: list[Block] = []
     parts: list[str] = []
     links = in_link = at = 0
+    opened: dict[str, int] = {}  # elements that are open, by tag
+
+    def leave():
+        nonlocal node
+        opened[node.tag] -= 1
+        node = node.parent
 
     def finish():
         nonlocal parts, links
@@ -133,32 +157,39 @@ def blocks(html: str) -> list[Block]:
             continue
         finish()
         if m["end"]:
-            up = node
-            while up.parent and up.tag != tag:
-                up = up.parent
-            if up.parent:
-                node = up.parent
+            if opened.get(tag):  # else a stray end
+                while node.tag != tag:
+                    leave()
+                leave()
                 in_link = 0
             continue
         while node.parent and tag in ENDS.get(node.tag, ()):
-            node = node.parent
+            leave()
         if tag in ("html", "body") or tag in VOID or m["attrs"].endswith("/") and tag not in CLOSES_P:
             if tag == "body":  # a head that was left open ends here
                 node = root
+                opened.clear()
             continue
         node = Node(tag, node, _said(m["attrs"]))
+        opened[tag] = opened.get(tag, 0) + 1
     parts.append(html[at:])
     finish()
     return out
 
 
 def shares(found: list[Block]) -> int:
-    """Add up the characters under each node; returns those of the page."""
+    """Add up the characters under each node, once, from the deepest up; returns those of the page."""
+    nodes: list[Node] = []
     for b in found:
-        node = b.node
-        while node:
-            node.chars += b.chars
+        b.node.chars += b.chars
+        node: Node | None = b.node
+        while node and not node.summed:
+            node.summed = True
+            nodes.append(node)
             node = node.parent
+    for node in sorted(nodes, key=lambda n: -n.depth):
+        if node.parent:
+            node.parent.chars += node.chars
     return sum(b.chars for b in found)
 
 
@@ -190,24 +221,45 @@ def side(node: Node | None, total: int, known: dict) -> int:
     return state
 
 
+#: One of these is in any cue: most blocks have none.
+CUE_PARTS = (
+    "advert sponsored promoted now sale off discount free offer best coupon click sign subscribe newsletter download cookie accept decline consent privacy terms"
+    " comment reply replies says wrote posted ago log report upvote like anzeige werbung jetzt kommentar antworten publicit répondre achetez comentario responder compra"
+).split()
+
+
+def cues(text: str) -> float:
+    """The share of a block's words that are cues."""
+    lower = text.lower()
+    if not any(part in lower for part in CUE_PARTS):
+        return 0.0
+    n = len(text.split())
+    return sum(len(m[0].split()) for m in CUE.finditer(text)) / n if n else 0.0
+
+
 def score(block: Block, around: int) -> int:
     """The classifier: over zero for content."""
     density = block.links / block.chars
     out = STRUCTURE[around]
+    words = len(block.text.split())
     if around == 1 and block.node.tag in ("h1", "h2"):  # an article's headings may link to it
         density /= 2
-    sentence = len(STOP.findall(block.text)) > 0
+    if around == 1 and block.node.tag in ("li", "p", "dd") and words >= SOURCE_WORDS and YEAR.search(block.text):
+        density = 0.0  # a source
+    sentence = STOP.search(block.text) or around == 0 and density == 0 and words >= RUNNING
     out += int(LENGTH * min(1.0, block.chars / 80) * (1 if sentence else -1)) - int(LINKS * density)
     if block.node.tag in ("h1", "h2", "h3"):
         out += HEADING
     elif block.node.tag not in ("p", "blockquote", "pre", "li", "dd", "td"):
         out += PLAIN
-    return out
+    share = cues(block.text)
+    return out - int(CUES * min(1.0, (share - CUE_FROM) / (CUE_FULL - CUE_FROM))) if share > CUE_FROM else out
 
 
 def distance(a: Node, b: Node) -> int:
+    """Steps in the tree, up to where an edge's capacity has no more to lose."""
     steps = 0
-    while a is not b:
+    while a is not b and steps < 10:
         if a.depth >= b.depth:
             a = a.parent
         else:
