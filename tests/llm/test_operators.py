@@ -678,6 +678,15 @@ def test_no_documents_no_repeats(spark):
     assert suffixes.digests(frame(spark, [])).count() == 0
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 2**63 - 1), max_size=40), st.lists(st.integers(0, 300), max_size=200), st.lists(st.binary(min_size=88, max_size=88), max_size=20))
+def test_packed_arrays_come_back(large, small, texts):
+    arrays = np.array(large, np.int64), np.array(large, np.uint64), np.array(small, np.uint32), np.array(texts, "S88")
+    for got, want in zip(suffixes.unpacked(suffixes.packed(*arrays)), arrays, strict=True):
+        assert got.dtype == want.dtype and got.tobytes() == want.tobytes()
+    assert len(suffixes.packed(np.array([2**47], np.uint64), np.array([1], np.uint32))) == 19
+
+
 # --- 8
 
 

@@ -24,7 +24,9 @@ smaller doc_id. Four steps, each of which deals out its data evenly:
 4. The matches go back to their part, are united, and cut out of the texts.
 
 Parts and shards hold a bounded amount of text each, as their number follows the
-input's size; the shuffle of the texts is used by steps 1, 2 and 4.
+input's size. A part sends each bucket or shard what it has for it in one row; the more of
+these there are, the less is in a row, down to one anchor, which takes 19 bytes and the row's
+frame: what travels is in proportion to the input. The shuffle of the texts is used by steps 1, 2 and 4.
 
 Cases: null and empty texts have no bytes and stay; texts shorter than SPAN stay
 whole; very long texts are searched in pieces; rows with equal doc_id never remove
@@ -35,6 +37,7 @@ and remove nothing; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import pickle
+import struct
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -58,19 +61,40 @@ _LOW = np.uint64((1 << POSITION) - 1)
 PART_BYTES, BUCKET_BYTES, SHARD_BYTES = 4 << 20, 24 << 20, 8 << 20
 #: Documents of an anchor from which its windows are dealt singly.
 HOT = 4096
+#: Bytes of arrays that travel without a compressed frame.
+SMALL = 1024
 #: Suffixes in a batch at least.
 BATCH = 1 << 16
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9)
 
 
 def packed(*arrays: np.ndarray) -> bytes:
-    """Integers go by planes of their bytes: those that are all but constant shrink to nothing."""
-    flat = [(a.dtype.str, a.tobytes() if a.dtype.kind == "S" else a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()) for a in map(np.ascontiguousarray, arrays)]
+    """Integers go by planes of their bytes: those that are all but constant shrink to nothing.
+    What is small goes as it is, each integer in the bytes that the array's greatest needs: where
+    a part sends a few anchors to a bucket, or one, a frame of its own would outweigh them."""
+    arrays = tuple(map(np.ascontiguousarray, arrays))
+    if sum(a.nbytes for a in arrays) <= SMALL and all(a.dtype.kind == "S" or not len(a) or int(a.min()) >= 0 for a in arrays):
+        out = [bytes([0, len(arrays)])]
+        for a in arrays:
+            width = a.itemsize if a.dtype.kind == "S" else (int(a.max()).bit_length() + 7) // 8 if len(a) else 0
+            out.append(struct.pack("<cBBH", a.dtype.kind.encode(), a.itemsize, width, len(a)))
+            out.append(a.tobytes() if a.dtype.kind == "S" else a.view(np.uint8).reshape(len(a), a.itemsize)[:, :width].tobytes())
+        return b"".join(out)
+    flat = [(a.dtype.str, a.tobytes() if a.dtype.kind == "S" else a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()) for a in arrays]
     return zstandard.ZstdCompressor(1).compress(pickle.dumps(flat, 5))
 
 
 def unpacked(data: bytes) -> tuple[np.ndarray, ...]:
     out = []
+    if data[0] == 0:  # no frame begins so
+        at = 2
+        for _ in range(data[1]):
+            kind, size, width, n = struct.unpack_from("<cBBH", data, at)
+            raw, at = np.frombuffer(data, np.uint8, n * width, at + 5), at + 5 + n * width
+            whole = np.zeros((n, size), np.uint8)
+            whole[:, :width] = raw.reshape(n, width)
+            out.append(np.frombuffer(whole.tobytes(), f"{kind.decode()}{size}"))
+        return tuple(out)
     for kind, raw in pickle.loads(zstandard.ZstdDecompressor().decompress(data)):
         dtype = np.dtype(kind)
         if dtype.kind != "S":
