@@ -610,6 +610,22 @@ def test_contamination_equals_plain(spark, bound):
     assert Counter((r["doc_id"], *tuple(r)[4:]) for r in got.collect()) == want
 
 
+@pytest.mark.parametrize("bound", [winnowing.BROADCAST_BYTES, 0])
+def test_common_words_and_clashing_columns(spark, bound):
+    """Items of one word that all documents are full of, many items with one passage, and names in use."""
+    same = prose(77, 14)
+    items = [(1, "the"), (2, "the the"), (3, "of")] + [(10 + k, f"{prose(500 + k, 3)} {same}") for k in range(12)]
+    texts = [f"the {prose(600 + k, 5)} the the {same if k % 3 == 0 else 'of'} the" for k in range(30)] + ["the " * 3000]
+    names = ["_row", "_runs", "_item", "k", "value", "n_hit", "item_id", "lo", "names", "_salt"]
+    docs = spark.createDataFrame([(i, t, *range(10)) for i, t in enumerate(texts)], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names)).repartition(3)
+    got = winnowing.decontaminate(docs, spark.createDataFrame(items, "item_id long, text string"), bound=bound)
+    assert got.columns == [*docs.columns, "n_words", "n_items", "items_sha256", "contaminated"]
+    for r in got.collect():
+        want = plain_verdict(texts[r["doc_id"]], items)
+        assert (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) == want
+        assert [r[n] for n in names if n != "n_hit"] == [k for k, n in enumerate(names) if n != "n_hit"]
+
+
 def test_no_items_and_no_documents(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert not any(r["contaminated"] for r in winnowing.decontaminate(frame(spark), bench).collect())

@@ -21,18 +21,21 @@ side is fine; other columns are ignored by the operator, carried by the stage.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 from dataclasses import dataclass, field
 from hashlib import sha256
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import add_columns, per_row, table, written
 
 SPAN, K = 10, 4
 W = SPAN - K + 1
+#: Parts that a gram's documents are dealt to where both sides are large.
+SALTS = 8
 #: Bytes of item text up to which the test side is broadcast; its index takes
 #: about 20 times as much memory in each worker.
 BROADCAST_BYTES = 8 << 20
@@ -200,8 +203,8 @@ def verdict(n_words: int, n_hit: int, ids: set[str]) -> tuple:
     return n_words, n_hit, len(names), sha256(",".join(names).encode()).hexdigest(), n_hit > 0
 
 
-def batch_verdicts(texts: list[str | None], items: Items) -> list[tuple]:
-    """For each text (n_words, n_hit, n_items, items_sha256, contaminated)."""
+def batch_runs(texts: list[str | None], items: Items) -> tuple[np.ndarray, list[list[tuple[int, int, int]]]]:
+    """Where each text's words begin in all of them, and its runs (item, start, end)."""
     raw = [lowered(t) for t in texts]
     h, bounds = batch_hashes(raw)
     hits: dict[int, list] = defaultdict(list)
@@ -212,11 +215,13 @@ def batch_verdicts(texts: list[str | None], items: Items) -> list[tuple]:
             doc = int(np.searchsorted(bounds, p[j], "right")) - 1
             # texts without words share a bound with the one that follows
             hits[doc] += [(int(item[x]), int(p[j] - bounds[doc]), int(at[x])) for x in range(lo[j], hi[j])]
-    out = []
-    for d in range(len(texts)):
-        runs = extended(WORD.findall(raw[d]), hits[d], items.words) if d in hits else []
-        out.append(verdict(int(bounds[d + 1] - bounds[d]), covered(runs), {items.ids[x] for x, _, _ in runs}))
-    return out
+    return bounds, [extended(WORD.findall(raw[d]), hits[d], items.words) if d in hits else [] for d in range(len(texts))]
+
+
+def batch_verdicts(texts: list[str | None], items: Items) -> list[tuple]:
+    """For each text (n_words, n_hit, n_items, items_sha256, contaminated)."""
+    bounds, found = batch_runs(texts, items)
+    return [verdict(int(bounds[d + 1] - bounds[d]), covered(runs), {items.ids[x] for x, _, _ in runs}) for d, runs in enumerate(found)]
 
 
 ADDED = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
@@ -258,7 +263,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, text: str = "text", bound:
 
 
 def _kept(df: DataFrame, key: str, item_side: bool, lengths: list[int]) -> DataFrame:
-    """(key, k, value, at): the kept grams of each row's text. lengths: of short
+    """(key, k, value): the kept grams of each row's text, each once. lengths: of short
     items, which documents are searched for."""
 
     def rows(batch):
@@ -271,17 +276,23 @@ def _kept(df: DataFrame, key: str, item_side: bool, lengths: list[int]) -> DataF
             else:
                 kinds = [(K, W), *((k, 1) for k in lengths)]
             for k, w in kinds:
-                at, value = winnow(h, bounds, k, w)
-                out += [(i, k if w > 1 else -k, v, a) for v, a in zip(value.view(np.int64).tolist(), at.tolist(), strict=True)]
+                _, value = winnow(h, bounds, k, w)
+                out += [(i, k if w > 1 else -k, v) for v in np.unique(value).view(np.int64).tolist()]
         return out
 
-    return per_row(df, f"{key} long, k int, value long, at long", rows, [key, "text"])
+    return per_row(df, f"{key} long, k int, value long", rows, [key, "text"])
 
 
 def _by_shuffle(docs: DataFrame, bench: DataFrame, text: str) -> DataFrame:
-    """Join the fingerprints of both sides, then the texts of pairs that meet."""
-    own = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    whole = own.select("_row", F.col(text).alias("text"))
+    """Join the fingerprints of both sides, then the texts of pairs that meet.
+
+    A document has a gram once, and a gram's documents are dealt to SALTS parts, each with a copy of the
+    items that have it, so that a word which most documents use is no single key. Pairs are made
+    distinct before texts go to them; their hits are found again in the two texts, where they are
+    needed. A document's runs are added up in their order, by a window, and never held together."""
+    row = f"_row{uuid.uuid4().hex}"
+    own = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    whole = own.select(F.col(row).alias("_row"), F.col(text).alias("text"))
     items = written(
         bench.select(
             F.monotonically_increasing_id().alias("_item"),
@@ -292,35 +303,36 @@ def _by_shuffle(docs: DataFrame, bench: DataFrame, text: str) -> DataFrame:
     )
     test = written(_kept(items, "_item", True, []), "test_grams")
     lengths = [-r["k"] for r in test.where("k < 0").select("k").distinct().collect()]  # nine at most
-    met = (
-        _kept(whole, "_row", False, lengths)
-        .join(test.withColumnRenamed("at", "q"), ["k", "value"])
-        .groupBy("_row", "_item")
-        .agg(F.collect_set(F.struct("at", "q")).alias("hits"))
-    )
-    met = written(met, "met")
+    copies = test.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    grams = _kept(whole, "_row", False, lengths).withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int"))
+    met = written(grams.join(copies, ["k", "value", "_salt"]).select("_row", "_item").distinct(), "met")
 
     def runs(batch):
-        out = []
-        for row, item, doc_text, item_text, item_id, hits in batch:
-            words = WORD.findall(lowered(item_text))
-            found = extended(WORD.findall(lowered(doc_text)), [(0, h["at"], h["q"]) for h in hits], [words])
-            out += [(row, item_id, lo, hi) for _, lo, hi in found]
-        return out
+        return [
+            (row, item_id, lo, hi)
+            for row, doc_text, item_text, item_id in batch
+            for _, lo, hi in batch_runs([doc_text], Items.of([(item_id, item_text)]))[1][0]
+        ]
 
     pairs = met.join(whole, "_row").join(items.select("_item", "item_id", F.col("text").alias("item_text")), "_item")
-    found = per_row(pairs, "_row long, item_id string, lo long, hi long", runs, ["_row", "_item", "text", "item_text", "item_id", "hits"])
-    per_doc = found.groupBy("_row").agg(F.collect_set(F.struct("item_id", "lo", "hi")).alias("_runs"))
-
-    def verdicts(batch):
-        out = []
-        for t, r in batch:
-            spans = [(0, x["lo"], x["hi"]) for x in r or []]
-            out.append(verdict(len(WORD.findall(lowered(t))), covered(spans), {x["item_id"] for x in r or []}))
-        return out
-
-    joined = own.join(per_doc, "_row", "left").drop("_row")
-    return add_columns(joined, ADDED, verdicts, [text, "_runs"]).drop("_runs")
+    found = written(per_row(pairs, "_row long, item_id string, lo long, hi long", runs, ["_row", "text", "item_text", "item_id"]), "runs")
+    ordered = Window.partitionBy("_row").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
+    fresh = F.greatest(F.lit(0), F.col("hi") - F.greatest("lo", F.coalesce(F.max("hi").over(ordered), F.lit(0))))
+    hit = found.select("_row", fresh.alias("fresh")).groupBy("_row").agg(F.sum("fresh").alias("n_hit"))
+    names = found.select("_row", "item_id").distinct().groupBy("_row").agg(F.array_sort(F.collect_list("item_id")).alias("names"))
+
+    counted = add_columns(own, "n_words long", lambda batch: [(len(WORD.findall(lowered(t))),) for (t,) in batch], [text])
+    stats = hit.join(names, "_row").select(
+        F.col("_row").alias(row), "n_hit", F.size("names").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "names").cast("binary"), 256).alias("items_sha256")
+    )
+    made = [x.split()[0] for x in ADDED.split(", ")]
+    joined = counted.drop(*made[1:]).join(stats, row, "left")
+    verdicts = {
+        "n_words": F.col("n_words"), "n_hit": F.coalesce("n_hit", F.lit(0)), "n_items": F.coalesce("n_items", F.lit(0)),
+        "items_sha256": F.coalesce("items_sha256", F.lit(sha256(b"").hexdigest())), "contaminated": F.coalesce(F.col("n_hit") > 0, F.lit(False)),
+    }
+    order = [*docs.columns, *(c for c in made if c not in docs.columns)]
+    return joined.select(*(verdicts[c].alias(c) if c in verdicts else F.col(f"`{c}`") for c in order))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
