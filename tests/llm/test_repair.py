@@ -7,6 +7,7 @@ import time
 import zlib
 from collections import defaultdict
 
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -135,6 +136,9 @@ def path(spark, tmp_path):
 def test_repairs_equal_plain_ones(spark, path):
     got = sorted((tuple(r) for r in repair.op12(spark, path).collect()), key=str)
     assert got == plain(conversations())
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{path}/conversations.parquet/*.parquet'")
+    assert sorted(con.sql(repair.SQL).fetchall(), key=str) == got
     turns = repair.repaired(repair.damaged(spark.read.parquet(path + "/conversations.parquet"))).orderBy("conv_id", "position").collect()
     by_conv = defaultdict(list)
     for r in turns:

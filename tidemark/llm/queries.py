@@ -25,4 +25,5 @@ ORACLE_SQL = {
     "op8_quality_rules": quality.SQL,
     "op10_warc_archive": warc.SQL,
     "op11_interaction": interaction.SQL,
+    "op12_earley_repair": repair.SQL,
 }

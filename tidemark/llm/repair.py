@@ -305,3 +305,61 @@ def repaired(rows: DataFrame) -> DataFrame:
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repairs(damaged(table(spark, sf_dir, "conversations")))
 
+
+
+SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS crc
+  FROM (SELECT unnest(range(256)) AS i)
+), k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations
+), d AS (
+  SELECT conv_id, turn, role, text, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(key) + 1), lambda i: ascii(substr(key, i, 1))::BIGINT)),
+    lambda c, b: xor(c >> 8, crc[xor(c, b) % 256 + 1])), 4294967295) % 20 AS kind FROM k, t
+), live AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM d, (SELECT unnest([0, 1]) AS copy) WHERE kind <> 0 AND (copy = 0 OR kind = 3)
+), counted AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS nth FROM live
+), o AS MATERIALIZED (
+  SELECT *, row_number() OVER w AS i, lag(substr(role, 1, 1)) OVER w AS before, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS last
+  FROM counted WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, nth)
+), f AS MATERIALIZED (
+  SELECT *, substr(role, 1, 1) AS r, last = '' AS blank, last <> '' AND nth > 1 AS duplicate, last <> '' AND nth = 1 AND NOT regexp_matches(last, '[.!?]') AS truncated FROM o
+), ins AS (SELECT * FROM (VALUES (0, 0, ''), (0, 2, 'I'), (0, 3, 'II'), (1, 1, ''), (1, 2, 'I'), (1, 3, 'II'), (2, 2, ''), (2, 3, 'I'), (3, 3, ''), (3, 2, 'I')) v(p, q, i)
+), use AS (SELECT * FROM (VALUES (0, 1, 's'), (0, 2, 'u'), (1, 2, 'u'), (3, 2, 'u'), (2, 3, 'a')) v(q, s, want)
+), step AS (
+  SELECT p, s, want, i AS inserted FROM ins JOIN use USING (q) UNION ALL SELECT p, q, NULL, i FROM ins
+), run AS (
+  SELECT conv_id, 0::BIGINT AS i, 0 AS state, row(0::BIGINT, '') AS best FROM (SELECT DISTINCT conv_id FROM f)
+  UNION ALL
+  SELECT run.conv_id, f.i, step.s, min(row(best[1] + 3 * length(inserted) + CASE WHEN want IS NULL THEN 4 ELSE 3 * (f.r <> want)::INT + 3 * truncated::INT END,
+    best[2] || inserted || CASE WHEN want IS NULL THEN 'D' WHEN f.r = want THEN 'K' ELSE 'R' END))
+  FROM run JOIN f ON f.conv_id IS NOT DISTINCT FROM run.conv_id AND f.i = run.i + 1
+  JOIN step ON step.p = run.state AND (want IS NULL OR NOT blank AND NOT duplicate AND (f.r = want OR want <> 's')) GROUP BY ALL
+), final AS (
+  SELECT run.conv_id, min(row(best[1] + 3 * length(inserted), best[2] || inserted)) AS best
+  FROM run JOIN (SELECT conv_id, max(i) AS n FROM f GROUP BY conv_id) m ON m.conv_id IS NOT DISTINCT FROM run.conv_id AND m.n = run.i
+  JOIN (VALUES (0, ''), (1, 'II'), (2, 'I'), (3, '')) e(state, inserted) ON e.state = run.state GROUP BY run.conv_id
+), letters AS (
+  SELECT conv_id, p, substr(best[2], p, 1) AS letter FROM (SELECT *, unnest(range(1, length(best[2]) + 1)) AS p FROM final)
+), edits AS (
+  SELECT *, count(*) FILTER (letter <> 'I') OVER w AS i, count(*) FILTER (letter <> 'D') OVER w AS n FROM letters WINDOW w AS (PARTITION BY conv_id ORDER BY p)
+), turns AS (
+  SELECT e.conv_id, e.p, e.n, letter, f.role, f.text, max((letter = 'K' AND e.n = 1 AND f.r = 's')::INT) OVER (PARTITION BY e.conv_id) AS sys
+  FROM edits e LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM e.conv_id AND f.i = e.i AND letter <> 'I' WHERE letter <> 'D'
+), repaired AS (
+  SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (n - sys) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY p) AS body
+  FROM turns GROUP BY conv_id
+), c AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, sum(blank::INT)::BIGINT AS blank, sum(duplicate::INT)::BIGINT AS duplicate,
+    sum(truncated::INT)::BIGINT AS truncated, count(*) FILTER (before IS NOT NULL AND before || r NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id
+)
+SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(best[1], 0) AS cost, coalesce(best[2], '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) ids
+LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN final ON final.conv_id IS NOT DISTINCT FROM ids.conv_id
+LEFT JOIN repaired ON repaired.conv_id IS NOT DISTINCT FROM ids.conv_id
+"""
