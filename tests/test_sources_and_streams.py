@@ -212,3 +212,13 @@ def test_frames_need_their_library(spark):
 def test_metrics(spark, tmp_path):
     files.write_metrics(spark.range(3), str(tmp_path / "m"))
     assert spark.read.schema("id bigint").json(str(tmp_path / "m")).count() == 3
+
+
+def test_tables_of_a_database_are_read_in_ranges(spark):
+    url = "jdbc:derby:memory:tidemark;create=true"
+    rows = spark.range(100).selectExpr("id AS \"ID\"".replace('"', "`"), "id * 2 AS `TWICE`")
+    rows.write.format("jdbc").options(url=url, dbtable="NUMBERS", driver="org.apache.derby.jdbc.EmbeddedDriver").mode("overwrite").save()
+    got = files.database(spark, url, "NUMBERS", "ID", 0, 100, 4, driver="org.apache.derby.jdbc.EmbeddedDriver")
+    assert got.rdd.getNumPartitions() == 4
+    assert sorted(map(tuple, got.collect())) == [(k, 2 * k) for k in range(100)]
+    assert "PushedFilters" in got.where("ID < 7")._jdf.queryExecution().toString() and got.where("ID < 7").count() == 7

@@ -7,10 +7,12 @@ that loads it once for each worker and sees Arrow batches.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark import SparkFiles
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from . import scalars as S
@@ -44,6 +46,33 @@ def batch_model(load: Callable[[], Callable[[pd.Series], pd.DataFrame]], returns
     return predict
 
 
+def save_model(spark: SparkSession, model, path: str) -> str:
+    """Write a model's parameters (anything that JSON holds) as one file; its path. A file that is
+    there is replaced."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    place = hadoop.Path(f"{path}.json")
+    stream = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place, True)
+    stream.write(json.dumps(model, sort_keys=True).encode())
+    stream.close()
+    return f"{path}.json"
+
+
+def file_model(spark: SparkSession, path: str, build: Callable, returns: str) -> Callable[[Column], Column]:
+    """A plug-in of a saved model: Spark sends the file to the executors, where each worker reads it once.
+    build(parameters): gives a function from a batch of inputs to a batch of outputs."""
+    spark.sparkContext.addFile(path)
+    name = path.rpartition("/")[2]
+
+    @F.pandas_udf(returns)
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        with open(SparkFiles.get(name)) as f:
+            model = build(json.load(f))
+        for batch in batches:
+            yield model(batch)
+
+    return predict
+
+
 def _pairwise(pixels: Column, previous: Column, number: Column) -> Column:
     change = S.mean_change(pixels, previous)
     shift = lambda lower: S.mean(S.half(pixels, lower)) - S.mean(S.half(previous, lower))

@@ -208,3 +208,13 @@ def counters(**tables: DataFrame) -> DataFrame:
     """One row: the rows of each table, by its name."""
     counts = [df.agg(F.count(F.lit(1)).alias("n")).select("n").scalar().alias(name) for name, df in tables.items()]
     return next(iter(tables.values())).sparkSession.range(1).select(*counts)
+
+
+def inserted(uploads: DataFrame, live: DataFrame) -> DataFrame:
+    """New session records: of admitted uploads (id, user_id, filename, created_at), which begin as
+    processing and without numbers, and of live sessions that are stored when they end."""
+    begun = uploads.withColumns({"analysis_id": F.concat(F.lit("a_"), F.col("id").cast("string")), "status": F.lit("processing")})
+    ended = live.withColumns({
+        "analysis_id": F.concat(F.lit("live_"), F.col("id").cast("string")), "status": F.lit("completed"), "completed_at": F.col("created_at"),
+    })
+    return begun.unionByName(ended, allowMissingColumns=True)

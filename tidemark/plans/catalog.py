@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import frame_queries, live_queries, scalar_queries, session_queries, training_queries
+from . import frame_queries, live_queries, scalar_queries, session_queries, store_queries, training_queries
 
-ALL = {**frame_queries.QUERIES, **live_queries.QUERIES, **session_queries.QUERIES, **training_queries.QUERIES, **scalar_queries.QUERIES}
+ALL = {**frame_queries.QUERIES, **live_queries.QUERIES, **session_queries.QUERIES, **store_queries.QUERIES, **training_queries.QUERIES, **scalar_queries.QUERIES}
 QUERIES = {name: f for name, (f, _) in ALL.items()}
 ORACLE_SQL = {name: sql for name, (_, sql) in ALL.items() if sql}

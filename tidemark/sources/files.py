@@ -64,7 +64,8 @@ def byte_range(files: DataFrame, start: int, length: int) -> DataFrame:
 
 def store_uploads(uploads: DataFrame, path: str) -> None:
     """Admitted uploads (user_id, id, name, content) into a folder for each user, as rows
-    of Parquet with their content; a repeated write of a batch replaces nothing."""
+    of Parquet with their content. Rows are appended: a repeated write has them twice, unlike
+    uploads.store_files, which makes a file of each, once."""
     uploads.select("user_id", "id", "name", "content", F.octet_length("content").alias("size")).write.mode("append").partitionBy("user_id").parquet(path)
 
 
