@@ -247,6 +247,26 @@ def path_confinement(spark: SparkSession, d: str) -> DataFrame:
     return D.table(spark, d, "customer").select(k.alias("id"), V.confined(path, "/data/uploads").alias("inside"))
 
 
+_SEGMENTS = ["uploads", "data", "..", ".", "", "v1", "..."]
+
+
+@query(
+    "path_resolution",
+    f"""WITH p AS (SELECT o_orderkey AS id, '/data/uploads/' || array_to_string(list_transform([1, 7, 49, 343, 2401],
+  lambda f: {_SEGMENTS!r}[(o_orderkey * 48271 // f) % 7 + 1]), '/') AS path FROM orders),
+r AS (SELECT id, list_reduce(list_prepend('', string_split(path, '/')),
+  lambda acc, s: CASE WHEN s IN ('', '.') THEN acc WHEN s = '..' THEN regexp_replace(acc, '/[^/]*$', '') ELSE acc || '/' || s END) AS path FROM p)
+SELECT id, CASE WHEN path = '' THEN '/' ELSE path END AS path, starts_with(path, '/data/uploads/') AS inside FROM r""",
+)
+def path_resolution(spark: SparkSession, d: str) -> DataFrame:
+    """Paths with segments that lead up, stay or go on: where they end, and whether in the folder."""
+    key = F.col("o_orderkey").cast("bigint") * 48271
+    names = F.array(*map(F.lit, _SEGMENTS))
+    parts = [F.get(names, (F.floor(key / f) % 7).cast("int")) for f in (1, 7, 49, 343, 2401)]
+    path = F.concat(F.lit("/data/uploads/"), F.concat_ws("/", *parts))
+    return D.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), V.resolved(path).alias("path"), V.confined(path, "/data/uploads").alias("inside"))
+
+
 @query(
     "live_saves",
     """SELECT filename, frames_analyzed, CASE WHEN k % 3 = 0 THEN NULL ELSE k % 4 END::DOUBLE AS overall_score FROM (
