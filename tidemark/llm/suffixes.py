@@ -164,7 +164,7 @@ class Part:
     def __init__(self, rows: pa.Table):
         ids, keys, texts = (rows.column(c).to_pylist() for c in ("doc_id", "rk", "text"))
         order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0, keys[i]))
-        self.ids = [ids[i] for i in order]
+        self.ids, self.keys = [ids[i] for i in order], [keys[i] for i in order]
         self.texts = [texts[i] or b"" for i in order]
 
     def segments(self):
