@@ -1,7 +1,7 @@
 """A sink for uploads: one file for each, written in two phases.
 
-Tasks write into a folder of their own below ``_pending``; the commit moves the files to their places,
-and what a failed write leaves there is removed. A file's name follows from the batch and the
+Tasks write into a folder of their own below ``_pending``; the commit moves the files to their places.
+What a failed write leaves there is removed, at the latest when the batch is written again. A file's name follows from the batch and the
 upload's id, so that a batch that is written again finds its files and writes none.
 """
 
