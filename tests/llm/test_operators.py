@@ -505,6 +505,32 @@ def test_very_large_lists_are_linked_in_chunks(spark, monkeypatch):
     assert [r[0] for r in collected(simhash.stage(spark, frame(spark, rows), ""))] == [0]
 
 
+def test_loose_fingerprint_is_the_vote_of_all_shingles():
+    """A bit is the majority of the shingles' own bits, whichever shingle is looked at first; a
+    single shingle votes alone, and a copy at the similarity moves about 15 of 100 bits."""
+    r = np.random.default_rng(5)
+    hashes = r.integers(0, 1 << 64, 601, np.uint64)
+    bits = lambda h: np.unpackbits(np.frombuffer(simhash.loose_fingerprint(h), np.uint8)).astype(int)
+    assert (bits(hashes) == (2 * sum(bits(h[None]) for h in hashes) > len(hashes))).all()
+    moved = (bits(hashes[:540]) != bits(np.concatenate([hashes[:480], hashes[541:]]))).mean()
+    assert 0.1 < moved < 0.2
+    # a few shingles in a large set have no say, where those first in some order had
+    many = r.integers(0, 1 << 64, 20001, np.uint64)
+    assert (bits(many) != bits(many[200:])).mean() < 0.06
+
+
+def test_similar_sets_meet_in_a_list():
+    r, missed = np.random.default_rng(6), 0
+    for n in [20, 100, 400] * 100:
+        a = r.integers(0, 1 << 64, n, np.uint64)
+        b = np.concatenate([a[: n * 8 // 9 + 1], r.integers(0, 1 << 64, n - n * 8 // 9 - 1, np.uint64)])
+        sig = np.frombuffer(simhash.loose_fingerprint(a) + simhash.loose_fingerprint(b), np.uint8).reshape(2, -1)
+        shared = np.flatnonzero(sig[0] == sig[1])
+        lists = [p for p in shared if p % (simhash.LOOSE_POSITIONS // simhash.LISTS) == 0]
+        missed += not any(len(simhash.meetings(np.zeros(2, int), np.roll(sig, -p, axis=1))) for p in lists)
+    assert missed <= 1
+
+
 def test_pairs_of_blocks_bring_all_classes_together(spark, monkeypatch):
     monkeypatch.setattr(simhash, "CHUNK", 8)
     rows = [(1, i, 0 if i < 70 else i) for i in range(100)] + [(2, i, i % 2) for i in range(30)] + [(3, i, i) for i in range(25)]

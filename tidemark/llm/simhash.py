@@ -14,12 +14,13 @@ long ones are linked by a flood fill over the 2,325 patterns of up to three of
 the 24 bits, which gives a spanning forest in time linear in the list.
 Equal fingerprints are collapsed beforehand.
 
-The pipeline's stage looks for looser copies: five words and a similarity of 0.8. There a
-vote of all shingles moves a sixth of the bits, and no number of shared bytes is
-guaranteed. Its fingerprint has 144 bytes, each the vote of one shingle, and its keys
-are 24 runs of six; pairs that meet under a key are tallied, dropped below the shared
-bytes that a pair at 0.8 has, less three standard deviations, and verified by their sets
-of shingles; above three deviations more they are linked without.
+The pipeline's stage looks for looser copies: five words and a similarity of 0.8. There the
+vote moves some 15 of 100 bits, too many for 64 of them to guarantee a byte. Its fingerprint is the
+same vote over 768 bits, of whose 96 bytes such a pair shares 26. Lists of single bytes, at 32
+positions, carry the fingerprints; within a list, the tally is taken on its intersections with two
+more lists, 64 of them; pairs with fewer shared bytes than a pair at 0.8 has, less four standard
+deviations, are dropped, and so are those with too many differing bits. What is left makes loose
+classes, in which all such pairs are verified by their sets of shingles.
 
 Cases: null, empty and blank texts have fingerprint zero and are linked like any
 other; fewer words than a shingle make one shingle; long texts are hashed in
@@ -31,6 +32,7 @@ columns are ignored by the operator and carried by the stage.
 from __future__ import annotations
 
 import itertools
+import math
 import uuid
 from collections.abc import Iterator
 from itertools import combinations, repeat
@@ -41,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, per_row, returned, table, written
+from .common import arrow_schema, per_row, returned, sliced, table, written
 from .components import components
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 3
@@ -245,20 +247,28 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Words in a shingle, and the similarity of two documents' sets of shingles to be found.
 LOOSE_SHINGLE, LOOSE_SIMILARITY = 5, 0.8
-#: Bytes of a fingerprint, keys and bytes in each. Of pairs at the similarity, one in
-#: 1,400 meets under no key; closer ones, less.
-KEYS, KEY_BYTES = 24, 6
-LOOSE_POSITIONS = KEYS * KEY_BYTES
-#: Shared bytes of a pair at the similarity, less and plus three standard deviations: pairs
-#: with fewer are dropped unseen, and pairs with more are linked unseen.
-_MEAN, _DEVIATION = LOOSE_POSITIONS * LOOSE_SIMILARITY, (LOOSE_POSITIONS * LOOSE_SIMILARITY * (1 - LOOSE_SIMILARITY)) ** 0.5
-LOOSE_SHARED, SURE_SHARED = int(_MEAN - 3 * _DEVIATION), int(_MEAN + 3 * _DEVIATION) + 1
-#: Members of a list linked in one task; longer lists are dealt to chunks, each with
+#: Bytes of a fingerprint, those of them that have lists, and intersections of a list with two
+#: others. Of pairs at the similarity, one in thousands meets in none; closer ones, less.
+LOOSE_POSITIONS, LISTS, CROSSINGS = 96, 32, 64
+#: Sets of equal size at the similarity share this part of each, and differ in these of all bits.
+_COMMON = 2 * LOOSE_SIMILARITY / (1 + LOOSE_SIMILARITY)
+_TURNED = math.acos(_COMMON) / math.pi
+_SAME = (1 - _TURNED) ** 8
+#: Shared bytes of such a pair less four standard deviations, and differing bits plus six: pairs
+#: beyond are dropped without a look at their sets.
+LOOSE_SHARED = int(LOOSE_POSITIONS * _SAME - 4 * (LOOSE_POSITIONS * _SAME * (1 - _SAME)) ** 0.5)
+LOOSE_BITS = int(8 * LOOSE_POSITIONS * _TURNED + 6 * (8 * LOOSE_POSITIONS * _TURNED * (1 - _TURNED)) ** 0.5)
+#: Rows of lists that are gone through at once, at least.
+AT_ONCE = 1 << 16
+#: Members of a class verified in one task; larger classes are dealt to chunks, each with
 #: about LEADERS members that all chunks have, and then to pairs of blocks.
 CHUNK, LEADERS = 2048, 32
 #: Rows of two longs that are broadcast at most: 32 MB.
 SENT = 2 << 20
-_ORDERS = np.random.default_rng(SEED).integers(0, 1 << 64, LOOSE_POSITIONS, np.uint64, endpoint=False) | np.uint64(1)
+_DRAWN = np.random.default_rng(SEED)
+_WORDS = _DRAWN.integers(0, 1 << 64, LOOSE_POSITIONS // 8, np.uint64) | np.uint64(1)
+_TIES = _DRAWN.integers(0, 2, 8 * LOOSE_POSITIONS)
+_CROSSED = _DRAWN.permutation(list(combinations(range(1, LOOSE_POSITIONS), 2)))[:CROSSINGS]
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -271,15 +281,27 @@ def shingle_hashes(text: str | None) -> np.ndarray:
 
 
 def loose_fingerprint(hashes: np.ndarray) -> bytes:
-    """A byte for each position: the shingles are put in the position's own order, and the
-    first alone votes. So a byte is shared with a probability equal to the similarity (and
-    by chance in 256), where a vote of all shingles would keep 27 of 100 bytes at 0.8."""
-    if not len(hashes):
+    """The vote over LOOSE_POSITIONS bytes: a bit is set if it is set in over half of the
+    shingles' hashes, which are drawn out to as many bits; a tie goes to the bit's own side."""
+    n = len(hashes)
+    if not n:
         return bytes(LOOSE_POSITIONS)
-    least = np.full(LOOSE_POSITIONS, np.iinfo(np.uint64).max, np.uint64)
-    for start in range(0, len(hashes), 1024):
-        np.minimum(least, np.multiply.outer(_ORDERS, hashes[start : start + 1024]).min(axis=1), out=least)
-    return ((least * _SPREAD) >> np.uint64(56)).astype(np.uint8).tobytes()
+    counts = np.zeros(8 * LOOSE_POSITIONS, np.int64)
+    for start in range(0, n, 255):  # so many fit a byte's sum, eight sums a word
+        h = np.multiply.outer(hashes[start : start + 255], _WORDS)
+        h = (h ^ (h >> np.uint64(32))) * _SPREAD
+        h ^= h >> np.uint64(29)
+        bits = np.unpackbits(h.astype("<u8").view(np.uint8), axis=1)
+        counts += bits.view(np.uint64).sum(axis=0).view(np.uint8)
+    return np.packbits(2 * counts + _TIES > n).tobytes()
+
+
+def loosely_near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Pairs of rows that share enough bytes and differ in few enough bits."""
+    x = a ^ b
+    near = (x == 0).sum(axis=1) >= LOOSE_SHARED
+    near[near] = np.bitwise_count(x[near]).sum(axis=1) <= LOOSE_BITS
+    return near
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -290,24 +312,73 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return shared >= LOOSE_SIMILARITY * (len(both) - shared)
 
 
-def key_rows(prints: DataFrame) -> DataFrame:
-    """(key, id) for each key of each fingerprint; a key names its positions, too."""
-    target = arrow_schema(prints.sparkSession, "key long, id long")
+def postings(prints: DataFrame) -> DataFrame:
+    """(list, id, sig) for each list that a fingerprint is in; list names the position and its
+    byte, and sig begins with that position."""
+    target = arrow_schema(prints.sparkSession, "list int, id long, sig binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
+        for batch in sliced(batches):
+            n = batch.num_rows
+            raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(n, LOOSE_POSITIONS)
+            ends = pa.py_buffer(np.arange(0, (n + 1) * LOOSE_POSITIONS, LOOSE_POSITIONS, dtype=np.int32))
+            for p in range(0, LOOSE_POSITIONS, LOOSE_POSITIONS // LISTS):
+                sig = pa.Array.from_buffers(pa.binary(), n, [None, ends, pa.py_buffer(np.roll(raw, -p, axis=1).tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(p << 8 | raw[:, p].astype(np.int32)), batch.column(0), sig], schema=target)
+        returned()
+
+    return prints.select("id", "sig").mapInArrow(run, "list int, id long, sig binary")
+
+
+def meetings(lists: np.ndarray, sig: np.ndarray) -> np.ndarray:
+    """Rows (i, j) of lists: edges that connect what all near pairs connect that are in one list
+    and share one of its crossings. Runs of up to SHORT rows are compared pair by pair."""
+    out = [np.zeros(0, np.int64)]
+    for p, q in _CROSSED:
+        key = lists.astype(np.int64) << 16 | sig[:, p].astype(np.int64) << 8 | sig[:, q]
+        order = np.argsort(key)
+        key = key[order]
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        length = np.diff(np.append(start, len(key)))
+        start, length = start[length > 1], length[length > 1]
+        pairs = []
+        for d in range(1, SHORT):
+            for k in range(SHORT - d):
+                at = start[(length > d + k) & (length <= SHORT)] + k
+                pairs.append(np.stack([order[at], order[at + d]], axis=1))
+        pairs = np.concatenate(pairs)
+        pairs = np.concatenate([part[loosely_near(sig[part[:, 0]], sig[part[:, 1]])] for part in np.array_split(pairs, len(pairs) // AT_ONCE + 1)])
+        out.append(pairs[:, 0] << 32 | pairs[:, 1])
+        for lo, n in zip(start[length > SHORT].tolist(), length[length > SHORT].tolist(), strict=True):
+            own = order[lo : lo + n]
+            edges = own[np.array(_flood(own, lambda i, rest, own=own: loosely_near(sig[own[rest]], sig[own[i]])), np.int64).reshape(-1, 2)]
+            out.append(edges[:, 0] << 32 | edges[:, 1])
+    found = np.unique(np.concatenate(out))
+    return np.stack([found >> 32, found & 0xFFFFFFFF], axis=1)
+
+
+def met(prints: DataFrame) -> DataFrame:
+    """(a, b) of ids whose fingerprints (id, sig) meet and are near, or edges that connect these."""
+    dealt = postings(prints).repartition("list").sortWithinPartitions("list")
+    target = arrow_schema(prints.sparkSession, "a long, b long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, enough = [], AT_ONCE
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None and batch.num_rows:
+                lists, ids = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
+                held.append((lists, ids, np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, LOOSE_POSITIONS)))
+            if not held or (batch is not None and sum(len(x[0]) for x in held) < enough):
                 continue
-            raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, KEYS, KEY_BYTES)
-            key = np.zeros(raw.shape[:2], np.int64)
-            for k in range(KEY_BYTES):
-                key = key << 8 | raw[:, :, k]
-            key |= np.arange(KEYS, dtype=np.int64) << 8 * KEY_BYTES
-            ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), KEYS)
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(ids)], schema=target)
+            lists, ids, sig = (np.concatenate(x) for x in zip(*held, strict=True))
+            done = len(lists) if batch is None else int(np.searchsorted(lists, lists[-1]))  # the last list may go on
+            held, enough = [(lists[done:], ids[done:], sig[done:])], max(AT_ONCE, 2 * (len(lists) - done))
+            if done:
+                edges = np.unique(np.sort(ids[meetings(lists[:done], sig[:done])], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], schema=target)
         returned()
 
-    return prints.select("id", "sig").mapInArrow(run, "key long, id long")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def in_chunks(members: DataFrame) -> DataFrame:
@@ -336,16 +407,13 @@ def in_block_pairs(members: DataFrame) -> DataFrame:
     return dealt.withColumn("chunk", F.explode(F.when(F.col("root") == F.col("top.root"), largest).otherwise(others))).select("key", "chunk", "id", "root")
 
 
-def loose_edges(chunked: DataFrame, prints: DataFrame, sets: DataFrame | None = None) -> DataFrame:
-    """(a, b) of ids that are linked: for each chunk (key, chunk, id), edges that connect what all its
-    links connect. Without sets (id, hashes), links are pairs that share SURE_SHARED bytes;
-    with them, pairs that share LOOSE_SHARED bytes and are verified; then chunks also have the
-    root of an id, what it is known to be linked to."""
-    members = chunked
-    dealt = chunked.join(prints.select("id", "sig"), "id")
-    dealt = dealt.withColumn("root", F.col("id")).withColumn("hashes", F.lit(b"")) if sets is None else dealt.join(sets, "id")
+def loose_edges(chunked: DataFrame, prints: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b) of ids that are linked: for each chunk (key, chunk, id, root), edges that connect what all its
+    links connect. Links are near pairs whose sets (id, hashes) have the similarity; root is what an id is
+    known to be linked to."""
+    dealt = chunked.join(prints.select("id", "sig"), "id").join(sets, "id")
     dealt = dealt.select("key", "chunk", "id", "root", "sig", "hashes").repartition("key", "chunk").sortWithinPartitions("key", "chunk", "id")
-    target, verified = arrow_schema(members.sparkSession, "a long, b long"), sets is not None
+    target = arrow_schema(prints.sparkSession, "a long, b long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros((0, 4), np.int64), np.zeros((0, LOOSE_POSITIONS), np.uint8), []
@@ -362,7 +430,7 @@ def loose_edges(chunked: DataFrame, prints: DataFrame, sets: DataFrame | None =
             edges = [np.zeros((0, 2), np.int64)]
             for lo, hi in itertools.pairwise([0, *(c for c in cuts if c < done), done]):
                 if hi - lo > 1:
-                    found = verified_forest(own[lo:hi, 3], sig[lo:hi], hashes[lo:hi]) if verified else _flood(sig[lo:hi], _sure(sig[lo:hi]))
+                    found = verified_forest(own[lo:hi, 3], sig[lo:hi], hashes[lo:hi])
                     edges.append(own[lo:hi, 2][np.array(found, np.int64).reshape(-1, 2)])
             own, sig, hashes = own[done:], sig[done:], hashes[done:]
             edges = np.unique(np.concatenate(edges), axis=0)
@@ -373,10 +441,6 @@ def loose_edges(chunked: DataFrame, prints: DataFrame, sets: DataFrame | None =
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def _sure(sig: np.ndarray):
-    return lambda i, rest: (sig[rest] == sig[i]).sum(axis=1) >= SURE_SHARED
-
-
 def verified_forest(root: np.ndarray, sig: np.ndarray, hashes: list[bytes]) -> list[tuple[int, int]]:
     """Edges that connect what the verified pairs connect, beyond those of equal root. Pairs
     of rows that are connected by then are not looked at."""
@@ -385,7 +449,7 @@ def verified_forest(root: np.ndarray, sig: np.ndarray, hashes: list[bytes]) -> l
     edges = []
     for i in range(len(sig) - 1):
         rest = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
-        for j in rest[(sig[rest] == sig[i]).sum(axis=1) >= LOOSE_SHARED].tolist():
+        for j in rest[loosely_near(sig[rest], sig[i])].tolist():
             if label[i] != label[j] and similar(sets[i], sets[j]):
                 edges.append((i, j))
                 label[label == label[j]] = label[i]
@@ -394,10 +458,9 @@ def verified_forest(root: np.ndarray, sig: np.ndarray, hashes: list[bytes]) -> l
 
 def loose_roots(prints: DataFrame, texts: DataFrame) -> DataFrame:
     """(node, root) of the fingerprints (id, sig, rk) that have a partner; texts: (rk, text).
-    Sure links come first, without the sets; those follow for lists that still have two
-    classes, and are made for their members only. Lists of over CHUNK members are linked within chunks and
-    to the leaders first; those that have two classes after that are gone through whole, by pairs of blocks."""
-    keyed = key_rows(prints)
+    What meets makes loose classes first. Sets are made for their members only, and each class is
+    verified in one task; classes of over CHUNK members within chunks and with the leaders, and,
+    where they have two roots after that, whole, by pairs of blocks."""
 
     def lists(members, *more):
         return members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *more).where("n > 1")
@@ -409,24 +472,25 @@ def loose_roots(prints: DataFrame, texts: DataFrame) -> DataFrame:
         named = roots.select(F.col("node").alias("id"), "root")
         return members.join(named, "id", "left").withColumn("root", F.coalesce("root", "id"))
 
-    members = written(keyed.join(lists(keyed), "key"), "lists")
-    edges = written(loose_edges(in_chunks(members), prints), "sure")
-    members = written(rooted(members, connected(edges)), "rooted")
+    loose = connected(written(met(prints), "met"))
+    members = loose.select(F.col("root").alias("key"), F.col("node").alias("id"), F.col("node").alias("root"))
+    edges = None
     for deal in (in_chunks, in_block_pairs):
         open_lists = lists(members, (F.min("root") < F.max("root")).alias("open")).where("open").select("key", "n")
-        left = written(members.drop("n").join(open_lists, "key"), "open")
+        left = written(members.join(open_lists, "key"), "open")
         # of known size: up to SENT rows are sent to the texts, where more have the texts dealt to them
         involved = written(left.select("id").distinct().join(prints.select("id", "rk"), "id"), "involved")
         small = involved.count() <= SENT
         own = texts.join(F.broadcast(involved) if small else involved, "rk").select("id", "text")
         rows = lambda batch: [(i, shingle_hashes(t).tobytes()) for i, t in batch]
         sets = written(per_row(own, "id long, hashes binary", rows, ["id", "text"]).groupBy("id").agg(F.min("hashes").alias("hashes")), "sets")
-        edges = edges.unionByName(written(loose_edges(deal(left), prints, sets), "verified"))
+        verified = written(loose_edges(deal(left), prints, sets), "verified")
+        edges = verified if edges is None else edges.unionByName(verified)
         roots = connected(edges)
         long = left.where(F.col("n") > CHUNK)
         if long.isEmpty():
             break
-        # lists that fit a chunk are done; longer ones are dealt so that all of them meets
+        # classes that fit a chunk are done; larger ones are dealt so that all of them meets
         members = written(rooted(long.select("key", "id"), roots), "again")
     return roots
 
