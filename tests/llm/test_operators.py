@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -716,6 +717,36 @@ def test_family_equals_a_dictionary():
     assert all(a > 2 * b for a, b in zip(sizes, sizes[1:], strict=False))
 
 
+def test_a_shard_holds_families_of_bounded_size(monkeypatch):
+    """Two parts whose texts share passages: families of some anchors give the same matches as one
+    of all, and none of them holds more than its share."""
+    r, held = random.Random(9), []
+    texts = [prose(700 + k, 60) for k in range(40)]
+    texts = [f"{texts[k]} {texts[r.randrange(40)][r.randrange(99):]} {texts[r.randrange(40)][:150]}" for k in range(120) for k in [k % 40]]
+    tables = [pa.table({"doc_id": range(p, 120, 2), "rk": range(p, 120, 2), "text": [t.encode() for t in texts[p::2]]}) for p in (0, 1)]
+    shared = dict(suffixes.shared_anchors([0, 1], [suffixes.part_anchors(t, 1)[0][1] for t in tables]))
+    blobs = [[b for k, b in suffixes.part_segments(t, [shared[p]], 1, p) if k == 0][0] for p, t in enumerate(tables)]
+    add = suffixes.Family.add
+
+    def noted(self, *batch):
+        out = add(self, *batch)
+        held.append(sum(len(x.strings) for x in self.levels))
+        return out
+
+    monkeypatch.setattr(suffixes.Family, "add", noted)
+
+    def matches():
+        held.clear()
+        spans = [np.stack([np.full(len(x), p), x, y, z], axis=1) for p, b in suffixes.shard_matches([0, 1], blobs) for x, y, z in [suffixes.unpacked(b)]]
+        covered = {(p, d, at) for p, d, lo, hi in np.concatenate(spans).tolist() for at in range(lo, hi)}
+        return covered, max(held)
+
+    want, whole = matches()
+    monkeypatch.setattr(suffixes, "FAMILY", 1000, raising=False)
+    got, part = matches()
+    assert got == want and len(want) > 1000 and whole > 3000 and part < 0.6 * whole
+
+
 def test_no_documents_no_repeats(spark):
     assert suffixes.digests(frame(spark, [])).count() == 0
 

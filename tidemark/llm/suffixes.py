@@ -47,7 +47,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, table
+from .common import arrow_schema, returned, table
 
 SPAN, GRAM = 50, 16
 WINDOW = SPAN - GRAM + 1
@@ -63,8 +63,8 @@ PART_BYTES, BUCKET_BYTES, SHARD_BYTES = 4 << 20, 24 << 20, 8 << 20
 HOT = 4096
 #: Bytes of arrays that travel without a compressed frame.
 SMALL = 1024
-#: Suffixes in a batch at least.
-BATCH = 1 << 16
+#: Suffixes in a batch at least; suffixes in a family, and windows looked up at once, about.
+BATCH, FAMILY = 1 << 16, 1 << 20
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -366,39 +366,45 @@ def shard_matches(parts: list[int], blobs: list[bytes]) -> list[tuple[int, bytes
     shares = (size[kind.ravel()] > 1) & (anchor > 0)
     begin = np.full(len(text), -1)
     hits: list[np.ndarray] = [np.zeros(0, bool)]
-    family, at = Family(), 0
-    order = np.flatnonzero(shares)
-    order = order[np.argsort(least[order], kind="stable")]
-    total = np.cumsum(count[order])
-    lo = 0
-    while lo < len(order):
-        hi = int(np.searchsorted(total, (total[lo - 1] if lo else 0) + BATCH, "left")) + 1
-        own = order[lo:hi]
-        n = count[own]
-        begin[own] = at + np.cumsum(n) - n
-        rank = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        row = np.repeat(own, n)
-        views = np.lib.stride_tricks.sliding_window_view(raw, SPAN, axis=1)
-        suffix = np.ascontiguousarray(views[row, rank]).view(f"S{SPAN}").ravel()
-        hits.append(family.add(suffix, least[row]))
-        at += len(rank)
-        lo = hi
+    at = 0
+    # equal windows have equal anchors: families of some of the anchors each hold what one would
+    views = np.lib.stride_tricks.sliding_window_view(raw, SPAN, axis=1)
+    families = max(1, -(-int(count[shares].sum()) // FAMILY))
+    share = np.where(shares, _mixed(anchor.astype(np.uint64) * _A) % np.uint64(families), families)
+    for own_share in range(families):
+        family = Family()
+        order = np.flatnonzero(share == own_share)
+        order = order[np.argsort(least[order], kind="stable")]
+        total = np.cumsum(count[order])
+        lo = 0
+        while lo < len(order):
+            hi = int(np.searchsorted(total, (total[lo - 1] if lo else 0) + BATCH, "left")) + 1
+            own = order[lo:hi]
+            n = count[own]
+            begin[own] = at + np.cumsum(n) - n
+            rank = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            row = np.repeat(own, n)
+            suffix = np.ascontiguousarray(views[row, rank]).view(f"S{SPAN}").ravel()
+            hits.append(family.add(suffix, least[row]))
+            at += len(rank)
+            lo = hi
     hit = np.concatenate(hits)
 
     # a segment whose least document is smaller matches whole; else its own suffixes do
     whole = ids > least[segment]
     spans = [(source[whole], doc[whole], start[whole], start[whole] + count[segment[whole]] + SPAN - 1)]
     some = np.flatnonzero(~whole & shares[segment])
-    n = count[segment[some]]
-    rank = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    owner = np.repeat(some, n)
-    own_hit = hit[np.repeat(begin[segment[some]], n) + rank]
-    owner, rank = owner[own_hit], rank[own_hit]
-    if len(owner):  # suffixes in a row make one span
-        first = np.concatenate([[True], (owner[1:] != owner[:-1]) | (rank[1:] != rank[:-1] + 1)])
-        last = np.concatenate([first[1:], [True]])
-        o = owner[first]
-        spans.append((source[o], doc[o], start[o] + rank[first], start[o] + rank[last] + SPAN))
+    for own in np.array_split(some, len(some) * WINDOW // FAMILY + 1):
+        n = count[segment[own]]
+        rank = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        owner = np.repeat(own, n)
+        own_hit = hit[np.repeat(begin[segment[own]], n) + rank]
+        owner, rank = owner[own_hit], rank[own_hit]
+        if len(owner):  # suffixes in a row make one span
+            first = np.concatenate([[True], (owner[1:] != owner[:-1]) | (rank[1:] != rank[:-1] + 1)])
+            last = np.concatenate([first[1:], [True]])
+            o = owner[first]
+            spans.append((source[o], doc[o], start[o] + rank[first], start[o] + rank[last] + SPAN))
     source, doc, lo, hi = (np.concatenate(x) for x in zip(*spans, strict=True))
     return [(parts[k], packed(d, a, b)) for k, d, a, b in _dealt(source, len(parts), doc, lo, hi)]
 
@@ -429,7 +435,9 @@ def cut(rows: pa.Table, blobs: list[bytes]) -> list[tuple]:
 
 def _grouped(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
     columns = list(zip(*rows, strict=True)) or [()] * len(schema)
-    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+    out = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+    returned()  # what a group took, before the next one comes
+    return out
 
 
 def repeats(docs: DataFrame, result, ddl: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
