@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -506,6 +507,20 @@ def test_very_large_lists_are_linked_in_chunks(spark, monkeypatch):
     assert [r[0] for r in collected(simhash.stage(spark, frame(spark, rows), ""))] == [0]
 
 
+def test_long_lists_take_memory_for_their_members_only():
+    r = np.random.default_rng(8)
+    values = np.unique(r.integers(0, 1 << 24, 3000, np.uint64))
+    values = np.unique(np.concatenate([values, values[:900] ^ np.uint64(1 << 7), values[:500] ^ np.uint64(0x010101)]))
+    tracemalloc.start()
+    edges = simhash._forest_by_patterns(values, (0, 1, 2))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    plain = simhash._flood(values, lambda i, rest: np.bitwise_count(values[rest] ^ values[i]) <= 3)
+    assert all((int(values[i]) ^ int(values[j])).bit_count() <= 3 for i, j in edges)
+    assert len(edges) == len(plain) == len({j for _, j in edges}) > 1300  # a spanning forest of as many classes
+    assert peak < 16 << 20
+
+
 def test_loose_fingerprint_is_the_vote_of_all_shingles():
     """A bit is the majority of the shingles' own bits, whichever shingle is looked at first; a
     single shingle votes alone, and a copy at the similarity moves about 15 of 100 bits."""

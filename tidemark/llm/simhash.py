@@ -122,29 +122,32 @@ def _flood(members: np.ndarray, neighbours) -> list[tuple[int, int]]:
 
 def _forest_by_patterns(values: np.ndarray, free: tuple[int, ...]) -> list[tuple[int, int]]:
     """The same over a set of 24-bit values, by trying all patterns of up to
-    three bits: linear in the list, 64 MB of memory."""
+    three bits: linear in the list, and 2 MB of memory beside it for a bit of each value."""
     small = np.zeros(len(values), np.int64)
     for k, p in enumerate(free):
         small |= ((values >> np.uint64(8 * p)) & np.uint64(255)).astype(np.int64) << 8 * k
-    at = np.full(1 << 24, -1, np.int32)
-    at[small] = np.arange(len(values), dtype=np.int32)
+    order = np.argsort(small)
+    ordered, left = small[order], np.zeros(1 << 21, np.uint8)  # left: the values not reached yet
+    bit = lambda v: np.left_shift(1, v & 7).astype(np.uint8)
+    np.bitwise_or.at(left, small >> 3, bit(small))
     patterns = np.array(
         [sum(1 << b for b in bits) for n in range(1, MAX_BITS + 1) for bits in combinations(range(24), n)], np.int64
     )
     edges = []
     for start in range(len(values)):
-        if at[small[start]] < 0:
+        if not left[small[start] >> 3] & bit(small[start]):
             continue
-        at[small[start]] = -1
+        left[small[start] >> 3] &= ~bit(small[start])
         queue = [start]
         while queue:
             i = queue.pop()
-            found = at[small[i] ^ patterns]
-            found = found[found >= 0]
-            if len(found):
-                at[small[found]] = -1
-                edges += [(i, int(j)) for j in found]
-                queue += found.tolist()
+            near = small[i] ^ patterns
+            near = near[(left[near >> 3] & bit(near)) > 0]
+            if len(near):
+                np.bitwise_and.at(left, near >> 3, ~bit(near))
+                found = order[np.searchsorted(ordered, near)].tolist()
+                edges += [(i, j) for j in found]
+                queue += found
     return edges
 
 
@@ -212,6 +215,7 @@ def near_pairs(prints: DataFrame) -> DataFrame:
             held.append((combo[cut:], masked[cut:], fp[cut:]))
         if held:
             yield edges(held)
+        returned()
 
     return dealt.mapInArrow(run, "a long, b long")
 
