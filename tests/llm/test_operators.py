@@ -507,6 +507,47 @@ def test_very_large_lists_are_linked_in_chunks(spark, monkeypatch):
     assert [r[0] for r in collected(simhash.stage(spark, frame(spark, rows), ""))] == [0]
 
 
+def near_group(n):
+    """(id, sig) of n fingerprints of one group: 20 of 768 bits are turned in each."""
+    r = np.random.default_rng(12)
+    base = r.integers(0, 256, simhash.LOOSE_POSITIONS, np.uint8)
+    out = []
+    for k in range(n):
+        bits = np.unpackbits(base)
+        bits[r.choice(len(bits), 20, replace=False)] ^= 1
+        out.append((1000 + k, np.packbits(bits).tobytes()))
+    return out
+
+
+def test_meetings_of_a_large_group_are_linear(spark):
+    """All near copies of a group meet in pairs; what goes to the components connects them and
+    grows with the group, not with its square."""
+    others = np.random.default_rng(13).integers(0, 256, (200, simhash.LOOSE_POSITIONS), np.uint8)
+    for n in (100, 400):
+        rows = near_group(n) + [(k, x.tobytes()) for k, x in enumerate(others)]
+        prints = spark.createDataFrame(rows, "id long, sig binary")
+        edges = collected(simhash.met(prints).select("a", "b"))
+        assert len(edges) <= 4 * n  # tasks
+        roots = dict(collected(components.components(spark.createDataFrame(edges, "a long, b long"))))
+        assert roots == {1000 + k: 1000 for k in range(n)}
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 40), st.integers(0, 40)), max_size=60))
+def test_stars_connect_what_pairs_connect(pairs):
+    def classes(edges):
+        label = {x: x for e in pairs for x in e}
+        for _ in label:
+            for a, b in edges:
+                label[a] = label[b] = min(label[a], label[b])
+        return label
+
+    made = simhash.stars(np.array(pairs, np.int64).reshape(-1, 2)).tolist()
+    want = classes(pairs)
+    assert classes(made) == want
+    assert sorted(made) == sorted([want[x], x] for x in want if want[x] != x)
+
+
 def test_long_lists_take_memory_for_their_members_only():
     r = np.random.default_rng(8)
     values = np.unique(r.integers(0, 1 << 24, 3000, np.uint64))

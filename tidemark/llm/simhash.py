@@ -361,8 +361,22 @@ def meetings(lists: np.ndarray, sig: np.ndarray) -> np.ndarray:
     return np.stack([found >> 32, found & 0xFFFFFFFF], axis=1)
 
 
+def stars(pairs: np.ndarray) -> np.ndarray:
+    """Rows (a, b) that connect what the given ones connect, one for each id but the least of its class,
+    which is a: a group whose ids are all paired costs its length, not its square."""
+    ids, ends = np.unique(pairs, return_inverse=True)
+    label, (a, b) = np.arange(len(ids)), ends.reshape(-1, 2).T
+    while (label[a] != label[b]).any():
+        np.minimum.at(label, np.maximum(label[a], label[b]), np.minimum(label[a], label[b]))
+        while (label[label] != label).any():
+            label = label[label]
+    others = np.flatnonzero(label != np.arange(len(ids)))
+    return np.stack([ids[label[others]], ids[others]], axis=1)
+
+
 def met(prints: DataFrame) -> DataFrame:
-    """(a, b) of ids whose fingerprints (id, sig) meet and are near, or edges that connect these."""
+    """(a, b) of ids that connect what all near fingerprints (id, sig) that meet connect. A task's
+    lists give stars, so there are at most LISTS rows for each id."""
     dealt = postings(prints).repartition("list").sortWithinPartitions("list")
     target = arrow_schema(prints.sparkSession, "a long, b long")
 
@@ -378,7 +392,7 @@ def met(prints: DataFrame) -> DataFrame:
             done = len(lists) if batch is None else int(np.searchsorted(lists, lists[-1]))  # the last list may go on
             held, enough = [(lists[done:], ids[done:], sig[done:])], max(AT_ONCE, 2 * (len(lists) - done))
             if done:
-                edges = np.unique(np.sort(ids[meetings(lists[:done], sig[:done])], axis=1), axis=0)
+                edges = stars(ids[meetings(lists[:done], sig[:done])])
                 yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], schema=target)
         returned()
 
