@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+import regex
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -103,6 +104,25 @@ def test_encoder_equals_the_library():
             assert ids.tolist() == known.encode(text, add_special_tokens=False).ids
 
 
+def test_splits_of_many_texts_at_once_follow_the_rule():
+    """Texts are split side by side by arrays, as the rule splits each alone."""
+    rule = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+    r = random.Random(10)
+    pool = ["a", "s", "l", "e", "v", "r", "'", "'", "'re", "é", "漢", "𝒳", "\u0301", " ", " ", "\n", "\u3000", "\x1c", "1", "½", "."]
+    texts = ["".join(r.choice(pool) for _ in range(r.randint(0, 12))) for _ in range(20000)]
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    first = np.zeros(len(points) + 1, bool)
+    first[np.cumsum([0, *map(len, texts)])] = True
+    want = np.cumsum([0, *(len(w) for t in texts for w in rule.findall(t))])[:-1]
+    assert np.flatnonzero(rangecoder.split_starts(points, first)).tolist() == want.tolist()
+
+
+def test_a_worker_keeps_its_words():
+    own = rangecoder.encoder(None)
+    own.batch([" kept words"])
+    assert " kept" in rangecoder.encoder(None).words
+
+
 # --- 2
 
 

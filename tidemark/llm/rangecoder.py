@@ -25,6 +25,7 @@ gives an empty file; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import os
 import re
@@ -57,7 +58,7 @@ BUCKETS, SPREAD = 512, 7  # order 0 counts runs of 128 ids
 STEP, REFRESH = 24, 512  # added for an id; ids until its shares are worked out anew
 TOTAL, WHOLE = 1 << 16, 16 + SPREAD  # shares of the mixture; order 0's shares, as a power of two
 STATES, RATE, RARE, KEEP = 8, np.float32(1 / 24), np.float32(1 / 4096), np.float32(0.98)
-_16, _48 = np.uint64(16), np.uint64(48)
+_16, _48, _WHOLE, _LAST = np.uint64(16), np.uint64(48), np.uint64(WHOLE), np.uint64((1 << WHOLE) - 1)
 _FULL, _REST = np.uint64(1 << 48), np.uint64((1 << 48) - 1)
 
 
@@ -124,8 +125,8 @@ class Model:
         self.one, self.two = share[:n], share[n:]
 
     def update(self, x: np.ndarray, hit: np.ndarray, rest: np.ndarray) -> None:
-        """x: the ids that came; hit: which entries named them; rest: which of them
-        order 0 coded."""
+        """x: the ids that came, twice; hit: which entries named them; rest: the blocks whose
+        id order 0 coded."""
         n, w, c = self.n, self.weight, self.c
         w[:n] *= RARE
         w[n:] *= np.where(hit, c, (1 - c) * RARE)
@@ -136,9 +137,9 @@ class Model:
         self.sure[self.at] = c
         # hits strengthen an entry, a miss weakens it, or replaces it if it is weak
         e, s = self.entry, self.state
-        weaker = np.where(s > 1, e - s + (s >> 1), np.concatenate([x, x]) << 3)
+        weaker = np.where(s > 1, e - s + (s >> 1), x << 3)
         self.table[self.slot] = np.where(hit, e + (s < STATES - 1), weaker)
-        self.flat_counts[self.base_count + (x >> SPREAD)] += rest * np.int32(STEP)
+        self.flat_counts[self.base_count[rest] + (x[rest] >> SPREAD)] += np.int32(STEP)
 
     def parts(self, second: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and share of order 2's part, order 1's, or the rest."""
@@ -193,19 +194,22 @@ def encode(blocks: list[np.ndarray]) -> list[np.ndarray]:
                 words = np.concatenate([words, np.zeros_like(words)], axis=1)
         if t and active[t] < active[t - 1]:  # these have ended
             finish(np.arange(active[t], active[t - 1]))
-        x = ids[t].astype(np.int32)
+        x = np.tile(ids[t].astype(np.int32), 2)
         model.predict(ahead[t % 64])
-        hit = model.ids == np.concatenate([x, x])
+        hit = model.ids == x
         first, second = hit[:n], hit[n:]
-        rest = ~(second | first)
+        rest = np.flatnonzero(~(second | first))
         span = _narrowed(span, low, *model.parts(second, first), 16)
-        # ids that were predicted take all of order 0's range
-        at = model.base_share + (x >> SPREAD)
+        # order 0 has the other ids only; those that were predicted take all of its range
+        unit = span >> _WHOLE
+        span = unit << _WHOLE
+        own, unit = x[rest], unit[rest]
+        at = model.base_share[rest] + (own >> SPREAD)
         a = model.flat.take(at)
         f = model.flat.take(at + 1) - a
-        start = (((a - model.offset) << SPREAD) + (x & low_bits) * f) * rest
-        share = np.where(rest, f, 1 << WHOLE)
-        span = _narrowed(span, low, start.astype(np.uint64), share.astype(np.uint64), WHOLE)
+        start = ((a - model.offset[rest]) << SPREAD) + (own & low_bits) * f
+        low[rest] += start.astype(np.uint64) * unit
+        span[rest] = f.astype(np.uint64) * unit
         small = np.flatnonzero(span < _FULL)
         while len(small):
             _settled(low, span, small)
@@ -244,17 +248,21 @@ def decode(codes: list[np.ndarray], lengths: list[int]) -> list[np.ndarray]:
         v = np.minimum((code - low) // (span >> _16), np.uint64(TOTAL - 1)).astype(np.int32)
         second = v < model.two
         first = ~second & (v < model.one + model.two)
-        rest = ~(second | first)
+        rest = np.flatnonzero(~(second | first))
         span = _narrowed(span, low, *model.parts(second, first), 16)
-        v = np.minimum((code - low) // (span >> np.uint64(WHOLE)), np.uint64((1 << WHOLE) - 1)).astype(np.int32)
-        at = np.searchsorted(model.flat, (v >> SPREAD) + model.offset, "right") - 1
+        x = np.where(second, model.ids[n:], model.ids[:n])
+        unit = span >> _WHOLE
+        span = unit << _WHOLE
+        unit, ahead, offset = unit[rest], low[rest], model.offset[rest]
+        v = np.minimum((code[rest] - ahead) // unit, _LAST).astype(np.int32)
+        at = np.searchsorted(model.flat, (v >> SPREAD) + offset, "right") - 1
         a = model.flat.take(at)
         f = model.flat.take(at + 1) - a
-        a = (a - model.offset) << SPREAD
+        a = (a - offset) << SPREAD
         lo = (v - a) // f
-        start = (a + lo * f) * rest
-        share = np.where(rest, f, 1 << WHOLE)
-        span = _narrowed(span, low, start.astype(np.uint64), share.astype(np.uint64), WHOLE)
+        low[rest] = ahead + (a + lo * f).astype(np.uint64) * unit
+        span[rest] = f.astype(np.uint64) * unit
+        x[rest] = ((at - model.base_share[rest]) << SPREAD) + lo & 0xFFFF  # of blocks that have ended, anything
         small = np.flatnonzero(span < _FULL)
         while len(small):
             _settled(low, span, small)
@@ -264,10 +272,9 @@ def decode(codes: list[np.ndarray], lengths: list[int]) -> list[np.ndarray]:
             code[small] = code[small] << _16 | flat_words[base[small] + at_word]
             used[small] += 1
             small = small[span[small] < _FULL]
-        x = ((at - model.base_share) << SPREAD).astype(np.int32) + lo
-        x = np.where(second, model.ids[n:], np.where(first, model.ids[:n], x)) & 0xFFFF  # of blocks that have ended, anything
         ids[t + 2] = x
-        model.update(x, model.ids == np.concatenate([x, x]), rest)
+        x = np.tile(x, 2)
+        model.update(x, model.ids == x, rest)
     return [ids[2 : 2 + m, k].copy() for k, m in enumerate(lengths)]
 
 
@@ -337,12 +344,47 @@ def tokenizer(path: str | None):
     return Tokenizer.from_file(path or default_path())
 
 
-#: The rule by which byte-level vocabularies split a text before any merge, and the
-#: same for texts of Latin-1 without the numerals that \w has beside 0-9.
-SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-_GAP = r"\t-\r\x20\x85\xa0"
-SPLIT_LATIN = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\w{_GAP}]|_)+|[{_GAP}]+(?![^{_GAP}])|[{_GAP}]+")
-ODD_LATIN = re.compile("[\x1c-\x1f²³¹¼½¾]")
+#: Byte-level vocabularies split a text before any merge by the rule
+#: 's|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+
+LETTER, NUMBER, GAP = regex.compile(r"\p{L}+"), regex.compile(r"\p{N}+"), regex.compile(r"\s+")
+
+
+@functools.cache
+def kinds() -> np.ndarray:
+    """Of each code point: 0 a letter, 1 a number, 2 white space, 3 anything else."""
+    out, all_points = np.full(0x110000, 3, np.uint8), "".join(map(chr, range(0x110000)))
+    for k, rule in enumerate((LETTER, NUMBER, GAP)):
+        for m in rule.finditer(all_points):
+            out[m.start() : m.end()] = k
+    return out
+
+
+def split_starts(points: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Where the rule's matches begin, as booleans, in code points of texts without gaps
+    between them; first: where texts begin, in the same form, and true once more at the end."""
+    n = len(points)
+    kind = np.concatenate([kinds().take(points), np.zeros(1, np.uint8)])
+    gap = kind == 2
+    start = np.ones(n + 1, bool)
+    # of another kind than the one before, unless that is a space, which goes with what follows
+    start[1:] = kind[1:] != kind[:-1]
+    start[1:] &= gap[1:] | (np.append(points, 0)[:-1] != 32)
+    # the last of several gaps is by itself where a text goes on
+    start[1:-1] |= gap[1:-1] & ~gap[2:] & ~first[2:]
+    start |= first
+    quotes = np.flatnonzero((points == 39) & start[:-1])
+    if len(quotes):
+        ahead = np.concatenate([points, np.zeros(2, points.dtype)])
+        one, two = ahead[quotes + 1], ahead[quotes + 2]
+        one[first[quotes + 1]] = 0  # the text has ended
+        two[first[np.minimum(quotes + 2, n)]] = 0
+        short = np.isin(one, [ord(c) for c in "stmd"])
+        long = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+        start[quotes[short | long] + 1] = False
+        start[quotes[long] + 2] = False
+        start[quotes[short] + 2] = True
+        start[quotes[long] + 3] = True
+    return start[:-1]
 
 
 class Encoder:
@@ -374,8 +416,8 @@ class Encoder:
         others = [w for w in fresh if w not in known]
         ids, sizes = [self.ids], []
         for words, joined in ((plain, True), (others, False)):
-            for lo in range(0, len(words), 4096):
-                part = words[lo : lo + 4096]
+            for lo in range(0, len(words), 256):
+                part = words[lo : lo + 256]
                 got = self._joined(part) if joined else None
                 if got is None:
                     each = self._library(part)
@@ -387,31 +429,45 @@ class Encoder:
             self.ids = np.concatenate(ids)
             self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(np.concatenate(sizes))])
 
-    def split(self, text: str) -> list[str]:
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return SPLIT.findall(text)
-        return SPLIT.findall(text) if ODD_LATIN.search(text) else SPLIT_LATIN.findall(text)
-
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text; texts with a special token's name go to the library whole."""
         if len(self.words) > self.held:
             self._forget()
-        whole = {k for k, t in enumerate(texts) if self.special.search(t)}
-        split = [[] if k in whole else self.split(t) for k, t in enumerate(texts)]
-        self._learn(list(set().union(*split).difference(self.words)))
-        out = []
-        for k, words in enumerate(split):
-            if k in whole:
-                out.append(np.array(self._library([texts[k]])[0], np.uint16))
-                continue
-            at = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
-            start, n = self.start[at], self.start[at + 1] - self.start[at]
-            out.append(self.ids[np.arange(n.sum()) + np.repeat(start - np.cumsum(n) + n, n)])
+        whole = {k: t for k, t in enumerate(texts) if self.special.search(t)}
+        split = ["" if k in whole else t for k, t in enumerate(texts)]
+        raw = "".join(split)
+        points = np.frombuffer(raw.encode("utf-32-le"), np.uint32)
+        ends = np.cumsum([len(t) for t in split], dtype=np.int64)
+        first = np.zeros(len(points) + 1, bool)
+        first[ends] = first[0] = True
+        starts = np.append(np.flatnonzero(split_starts(points, first)), len(points))
+        data, at = raw.encode(), starts
+        if len(data) > len(points):
+            size = np.ones(len(points) + 1, np.uint8)
+            for more in (0x80, 0x800, 0x10000):
+                size[1:] += points >= more
+            size[0] = 0
+            at = np.cumsum(size, dtype=np.int64)[starts]
+        words = pa.Array.from_buffers(pa.large_string(), len(starts) - 1, [None, pa.py_buffer(at), pa.py_buffer(data)]).dictionary_encode()
+        names = words.dictionary.to_pylist()
+        self._learn([w for w in names if w not in self.words])
+        named = np.fromiter(map(self.words.__getitem__, names), np.int64, len(names))[words.indices.to_numpy()]
+        start, n = self.start[named], self.start[named + 1] - self.start[named]
+        sums = np.cumsum(n)
+        ids = self.ids[np.arange(n.sum()) + np.repeat(start - sums + n, n)]
+        cuts = np.append(0, sums)[np.searchsorted(starts, ends)]
+        out = np.split(ids, cuts)[:-1]
+        for k, t in whole.items():
+            out[k] = np.array(self._library([t])[0], np.uint16)
         return out
 
 
+@functools.cache
+def encoder(path: str | None) -> Encoder:
+    """A worker's own: its later tasks find the words known."""
+    return Encoder(path)
+
+
 def grouped(batch: pa.RecordBatch) -> Iterator[tuple[list, list]]:
     """A batch's first two columns in groups of about TEXT bytes of text."""
     at = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)) // TEXT
@@ -433,7 +489,7 @@ def write(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text"
     target = arrow_schema(spark, ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, blocks, block, first, part = Encoder(vocabulary), Blocks(), 0, 0, 0
+        known, blocks, block, first, part = encoder(vocabulary), Blocks(), 0, 0, 0
 
         def rows(ready):
             nonlocal block, first
