@@ -55,6 +55,7 @@ PIECES = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("last", "u1"), ("piece",
 # The model's fixed values: a change makes another format.
 BITS = (11, 12)  # slots of order 1 and order 2, as powers of two
 BUCKETS, SPREAD = 512, 7  # order 0 counts runs of 128 ids
+HALVES = tuple(BUCKETS >> k for k in range(1, BUCKETS.bit_length()))
 STEP, REFRESH = 24, 512  # added for an id; ids until its shares are worked out anew
 TOTAL, WHOLE = 1 << 16, 16 + SPREAD  # shares of the mixture; order 0's shares, as a power of two
 STATES, RATE, RARE, KEEP = 8, np.float32(1 / 24), np.float32(1 / 4096), np.float32(0.98)
@@ -86,9 +87,9 @@ class Model:
         self.counts = np.tile(1 + 8192 // (np.arange(BUCKETS) + 4), (n, 1)).astype(np.int32)
         self.flat_counts = self.counts.reshape(-1)
         self.base_count = row * BUCKETS
-        # all blocks' shares in one ascending array, so that all are searched at once
+        # all blocks' shares in one array, so that all are searched at once
         self.offset = row << 17
-        self.base_share = row * (BUCKETS + 1)
+        self.base_share = row.astype(np.intp) * (BUCKETS + 1)
         self.shares = np.zeros((n, BUCKETS + 1), np.int32)
         self.flat = self.shares.reshape(-1)
         self.steps = 0
@@ -255,7 +256,9 @@ def decode(codes: list[np.ndarray], lengths: list[int]) -> list[np.ndarray]:
         span = unit << _WHOLE
         unit, ahead, offset = unit[rest], low[rest], model.offset[rest]
         v = np.minimum((code[rest] - ahead) // unit, _LAST).astype(np.int32)
-        at = np.searchsorted(model.flat, (v >> SPREAD) + offset, "right") - 1
+        at, key = model.base_share[rest], (v >> SPREAD) + offset
+        for step in HALVES:  # the last share's start that isn't beyond, in all blocks at once
+            at += step * (model.flat.take(at + step) <= key)
         a = model.flat.take(at)
         f = model.flat.take(at + 1) - a
         a = (a - offset) << SPREAD
