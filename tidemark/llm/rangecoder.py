@@ -48,181 +48,211 @@ NAME, END = "byte_bpe_50k.json", 0
 BLOCK, LANES = 4096, 2048
 #: Bytes of text whose new words go to the library together.
 TEXT = 4 << 20
-MAGIC = b"TMR1"
+MAGIC = b"TMR2"
 HEADER = struct.Struct("<4sIIII")  # magic, ids, pieces, crc32 of the ids, crc32 of all that follows
 PIECES = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("last", "u1"), ("piece", "<u4"), ("n", "<u4")])
 
 # The model's fixed values: a change makes another format.
-BITS = (11, 12)  # slots of order 1 and order 2, as powers of two
-BUCKETS, SPREAD = 512, 7  # order 0 counts runs of 128 ids
-HALVES = tuple(BUCKETS >> k for k in range(1, BUCKETS.bit_length()))
-STEP, REFRESH = 24, 512  # added for an id; ids until its shares are worked out anew
-TOTAL, WHOLE = 1 << 16, 16 + SPREAD  # shares of the mixture; order 0's shares, as a power of two
-STATES, RATE, RARE, KEEP = 8, np.float32(1 / 24), np.float32(1 / 4096), np.float32(0.98)
-_16, _48, _WHOLE, _LAST = np.uint64(16), np.uint64(48), np.uint64(WHOLE), np.uint64((1 << WHOLE) - 1)
-_FULL, _REST = np.uint64(1 << 48), np.uint64((1 << 48) - 1)
-
-
-def slots(before: np.ndarray, earlier: np.ndarray) -> np.ndarray:
-    """Slots of order 1, then of order 2, within the blocks' tables, from the last
-    two ids; over the last axis."""
-    a, b = before.astype(np.int32), earlier.astype(np.int32)
-    one = (a * 40503 & 0xFFFF) >> (16 - BITS[0])
-    two = ((a * 40503 + b * 30011) & 0xFFFF) >> (16 - BITS[1])
-    return np.concatenate([one, two], axis=-1)
+BITS = (10, 11)  # slots of order 1 and order 2, as powers of two
+GROUP = 16  # ids after which the model learns from them
+#: Order 0 counts runs of ids, short ones where ids are low and frequent: (ids, width as a power of two).
+RUNS = ((1024, 2), (3072, 5), (12288, 7), (49152, 9))
+WIDTH = np.repeat([w for _, w in RUNS], [n >> w for n, w in RUNS]).astype(np.int32)
+BUCKETS, WIDEST = len(WIDTH), int(WIDTH.max())
+FIRST = (np.cumsum(1 << WIDTH) - (1 << WIDTH)).astype(np.int32)  # each run's first id
+RUN = np.repeat(np.arange(BUCKETS, dtype=np.int32), 1 << WIDTH)  # each id's run
+PLACE = RUN << 16 | np.arange(1 << 16, dtype=np.int32) - FIRST[RUN]  # and its place there
+COUNTS = (1 + np.add.reduceat((1 << 24) // (np.arange(1 << 16) + 64), FIRST) // 4096).astype(np.int32)  # before any id came
+STEP, REFRESH = 24, 1024  # added for an id; ids until order 0's shares are worked out anew
+EARLY = (64, 256)  # and ids after which they are besides
+TOTAL, SHARES = 1 << 16, 1 << 12  # shares of the mixture; of order 0's runs
+STATES, RATE, RARE, PACE = 8, np.float32(1 / 24), np.float32(1 / 4096), np.float32(0.25)
+# The coder's numbers are whole and below 2^53, so that floats hold them.
+FULL, LOW, WORD = 2.0**48, 2.0**32, 2.0**16
+MIXED, PLAIN = 1 / TOTAL, 1 / (SHARES << WIDEST)
+
+
+def slots(before: np.ndarray, earlier: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of order 1 and of order 2 within the blocks' tables, from the last two ids."""
+    one = before * np.uint16(40503)
+    return one >> np.uint16(16 - BITS[0]), (one + earlier * np.uint16(30011)) >> np.uint16(16 - BITS[1])
 
 
 class Model:
-    """The predictions for the next id of each of n blocks. Arrays of 2 n values
-    have order 1's in the first half, order 2's in the second."""
+    """The predictions for the next ids of each of n blocks. It learns from GROUP ids at
+    once, in all blocks that go on: these are the first m."""
 
     def __init__(self, n: int):
-        self.n = n
-        self.table = np.zeros(n * ((1 << BITS[0]) + (1 << BITS[1])), np.int32)  # id << 3 | state
-        row = np.arange(n, dtype=np.int32)
-        self.base = np.concatenate([row << BITS[0], (n << BITS[0]) + (row << BITS[1])])
-        self.sure = np.concatenate([np.tile(np.linspace(0.05, top, STATES), n) for top in (0.75, 0.85)]).astype(np.float32)
-        self.base_state = np.arange(2 * n, dtype=np.int32) * STATES
-        self.weight = np.full(3 * n, 1 / 3, np.float32)
-        self.counts = np.tile(1 + 8192 // (np.arange(BUCKETS) + 4), (n, 1)).astype(np.int32)
-        self.flat_counts = self.counts.reshape(-1)
-        self.base_count = row * BUCKETS
-        # all blocks' shares in one array, so that all are searched at once
-        self.offset = row << 17
-        self.base_share = row.astype(np.intp) * (BUCKETS + 1)
-        self.shares = np.zeros((n, BUCKETS + 1), np.int32)
-        self.flat = self.shares.reshape(-1)
-        self.steps = 0
-
-    def _refresh(self) -> None:
-        """Shares of 2^16 in all, one at least for each bucket."""
-        sums = np.cumsum(self.counts, axis=1, dtype=np.int32)
-        scale = np.float64(TOTAL - BUCKETS) / sums[:, -1:]
-        np.multiply(sums, scale, out=self.shares[:, 1:], casting="unsafe")
-        self.shares[:, 1:] += np.arange(1, BUCKETS + 1, dtype=np.int32)
-        self.shares[:, -1] = TOTAL
-        self.shares[:, 0] = 0
-        self.shares += self.offset[:, None]
-
-    def predict(self, slot: np.ndarray) -> None:
-        """slot: of the ids before, in each block's tables."""
-        if self.steps % REFRESH == 0 or self.steps in (64, 128, 256):
-            self._refresh()
-        self.steps += 1
-        n = self.n
-        self.slot = self.base + slot
-        self.entry = self.table.take(self.slot)
-        self.ids = self.entry >> 3
-        self.state = self.entry & 7
-        self.at = self.base_state + self.state
-        self.c = self.sure.take(self.at)
-        m = self.weight[n:] * self.c
-        same = self.ids[:n] == self.ids[n:]
-        m[n:] += m[:n] * same
-        m[:n] *= ~same
-        m *= np.float32(TOTAL - 512)
-        share = m.astype(np.int32)
-        share += 1
-        self.one, self.two = share[:n], share[n:]
-
-    def update(self, x: np.ndarray, hit: np.ndarray, rest: np.ndarray) -> None:
-        """x: the ids that came, twice; hit: which entries named them; rest: the blocks whose
-        id order 0 coded."""
-        n, w, c = self.n, self.weight, self.c
-        w[:n] *= RARE
-        w[n:] *= np.where(hit, c, (1 - c) * RARE)
-        scale = KEEP / (w[:n] + w[n : 2 * n] + w[2 * n :])
-        w.reshape(3, n)[...] *= scale
+        row = np.arange(n)
+        self.table = np.zeros(n * sum(1 << b for b in BITS), np.int32)  # id << 3 | state
+        self.base = np.stack([row << BITS[0], (n << BITS[0]) + (row << BITS[1])])
+        self.sure = np.empty((2, n, STATES), np.float32)
+        for order, top in enumerate((0.75, 0.85)):
+            self.sure[order] = np.linspace(0.05, top, STATES)
+        self.base_state = np.arange(2 * n).reshape(2, n) * STATES
+        self.weight = np.full((2, n), 1 / 3, np.float32)  # order 0 has the rest
+        self.shares = np.empty((2, n, STATES))  # of the mixture, by an entry's state
+        self.counts = np.tile(COUNTS, (n, 1))
+        self.base_run, self.base_share = row * BUCKETS, row * SHARES
+        self.runs = np.empty((n, BUCKETS), np.int32)  # start << 13 | share
+        self.lookup = np.empty((n, SHARES), np.uint16)  # the run that has a share
+        self.counted = 0
+
+    def _refresh(self, m: int) -> None:
+        """Shares of 2^12 in all, one at least for each run."""
+        sums = np.cumsum(self.counts[:m], axis=1, dtype=np.int32)
+        ends = (sums * ((SHARES - BUCKETS) / sums[:, -1:])).astype(np.int32)
+        ends += np.arange(1, BUCKETS + 1, dtype=np.int32)
+        ends[:, -1] = SHARES
+        size = np.diff(ends, axis=1, prepend=np.int32(0))
+        np.bitwise_or((ends - size) << 13, size, out=self.runs[:m])
+        self.lookup[:m].reshape(-1)[:] = np.repeat(np.tile(np.arange(BUCKETS, dtype=np.uint16), m), size.reshape(-1))
+
+    def prepare(self, ids: np.ndarray, t: int, m: int) -> None:
+        """For the ids from t on; ids: those before, in rows."""
+        np.multiply(self.weight[:, :m, None] * self.sure[:, :m], np.float32(TOTAL - 512), out=self.shares[:, :m])
+        np.floor(self.shares[:, :m], out=self.shares[:, :m])
+        self.shares[:, :m] += 1
+        if t % REFRESH == 0 or t in EARLY:
+            if not t:  # all blocks are alike
+                self._refresh(1)
+                self.runs[1:], self.lookup[1:] = self.runs[0], self.lookup[0]
+            else:
+                came = RUN.take(ids[self.counted : t, :m])
+                came = came + self.base_run[:m]
+                self.counts[:m] += STEP * np.bincount(came.reshape(-1), minlength=m * BUCKETS).reshape(m, BUCKETS).astype(np.int32)
+                self.counted = t
+                self._refresh(m)
+
+    def mixed(self, entry: np.ndarray, named: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+        """Shares of order 1's id and order 2's; the latter has both if they are one. Over the last two axes."""
+        share = self.shares.reshape(-1).take((entry & 7) + self.base_state[:, :m])
+        one, two = share[..., 0, :], share[..., 1, :]
+        both = one * (named[..., 0, :] == named[..., 1, :])
+        two += both
+        one -= both
+        return one, two
+
+    def learn(self, slot: np.ndarray, entry: np.ndarray, x: np.ndarray, m: int) -> None:
+        """slot, entry: by id, order and block; x: the ids that came."""
+        came, state = x[:, None].astype(np.int32), entry & 7
+        hit = entry >> 3 == came
+        at = state + self.base_state[:, :m]
+        c = self.sure.reshape(-1).take(at)
+        # weights go towards the predictions' shares in what came; whole numbers, whose sums have no order
+        likely = np.where(hit, c, (1 - c) * RARE)
+        w = self.weight[:, :m]
+        likely *= w
+        likely /= likely[:, :1] + likely[:, 1:] + (1 - w[0] - w[1]) * RARE
+        likely *= np.float32(1 << 16)
+        part = likely.astype(np.int32).sum(axis=0, dtype=np.int32).astype(np.float32) * np.float32(1 / (len(x) << 16))
+        w += (part - w) * PACE
+        w *= np.float32(0.98)
         w += np.float32(0.02 / 3)
-        c += (hit - c) * RATE
-        self.sure[self.at] = c
-        # hits strengthen an entry, a miss weakens it, or replaces it if it is weak
-        e, s = self.entry, self.state
-        weaker = np.where(s > 1, e - s + (s >> 1), x << 3)
-        self.table[self.slot] = np.where(hit, e + (s < STATES - 1), weaker)
-        self.flat_counts[self.base_count[rest] + (x[rest] >> SPREAD)] += np.int32(STEP)
-
-    def parts(self, second: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and share of order 2's part, order 1's, or the rest."""
-        both = self.one + self.two
-        start = np.where(second, 0, np.where(first, self.two, both))
-        share = np.where(second, self.two, np.where(first, self.one, TOTAL - both))
-        return start.astype(np.uint64), share.astype(np.uint64)
-
-
-def _narrowed(span: np.ndarray, low: np.ndarray, start: np.ndarray, share: np.ndarray, bits: int) -> np.ndarray:
-    """The range's part from start on, of 2^bits; low moves along."""
-    unit = span >> np.uint64(bits)
-    low += start * unit
-    return share * unit
-
-
-def _settled(low: np.ndarray, span: np.ndarray, small: np.ndarray) -> None:
-    """Where the top word of a range that is too small is open, cut the range so
-    that it is settled."""
-    l, s = low[small], span[small]
-    split = ((l ^ (l + (s - np.uint64(1)))) >> _48) != 0
-    if split.any():
-        span[small] = np.where(split, _FULL - (l & _REST), s)
+        flat, size = self.sure.reshape(-1), self.sure.size
+        at = at.reshape(-1)
+        missed, hits = np.bincount((at << 1) + hit.reshape(-1), minlength=2 * size).astype(np.float32).reshape(-1, 2).T
+        flat += (hits - (hits + missed) * flat) * RATE
+        # hits strengthen an entry, a miss weakens it, or replaces it if it is weak; of several in a slot, the last counts
+        weaker = np.where(state > 1, entry - state + (state >> 1), came << 3)
+        self.table[slot.reshape(-1)] = np.where(hit, entry + (state < STATES - 1), weaker).reshape(-1)
+
+
+def _side_by_side(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of blocks, longest first, and how many go on at each place."""
+    order = np.argsort(-lengths, kind="stable")
+    longest = int(lengths.max(initial=0))
+    return order, len(lengths) - np.searchsorted(np.sort(lengths), np.arange(longest + 1), "right")
 
 
 def encode(blocks: list[np.ndarray]) -> list[np.ndarray]:
     """The code words of each block of ids (below 65,536)."""
-    lengths = np.array([len(b) for b in blocks])
-    order = np.argsort(-lengths, kind="stable")
-    longest, n = int(lengths.max(initial=0)), len(blocks)
-    ids = np.zeros((longest, n), np.uint16)
+    order, active = _side_by_side(np.array([len(b) for b in blocks], np.int64))
+    longest, n = len(active) - 1, len(blocks)
+    ids = np.zeros((longest + 2 + GROUP, n), np.uint16)  # two zeros before the first
     for lane, k in enumerate(order):
-        ids[: lengths[k], lane] = blocks[k]
-    active = n - np.searchsorted(np.sort(lengths), np.arange(longest), "right")
-    low, span = np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64)
-    words = np.zeros((n, longest + 64), np.uint16)
-    used = np.zeros(n, np.int64)
+        ids[2 : 2 + len(blocks[k]), lane] = blocks[k]
+    words = np.zeros((longest + 64) * n, np.uint32)  # by place and block; a carry stays with its word until the end
+    at = np.arange(n)
+    low, span = np.zeros(n), np.full(n, FULL)
     model = Model(n)
 
-    def finish(lanes):
-        for shift in (48, 32, 16, 0):
-            words[lanes, used[lanes]] = ((low[lanes] >> np.uint64(shift)) & np.uint64(0xFFFF)).astype(np.uint16)
-            used[lanes] += 1
-
-    low_bits = np.int32((1 << SPREAD) - 1)
-    for t in range(longest):
-        if t % 64 == 0:  # slots of the ids ahead
-            window = np.zeros((66, n), np.uint16)
-            window[2 - min(t, 2) : 2 + len(ids[t : t + 64])] = ids[max(0, t - 2) : t + 64]
-            ahead = slots(window[1:-1], window[:-2])
-            if used.max(initial=0) + 260 > words.shape[1]:
-                words = np.concatenate([words, np.zeros_like(words)], axis=1)
-        if t and active[t] < active[t - 1]:  # these have ended
-            finish(np.arange(active[t], active[t - 1]))
-        x = np.tile(ids[t].astype(np.int32), 2)
-        model.predict(ahead[t % 64])
-        hit = model.ids == x
-        first, second = hit[:n], hit[n:]
-        rest = np.flatnonzero(~(second | first))
-        span = _narrowed(span, low, *model.parts(second, first), 16)
+    def put(where, value):
+        """Put out the top words of some blocks; what stays."""
+        top = np.floor(value * (1 / LOW))
+        words[where] = top.astype(np.uint32)
+        return (value - top * LOW) * WORD
+
+    def finish(blocks, value):
+        for _ in range(3):
+            value = put(at[blocks], value)
+            at[blocks] += n
+
+    finish(slice(active[0], n), low[active[0] :])
+    for t in range(0, longest, GROUP):
+        m, g = int(active[t]), min(GROUP, longest - t)
+        model.prepare(ids[2:], t, m)
+        if at.max() + 4 * GROUP * n > len(words):
+            words = np.concatenate([words, np.zeros_like(words)])
+        x = ids[t + 2 : t + 2 + g, :m]
+        slot = np.stack(slots(ids[t + 1 : t + 1 + g, :m], ids[t : t + g, :m]), axis=1) + model.base[:, :m]
+        entry = model.table.take(slot)
+        named = entry >> 3
+        one, two = model.mixed(entry, named, m)
+        hit = named == x[:, None]
+        second, first = hit[:, 1], hit[:, 0]
+        rest = ~(second | first)
+        both = one + two
+        start = np.where(second, 0, np.where(first, two, both))
+        share = np.where(second, two, np.where(first, one, TOTAL - both))
         # order 0 has the other ids only; those that were predicted take all of its range
-        unit = span >> _WHOLE
-        span = unit << _WHOLE
-        own, unit = x[rest], unit[rest]
-        at = model.base_share[rest] + (own >> SPREAD)
-        a = model.flat.take(at)
-        f = model.flat.take(at + 1) - a
-        start = ((a - model.offset[rest]) << SPREAD) + (own & low_bits) * f
-        low[rest] += start.astype(np.uint64) * unit
-        span[rest] = f.astype(np.uint64) * unit
-        small = np.flatnonzero(span < _FULL)
-        while len(small):
-            _settled(low, span, small)
-            lanes = small[: np.searchsorted(small, active[t])]
-            words[lanes, used[lanes]] = (low[lanes] >> _48).astype(np.uint16)
-            used[lanes] += 1
-            low[small] <<= _16
-            span[small] <<= _16
-            small = small[span[small] < _FULL]
-        model.update(x, hit, rest)
-    if longest:
-        finish(np.arange(active[-1]))
+        run = PLACE.take(x)
+        place, run = run & 0xFFFF, run >> 16
+        runs = model.runs.reshape(-1).take(run + model.base_run[:m])
+        size = (runs & 0x1FFF) << (WIDEST - WIDTH.take(run))
+        plain = np.where(rest, (runs >> 13 << WIDEST) + place * size, 0).astype(np.float64)
+        size, part = np.where(rest, size, 1.0), np.where(rest, PLAIN, 1.0)
+        ended = []
+        l, s, a = low[:m], span[:m], at[:m]
+        for k in range(g):
+            for begin, wide, scale in ((start, share, MIXED), (plain, size, part[k])):
+                unit = np.multiply(s, scale)
+                np.floor(unit, out=unit)
+                np.multiply(unit, wide[k], out=s)
+                unit *= begin[k]
+                l += unit
+            small = s < LOW
+            top = np.floor(l * (1 / LOW))
+            words[a] = top.astype(np.uint32)  # where it isn't ready, the next one takes its place
+            top *= small
+            top *= LOW
+            l -= top
+            factor = np.where(small, WORD, 1.0)
+            l *= factor
+            s *= factor
+            a += small * n
+            more = np.flatnonzero(s < LOW)
+            while len(more):
+                l[more] = put(a[more], l[more])
+                s[more] *= WORD
+                a[more] += n
+                more = more[s[more] < LOW]
+            if active[t + k + 1] < active[t + k]:
+                blocks = slice(active[t + k + 1], active[t + k])
+                ended.append((blocks, l[blocks].copy(), a[blocks].copy()))
+        for blocks, value, place in ended:
+            at[blocks] = place
+            finish(blocks, value)
+        model.learn(slot, entry, x, m)
+    used = at // max(n, 1)
+    words = words.reshape(-1, n)[: used.max(initial=0)]
+    words[np.arange(len(words))[:, None] >= used] = 0
+    carry = words >> 16
+    while carry.any():
+        words &= 0xFFFF
+        words[:-1] += carry[1:]
+        carry = words >> 16
+    words = np.ascontiguousarray(words.astype(np.uint16).T)
     out = [None] * n
     for lane, k in enumerate(order):
         out[k] = words[lane, : used[lane]].copy()
@@ -231,54 +261,70 @@ def encode(blocks: list[np.ndarray]) -> list[np.ndarray]:
 
 def decode(codes: list[np.ndarray], lengths: list[int]) -> list[np.ndarray]:
     """The ids of each block, from its code words and length."""
-    n, longest = len(codes), max(lengths, default=0)
-    width = max((len(c) for c in codes), default=0) + 4
+    order, active = _side_by_side(np.array(lengths, np.int64))
+    longest, n = len(active) - 1, len(codes)
+    width = max((len(c) for c in codes), default=0) + 4 * GROUP  # blocks that have ended read on
     words = np.zeros((n, width), np.uint16)
-    for k, c in enumerate(codes):
-        words[k, : len(c)] = c
-    flat_words, base = words.reshape(-1), np.arange(n) * width
-    code = np.zeros(n, np.uint64)
-    for k in range(4):
-        code = code << _16 | words[:, k]
-    used = np.full(n, 4)
-    low, span = np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64)
-    ids = np.zeros((longest + 2, n), np.uint16)  # two zeros before the first
-    model = Model(n)
-    for t in range(longest):
-        model.predict(slots(ids[t + 1], ids[t]))
-        v = np.minimum((code - low) // (span >> _16), np.uint64(TOTAL - 1)).astype(np.int32)
-        second = v < model.two
-        first = ~second & (v < model.one + model.two)
-        rest = np.flatnonzero(~(second | first))
-        span = _narrowed(span, low, *model.parts(second, first), 16)
-        x = np.where(second, model.ids[n:], model.ids[:n])
-        unit = span >> _WHOLE
-        span = unit << _WHOLE
-        unit, ahead, offset = unit[rest], low[rest], model.offset[rest]
-        v = np.minimum((code[rest] - ahead) // unit, _LAST).astype(np.int32)
-        at, key = model.base_share[rest], (v >> SPREAD) + offset
-        for step in HALVES:  # the last share's start that isn't beyond, in all blocks at once
-            at += step * (model.flat.take(at + step) <= key)
-        a = model.flat.take(at)
-        f = model.flat.take(at + 1) - a
-        a = (a - offset) << SPREAD
-        lo = (v - a) // f
-        low[rest] = ahead + (a + lo * f).astype(np.uint64) * unit
-        span[rest] = f.astype(np.uint64) * unit
-        x[rest] = ((at - model.base_share[rest]) << SPREAD) + lo & 0xFFFF  # of blocks that have ended, anything
-        small = np.flatnonzero(span < _FULL)
-        while len(small):
-            _settled(low, span, small)
-            low[small] <<= _16
-            span[small] <<= _16
-            at_word = np.minimum(used[small], width - 1)  # blocks that have ended read on
-            code[small] = code[small] << _16 | flat_words[base[small] + at_word]
-            used[small] += 1
-            small = small[span[small] < _FULL]
-        ids[t + 2] = x
-        x = np.tile(x, 2)
-        model.update(x, model.ids == x, rest)
-    return [ids[2 : 2 + m, k].copy() for k, m in enumerate(lengths)]
+    for lane, k in enumerate(order):
+        words[lane, : len(codes[k])] = codes[k]
+    words = np.ascontiguousarray(words.T)
+    code, model = (words[0] * WORD + words[1]) * WORD + words[2], Model(n)
+    words = words.reshape(-1)
+    at_word, span = np.arange(n) + 3 * n, np.full(n, FULL)
+    ids = np.zeros((longest + 2 + GROUP, n), np.uint16)  # two zeros before the first
+    runs, lookup = model.runs.reshape(-1), model.lookup.reshape(-1)
+    for t in range(0, longest, GROUP):
+        m, g = int(active[t]), min(GROUP, longest - t)
+        model.prepare(ids[2:], t, m)
+        slot, entry = np.empty((g, 2, m), np.int64), np.empty((g, 2, m), np.int32)
+        base, c, s, a = model.base[:, :m], code[:m], span[:m], at_word[:m]
+        for k in range(g):
+            one, two = slots(ids[t + k + 1, :m], ids[t + k, :m])
+            np.add(base[0], one, out=slot[k, 0])
+            np.add(base[1], two, out=slot[k, 1])
+            model.table.take(slot[k], out=entry[k], mode="clip")
+            named = entry[k] >> 3
+            one, two = model.mixed(entry[k], named, m)
+            both = one + two
+            unit = s * MIXED
+            np.floor(unit, out=unit)
+            v = c / unit
+            later, left = v >= two, v >= both
+            c -= np.where(left, both, two * later) * unit
+            x = np.where(later, named[0], named[1])
+            np.multiply(np.where(later, one, two), unit, out=s)
+            rest = np.flatnonzero(left)
+            # order 0
+            unit = np.floor((TOTAL - both.take(rest)) * unit.take(rest) * PLAIN)
+            ahead = c.take(rest)
+            v = np.minimum(ahead / unit, (SHARES << WIDEST) - 1.0).astype(np.int32)
+            run = lookup.take(model.base_share.take(rest) + (v >> WIDEST))
+            start = runs.take(model.base_run.take(rest) + run)
+            own = ((start & 0x1FFF) << (WIDEST - WIDTH.take(run))) * unit
+            ahead -= (start >> 13 << WIDEST) * unit
+            place = np.floor(ahead / own)
+            c[rest] = ahead - place * own
+            s[rest] = own
+            x[rest] = FIRST.take(run) + place.astype(np.int32)
+            ids[t + k + 2, :m] = x
+            small = s < LOW
+            factor = np.where(small, WORD, 1.0)
+            s *= factor
+            c *= factor
+            c += words.take(a) * small
+            a += small * n
+            more = np.flatnonzero(s < LOW)
+            while len(more):
+                s[more] *= WORD
+                c[more] = c[more] * WORD + words[a[more]]
+                a[more] += n
+                more = more[s[more] < LOW]
+        model.learn(slot, entry, ids[t + 2 : t + 2 + g, :m], m)
+    ids = np.ascontiguousarray(ids[2:].T)
+    out = [None] * n
+    for lane, k in enumerate(order):
+        out[k] = ids[lane, : lengths[k]].copy()
+    return out
 
 
 class Blocks:
@@ -390,51 +436,77 @@ def split_starts(points: np.ndarray, first: np.ndarray) -> np.ndarray:
     return start[:-1]
 
 
+@functools.cache
+def byte_letters() -> np.ndarray:
+    """Byte-level vocabularies write a byte as a letter: of each byte, that letter's code."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    out = np.zeros(256, np.uint16)
+    out[shown] = shown
+    out[np.setdiff1d(np.arange(256), shown)] = 256 + np.arange(256 - len(shown))
+    return out
+
+
 class Encoder:
     """Ids as the library's; a merge never crosses a split, so the ids of split words
-    are kept, and the library sees each but once."""
+    are kept, and the library sees each but once. Known words are an Arrow array."""
 
     def __init__(self, path: str | None, held: int = 500_000):
+        from tokenizers.pre_tokenizers import WhitespaceSplit
+
         self.known, self.held = tokenizer(path), held
         self.special = re.compile("|".join(re.escape(t.content) for t in self.known.get_added_tokens_decoder().values()) or r"(?!)")
+        # the same model, for words in the vocabulary's letters with a space between them
+        self.spaced = tokenizer(path)
+        self.spaced.pre_tokenizer = WhitespaceSplit()
+        self.size = np.zeros(1 << 16, np.int64)  # bytes of each id
+        for token, i in self.known.get_vocab().items():
+            self.size[i] = len(token)
         self._forget()
 
     def _forget(self) -> None:
-        self.words: dict[str, int] = {}
+        self.names = pa.array([], pa.large_string())
         self.ids, self.start = np.zeros(0, np.uint16), np.zeros(1, np.int64)
 
+    @property
+    def words(self) -> set[str]:
+        return set(self.names.to_pylist())
+
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.known.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
-        """The ids of words in turn and their numbers, by one text for all; each word is a
-        space and letters, so the text is split where they meet. None if it was not."""
-        got = self.known.encode("".join(words), add_special_tokens=False)
-        ids, sizes = np.array(got.ids, np.uint16), np.bincount(np.array(got.word_ids, np.int64), minlength=len(words))
-        return (ids, sizes) if len(sizes) == len(words) and sizes.all() else None
-
-    def _learn(self, fresh: list[str]) -> None:
-        plain = [w for w in fresh if w[0] == " " and w[1:].isalpha()]
-        known = set(plain)
-        others = [w for w in fresh if w not in known]
-        ids, sizes = [self.ids], []
-        for words, joined in ((plain, True), (others, False)):
-            for lo in range(0, len(words), 256):
-                part = words[lo : lo + 256]
-                got = self._joined(part) if joined else None
-                if got is None:
-                    each = self._library(part)
-                    got = np.fromiter(itertools.chain.from_iterable(each), np.uint16), np.array([len(x) for x in each])
-                self.words.update(zip(part, range(len(self.words), len(self.words) + len(part)), strict=True))
-                ids.append(got[0])
-                sizes.append(got[1])
-        if fresh:
-            self.ids = np.concatenate(ids)
-            self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(np.concatenate(sizes))])
+    def _spaced(self, words: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray] | None:
+        """The ids of words in turn and where each word's end, by a text for 256 words; None if
+        ids don't end with the words, as where the vocabulary has another alphabet."""
+        ends = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, 8 * words.offset)
+        letters = byte_letters()[np.frombuffer(words.buffers()[2], np.uint8)[ends[0] : ends[-1]]]
+        ends = ends[1:] - ends[0]
+        lone = np.insert(letters, ends[:-1], np.uint16(32))
+        got, at = [], 0
+        for k in range(255, len(words) + 255, 256):
+            k = min(k, len(words) - 1)
+            upto = ends[k] + k
+            (e,) = self.spaced.encode_batch_fast([lone[at:upto].tobytes().decode("utf-16-le")], add_special_tokens=False)
+            got.append(np.array(e.ids, np.uint16))
+            at = upto + 1
+        ids = np.concatenate(got)
+        place = np.cumsum(self.size[ids])
+        cuts = np.searchsorted(place, ends)
+        return (ids, cuts + 1) if place[-1] == ends[-1] and (place[cuts] == ends).all() else None
+
+    def _learn(self, fresh: pa.LargeStringArray) -> None:
+        if not len(fresh):
+            return
+        got = self._spaced(fresh)
+        if got is None:
+            each = self._library(fresh.to_pylist())
+            got = np.fromiter(itertools.chain.from_iterable(each), np.uint16), np.cumsum([len(x) for x in each])
+        self.names = pa.concat_arrays([self.names, fresh])
+        self.start = np.concatenate([self.start, self.start[-1] + got[1]])
+        self.ids = np.concatenate([self.ids, got[0]])
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text; texts with a special token's name go to the library whole."""
-        if len(self.words) > self.held:
+        if len(self.names) > self.held:
             self._forget()
         whole = {k: t for k, t in enumerate(texts) if self.special.search(t)}
         split = ["" if k in whole else t for k, t in enumerate(texts)]
@@ -446,16 +518,17 @@ class Encoder:
         starts = np.append(np.flatnonzero(split_starts(points, first)), len(points))
         data, at = raw.encode(), starts
         if len(data) > len(points):
-            size = np.ones(len(points) + 1, np.uint8)
-            for more in (0x80, 0x800, 0x10000):
-                size[1:] += points >= more
-            size[0] = 0
-            at = np.cumsum(size, dtype=np.int64)[starts]
+            begin = np.frombuffer(data, np.int8) >= -64  # of a code point
+            at = np.append(np.flatnonzero(begin), len(data))[starts]
         words = pa.Array.from_buffers(pa.large_string(), len(starts) - 1, [None, pa.py_buffer(at), pa.py_buffer(data)]).dictionary_encode()
-        names = words.dictionary.to_pylist()
-        self._learn([w for w in names if w not in self.words])
-        named = np.fromiter(map(self.words.__getitem__, names), np.int64, len(names))[words.indices.to_numpy()]
-        start, n = self.start[named], self.start[named + 1] - self.start[named]
+        number = pc.index_in(words.dictionary, self.names)
+        fresh, before = number.is_null(), len(self.names)
+        self._learn(words.dictionary.filter(fresh))
+        number, fresh = pc.fill_null(number, 0).to_numpy().astype(np.int64), fresh.to_numpy(zero_copy_only=False)
+        number[fresh] = np.arange(before, len(self.names))
+        named = number[words.indices.to_numpy()]
+        start = self.start[named]
+        n = self.start[named + 1] - start
         sums = np.cumsum(n)
         ids = self.ids[np.arange(n.sum()) + np.repeat(start - sums + n, n)]
         cuts = np.append(0, sums)[np.searchsorted(starts, ends)]
