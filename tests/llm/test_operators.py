@@ -71,6 +71,25 @@ def test_coder_learns_and_blocks_are_independent():
     assert 2 * len(alone[0]) < len(period) / 4
 
 
+def test_coder_tells_frequent_ids_apart():
+    """Order 0 learns ids, or runs of a few where ids are low: two random ids take some 3 bits each, not over 5."""
+    ids = np.random.default_rng(3).choice([3, 70], 4000).astype(np.uint16)
+    (code,) = rangecoder.encode([ids])
+    assert 16 * len(code) < 4 * len(ids)
+    assert (rangecoder.decode([code], [len(ids)])[0] == ids).all()
+
+
+def test_words_go_to_the_library_in_its_letters():
+    own = rangecoder.Encoder(None)
+    words = [" plain", "é", " 漢字", "\n\n", "\xa0", " ", "...", " 12", "\u3000", "\x1c", " ſ", "𝒳"] * 60
+    ids, ends = own._spaced(pa.array(words, pa.large_string()))
+    want = own._library(words)
+    assert ids.tolist() == [i for w in want for i in w]
+    assert ends.tolist() == np.cumsum([len(w) for w in want]).tolist()
+    own.size[:] = 1  # as where ids don't end with the words: the library gets the words themselves
+    assert [x.tolist() for x in own.batch(["two words", " déjà"])] == [own.known.encode(t).ids for t in ("two words", " déjà")]
+
+
 def test_damage_is_noticed():
     ids = np.arange(50, dtype=np.uint16)
     data = bytearray(rangecoder.payload(ids, [(1, False, True, 0, 50)], rangecoder.encode([ids])[0]))

@@ -47,26 +47,26 @@ NAME, END = "byte_bpe_50k.json", 0
 #: Ids in a block, and blocks coded side by side, at most.
 BLOCK, LANES = 4096, 2048
 #: Bytes of text whose new words go to the library together.
-TEXT = 4 << 20
+TEXT = 8 << 20
 MAGIC = b"TMR2"
 HEADER = struct.Struct("<4sIIII")  # magic, ids, pieces, crc32 of the ids, crc32 of all that follows
 PIECES = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("last", "u1"), ("piece", "<u4"), ("n", "<u4")])
 
 # The model's fixed values: a change makes another format.
-BITS = (10, 11)  # slots of order 1 and order 2, as powers of two
+BITS = (9, 10)  # slots of order 1 and order 2, as powers of two
 GROUP = 16  # ids after which the model learns from them
 #: Order 0 counts runs of ids, short ones where ids are low and frequent: (ids, width as a power of two).
 RUNS = ((1024, 2), (3072, 5), (12288, 7), (49152, 9))
 WIDTH = np.repeat([w for _, w in RUNS], [n >> w for n, w in RUNS]).astype(np.int32)
 BUCKETS, WIDEST = len(WIDTH), int(WIDTH.max())
 FIRST = (np.cumsum(1 << WIDTH) - (1 << WIDTH)).astype(np.int32)  # each run's first id
-RUN = np.repeat(np.arange(BUCKETS, dtype=np.int32), 1 << WIDTH)  # each id's run
-PLACE = RUN << 16 | np.arange(1 << 16, dtype=np.int32) - FIRST[RUN]  # and its place there
+RUN = np.repeat(np.arange(BUCKETS), 1 << WIDTH)  # each id's run
+PLACE = (RUN << 16 | np.arange(1 << 16) - FIRST[RUN]).astype(np.int32)  # and its place there
 COUNTS = (1 + np.add.reduceat((1 << 24) // (np.arange(1 << 16) + 64), FIRST) // 4096).astype(np.int32)  # before any id came
 STEP, REFRESH = 24, 1024  # added for an id; ids until order 0's shares are worked out anew
 EARLY = (64, 256)  # and ids after which they are besides
 TOTAL, SHARES = 1 << 16, 1 << 12  # shares of the mixture; of order 0's runs
-STATES, RATE, RARE, PACE = 8, np.float32(1 / 24), np.float32(1 / 4096), np.float32(0.25)
+STATES, RATE, RARE, PACE = 8, np.float32(1 / 12), np.float32(1 / 4096), np.float32(0.25)
 # The coder's numbers are whole and below 2^53, so that floats hold them.
 FULL, LOW, WORD = 2.0**48, 2.0**32, 2.0**16
 MIXED, PLAIN = 1 / TOTAL, 1 / (SHARES << WIDEST)
@@ -92,21 +92,25 @@ class Model:
         self.base_state = np.arange(2 * n).reshape(2, n) * STATES
         self.weight = np.full((2, n), 1 / 3, np.float32)  # order 0 has the rest
         self.shares = np.empty((2, n, STATES))  # of the mixture, by an entry's state
-        self.counts = np.tile(COUNTS, (n, 1))
+        self.counts = np.tile(COUNTS.astype(np.int64), (n, 1))
         self.base_run, self.base_share = row * BUCKETS, row * SHARES
         self.runs = np.empty((n, BUCKETS), np.int32)  # start << 13 | share
         self.lookup = np.empty((n, SHARES), np.uint16)  # the run that has a share
         self.counted = 0
 
-    def _refresh(self, m: int) -> None:
+    def _refresh(self, lo: int, hi: int) -> None:
         """Shares of 2^12 in all, one at least for each run."""
-        sums = np.cumsum(self.counts[:m], axis=1, dtype=np.int32)
+        sums = np.cumsum(self.counts[lo:hi], axis=1, dtype=np.int32)
         ends = (sums * ((SHARES - BUCKETS) / sums[:, -1:])).astype(np.int32)
         ends += np.arange(1, BUCKETS + 1, dtype=np.int32)
         ends[:, -1] = SHARES
-        size = np.diff(ends, axis=1, prepend=np.int32(0))
-        np.bitwise_or((ends - size) << 13, size, out=self.runs[:m])
-        self.lookup[:m].reshape(-1)[:] = np.repeat(np.tile(np.arange(BUCKETS, dtype=np.uint16), m), size.reshape(-1))
+        size = ends.copy()
+        size[:, 1:] -= ends[:, :-1]
+        ends -= size
+        ends <<= 13
+        np.bitwise_or(ends, size, out=self.runs[lo:hi])
+        runs = np.tile(np.arange(BUCKETS, dtype=np.uint16), hi - lo)
+        self.lookup[lo:hi] = np.repeat(runs, size.reshape(-1)).reshape(hi - lo, SHARES)
 
     def prepare(self, ids: np.ndarray, t: int, m: int) -> None:
         """For the ids from t on; ids: those before, in rows."""
@@ -115,14 +119,18 @@ class Model:
         self.shares[:, :m] += 1
         if t % REFRESH == 0 or t in EARLY:
             if not t:  # all blocks are alike
-                self._refresh(1)
+                self._refresh(0, 1)
                 self.runs[1:], self.lookup[1:] = self.runs[0], self.lookup[0]
-            else:
-                came = RUN.take(ids[self.counted : t, :m])
-                came = came + self.base_run[:m]
-                self.counts[:m] += STEP * np.bincount(came.reshape(-1), minlength=m * BUCKETS).reshape(m, BUCKETS).astype(np.int32)
-                self.counted = t
-                self._refresh(m)
+                return
+            for lo in range(0, m, 128):  # arrays that fit a cache
+                hi = min(lo + 128, m)
+                came = RUN.take(ids[self.counted : t, lo:hi])
+                came += self.base_run[: hi - lo]
+                seen = np.bincount(came.reshape(-1), minlength=(hi - lo) * BUCKETS)
+                seen *= STEP
+                self.counts[lo:hi] += seen.reshape(hi - lo, BUCKETS)
+                self._refresh(lo, hi)
+            self.counted = t
 
     def mixed(self, entry: np.ndarray, named: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
         """Shares of order 1's id and order 2's; the latter has both if they are one. Over the last two axes."""
@@ -135,27 +143,30 @@ class Model:
 
     def learn(self, slot: np.ndarray, entry: np.ndarray, x: np.ndarray, m: int) -> None:
         """slot, entry: by id, order and block; x: the ids that came."""
-        came, state = x[:, None].astype(np.int32), entry & 7
-        hit = entry >> 3 == came
-        at = state + self.base_state[:, :m]
+        came, state = x[:, None].astype(np.int32) << 3, entry & 7
+        named = entry - state
+        hit = named == came
+        # hits strengthen an entry, a miss weakens it, or replaces it if it is weak; of several in a slot, the last counts
+        entry = np.where(hit, entry + (state < STATES - 1), np.where(state > 1, named + (state >> 1), came))
+        self.table[slot.reshape(-1)] = entry.reshape(-1)
+        # every second id tells how far to trust the predictions
+        hit = hit[::2]
+        at = state[::2] + self.base_state[:, :m]
         c = self.sure.reshape(-1).take(at)
         # weights go towards the predictions' shares in what came; whole numbers, whose sums have no order
         likely = np.where(hit, c, (1 - c) * RARE)
         w = self.weight[:, :m]
         likely *= w
-        likely /= likely[:, :1] + likely[:, 1:] + (1 - w[0] - w[1]) * RARE
-        likely *= np.float32(1 << 16)
-        part = likely.astype(np.int32).sum(axis=0, dtype=np.int32).astype(np.float32) * np.float32(1 / (len(x) << 16))
+        likely *= np.float32(1 << 16) / (likely[:, :1] + likely[:, 1:] + (1 - w[0] - w[1]) * RARE)
+        part = likely.astype(np.int32).sum(axis=0, dtype=np.int32).astype(np.float32) * np.float32(1 / (len(hit) << 16))
         w += (part - w) * PACE
         w *= np.float32(0.98)
         w += np.float32(0.02 / 3)
-        flat, size = self.sure.reshape(-1), self.sure.size
-        at = at.reshape(-1)
-        missed, hits = np.bincount((at << 1) + hit.reshape(-1), minlength=2 * size).astype(np.float32).reshape(-1, 2).T
+        flat = self.sure.reshape(-1)
+        at <<= 1
+        at += hit
+        missed, hits = np.bincount(at.reshape(-1), minlength=2 * flat.size).astype(np.float32).reshape(-1, 2).T
         flat += (hits - (hits + missed) * flat) * RATE
-        # hits strengthen an entry, a miss weakens it, or replaces it if it is weak; of several in a slot, the last counts
-        weaker = np.where(state > 1, entry - state + (state >> 1), came << 3)
-        self.table[slot.reshape(-1)] = np.where(hit, entry + (state < STATES - 1), weaker).reshape(-1)
 
 
 def _side_by_side(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -231,7 +242,7 @@ def encode(blocks: list[np.ndarray]) -> list[np.ndarray]:
             l *= factor
             s *= factor
             a += small * n
-            more = np.flatnonzero(s < LOW)
+            more = (s < LOW).nonzero()[0]
             while len(more):
                 l[more] = put(a[more], l[more])
                 s[more] *= WORD
@@ -293,7 +304,7 @@ def decode(codes: list[np.ndarray], lengths: list[int]) -> list[np.ndarray]:
             c -= np.where(left, both, two * later) * unit
             x = np.where(later, named[0], named[1])
             np.multiply(np.where(later, one, two), unit, out=s)
-            rest = np.flatnonzero(left)
+            rest = left.nonzero()[0]
             # order 0
             unit = np.floor((TOTAL - both.take(rest)) * unit.take(rest) * PLAIN)
             ahead = c.take(rest)
@@ -313,7 +324,7 @@ def decode(codes: list[np.ndarray], lengths: list[int]) -> list[np.ndarray]:
             c *= factor
             c += words.take(a) * small
             a += small * n
-            more = np.flatnonzero(s < LOW)
+            more = (s < LOW).nonzero()[0]
             while len(more):
                 s[more] *= WORD
                 c[more] = c[more] * WORD + words[a[more]]
@@ -417,7 +428,7 @@ def split_starts(points: np.ndarray, first: np.ndarray) -> np.ndarray:
     start = np.ones(n + 1, bool)
     # of another kind than the one before, unless that is a space, which goes with what follows
     start[1:] = kind[1:] != kind[:-1]
-    start[1:] &= gap[1:] | (np.append(points, 0)[:-1] != 32)
+    start[1:] &= gap[1:] | (points != 32)
     # the last of several gaps is by itself where a text goes on
     start[1:-1] |= gap[1:-1] & ~gap[2:] & ~first[2:]
     start |= first
@@ -448,9 +459,10 @@ def byte_letters() -> np.ndarray:
 
 class Encoder:
     """Ids as the library's; a merge never crosses a split, so the ids of split words
-    are kept, and the library sees each but once. Known words are an Arrow array."""
+    are kept in an Arrow array, and the library sees each but once. Where they are more than
+    held, those of the last texts stay: to look into many costs more than to learn some again."""
 
-    def __init__(self, path: str | None, held: int = 500_000):
+    def __init__(self, path: str | None, held: int = 300_000):
         from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.known, self.held = tokenizer(path), held
@@ -461,9 +473,6 @@ class Encoder:
         self.size = np.zeros(1 << 16, np.int64)  # bytes of each id
         for token, i in self.known.get_vocab().items():
             self.size[i] = len(token)
-        self._forget()
-
-    def _forget(self) -> None:
         self.names = pa.array([], pa.large_string())
         self.ids, self.start = np.zeros(0, np.uint16), np.zeros(1, np.int64)
 
@@ -504,10 +513,15 @@ class Encoder:
         self.start = np.concatenate([self.start, self.start[-1] + got[1]])
         self.ids = np.concatenate([self.ids, got[0]])
 
+    def _of(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of known words in turn and where each word's end."""
+        start = self.start[number]
+        n = self.start[number + 1] - start
+        sums = np.cumsum(n)
+        return self.ids[np.arange(n.sum()) + np.repeat(start - sums + n, n)], sums
+
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text; texts with a special token's name go to the library whole."""
-        if len(self.names) > self.held:
-            self._forget()
         whole = {k: t for k, t in enumerate(texts) if self.special.search(t)}
         split = ["" if k in whole else t for k, t in enumerate(texts)]
         raw = "".join(split)
@@ -519,18 +533,17 @@ class Encoder:
         data, at = raw.encode(), starts
         if len(data) > len(points):
             begin = np.frombuffer(data, np.int8) >= -64  # of a code point
-            at = np.append(np.flatnonzero(begin), len(data))[starts]
+            at = np.append(np.flatnonzero(begin).take(starts[:-1]), len(data))
         words = pa.Array.from_buffers(pa.large_string(), len(starts) - 1, [None, pa.py_buffer(at), pa.py_buffer(data)]).dictionary_encode()
         number = pc.index_in(words.dictionary, self.names)
         fresh, before = number.is_null(), len(self.names)
         self._learn(words.dictionary.filter(fresh))
         number, fresh = pc.fill_null(number, 0).to_numpy().astype(np.int64), fresh.to_numpy(zero_copy_only=False)
         number[fresh] = np.arange(before, len(self.names))
-        named = number[words.indices.to_numpy()]
-        start = self.start[named]
-        n = self.start[named + 1] - start
-        sums = np.cumsum(n)
-        ids = self.ids[np.arange(n.sum()) + np.repeat(start - sums + n, n)]
+        ids, sums = self._of(number[words.indices.to_numpy()])
+        if len(self.names) > self.held:
+            self.ids, kept = self._of(number)
+            self.names, self.start = words.dictionary, np.append(0, kept)
         cuts = np.append(0, sums)[np.searchsorted(starts, ends)]
         out = np.split(ids, cuts)[:-1]
         for k, t in whole.items():
@@ -638,14 +651,22 @@ def _times(a: int, b: int) -> int:
     return out
 
 
+@functools.cache
+def _powers() -> list[list[int]]:
+    """Shifts by up to 255 bits, by 256 times as many, and so on."""
+    out, unit = [], 1 << 30
+    for _ in range(4):
+        out.append(list(itertools.accumulate(range(255), lambda a, _, unit=unit: _times(a, unit), initial=1 << 31)))
+        unit = _times(out[-1][-1], unit)
+    return out
+
+
 def shifted(crc: int, n: int) -> int:
     """A checksum's part once n bytes follow; -n takes that back."""
-    power, square, n = 1 << 31, 1 << 30, 8 * n % _ORDER
-    while n:
-        if n & 1:
-            power = _times(power, square)
-        square, n = _times(square, square), n >> 1
-    return _times(crc, power)
+    n = 8 * n % _ORDER
+    for row in _powers():
+        crc, n = _times(crc, row[n & 255]) if n & 255 else crc, n >> 8
+    return crc
 
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
