@@ -6,8 +6,9 @@ predictions are mixed. Order 2 and order 1 each name an id, seen last after the
 same two ids or the same one, with a confidence that follows its hits; order 0
 spreads over all ids by adaptive counts. Weights follow how likely each made the
 ids so far. The mixture cuts the coder's range: a share for order 2's id, one for
-order 1's, and the rest, in which order 0 codes the id. The coder is a carryless
-range coder with 64 bits, which puts out words of 16.
+order 1's, and the rest, in which order 0 codes the id. The model learns from 16 ids
+at once. The coder is a range coder with 48 bits, which puts out words of 16; the
+encoder settles carries at the end.
 
 Blocks of a batch are coded side by side: one step codes the next id of every
 block, on arrays over the blocks. All arithmetic is integer, or IEEE sums,
@@ -47,7 +48,7 @@ NAME, END = "byte_bpe_50k.json", 0
 #: Ids in a block, and blocks coded side by side, at most.
 BLOCK, LANES = 4096, 2048
 #: Bytes of text whose new words go to the library together.
-TEXT = 8 << 20
+TEXT = 4 << 20
 MAGIC = b"TMR2"
 HEADER = struct.Struct("<4sIIII")  # magic, ids, pieces, crc32 of the ids, crc32 of all that follows
 PIECES = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("last", "u1"), ("piece", "<u4"), ("n", "<u4")])
@@ -459,10 +460,9 @@ def byte_letters() -> np.ndarray:
 
 class Encoder:
     """Ids as the library's; a merge never crosses a split, so the ids of split words
-    are kept in an Arrow array, and the library sees each but once. Where they are more than
-    held, those of the last texts stay: to look into many costs more than to learn some again."""
+    are kept in an Arrow array, and the library sees each but once, until they are more than held."""
 
-    def __init__(self, path: str | None, held: int = 300_000):
+    def __init__(self, path: str | None, held: int = 500_000):
         from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.known, self.held = tokenizer(path), held
@@ -473,6 +473,9 @@ class Encoder:
         self.size = np.zeros(1 << 16, np.int64)  # bytes of each id
         for token, i in self.known.get_vocab().items():
             self.size[i] = len(token)
+        self._forget()
+
+    def _forget(self) -> None:
         self.names = pa.array([], pa.large_string())
         self.ids, self.start = np.zeros(0, np.uint16), np.zeros(1, np.int64)
 
@@ -513,15 +516,10 @@ class Encoder:
         self.start = np.concatenate([self.start, self.start[-1] + got[1]])
         self.ids = np.concatenate([self.ids, got[0]])
 
-    def _of(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of known words in turn and where each word's end."""
-        start = self.start[number]
-        n = self.start[number + 1] - start
-        sums = np.cumsum(n)
-        return self.ids[np.arange(n.sum()) + np.repeat(start - sums + n, n)], sums
-
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text; texts with a special token's name go to the library whole."""
+        if len(self.names) > self.held:
+            self._forget()
         whole = {k: t for k, t in enumerate(texts) if self.special.search(t)}
         split = ["" if k in whole else t for k, t in enumerate(texts)]
         raw = "".join(split)
@@ -540,10 +538,11 @@ class Encoder:
         self._learn(words.dictionary.filter(fresh))
         number, fresh = pc.fill_null(number, 0).to_numpy().astype(np.int64), fresh.to_numpy(zero_copy_only=False)
         number[fresh] = np.arange(before, len(self.names))
-        ids, sums = self._of(number[words.indices.to_numpy()])
-        if len(self.names) > self.held:
-            self.ids, kept = self._of(number)
-            self.names, self.start = words.dictionary, np.append(0, kept)
+        named = number[words.indices.to_numpy()]
+        start = self.start[named]
+        n = self.start[named + 1] - start
+        sums = np.cumsum(n)
+        ids = self.ids[np.arange(n.sum()) + np.repeat(start - sums + n, n)]
         cuts = np.append(0, sums)[np.searchsorted(starts, ends)]
         out = np.split(ids, cuts)[:-1]
         for k, t in whole.items():
