@@ -88,8 +88,9 @@ def epoch_metrics(spark: SparkSession, d: str) -> DataFrame:
     batches = D.table(spark, d, "lineitem").select(
         F.col("l_suppkey").alias("run"), F.col("l_discount").alias("loss"), F.col("l_quantity").alias("size"), F.col("l_linenumber").alias("correct")
     )
-    ppm = lambda c: F.floor(F.col(c) * 1e6 + 0.5).alias(f"{c}_ppm")
-    return O.epoch_metrics(batches, ["run"]).select("run", ppm("loss"), ppm("accuracy"))
+    # a loss is rounded by its decimals: half a millionth, as a double, may lie below itself
+    loss = F.floor(F.col("loss").cast("decimal(30,17)") * 1000000 + F.expr("0.5BD")).cast("bigint")
+    return O.epoch_metrics(batches, ["run"]).select("run", loss.alias("loss_ppm"), F.floor(F.col("accuracy") * 1e6 + 0.5).alias("accuracy_ppm"))
 
 
 @query(
