@@ -12,6 +12,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, most: int = 1024, least: int = 32) -> DataFrame:
+    """Rows that take long each, of a table whose files may be few and small: dealt to tasks of at
+    most so many rows, and to all cores where each gets at least so many."""
+    n = rows.count()
+    return rows.repartition(max(1, -(-n // most), min(rows.sparkSession.sparkContext.defaultParallelism, n // least)))
+
+
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's events as the frames of one video."""
     w = Window.partitionBy("analysis_id")

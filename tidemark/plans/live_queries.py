@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..functions.optical_flow import flow_statistics
+from ..functions.optical_flow import STATISTICS, statistics
 from ..operators import answers
 from ..streaming import pairing
 from . import domain as D
@@ -61,11 +63,24 @@ def live_results(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _texture(key, right, down, side: int = 40):
-    """A square frame of three waves that depend on ``key``, moved right and down by parts of a pixel."""
-    x, y = lambda i: i % side - right, lambda i: F.floor(i / side) - down
-    wave = lambda i, a, b: 30 * F.sin(a * x(i) + b * y(i) + key)
-    return F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda i: 128 + wave(i, 0.35, 0.1) + wave(i, -0.12, 0.4) + wave(i, 0.25, -0.3))
+def _textures(key: np.ndarray, right: np.ndarray, down: np.ndarray, side: int = 40) -> np.ndarray:
+    """(frames, side * side): square frames of three waves that depend on ``key``, moved right and down by parts of a pixel."""
+    y, x = np.mgrid[:side, :side].reshape(2, 1, -1).astype(float)
+    x, y, key = x - right[:, None], y - down[:, None], key[:, None]
+    return 128 + sum(30 * np.sin(a * x + b * y + key) for a, b in ((0.35, 0.1), (-0.12, 0.4), (0.25, -0.3)))
+
+
+@F.pandas_udf(STATISTICS)
+def _texture_flow(key: pd.Series, right: pd.Series, down: pd.Series) -> pd.DataFrame:
+    """The flow from a key's frame to the same one moved; frames are made some at a time where they are compared."""
+    places = np.stack([key, right, down], 1).astype(float)
+    out = np.full(places.shape, np.nan)
+    for k in range(0, len(places), 256):
+        n, dx, dy = np.nan_to_num(places[k : k + 256]).T
+        out[k : k + 256] = statistics(_textures(n, 0 * dx, 0 * dy), _textures(n, dx, dy), 8)
+    # a part of the shift that isn't known is none that was found
+    out[:, 1:][np.isnan(places[:, 1:])] = np.nan
+    return pd.DataFrame(out, columns=STATISTICS.names)
 
 
 @query(
@@ -76,13 +91,9 @@ SELECT s_suppkey, dx::DOUBLE AS dx, dy::DOUBLE AS dy, CASE WHEN m < 1.5 OR abs(d
 def flow_shifts(spark: SparkSession, d: str) -> DataFrame:
     """Each supplier's frame and the same moved by halves of a pixel: the flow finds how far."""
     key = F.col("s_suppkey")
-    frames = D.table(spark, d, "supplier").select(
-        "s_suppkey",
-        _texture(key, F.lit(0), F.lit(0)).alias("before"),
-        _texture(key, (key % 9 - 4) / 2, (F.col("s_nationkey") % 9 - 4) / 2).alias("after"),
-    )
+    suppliers = D.dealt(D.table(spark, d, "supplier").select("s_suppkey", "s_nationkey"))
     half = lambda c: (F.floor(F.col(f"flow.{c}") * 2 + 0.5) / 2 + 0.0).cast("double")
-    found = frames.select("s_suppkey", flow_statistics("before", "after", F.lit(8)).alias("flow"))
+    found = suppliers.select("s_suppkey", _texture_flow(key, (key % 9 - 4) / 2, (F.col("s_nationkey") % 9 - 4) / 2).alias("flow"))
     moved = found.select("s_suppkey", half("horizontal").alias("dx"), half("vertical").alias("dy"))
     return moved.withColumn("direction", S.flow_motion(F.hypot("dx", "dy"), F.col("dy"))["direction"])
 
